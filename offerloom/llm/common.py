@@ -64,7 +64,7 @@ def parallelism(spark: SparkSession) -> int:
 
 
 class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash. The memo is emptied when it gets large, so memory stays bounded."""
+    """Word (bytes) -> 64-bit hash, with a memo of bounded size."""
 
     LIMIT = 300_000
 
@@ -73,8 +73,7 @@ class WordHashes(dict):
 
         if len(self) >= self.LIMIT:
             self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        self[word] = value
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
     def of(self, words: Iterable[bytes], n: int) -> np.ndarray:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, urls
+from . import chat, mixing, packing, urls, warc
 
-MODULES = [mixing, chat, urls]
+MODULES = [mixing, chat, urls, warc, packing]
 
 
 def queries() -> dict:
