@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, urls, warc
+from . import chat, media, mixing, packing, urls, warc
 
-MODULES = [mixing, chat, urls, warc, packing]
+MODULES = [mixing, chat, urls, warc, packing, media]
 
 
 def queries() -> dict:
