@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, urls, warc
+from . import chat, media, mixing, packing, toxicity, urls, warc
 
-MODULES = [mixing, chat, urls, warc, packing, media]
+MODULES = [mixing, chat, urls, warc, packing, media, toxicity]
 
 
 def queries() -> dict:
