@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, toxicity, urls, warc
+from . import chat, decontamination, media, mixing, packing, toxicity, urls, warc
 
-MODULES = [mixing, chat, urls, warc, packing, media, toxicity]
+MODULES = [mixing, chat, urls, warc, packing, media, toxicity, decontamination]
 
 
 def queries() -> dict:
