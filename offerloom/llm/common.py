@@ -90,11 +90,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive word hashes; order matters."""
+    """Hash of each k consecutive word hashes; order matters. Hashes of 1, 2, 4, ... words are put together."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = words[:n].copy()
-    for j in range(1, k):
-        out = mix64(out) + words[j : j + n]
-    return mix64(out)
+    part, size, done, out = words, 1, 0, None
+    while True:
+        if k & size:
+            piece = part[done : done + n]
+            out = piece if out is None else mix64(out * np.uint64(3) + piece)
+            done += size
+        if done == k:
+            return mix64(out)
+        part = mix64(part[: len(part) - size] * np.uint64(5) + part[size:])
+        size *= 2
