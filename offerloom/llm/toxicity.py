@@ -14,6 +14,7 @@ Only texts go into a score. The model is a table of at most MODEL_FEATURES weigh
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rate = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     sample = known.where("toxic > 0").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(CLEAN_SAMPLE))
-    # at most TOXIC_SAMPLE + CLEAN_SAMPLE ids of 12 bytes
+    # at most TOXIC_SAMPLE + CLEAN_SAMPLE ids of 12 bytes; the fit is one task, as its input is bounded
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
     lengths = sorted(((r["k"], r["doc_id"], r["n"]) for r in found.select("doc_id", order.alias("k"), F.length("text").alias("n")).collect()))
     taken, room = [], SAMPLE_CHARS
@@ -280,9 +282,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         if n <= room:
             taken.append(doc_id)
             room -= n
-    rows = found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect() if taken else []
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows], float(rate))
+    if not taken:
+        return fit([], [], float(rate))
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")
+    rows = found.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def fit_task(part: pa.Table) -> pa.Table:
+        part = part.sort_by("doc_id")
+        model = fit(part.column("text").to_pylist(), [int(t > 0) for t in part.column("toxic").to_pylist()], float(rate))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return pickle.loads(rows.groupBy(F.lit(0)).applyInArrow(fit_task, "model binary").first()[0])
 
 
 def scorer(spark: SparkSession, model: Model):
