@@ -292,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         model = fit(part.column("text").to_pylist(), [int(t > 0) for t in part.column("toxic").to_pylist()], float(rate))
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return pickle.loads(rows.groupBy(F.lit(0)).applyInArrow(fit_task, "model binary").first()[0])
+    return pickle.loads(rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(fit_task, "model binary").first()[0])
 
 
 def scorer(spark: SparkSession, model: Model):
