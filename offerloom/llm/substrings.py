@@ -22,6 +22,7 @@ starts in a document with a smaller id.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, gram_hashes, parallelism, table
 
 GRAM, MIN_WORDS = 20, 50
-SHARD_SEGMENTS = 4000
+SHARD_SEGMENTS = 1500
 PLACE_BITS = 30
 
 ANCHORS = "doc_id long, anchor long"
@@ -122,14 +123,15 @@ def _pieces(min_words: int):
                     key = (s["anchor"], s["id"])
                     best[key] = min(doc_id, best.get(key, doc_id))
             out = []
-            for _, text, segments in rows:
+            for i, (_, text, segments) in enumerate(rows):
                 words = text.split()
                 for s in segments:
                     smallest = best.pop((s["anchor"], s["id"]), None)
                     if smallest is not None:
                         out.append((s["anchor"], s["id"], smallest, b" ".join(words[s["at"] : s["at"] + s["windows"] + min_words - 1])))
-            for k in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 20_000], strict=True), PIECES_ARROW.types, strict=True)], schema=PIECES_ARROW)
+                if out and (len(out) >= 10_000 or i + 1 == len(rows)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), PIECES_ARROW.types, strict=True)], schema=PIECES_ARROW)
+                    out = []
 
     return run
 
@@ -178,20 +180,22 @@ class FMIndex:
         for s, x in zip(starts.tolist(), texts, strict=True):
             t[s : s + len(x)] = x
         n = len(t)
-        rank, size, ranks = t, 1, {}
+        rank, size, ranks = t.astype(np.int32), 1, {}
         order = None
         while True:
-            ranks[size] = rank
+            if size & depth or size & (depth - 1):
+                ranks[size] = rank
             if size >= depth:
                 break
-            later = np.zeros(n, np.int64)
-            later[: n - size] = rank[size:] + 1 if size < n else 0
-            key = rank * (int(later.max()) + 1) + later
+            key = rank.astype(np.int64) << 32
+            if size < n:
+                key[: n - size] += rank[size:] + 1
             order = np.argsort(key)
-            sorted_ = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+            key = key[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             size *= 2
+        del key
         self.order = order if order is not None else np.argsort(t, kind="stable")
         self.text_at = np.searchsorted(starts, self.order, "right") - 1
         bwt = t[self.order - 1]
@@ -202,15 +206,11 @@ class FMIndex:
 
     def blocks(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """First row and end of each row's block of rows that agree in depth words."""
-        new, at, size = np.zeros(self.rows, bool), self.order, max(self._ranks)
-        left = depth
-        while left:
-            while size > left:
-                size //= 2
-            rank = self._ranks[size]
-            r = np.where(at < self.rows, rank[np.minimum(at, self.rows - 1)], -1)
+        new, at = np.zeros(self.rows, bool), self.order
+        for size in sorted((k for k in self._ranks if k & depth), reverse=True):
+            r = np.where(at < self.rows, self._ranks[size][np.minimum(at, self.rows - 1)], -1)
             new[1:] |= r[1:] != r[:-1]
-            at, left = at + size, left - size
+            at = at + size
         new[0] = True
         first = np.flatnonzero(new)
         sizes = np.diff(np.append(first, self.rows))
@@ -283,14 +283,15 @@ def _search_shard(min_words: int):
 def _windows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for anchor, id_, doc_id, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = piece.split(b" ")
-                for s in range(len(words) - min_words + 1):
-                    out.append((anchor, id_, doc_id, s, hashlib.blake2b(b" ".join(words[s : s + min_words]), digest_size=16).digest()))
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-            for k in range(0, len(out), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 50_000], strict=True), types, strict=True)], ["anchor", "id", "doc_id", "at", "window"])
+            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            while part := list(itertools.islice(rows, 500)):
+                out = []
+                for anchor, id_, doc_id, piece in part:
+                    words = piece.split(b" ")
+                    for s in range(len(words) - min_words + 1):
+                        out.append((anchor, id_, doc_id, s, hashlib.blake2b(b" ".join(words[s : s + min_words]), digest_size=16).digest()))
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["anchor", "id", "doc_id", "at", "window"])
 
     return run
 
@@ -347,7 +348,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hot = scratch.save(sizes.where(F.col("count") > shard_segments).select("anchor"), "hot")
     any_hot = not hot.isEmpty()
     cool = pieces.join(hot, "anchor", "left_anti") if any_hot else pieces
-    shards = max(parallelism(spark), -(-pieces.count() // (2 * shard_segments)))
+    shards = max(parallelism(spark), -(-pieces.count() // shard_segments))
     reports = cool.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search_shard(min_words), REPORTS)
     if any_hot:
         windows = pieces.join(hot, "anchor").select("anchor", "id", "doc_id", "words").mapInArrow(_windows(min_words), "anchor long, id binary, doc_id long, at int, window binary")
