@@ -9,9 +9,11 @@ the first such shingle stands bounds their overlap.
    as long as it is one: the hot list only makes it better, so its size can be bounded.
 2. Prefix shingles are gathered by hash range, packed; those of one set only are dropped. A shingle that a task has
    seen in many sets goes around the range's task, which gets one of its rows.
-3. First round: every member of a shingle's group is compared with the group's smallest node only. Links are
-   verified and merged into components, so a large group of near copies needs one comparison each.
-4. Second round: what is left are pairs that share a prefix shingle and are in different components.
+3. First round: every member of a shingle's group is compared with one hub only, the member of whose prefix the most
+   is shared. Links are verified and merged into components, so most of a large group of near copies needs one comparison each.
+4. Second round: what is left are pairs that share a prefix shingle and are in different components. Groups of up to PAIRS members
+   list their pairs. Larger groups that touch each other form blocks: all sets of a block that are outside its largest component walk the prefix
+   trees of the whole block, part by part. No pair of a block is ever a row; only links are, one for a set and component.
 5. Candidates pass an exact bound from parity bitmaps, then verification: the sets to be compared with one set
    are put in a prefix tree in the global order; walking it shares the overlap counted so far among all sets below a
    node, and a subtree is pruned where the overlap so far and the lengths that remain can't reach the threshold.
@@ -36,6 +38,8 @@ HOT, HOT_LIST = 64, 1_000_000
 COUNTED = 90
 FLUSH, BUCKET_ROWS, LOCAL_HOT = 2_000_000, 1_000_000, 8
 VERIFY_GROUP = 1000
+#: Members up to which a group's pairs are listed, and sets of a block in one tree or one batch of probes.
+PAIRS, BLOCK_PART = 32, 1000
 IDS_BROADCAST, COPIES_BROADCAST = 1_000_000, 1_000_000
 
 SETS = "doc_id long, n_shingles long, set_id binary, bitmap binary"
@@ -293,6 +297,25 @@ def _verify(percent: int):
     return run
 
 
+def _verify_block(percent: int):
+    def run(part: pa.Table) -> pa.Table:
+        ids, labels, probing = (part.column(c).to_pylist() for c in ("doc_id", "label", "probe"))
+        sets = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
+        members = [i for i, p in enumerate(probing) if not p]
+        tree, out = PrefixTree([sets[i] for i in members]) if members else None, set()
+        for i, p in enumerate(probing):
+            if p and tree:
+                first = {}  # one link to each other component is enough
+                for k in tree.linked(sets[i], percent):
+                    m = members[k]
+                    if labels[m] != labels[i]:
+                        first[labels[m]] = min(ids[m], first.get(labels[m], ids[m]))
+                out |= {(min(ids[i], m), max(ids[i], m)) for m in first.values()}
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,15 +340,33 @@ class _Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, k: int, percent: int):
         self.docs, self.scratch, self.k, self.percent = docs, scratch, k, percent
 
+    def sets_of(self, ids: DataFrame, label: str) -> DataFrame:
+        """b, set: the whole sets of some nodes."""
+        ids = self.scratch.save(ids.distinct(), f"{label}-ids")
+        full = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(self.k), "b long, set binary")
+        return self.scratch.save(full, f"{label}-sets")
+
+    def block_links(self, members: DataFrame, label: str) -> DataFrame:
+        """Links between different components of a block. members: block, doc_id, label."""
+        by_label = members.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
+        largest = by_label.groupBy("block").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("n"), F.max("n").alias("m"))
+        parts = largest.select("block", "largest", F.ceil(F.col("n") / BLOCK_PART).cast("long").alias("trees"), F.ceil((F.col("n") - F.col("m")) / BLOCK_PART).cast("long").alias("batches")).where("batches > 0")
+        m = members.join(parts, "block")
+        tree, batch = F.pmod(F.xxhash64("doc_id"), F.col("trees")), F.pmod(F.xxhash64("doc_id"), F.col("batches"))
+        zero = F.lit(0).cast("long")
+        in_trees = m.select("block", "doc_id", "label", F.lit(False).alias("probe"), tree.alias("tree"), F.explode(F.sequence(zero, F.col("batches") - 1)).alias("batch"))
+        probes = m.where("label <> largest").select("block", "doc_id", "label", F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("trees") - 1)).alias("tree"), batch.alias("batch"))
+        full = self.sets_of(members.select("doc_id"), label).withColumnRenamed("b", "doc_id")
+        found = in_trees.unionByName(probes).join(full, "doc_id").groupBy("block", "tree", "batch").applyInArrow(_verify_block(self.percent), "a long, b long")
+        return self.scratch.save(found, f"{label}-links")
+
     def links(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         """The pairs (a < b) that are linked."""
         left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("bitmap").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("bitmap").alias("y"))
         likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(self.percent), "a long, b long")
         likely = self.scratch.save(likely.distinct(), f"{label}-likely")
-        ids = self.scratch.save(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{label}-ids")
-        full = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(self.k), "b long, set binary")
-        full = self.scratch.save(full, f"{label}-sets")
+        full = self.sets_of(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), label)
         # a set with very many candidates is compared in several groups
         parts = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY_GROUP).cast("int").alias("parts"))
         jobs = likely.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
@@ -365,8 +406,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         rest = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (F.col(n) + F.col(m)))
 
-    heads = groups.groupBy("shingle").agg(F.min(F.struct(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("pos").alias("j"))).alias("h"), F.max("doc_id").alias("z")).where("h.a < z").select("shingle", "h.*")
-    stars = groups.join(heads, "shingle").where((F.col("a") < F.col("doc_id")) & fits("n", "m", "pos", "j")).select("a", F.col("doc_id").alias("b")).distinct()
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    hubs = groups.groupBy("doc_id", "n").agg((F.count(F.lit(1)) / F.first(prefix)).alias("shared"))
+    hubs = scratch.save(groups.join(hubs, ["doc_id", "n"]), "hubs")
+    best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("pos").alias("j")))
+    heads = hubs.groupBy("shingle").agg(best.alias("h"), F.count_distinct("doc_id").alias("members")).where("members > 1").select("shingle", "h.*")
+    stars = groups.join(heads, "shingle").where((F.col("hub") != F.col("doc_id")) & fits("n", "m", "pos", "j"))
+    stars = stars.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
     join = _Join(known, scratch, shingle, percent)
     one_each = nodes.join(broadcast_if(equal, COPIES_BROADCAST), "doc_id", "left_anti") if not equal.isEmpty() else nodes
@@ -375,12 +421,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     labelled = groups.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     labelled = scratch.save(labelled, "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("shingle")
-    open_ = scratch.save(labelled.join(mixed, "shingle"), "open")
-    other = open_.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("label").alias("other"))
-    pairs = open_.join(other, "shingle").where((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("other")) & fits("n", "m", "pos", "j"))
+    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("head")).where("p < q")
+    open_ = scratch.save(labelled.join(mixed.drop("p", "q"), "shingle"), "open")
+    few = open_.where(F.col("members") <= PAIRS)
+    other = few.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("label").alias("other"))
+    pairs = few.join(other, "shingle").where((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("other")) & fits("n", "m", "pos", "j"))
     pairs = scratch.save(pairs.select(F.col("doc_id").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(join.links(pairs, one_each, "second"))
+    many = open_.where(F.col("members") > PAIRS)
+    if not many.isEmpty():
+        blocks = components(many.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), scratch, "blocks")
+        members = many.select("doc_id", "label").distinct().join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
+        links = links.unionByName(join.block_links(scratch.save(members, "members"), "block"))
     merged = components(links.unionByName(copies), scratch, "all").withColumnRenamed("node", "doc_id")
     out = sets.select("doc_id", "n_shingles").join(merged, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
