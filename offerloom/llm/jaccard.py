@@ -39,7 +39,7 @@ COUNTED = 90
 FLUSH, BUCKET_ROWS, LOCAL_HOT = 2_000_000, 1_000_000, 8
 VERIFY_GROUP = 1000
 #: Members up to which a group's pairs are listed, and sets of a block in one tree or one batch of probes.
-PAIRS, BLOCK_PART = 32, 1000
+PAIRS, BLOCK_PART = 200, 1000
 IDS_BROADCAST, COPIES_BROADCAST = 1_000_000, 1_000_000
 
 SETS = "doc_id long, n_shingles long, set_id binary, bitmap binary"
