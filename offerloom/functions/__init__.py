@@ -1 +1 @@
-
+"""Column functions: text, money, article numbers."""

@@ -1 +1 @@
-
+"""Jobs: the operators as queries over the given tables."""

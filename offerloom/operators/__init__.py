@@ -1 +1 @@
-
+"""DataFrame -> DataFrame operators of the price comparison."""
