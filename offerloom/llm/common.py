@@ -63,6 +63,13 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches, rows: int = 500):
+    """Arrow batches in slices, so that only few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, with a memo of bounded size."""
 

@@ -29,21 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, broadcast_if, gram_hashes, mix64, parallelism, table
+from .common import Scratch, WordHashes, broadcast_if, gram_hashes, mix64, parallelism, sliced, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 HOT, HOT_LIST = 64, 1_000_000
 #: Share of the hash range whose shingles are counted, in 256ths.
 COUNTED = 90
-FLUSH, BUCKET_ROWS, LOCAL_HOT = 2_000_000, 1_000_000, 8
+#: Top bits of a hash that name the range in which it is counted; ranges are put together to about RANGE_ROWS hashes each.
+RANGE_BITS, RANGE_ROWS = 16, 1_000_000
+FLUSH, BUCKET_ROWS, LOCAL_HOT = 1_000_000, 1_000_000, 8
 VERIFY_GROUP = 1000
 #: Members up to which a group's pairs are listed, and sets of a block in one tree or one batch of probes.
 PAIRS, BLOCK_PART = 200, 1000
-IDS_BROADCAST, COPIES_BROADCAST = 1_000_000, 1_000_000
+IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST = 1_000_000, 1_000_000, 2_000_000
 
-SETS = "doc_id long, n_shingles long, set_id binary, bitmap binary"
-SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bitmap", pa.binary())])
+SETS = "kind string, doc_id long, n_shingles long, set_id binary, bitmap binary, range int, low binary"
+SETS_ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bitmap", pa.binary()), ("range", pa.int32()), ("low", pa.binary())])
 MEMBERS = "shingle long, doc_id long, n int, pos int"
 MEMBERS_ARROW = pa.schema([("shingle", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
@@ -81,66 +83,57 @@ def overlap_bound(n: int, m: int, a: bytes, b: bytes) -> int:
 
 
 def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, memo, k)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), parity_bitmap(s)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SETS_ARROW.types, strict=True)], schema=SETS_ARROW)
-
-    return run
-
-
-# --- frequencies ---
+    """Two kinds of rows: every document's set in short, and the counted hashes packed by range (the 32 bits below the range's)."""
 
-
-def _counted(k: int, bits: int):
-    """(range, packed low parts) of the counted hashes: the top ``bits`` bits name the range, the next 32 are kept."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+    def low_rows(held: list[np.ndarray]) -> pa.RecordBatch:
         x = np.sort(np.concatenate(held))
-        part = (x >> np.uint64(64 - bits)).astype(np.int64)
-        low = ((x << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+        part = (x >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+        low = ((x << np.uint64(RANGE_BITS)) >> np.uint64(32)).astype("<u4")
         first = np.flatnonzero(np.diff(part, prepend=-1))
-        ends = np.append(first[1:], len(x))
-        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], ["part", "low"])
+        blobs = [low[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(x)), strict=True)]
+        n = len(first)
+        none = [pa.nulls(n, t) for t in SETS_ARROW.types[1:5]]
+        return pa.RecordBatch.from_arrays([pa.array(["low"] * n), *none, pa.array(part[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SETS_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, size, limit = WordHashes(), [], 0, np.uint64(COUNTED << 56)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for batch in sliced(batches):
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, memo, k)
-                held.append(s[: np.searchsorted(s, limit)])
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
+                rows.append(("set", doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), parity_bitmap(s), None, None))
+                if doc_id is not None:
+                    held.append(s[: np.searchsorted(s, limit)])
+                    size += len(held[-1])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SETS_ARROW.types, strict=True)], schema=SETS_ARROW)
+            if size >= FLUSH:
+                yield low_rows(held)
+                held, size = [], 0
         if size:
-            yield flush(held)
+            yield low_rows(held)
 
     return run
 
 
-def _hot_in_part(bits: int):
-    def run(part: pa.Table) -> pa.Table:
-        low = np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in part.column("low").to_pylist()]))
-        first = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
-        counts = np.diff(np.append(first, len(low)))
-        hot = counts > HOT
-        keys = (np.int64(part.column("part")[0].as_py()) << np.int64(32)) | low[first[hot]].astype(np.int64)
-        return pa.table({"key": pa.array(keys), "n": pa.array(counts[hot].astype(np.int64))})
+# --- frequencies ---
 
-    return run
+
+def _hot_in_range(part: pa.Table) -> pa.Table:
+    """Keys (RANGE_BITS and 32 bits) of more than HOT sets."""
+    held = [(np.int64(r) << np.int64(32)) | np.frombuffer(b, "<u4").astype(np.int64) for r, b in zip(part.column("range").to_pylist(), part.column("low").to_pylist(), strict=True)]
+    keys = np.sort(np.concatenate(held))
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    counts = np.diff(np.append(first, len(keys)))
+    hot = counts > HOT
+    return pa.table({"key": pa.array(keys[first[hot]]), "n": pa.array(counts[hot].astype(np.int64))})
 
 
 class Order:
     """The global order of shingles: hot ones last, then by hash."""
 
-    def __init__(self, bits: int, hot: np.ndarray):
-        self.shift, self.hot = np.uint64(32 - bits), hot  # sorted keys of bits + 32 bits
+    def __init__(self, hot: np.ndarray):
+        self.shift, self.hot = np.uint64(32 - RANGE_BITS), hot  # sorted keys
 
     def sort(self, s: np.ndarray) -> np.ndarray:
         if not len(self.hot) or not len(s):
@@ -172,6 +165,7 @@ def _prefixes(k: int, percent: int, order, buckets: int):
         if crowd.any():  # these are groups anyway: they need not meet in one task
             names.append(-1 - turn % (1 << 20))
             blobs.append(pack(x[crowd]))
+            x["n"][first[crowd[first]]] *= -1  # a stand-in: it tells the bucket of the group, and isn't returned
             keep = ~crowd
             keep[first] = True
             x = x[keep]
@@ -187,7 +181,7 @@ def _prefixes(k: int, percent: int, order, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, size, seen, turn = WordHashes(), [], 0, {}, None
         o = order.value
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, memo, k)
                 if not len(s):
@@ -232,7 +226,7 @@ def _groups(part: pa.Table) -> pa.Table:
         x = x[np.argsort(x["shingle"], kind="stable")]
         first = np.flatnonzero(np.append(True, x["shingle"][1:] != x["shingle"][:-1]))
         counts = np.diff(np.append(first, len(x)))
-        x = x[np.repeat(counts > 1, counts)]
+        x = x[np.repeat(counts > 1, counts) & (x["n"] > 0)]
     return pa.Table.from_arrays([pa.array(x["shingle"].view(np.int64) if x["shingle"].flags.c_contiguous else np.ascontiguousarray(x["shingle"]).view(np.int64)), pa.array(x["doc_id"]), pa.array(x["n"]), pa.array(x["pos"])], schema=MEMBERS_ARROW)
 
 
@@ -318,7 +312,7 @@ def _verify_block(percent: int):
 
 def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
             keep = [i for i in range(len(a)) if overlap_bound(n[i], m[i], x[i], y[i]) >= needed(n[i], m[i], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], ["a", "b"])
@@ -329,7 +323,7 @@ def _possible(percent: int):
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(t, memo, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["b", "set"])
 
@@ -384,22 +378,31 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    sets = scratch.save(rows.mapInArrow(_sets(shingle), SETS), "sets")
+    path = f"{scratch.root}/sets"
+    rows.mapInArrow(_sets(shingle), SETS).write.partitionBy("kind").parquet(path)
+    both = spark.read.schema(SETS.replace("kind string, ", "") + ", kind string").parquet(path)
+    sets = both.where("kind = 'set'").select("doc_id", "n_shingles", "set_id", "bitmap")
     known = rows.where("doc_id IS NOT NULL")
     nodes = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     first = nodes.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = scratch.save(nodes.join(first, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
 
-    bits = min(24, max(8, int(total // 2_000_000).bit_length()))
-    hot = known.select("text").mapInArrow(_counted(shingle, bits), "part long, low binary").groupBy("part").applyInArrow(_hot_in_part(bits), "key long, n long")
+    shift = max(0, RANGE_BITS - max(4, int(total * COUNTED / 256 // RANGE_ROWS).bit_length()))
+    low = both.where("kind = 'low'").select("range", "low", F.shiftright("range", shift).alias("part"))
+    hot = low.groupBy("part").applyInArrow(_hot_in_range, "key long, n long")
     hot = hot.orderBy(F.desc("n"), "key").limit(HOT_LIST).select("key").toPandas()["key"].to_numpy(np.int64)  # at most HOT_LIST keys of 8 bytes
-    order = spark.sparkContext.broadcast(Order(bits, np.sort(hot)))
+    order = spark.sparkContext.broadcast(Order(np.sort(hot)))
 
     buckets = max(parallelism(spark), int(total * (100 - percent) / 100 // BUCKET_ROWS) + 1)
     groups = known.mapInArrow(_prefixes(shingle, percent, order, buckets), "bucket long, rows binary").groupBy("bucket").applyInArrow(_groups, MEMBERS)
     equal = copies.select(F.col("b").alias("doc_id")).distinct()
-    groups = scratch.save(groups.join(broadcast_if(equal, COPIES_BROADCAST), "doc_id", "left_anti"), "groups")
+    groups = scratch.save(groups.join(broadcast_if(equal, COPIES_BROADCAST), "doc_id", "left_anti"), "all")
+    # shingles with the same members say the same; the first of them in the order stands for all (it has the smallest positions)
+    who = groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("t"), F.sum("pos").alias("p")).where("c > 1")
+    classes = who.groupBy("c", "s", "t").agg(F.min(F.struct("p", "shingle"))["shingle"].alias("shingle"), F.count(F.lit(1)).alias("stands_for"))
+    classes = scratch.save(classes.select("shingle", "stands_for"), "classes")
+    groups = scratch.save(groups.join(broadcast_if(classes, CLASSES_BROADCAST), "shingle"), "groups")
 
     def fits(n, m, i, j):
         """Sizes allow the link, and so does this shingle if it is the first one that both have."""
@@ -407,7 +410,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (F.col(n) + F.col(m)))
 
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    hubs = groups.groupBy("doc_id", "n").agg((F.count(F.lit(1)) / F.first(prefix)).alias("shared"))
+    hubs = groups.groupBy("doc_id", "n").agg((F.sum("stands_for") / F.first(prefix)).alias("shared"))
     hubs = scratch.save(groups.join(hubs, ["doc_id", "n"]), "hubs")
     best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("pos").alias("j")))
     heads = hubs.groupBy("shingle").agg(best.alias("h"), F.count_distinct("doc_id").alias("members")).where("members > 1").select("shingle", "h.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, gram_hashes, parallelism, table
+from .common import Scratch, WordHashes, gram_hashes, parallelism, sliced, table
 
 GRAM, MIN_WORDS = 20, 50
 SHARD_SEGMENTS = 1500
@@ -71,7 +71,7 @@ def window_anchors(grams: np.ndarray, span: int) -> np.ndarray:
 def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             ids, out = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
@@ -89,7 +89,7 @@ def _anchors(min_words: int):
 def _cut(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, key, text, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words, segments = (text or b"").split(), []
@@ -298,7 +298,7 @@ def _windows(min_words: int):
 
 def _finish(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words, merged = text.split(), []
