@@ -49,11 +49,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-TIE = [F.col("ord"), F.col("price"), F.col("amount")]
-
-
 def one_offers(spark: SparkSession, sf: str) -> DataFrame:
-    return O.one_per_shop(D.offers(spark, sf), TIE)
+    return O.one_per_shop(D.offers(spark, sf), [F.col("ord"), F.col("price"), F.col("amount")])
 
 
 def verified_offers(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +122,10 @@ def a3_issues(spark, sf):
 
 
 LOW = """low AS (SELECT product, min(p) AS lowest30 FROM hist WHERE d >= DATE '2001-06-30' - 30 GROUP BY product)"""
-TODAY = F.lit("2001-06-30").cast("date")
+def today():
+    return F.lit("2001-06-30").cast("date")
+
+
 SUMMARY = """
 best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY product ORDER BY coalesce(NOT in_stock, false), unit_price, price, shop) = 1),
 summ AS (SELECT product, any_value(b.price) AS best_price, any_value(b.unit_price) AS best_unit_price, any_value(b.unit_label) AS unit_label, any_value(b.shop) AS best_shop, count(*) AS offers,
@@ -134,7 +134,7 @@ summ AS (SELECT product, any_value(b.price) AS best_price, any_value(b.unit_pric
 
 @query(sql(CATALOG, OFFERS, ONE, VERIFIED, HISTORY, LOW, SUMMARY, then="SELECT summ.*, lowest30 FROM summ LEFT JOIN low USING (product)"))
 def a5_product_summary(spark, sf):
-    return P.product_summary(kept_offers(spark, sf), H.lowest_in_period(history(spark, sf), TODAY).withColumnRenamed("lowest", "lowest"))
+    return P.product_summary(kept_offers(spark, sf), H.lowest_in_period(history(spark, sf), today()).withColumnRenamed("lowest", "lowest"))
 
 
 @query(sql(CATALOG, OFFERS, ONE, VERIFIED, then="SELECT (SELECT count(*) FROM catalog) AS products, count(DISTINCT product) AS products_with_offers, count(*) AS offers, count(DISTINCT shop) AS shops, count(*) FILTER (verification = 'exact') AS verified_offers FROM kept"))
@@ -189,7 +189,7 @@ def w4_rolling_low(spark, sf):
 
 @query(sql(OFFERS, HISTORY, LOW, then="SELECT product, lowest30 AS lowest FROM low"))
 def a6_lowest_in_period(spark, sf):
-    return H.lowest_in_period(history(spark, sf), TODAY)
+    return H.lowest_in_period(history(spark, sf), today())
 
 
 @query(sql(OFFERS, HISTORY, then="SELECT * FROM hist WHERE d >= DATE '2001-06-01'"))
@@ -203,7 +203,7 @@ def s8_history_by_day(spark, sf):
 
 
 SEEN = """seen AS (SELECT product, shop, lpad(gtin_text, 14, '0') AS gtin, sku, amount, day AS at_day, ord, price FROM offers)"""
-SEEN_ORDER = [F.col("at"), F.col("ord"), F.col("price"), F.col("amount")]
+SEEN_ORDER = ["at", "ord", "price", "amount"]
 
 
 def seen(spark, sf):

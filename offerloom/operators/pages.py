@@ -19,7 +19,6 @@ PAGE_IN_STOCK = r"(?i)instock|in_stock|limitedavailability|onlineonly|presale|pr
 PAGE_OUT_OF_STOCK = r"(?i)outofstock|out_of_stock|soldout|discontinued"
 
 
-@F.pandas_udf(FACTS)
 def _facts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     yield from read_pages(pages)
 
@@ -30,7 +29,7 @@ def product_facts(pages: DataFrame, html: str = "html") -> DataFrame:
     Each page crosses to Python once, and only its html; what comes back is parsed by Column functions.
     """
     keep = [c for c in pages.columns if c != html]
-    p = pages.select(*keep, _facts(F.col(html)).alias("f")).select(*keep, "f.*")
+    p = pages.select(*keep, F.pandas_udf(_facts, FACTS)(F.col(html)).alias("f")).select(*keep, "f.*")
     compact = F.regexp_replace("stock_text", r"\s", "")
     stock = F.when(F.col("stock_text").isNull() | (F.col("stock_text") == ""), None).when(F.col("stock_text").rlike(PAGE_OUT_OF_STOCK), False).when(compact.rlike(PAGE_IN_STOCK), True).when(F.col("stock_from_meta"), False)
     pack = F.coalesce(M.parse_pack_size("size_text"), M.parse_pack_size("title"), M.parse_pack_size("description"))
