@@ -33,7 +33,7 @@ TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1500, 2500, 40_000_000
 MODEL_FEATURES = 60_000
 PREFIXES = (3, 4, 5, 6)
 LIFT, EVIDENCE, STEPS, RIDGE = 20.0, 14.0, 45, 0.3
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 400_000
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 INNER = re.compile(r"^\W+|\W+$")
 
@@ -109,13 +109,17 @@ class Chains:
 
 def document_scores(model: Model, texts: list[str | None], memo: Potentials) -> list[tuple[float, int, list[dict]]]:
     """(score, predicted, spans) for each text; texts are scored in groups of about CHUNK_TOKENS tokens."""
-    out, held, size = [], [], 0
-    for i, text in enumerate(texts):
-        held.append(TOKEN.findall(text) if text else [])
+    out: list = [None] * len(texts)
+    group, held, size = [], [], 0
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))  # texts of like length make full steps
+    for i in order:
+        group.append(i)
+        held.append(TOKEN.findall(texts[i]) if texts[i] else [])
         size += len(held[-1])
-        if size >= CHUNK_TOKENS or i + 1 == len(texts):
-            out += _score_group(model, texts[len(out) : i + 1], held, size, memo)
-            held, size = [], 0
+        if size >= CHUNK_TOKENS or i == order[-1]:
+            for k, r in zip(group, _score_group(model, [texts[k] for k in group], held, size, memo), strict=True):
+                out[k] = r
+            group, held, size = [], [], 0
     return out
 
 
@@ -127,8 +131,8 @@ def _score_group(model: Model, texts: list[str | None], tokens: list[list[str]],
     psi[chains.place] = flat
     p = chains.marginals(psi, model.trans)[0][chains.place]
     ends = np.cumsum(lengths)
-    total = np.concatenate([[0.0], np.cumsum(p)])
-    expected = np.maximum(total[ends] - total[ends - lengths], 0.0)
+    # summed text by text: equal texts get equal scores wherever they are
+    expected = np.bincount(np.repeat(np.arange(len(texts)), lengths), p, len(texts))
     a, b = model.line
     score = 1.0 / (1.0 + np.exp(-np.clip(a + b * np.log(expected + 1e-6), -40, 40)))
     spans: list[list[dict]] = [[] for _ in texts]
