@@ -40,8 +40,8 @@ ANCHORS = "doc_id long, anchor long"
 CUT = "kind string, doc_id long, text_key string, n_words long, kept_sha256 string, text binary, segments array<struct<anchor:long,id:binary,at:int,windows:int>>"
 SEGMENT = pa.struct([("anchor", pa.int64()), ("id", pa.binary()), ("at", pa.int32()), ("windows", pa.int32())])
 CUT_ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_key", pa.string()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("segments", pa.list_(SEGMENT))])
-PIECES = "anchor long, id binary, doc_id long, words binary"
-PIECES_ARROW = pa.schema([("anchor", pa.int64()), ("id", pa.binary()), ("doc_id", pa.int64()), ("words", pa.binary())])
+PIECES = "anchor long, id binary, doc_id long, last_doc long, words binary"
+PIECES_ARROW = pa.schema([("anchor", pa.int64()), ("id", pa.binary()), ("doc_id", pa.int64()), ("last_doc", pa.int64()), ("words", pa.binary())])
 REPORTS = "anchor long, id binary, runs array<struct<start:int,end:int,doc_id:long>>"
 RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("doc_id", pa.int64())]))
 REPORTS_ARROW = pa.schema([("anchor", pa.int64()), ("id", pa.binary()), ("runs", RUNS)])
@@ -116,19 +116,20 @@ def _cut(min_words: int):
 def _pieces(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple[int, bytes], int] = {}
+            best: dict[tuple[int, bytes], tuple[int, int]] = {}  # smallest and largest document
             rows = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
             for doc_id, _, segments in rows:
                 for s in segments:
                     key = (s["anchor"], s["id"])
-                    best[key] = min(doc_id, best.get(key, doc_id))
+                    a, b = best.get(key, (doc_id, doc_id))
+                    best[key] = (min(doc_id, a), max(doc_id, b))
             out = []
             for i, (_, text, segments) in enumerate(rows):
                 words = text.split()
                 for s in segments:
-                    smallest = best.pop((s["anchor"], s["id"]), None)
-                    if smallest is not None:
-                        out.append((s["anchor"], s["id"], smallest, b" ".join(words[s["at"] : s["at"] + s["windows"] + min_words - 1])))
+                    ends = best.pop((s["anchor"], s["id"]), None)
+                    if ends is not None:
+                        out.append((s["anchor"], s["id"], *ends, b" ".join(words[s["at"] : s["at"] + s["windows"] + min_words - 1])))
                 if out and (len(out) >= 10_000 or i + 1 == len(rows)):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), PIECES_ARROW.types, strict=True)], schema=PIECES_ARROW)
                     out = []
@@ -286,12 +287,12 @@ def _windows(min_words: int):
             rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
             while part := list(itertools.islice(rows, 500)):
                 out = []
-                for anchor, id_, doc_id, piece in part:
+                for anchor, id_, doc_id, last_doc, piece in part:
                     words = piece.split(b" ")
                     for s in range(len(words) - min_words + 1):
-                        out.append((anchor, id_, doc_id, s, hashlib.blake2b(b" ".join(words[s : s + min_words]), digest_size=16).digest()))
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["anchor", "id", "doc_id", "at", "window"])
+                        out.append((anchor, id_, doc_id, last_doc, s, hashlib.blake2b(b" ".join(words[s : s + min_words]), digest_size=16).digest()))
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["anchor", "id", "doc_id", "last_doc", "at", "window"])
 
     return run
 
@@ -343,7 +344,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     done, open_ = cut.where("kind = 'done'"), cut.where("kind = 'open'")
 
     pieces = open_.select("doc_id", "text", "segments").mapInArrow(_pieces(min_words), PIECES)
-    pieces = scratch.save(pieces.groupBy("anchor", "id").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")), "pieces")
+    pieces = scratch.save(pieces.groupBy("anchor", "id").agg(F.min("doc_id").alias("doc_id"), F.max("last_doc").alias("last_doc"), F.first("words").alias("words")), "pieces")
     sizes = pieces.groupBy("anchor").count()
     hot = scratch.save(sizes.where(F.col("count") > shard_segments).select("anchor"), "hot")
     any_hot = not hot.isEmpty()
@@ -351,9 +352,9 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shards = max(parallelism(spark), -(-pieces.count() // shard_segments))
     reports = cool.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search_shard(min_words), REPORTS)
     if any_hot:
-        windows = pieces.join(hot, "anchor").select("anchor", "id", "doc_id", "words").mapInArrow(_windows(min_words), "anchor long, id binary, doc_id long, at int, window binary")
+        windows = pieces.join(hot, "anchor").select("anchor", "id", "doc_id", "last_doc", "words").mapInArrow(_windows(min_words), "anchor long, id binary, doc_id long, last_doc long, at int, window binary")
         windows = scratch.save(windows, "windows")
-        least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+        least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("last_doc").alias("most")).where("least < most").drop("most")
         # windows of one document only need no report
         found = windows.join(least, "window").groupBy("anchor", "id").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), F.col("least").alias("doc_id"))).alias("runs"))
         reports = reports.unionByName(found)
