@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _step(edges: DataFrame) -> DataFrame:
+    """Large star: every larger neighbour of a node is linked to the node's smallest one. Small star: so are the smaller ones."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    down = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one root, and no root hangs on another node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("root").alias("root")).where("up > 1 OR (up = 1 AND root > 0)").isEmpty()
 
 
 def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """links: a, b. Returns node, component (the smallest node reachable) for every node that has a link."""
-    edges, seen, step = scratch.save(links.select("a", "b").where("a <> b").distinct(), f"{label}-0"), None, 0
+    """links: a, b. Returns node, component (the smallest node reachable) for every node that has a link. Links may repeat."""
+    edges, step = links.select("a", "b").where("a <> b"), 0
     while True:
-        step += 1
-        edges = scratch.save(_small(_large(edges)), f"{label}-{step}")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
+        edges = scratch.save(_step(edges), f"{label}-{step}")
+        if _is_forest_of_stars(edges):
             break
-        seen = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        step += 1
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

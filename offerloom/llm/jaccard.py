@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -430,15 +431,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     other = few.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("label").alias("other"))
     pairs = few.join(other, "shingle").where((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("other")) & fits("n", "m", "pos", "j"))
     pairs = scratch.save(pairs.select(F.col("doc_id").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(join.links(pairs, one_each, "second"))
+    found = [] if pairs.isEmpty() else [join.links(pairs, one_each, "second")]
     many = open_.where(F.col("members") > PAIRS)
     if not many.isEmpty():
         blocks = components(many.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), scratch, "blocks")
         members = many.select("doc_id", "label").distinct().join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-        links = links.unionByName(join.block_links(scratch.save(members, "members"), "block"))
-    merged = components(links.unionByName(copies), scratch, "all").withColumnRenamed("node", "doc_id")
-    out = sets.select("doc_id", "n_shingles").join(merged, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        found.append(join.block_links(scratch.save(members, "members"), "block"))
+    if found:
+        links = reduce(DataFrame.unionByName, [links, *found])
+        merged = components(links, scratch, "all")
+    out = sets.select("doc_id", "n_shingles").join(copies.withColumnRenamed("b", "doc_id"), "doc_id", "left").withColumn("node", F.coalesce("a", "doc_id")).drop("a")
+    return out.join(merged, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
