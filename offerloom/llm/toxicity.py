@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,17 +39,19 @@ INNER = re.compile(r"^\W+|\W+$")
 SCORE = "score double, predicted int, spans array<struct<start:int,end:int>>"
 
 
-def features(token: str) -> list[str]:
-    """The lower-cased word without outer punctuation, and its prefixes."""
+def features(token: str) -> list[int]:
+    """64-bit hashes of the lower-cased word without outer punctuation and of its prefixes; 0 where it is shorter."""
+    import xxhash
+
     w = INNER.sub("", token).lower()
-    return ["=" + w, *[w[:k] for k in PREFIXES if len(w) >= k]]
+    return [xxhash.xxh64_intdigest("=" + w), *[xxhash.xxh64_intdigest(w[:k]) if len(w) >= k else 0 for k in PREFIXES]]
 
 
 @dataclass
 class Model:
     """Weights of features (label 1 against 0), bias, the transition potentials 01, 10, 11 (00 is 0), and the score's line."""
 
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
     trans: tuple[float, float, float]
     line: tuple[float, float]
@@ -172,25 +173,25 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
     flat = Model({}, -12.0, (0.0, 0.0, 0.0), (math.log((toxic_rate + 1e-6) / (1 - toxic_rate + 1e-6)), 0.0))
     if not n1 or not n0:
         return flat
-    seqs = [TOKEN.findall(t) for t in texts]
     words: dict[str, int] = {}
-    ids = [np.array([words.setdefault(w, len(words)) for w in s], np.int64) for s in seqs]
-    feats = [features(w) for w in words]
-    toxic_in, clean_in = Counter(), Counter()
+    ids = [np.array([words.setdefault(w, len(words)) for w in TOKEN.findall(t)], np.int32) for t in texts]
+    hashes = np.array([features(w) for w in words], np.uint64)
+    known, slots = np.unique(hashes, return_inverse=True)
+    slots = slots.reshape(hashes.shape).astype(np.int32)
+    in_docs = np.zeros((2, len(known)), np.int64)  # documents of each class that have a feature
     for label, own in zip(y.tolist(), ids, strict=True):
-        (toxic_in if label else clean_in).update({f for w in np.unique(own).tolist() for f in feats[w]})
-    evidence = {f: _evidence(n, clean_in[f], n1, n0) for f, n in toxic_in.items() if n >= 3}
-    least = max(5.0, min(EVIDENCE, 0.5 * max(evidence.values(), default=0.0)))
-    strong = {f for f, e in evidence.items() if e >= least}
-    if not strong:
+        in_docs[label, np.unique(slots[np.unique(own)])] += 1
+    evidence = _evidence(in_docs[1].astype(float), in_docs[0].astype(float), n1, n0)
+    evidence[known == 0] = 0.0
+    strong = evidence >= max(5.0, min(EVIDENCE, 0.5 * float(evidence.max(initial=0.0))))
+    if not strong.any():
         return flat
-    known = {f: i for i, f in enumerate(f for f, n in (toxic_in + clean_in).items() if n >= 3)}
-    width = 1 + len(PREFIXES)
-    slots = np.full((len(words), width), len(known), np.int64)  # the last slot is no feature
-    for w, own in enumerate(feats):
-        for k, f in enumerate(own):
-            slots[w, k] = known.get(f, len(known))
-    suspicious = np.array([any(f in strong for f in own) for own in feats])
+    suspicious = strong[slots].any(1)
+    common = np.flatnonzero((in_docs.sum(0) >= 3) & (known != 0))
+    number = np.full(len(known), len(common), np.int32)  # the last slot is no feature
+    number[common] = np.arange(len(common))
+    slots, known = number[slots], known[common]
+    del hashes, number
     chains = Chains(np.array([len(x) for x in ids], np.int64))
     word_at = np.empty(len(chains.place), np.int64)
     word_at[chains.place] = np.concatenate(ids)
@@ -198,8 +199,7 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
     gold[chains.place] = np.concatenate([suspicious[x] & bool(label) for x, label in zip(ids, y.tolist(), strict=True)])
     weights, bias, trans = _fit_crf(chains, word_at, gold, slots, len(known))
     top = np.argsort(-np.abs(weights))[:MODEL_FEATURES]
-    names = list(known)
-    model = Model({names[i]: float(weights[i]) for i in top.tolist() if abs(weights[i]) > 0.01}, bias, trans, (0.0, 1.0))
+    model = Model({int(known[i]): float(weights[i]) for i in top.tolist() if abs(weights[i]) > 0.01}, bias, trans, (0.0, 1.0))
     memo = Potentials(model)
     p = chains.marginals(np.fromiter(map(memo.__getitem__, words), np.float64, len(words))[word_at], trans)[0][chains.place]
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
@@ -210,12 +210,14 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
     return model
 
 
-def _evidence(n: int, m: int, n1: int, n0: int) -> float:
-    """Minus the log of the chance (a Chernoff bound) that n of the n + m documents with a feature are toxic by luck; 0 unless its lift is large."""
-    if (n + 0.5) / (n1 + 1) < LIFT * (m + 0.5) / (n0 + 1) and m or n / (n + m) <= n1 / (n1 + n0):
-        return 0.0
-    q, r = n1 / (n1 + n0), n / (n + m)
-    return (n + m) * (r * math.log(r / q) + ((1 - r) * math.log((1 - r) / (1 - q)) if m else 0.0))
+def _evidence(n: np.ndarray, m: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Minus the log of the chance (a Chernoff bound) that n of the n + m documents with a feature are toxic by luck; 0 for
+    features of under three toxic documents or without a large lift."""
+    q, r = n1 / (n1 + n0), n / np.maximum(n + m, 1)
+    lift = (n + 0.5) / (n1 + 1) >= LIFT * (m + 0.5) / (n0 + 1)
+    part = np.where(m > 0, (1 - r) * np.log(np.maximum(1 - r, 1e-12) / (1 - q)), 0.0)
+    bound = (n + m) * (r * np.log(np.maximum(r, 1e-12) / q) + part)
+    return np.where((n >= 3) & (lift | (m == 0)) & (r > q), bound, 0.0)
 
 
 def _pairs(chains: Chains, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
