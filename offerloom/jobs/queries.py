@@ -20,6 +20,7 @@ from offerloom.operators import pages as PG
 from offerloom.operators import publish as P
 from offerloom.operators import quality as Q
 from offerloom.operators import verify as V
+from offerloom.sources import config as CF
 from offerloom.sources import domain as D
 from offerloom.sources import feeds as FE
 from offerloom.streaming import streams as ST
@@ -404,6 +405,37 @@ def d6_match_diagnosis(spark, sf):
     return MA.diagnose(usable_feed(spark, sf).where("shop < 5"), D.catalog(spark, sf))
 
 
+# --- configuration, gates ---
+
+
+@query(sql(CATALOG, then="SELECT CAST(product AS VARCHAR) AS product, name, brand, category, size, CASE WHEN listed THEN own END AS first_gtin, CAST(len(string_split(name, ' ')) AS INTEGER) AS n_must FROM catalog"))
+def s6_catalog_document(spark, sf):
+    """The catalog written as JSON documents of nested products, one for each category, and read with the fixed schema."""
+    path = scratch(spark, "catalog")
+    c = D.catalog(spark, sf)
+    p = F.struct(F.col("product").cast("string").alias("id"), "name", "brand", "category", "size", "query", F.struct("must", "none").alias("match"), F.when(F.size("gtins") > 0, F.col("gtins")).alias("gtins"))
+    c.groupBy((F.col("product") % 50).alias("g")).agg(F.collect_list(p).alias("products")).select("products").write.option("maxRecordsPerFile", 1).json(path)
+    return CF.read_catalog(spark, path).select("product", "name", "brand", "category", "size", F.try_element_at("gtins", F.lit(1)).alias("first_gtin"), F.size("must").alias("n_must"))
+
+
+@query("SELECT p_partkey AS product, s_suppkey AS shop FROM (SELECT p_partkey FROM part WHERE p_partkey % 2 = 1 ORDER BY p_partkey LIMIT 100) p JOIN supplier ON s_suppkey % 10 <> 9 AND s_suppkey % 25 = p_partkey % 25")
+def p1_scope(spark, sf):
+    """The first hundred odd products and the enabled shops, a few of them each."""
+    p, s = CF.scope(D.catalog(spark, sf).where("product % 2 = 1"), D.shops(spark, sf), first=100)
+    return p.select("product", (F.col("product") % 25).alias("k")).join(s.select("shop", (F.col("shop") % 25).alias("k")), "k").select("product", "shop")
+
+
+@query(sql(CATALOG, OFFERS, then="SELECT product, shop, ord, price, coalesce(NOT listed OR gtin_text IS NULL OR gtin_text = own, true) AS allowed FROM offers JOIN catalog USING (product)"))
+def p4_gtin_gate(spark, sf):
+    j = D.offers(spark, sf).join(D.catalog(spark, sf).select("product", "gtins", "strict"), "product")
+    return j.select("product", "shop", "ord", "price", O.gtin_allowed(F.col("strict"), F.col("gtins"), F.col("gtin_text")).alias("allowed"))
+
+
+@query(sql(CATALOG, OFFERS, ONE, VERIFIED, ROWS, then="SELECT product, shop, brand, size, unit_price, monthly, verification FROM cmp"))
+def j8_comparison_rows(spark, sf):
+    return comparison(spark, sf).select("product", "shop", "brand", "size", "unit_price", "monthly", "verification")
+
+
 # --- work list, pages of shops, cache ---
 
 
@@ -552,7 +584,7 @@ def d1_union_of_sources(spark, sf):
 # --- crawled pages ---
 
 
-ENT = "replace(replace(replace(replace({}, '&euro;', '€'), '&nbsp;', ' '), '&lt;', '<'), '&amp;', '&')"
+ENT = "replace(replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&euro;', '€'), '&nbsp;', ' '), '&lt;', '<'), '&amp;', '&')"
 HREF = r"""regexp_extract_all(html, '(?i)<a\b[^>]*href\s*=\s*["'']([^"'']+)["'']', 1)"""
 LINKS = f"""
 l0 AS (SELECT page_id, url, unnest(list_transform({HREF}, lambda x: trim({ENT.format("x")}))) AS href, unnest(range(len({HREF}))) AS i FROM pages),
@@ -572,6 +604,19 @@ def u5_page_titles(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.page_title("html").alias("title"))
 
 
+TAGS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({ENT.format(TAGS)}, '[\\s\u00a0]+', ' ', 'g')) AS text FROM pages".replace("\\\\", "\\"))
+def c8_visible_text(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.strip_tags("html").alias("text"))
+
+
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS host, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages""")
+def c10_url_parts(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.url_host("url").alias("host"), T.url_path("url").alias("path"))
+
+
 def sites(spark, sf):
     p = D.table(spark, sf, "pages")
     return p.select(T.url_host("url").alias("host")).distinct().select(F.col("host").alias("shop"), "host", F.lit("^/[A-Za-z]").alias("path_pattern"))

@@ -65,7 +65,7 @@ def read_xml(spark: SparkSession, path: str, tag: str | None = None) -> DataFram
     only itself. Fields that hold elements are left out; of repeated fields the first with a text counts.
     """
     if tag is None:
-        start = spark.read.option("wholetext", False).text(path).limit(2000)
+        start = spark.read.text(path).limit(2000)
         found = start.select(*[F.max(F.regexp_extract("value", f"(?i)<({t})\\b", 1)).alias(t) for t in ITEM_TAGS]).first()
         tag = next((found[t] for t in ITEM_TAGS if found[t]), None)
     if not tag:
