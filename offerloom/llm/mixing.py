@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, broadcast_if, table
 
-BINS = 65_536
+BINS = 256
 #: The per-source table is broadcast up to this many sources, else joined by shuffle.
 SOURCES_BROADCAST = 200_000
 
@@ -100,17 +100,23 @@ def mix_sources(
     per_source = scratch.save(per_source.join(means, F.col("_ts").eqNullSafe(F.col("source"))).drop("_ts"), "targets")
 
     ranked = _ranked(sized, per_source, max_copies)
-    fine = ranked.withColumn("_bin", F.floor(F.col("_v") * BINS).cast("int"))
-    bins = fine.groupBy("_source", "_bin").agg(
-        F.sum(F.col("_size") * F.col("_whole")).alias("_sure"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_size")).otherwise(0)).alias("_open"), F.max("target").alias("_t")
-    )
     whole = W.partitionBy("_source")
-    upto = whole.orderBy(F.col("_bin").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    bins = bins.withColumn("_need", F.col("_t") - F.sum("_sure").over(whole)).withColumn("_to", F.sum("_open").over(upto))
-    # the bin in which the words taken pass the target
-    at = bins.where(F.col("_bin").isNotNull() & (F.col("_to") - F.col("_open") < F.col("_need")) & (F.col("_need") <= F.col("_to")))
-    at = scratch.save(at.select(F.col("_source").alias("_cs"), F.col("_bin").alias("_cut_bin"), (F.col("_need") - (F.col("_to") - F.col("_open"))).alias("_left")), "bins")
-    inside = fine.join(broadcast_if(at, SOURCES_BROADCAST), F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_bin") == F.col("_cut_bin")))
+    needs = ranked.groupBy("_source").agg(
+        (F.max("target") - F.sum(F.col("_size") * F.col("_whole"))).alias("_need"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_size")).otherwise(0)).alias("_all")
+    )
+    needs = scratch.save(needs, "needs")
+    # the bin in which the words taken pass what is needed, then the bin within that bin: no source has more than BINS rows in a window
+    inside = ranked.where("_v IS NOT NULL").select("_source", "_size", "_v")
+    at = needs.select(F.col("_source").alias("_cs"), F.col("_need").alias("_left"))
+    for level in (1, 2):
+        near = inside.join(broadcast_if(at, SOURCES_BROADCAST), F.col("_source").eqNullSafe(F.col("_cs"))).withColumn("_bin", F.floor(F.col("_v") * BINS**level).cast("int"))
+        bins = near.groupBy("_source", "_bin").agg(F.sum("_size").alias("_open"), F.max("_left").alias("_need"))
+        bins = bins.withColumn("_to", F.sum("_open").over(whole.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)))
+        cut = bins.where((F.col("_to") - F.col("_open") < F.col("_need")) & (F.col("_need") <= F.col("_to")))
+        at = scratch.save(cut.select(F.col("_source").alias("_cs"), F.col("_bin").alias("_cut_bin"), (F.col("_need") - (F.col("_to") - F.col("_open"))).alias("_left")), f"bins{level}")
+        in_bin = F.col("_source").eqNullSafe(F.col("_cs")) & (F.floor(F.col("_v") * BINS**level).cast("int") == F.col("_cut_bin"))
+        inside = inside.join(broadcast_if(at, SOURCES_BROADCAST), in_bin, "left_semi")
+    inside = inside.join(broadcast_if(at, SOURCES_BROADCAST), F.col("_source").eqNullSafe(F.col("_cs")))
     # rows of equal rank (repeated ids) count together: a range frame takes peers as one
     steps = inside.groupBy("_cs", "_v").agg(F.sum("_size").alias("_size"), F.max("_left").alias("_left"))
     steps = steps.withColumn("_taken", F.sum("_size").over(W.partitionBy("_cs").orderBy("_v")))
@@ -123,8 +129,7 @@ def mix_sources(
     cut = F.when(F.col("_best.gap") <= F.col("_left"), F.col("_best.v")).otherwise(F.col("_first") - F.lit(2.0**-40))
     cuts = nearest.select(F.col("_cs"), cut.alias("_cut"))
     # a source whose sample takes every open document has no cut bin: all of them are taken if words are needed
-    rest = bins.groupBy("_source").agg(F.max("_need").alias("_need"), F.sum("_open").alias("_all"))
-    cuts = rest.join(cuts, F.col("_source").eqNullSafe(F.col("_cs")), "left").select(
+    cuts = needs.join(cuts, F.col("_source").eqNullSafe(F.col("_cs")), "left").select(
         F.col("_source").alias("_fs"), F.coalesce("_cut", F.when(F.col("_need") > F.col("_all"), F.lit(2.0)).otherwise(F.lit(-1.0))).alias("_cut")
     )
     cuts = scratch.save(cuts, "cuts")
