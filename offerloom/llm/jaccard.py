@@ -38,7 +38,7 @@ HOT, HOT_LIST = 64, 1_000_000
 #: Share of the hash range whose shingles are counted, in 256ths.
 COUNTED = 90
 #: Top bits of a hash that name the range in which it is counted; ranges are put together to about RANGE_ROWS hashes each.
-RANGE_BITS, RANGE_ROWS = 16, 1_000_000
+RANGE_BITS, RANGE_ROWS = 16, 100_000
 FLUSH, BUCKET_ROWS, LOCAL_HOT = 1_000_000, 1_000_000, 8
 VERIFY_GROUP = 1000
 #: Members up to which a group's pairs are listed, and sets of a block in one tree or one batch of probes.
