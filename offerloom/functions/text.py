@@ -52,10 +52,16 @@ def _decoded(t: Column) -> Column:
         hexed,
         lambda acc, x: F.replace(acc, F.concat(F.lit("&#"), x, F.lit(";")), _code_point(x.cast("bigint"))),
     )
-    named = decimal
-    for name, char in sorted(ENTITIES.items(), key=lambda e: e[0] == "amp"):  # the ampersand last, so that nothing is decoded twice
-        named = F.regexp_replace(named, f"(?i)&{name};", char)
-    return F.when(F.contains(t, F.lit("&")), named).otherwise(t)
+    known = F.create_map(*[F.lit(x) for e in ENTITIES.items() for x in e])
+
+    def named(text: Column) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([a-zA-Z][a-zA-Z0-9]*);"), F.lit(1)))
+        # the ampersand last, so that nothing is decoded twice
+        order = F.concat(F.filter(names, lambda n: F.lower(n) != "amp"), F.filter(names, lambda n: F.lower(n) == "amp"))
+        entity = lambda n: F.concat(F.lit("&"), n, F.lit(";"))
+        return F.aggregate(order, text, lambda acc, n: F.replace(acc, entity(n), F.coalesce(F.try_element_at(known, F.lower(n)), entity(n))))
+
+    return F.when(F.contains(t, F.lit("&")), let(decimal, named)).otherwise(t)
 
 
 def collapse(text: Column | str) -> Column:
