@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if, mix64, table
+from .common import Scratch, mix64, table
 
 UNIT = 64
 LEAST, MOST, CUT_BITS = 512, 16_384, 11
@@ -33,8 +33,8 @@ RATE = 8000
 #: Gear values come from the mixer, not from a list.
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 BLOCK = 1 << 20
-#: Media that share chunks or repeat others, as rows of about 100 bytes that may be broadcast to the writers.
-SHARING_BROADCAST = 400_000
+#: Media that share chunks or repeat others may be broadcast to the writers up to so many rows (about 60 bytes) and positions (4 bytes).
+SHARING_BROADCAST, POSITIONS_BROADCAST = 400_000, 8_000_000
 
 LISTS = "media_id binary, doc_id long, key string, n_bytes long, digests array<binary>"
 LISTS_ARROW = pa.schema([("media_id", pa.binary()), ("doc_id", pa.int64()), ("key", pa.string()), ("n_bytes", pa.int64()), ("digests", pa.list_(pa.binary()))])
@@ -205,7 +205,9 @@ def store_media(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", te
     known = lists.select("media_id", "doc_id", "key").join(first, "media_id").join(marks, "media_id", "left")
     skip = ~(F.col("doc_id").eqNullSafe(F.col("home_doc")) & (F.col("key") == F.col("home_key")))
     known = known.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), skip.alias("_skip"), "shared", "home").where("_skip OR shared IS NOT NULL").distinct()
-    known = broadcast_if(scratch.save(known, "known"), SHARING_BROADCAST)
+    known = scratch.save(known, "known")
+    n, positions = known.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size("shared"), F.lit(0)) + F.greatest(F.size("home"), F.lit(0)))).first()
+    known = F.broadcast(known) if n <= SHARING_BROADCAST and (positions or 0) <= POSITIONS_BROADCAST else known
     todo = rows.join(known, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").where(~F.coalesce("_skip", F.lit(False)))
     path = f"{scratch.root}/store"
     todo.select("data", "shared", "home").mapInArrow(_writer(level), STORED).write.partitionBy("kind").parquet(path)
