@@ -41,8 +41,8 @@ COUNTED = 90
 RANGE_BITS, RANGE_ROWS = 16, 100_000
 FLUSH, BUCKET_ROWS, LOCAL_HOT = 1_000_000, 1_000_000, 8
 VERIFY_GROUP = 1000
-#: Members up to which a group's pairs are listed, and sets of a block in one tree or one batch of probes.
-PAIRS, BLOCK_PART = 200, 1000
+#: Members up to which a group's pairs are listed, sets of a block in one tree or one batch of probes, and places of their bitmaps.
+PAIRS, BLOCK_PART, BLOCK_BITS = 200, 1000, 4096
 IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST = 1_000_000, 1_000_000, 2_000_000
 
 SETS = "kind string, doc_id long, n_shingles long, set_id binary, bitmap binary, range int, low binary"
@@ -73,6 +73,12 @@ def parity_bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def wide_bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of BLOCK_BITS places, as words."""
+    odd = np.bincount((s & np.uint64(BLOCK_BITS - 1)).astype(np.int64), minlength=BLOCK_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
 def overlap_bound(n: int, m: int, a: bytes, b: bytes) -> int:
     """No two sets with these bitmaps share more. The longer bitmap is folded onto the shorter one."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -298,8 +304,13 @@ def _verify_block(percent: int):
         sets = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
         members = [i for i, p in enumerate(probing) if not p]
         tree, out = PrefixTree([sets[i] for i in members]) if members else None, set()
+        maps, sizes = np.array([wide_bitmap(sets[i]) for i in members]), np.array([len(sets[i]) for i in members])
         for i, p in enumerate(probing):
             if p and tree:
+                n = len(sets[i])
+                bound = (n + sizes - np.bitwise_count(maps ^ wide_bitmap(sets[i])).sum(1, dtype=np.int64)) // 2
+                if not (bound >= needed(n, sizes, percent)).any():
+                    continue  # no member can reach the threshold
                 first = {}  # one link to each other component is enough
                 for k in tree.linked(sets[i], percent):
                     m = members[k]
