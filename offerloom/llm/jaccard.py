@@ -39,7 +39,7 @@ HOT, HOT_LIST = 64, 1_000_000
 COUNTED = 90
 #: Top bits of a hash that name the range in which it is counted; ranges are put together to about RANGE_ROWS hashes each.
 RANGE_BITS, RANGE_ROWS = 16, 100_000
-FLUSH, BUCKET_ROWS, LOCAL_HOT = 1_000_000, 1_000_000, 8
+FLUSH, BUCKET_ROWS, LOCAL_HOT = 500_000, 500_000, 8
 VERIFY_GROUP = 1000
 #: Members up to which a group's pairs are listed, sets of a block in one tree or one batch of probes, and places of their bitmaps.
 PAIRS, BLOCK_PART, BLOCK_BITS = 200, 1000, 4096
