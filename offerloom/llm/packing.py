@@ -177,6 +177,7 @@ def _pack(vocabulary: str, row_length: int, buffer_tokens: int):
                     yield from flush(False)
         if pieces:
             yield from flush(True)
+        t.older = {}  # what a worker keeps between tasks
 
     return run
 

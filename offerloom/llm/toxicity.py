@@ -13,6 +13,7 @@ Only texts go into a score. The model is a table of at most MODEL_FEATURES weigh
 
 from __future__ import annotations
 
+import array
 import math
 import pickle
 import re
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, gram_hashes, table
 
 #: Bounds of the training sample: documents of each class, and characters in all.
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1500, 2500, 40_000_000
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1500, 8_000_000
 MODEL_FEATURES = 60_000
 PREFIXES = (3, 4, 5, 6)
 LIFT, EVIDENCE, STEPS, RIDGE = 20.0, 14.0, 45, 0.3
@@ -60,7 +61,7 @@ class Model:
 class Potentials(dict):
     """Token -> potential of label 1, with a memo of bounded size."""
 
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -175,7 +176,12 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
         return flat
     words: dict[str, int] = {}
     ids = [np.array([words.setdefault(w, len(words)) for w in TOKEN.findall(t)], np.int32) for t in texts]
-    hashes = np.array([features(w) for w in words], np.uint64)
+    flat_hashes = array.array("Q")
+    for w in words:
+        flat_hashes.extend(features(w))
+    n_words = len(words)
+    del words
+    hashes = np.frombuffer(flat_hashes, np.uint64).reshape(n_words, -1)
     known, slots = np.unique(hashes, return_inverse=True)
     slots = slots.reshape(hashes.shape).astype(np.int32)
     in_docs = np.zeros((2, len(known)), np.int64)  # documents of each class that have a feature
@@ -191,7 +197,7 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
     number = np.full(len(known), len(common), np.int32)  # the last slot is no feature
     number[common] = np.arange(len(common))
     slots, known = number[slots], known[common]
-    del hashes, number
+    del hashes, number, flat_hashes, in_docs, evidence
     chains = Chains(np.array([len(x) for x in ids], np.int64))
     word_at = np.empty(len(chains.place), np.int64)
     word_at[chains.place] = np.concatenate(ids)
@@ -200,8 +206,8 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
     weights, bias, trans = _fit_crf(chains, word_at, gold, slots, len(known))
     top = np.argsort(-np.abs(weights))[:MODEL_FEATURES]
     model = Model({int(known[i]): float(weights[i]) for i in top.tolist() if abs(weights[i]) > 0.01}, bias, trans, (0.0, 1.0))
-    memo = Potentials(model)
-    p = chains.marginals(np.fromiter(map(memo.__getitem__, words), np.float64, len(words))[word_at], trans)[0][chains.place]
+    kept = np.append(np.where(np.isin(np.arange(len(known)), top) & (np.abs(weights) > 0.01), weights, 0.0), 0.0)
+    p = chains.marginals(np.clip(kept[slots].sum(1) + bias, -30, 30)[word_at], trans)[0][chains.place]
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     total = np.concatenate([[0.0], np.cumsum(p)])
     x = np.log(np.maximum(total[cuts[1:]] - total[cuts[:-1]], 0.0) + 1e-6)
