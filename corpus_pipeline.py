@@ -15,7 +15,7 @@ from offerloom.llm.decontamination import remove_contaminated
 from offerloom.llm.jaccard import COPIES_BROADCAST, jaccard_components
 from offerloom.llm.mixing import mix_sources, repeat_rows
 from offerloom.llm.packing import pack_tokens
-from offerloom.llm.toxicity import scorer, train
+from offerloom.llm.toxicity import keep_clean, train
 
 #: Toxicity and packing run models and tokenisers; SQL can't express them.
 ORACLE_SQL = None
@@ -23,8 +23,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go."""
-    score = scorer(spark, train(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("_score", score("text")).where("_score.predicted = 0").drop("_score")
+    return keep_clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,10 +70,44 @@ def sliced(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+def trimmed(run):
+    """A task function for mapInArrow or applyInArrow after which the worker gives free memory back: workers are used again by
+    other tasks and stages, and share their executor's memory limit."""
+    import inspect
+
+    def trim() -> None:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            return
+
+    if inspect.isgeneratorfunction(run):
+
+        def task(batches):
+            try:
+                yield from run(batches)
+            finally:
+                trim()
+    else:
+
+        def task(part):
+            try:
+                return run(part)
+            finally:
+                trim()
+
+    task.__annotations__ = run.__annotations__
+    return task
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, with a memo of bounded size."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

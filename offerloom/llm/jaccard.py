@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, broadcast_if, gram_hashes, mix64, parallelism, sliced, table
+from .common import Scratch, WordHashes, broadcast_if, gram_hashes, mix64, parallelism, sliced, table, trimmed
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -349,7 +349,7 @@ class _Join:
     def sets_of(self, ids: DataFrame, label: str) -> DataFrame:
         """b, set: the whole sets of some nodes."""
         ids = self.scratch.save(ids.distinct(), f"{label}-ids")
-        full = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(self.k), "b long, set binary")
+        full = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_full_sets(self.k)), "b long, set binary")
         return self.scratch.save(full, f"{label}-sets")
 
     def block_links(self, members: DataFrame, label: str) -> DataFrame:
@@ -363,21 +363,21 @@ class _Join:
         in_trees = m.select("block", "doc_id", "label", F.lit(False).alias("probe"), tree.alias("tree"), F.explode(F.sequence(zero, F.col("batches") - 1)).alias("batch"))
         probes = m.where("label <> largest").select("block", "doc_id", "label", F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("trees") - 1)).alias("tree"), batch.alias("batch"))
         full = self.sets_of(members.select("doc_id"), label).withColumnRenamed("b", "doc_id")
-        found = in_trees.unionByName(probes).join(full, "doc_id").groupBy("block", "tree", "batch").applyInArrow(_verify_block(self.percent), "a long, b long")
+        found = in_trees.unionByName(probes).join(full, "doc_id").groupBy("block", "tree", "batch").applyInArrow(trimmed(_verify_block(self.percent)), "a long, b long")
         return self.scratch.save(found, f"{label}-links")
 
     def links(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         """The pairs (a < b) that are linked."""
         left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("bitmap").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("bitmap").alias("y"))
-        likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(self.percent), "a long, b long")
+        likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(trimmed(_possible(self.percent)), "a long, b long")
         likely = self.scratch.save(likely.distinct(), f"{label}-likely")
         full = self.sets_of(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), label)
         # a set with very many candidates is compared in several groups
         parts = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY_GROUP).cast("int").alias("parts"))
         jobs = likely.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
         jobs = jobs.unionByName(parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part")))
-        found = jobs.join(full, "b").groupBy("a", "part").applyInArrow(_verify(self.percent), "a long, b long")
+        found = jobs.join(full, "b").groupBy("a", "part").applyInArrow(trimmed(_verify(self.percent)), "a long, b long")
         return self.scratch.save(found, f"{label}-links")
 
 
@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
     path = f"{scratch.root}/sets"
-    rows.mapInArrow(_sets(shingle), SETS).write.partitionBy("kind").parquet(path)
+    rows.mapInArrow(trimmed(_sets(shingle)), SETS).write.partitionBy("kind").parquet(path)
     both = spark.read.schema(SETS.replace("kind string, ", "") + ", kind string").parquet(path)
     sets = both.where("kind = 'set'").select("doc_id", "n_shingles", "set_id", "bitmap")
     known = rows.where("doc_id IS NOT NULL")
@@ -402,12 +402,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     shift = max(0, RANGE_BITS - max(4, int(total * COUNTED / 256 // RANGE_ROWS).bit_length()))
     low = both.where("kind = 'low'").select("range", "low", F.shiftright("range", shift).alias("part"))
-    hot = low.groupBy("part").applyInArrow(_hot_in_range, "key long, n long")
+    hot = low.groupBy("part").applyInArrow(trimmed(_hot_in_range), "key long, n long")
     hot = hot.orderBy(F.desc("n"), "key").limit(HOT_LIST).select("key").toPandas()["key"].to_numpy(np.int64)  # at most HOT_LIST keys of 8 bytes
     order = spark.sparkContext.broadcast(Order(np.sort(hot)))
 
     buckets = max(parallelism(spark), int(total * (100 - percent) / 100 // BUCKET_ROWS) + 1)
-    groups = known.mapInArrow(_prefixes(shingle, percent, order, buckets), "bucket long, rows binary").groupBy("bucket").applyInArrow(_groups, MEMBERS)
+    groups = known.mapInArrow(trimmed(_prefixes(shingle, percent, order, buckets)), "bucket long, rows binary").groupBy("bucket").applyInArrow(trimmed(_groups), MEMBERS)
     equal = copies.select(F.col("b").alias("doc_id")).distinct()
     groups = scratch.save(groups.join(broadcast_if(equal, COPIES_BROADCAST), "doc_id", "left_anti"), "all")
     # shingles with the same members say the same; the first of them in the order stands for all (it has the smallest positions)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before its byte pairs are merged; has to be this pattern for the vocabulary above.
@@ -189,7 +189,7 @@ def pack_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pieces of row_length ids; rows may repeat an id (pieces are told apart by their row). The vocabulary
     file has to be at the same path on every executor. An empty table gives no rows.
     """
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_pack(vocabulary, row_length, buffer_tokens), PACKED)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(trimmed(_pack(vocabulary, row_length, buffer_tokens)), PACKED)
 
 
 def id_matrix(rows: list, wide: int = 2) -> np.ndarray:

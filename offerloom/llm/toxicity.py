@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, table
+from .common import WordHashes, gram_hashes, sliced, table, trimmed
 
 #: Bounds of the training sample: documents of each class, and characters in all.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1500, 8_000_000
@@ -304,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         model = fit(part.column("text").to_pylist(), [int(t > 0) for t in part.column("toxic").to_pylist()], float(rate))
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    return pickle.loads(rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(fit_task, "model binary").first()[0])
+    return pickle.loads(rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(trimmed(fit_task), "model binary").first()[0])
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -320,6 +320,19 @@ def scorer(spark: SparkSession, model: Model):
     return score
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score under 0.5, columns unchanged. Rows are filtered as Arrow batches, a slice at a time."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Potentials(shared.value)
+        for batch in sliced(batches, 1000):
+            scores = document_scores(shared.value, batch.column(place).to_pylist(), memo)
+            yield batch.filter(pa.array([not predicted for _, predicted, _ in scores], pa.bool_()))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
+
+
 def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     score = scorer(spark, train(docs, table(spark, sf_dir, "labels")))
