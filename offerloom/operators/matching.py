@@ -77,13 +77,17 @@ def _candidates(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     equality join. Products with the same words to check are one rule group: a title is compared with groups, then with their products.
     """
     rules = prepared(catalog).where("n_gtins = 0")
+    groups = rules.groupBy("rule_brand", "must", "none").agg(F.collect_list(F.struct("product", "rule_size", "rule_pack", "query_tokens")).alias("products"))
+    return _by_brand(rows, rules).join(_broadcast(groups), "rule_brand")
+
+
+def _by_brand(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows with their plain title, once for each brand of the rules that is in it."""
     brands = rules.select("rule_brand").distinct()
     listed = brands.agg(F.sort_array(F.collect_set("rule_brand")).alias("brands"))  # distinct brands of the catalog: one small row
     r = rows.withColumn("plain_title", plain(F.coalesce("title", F.lit(""))))
     names = [b for b in (listed.first()["brands"] or [])]
-    r = r.withColumn("rule_brand", F.explode(F.filter(F.array(*[F.lit(b) for b in names]).cast("array<string>"), lambda b: F.contains(F.col("plain_title"), b))))
-    groups = rules.groupBy("rule_brand", "must", "none").agg(F.collect_list(F.struct("product", "rule_size", "rule_pack", "query_tokens")).alias("products"))
-    return r.join(_broadcast(groups), "rule_brand")
+    return r.withColumn("rule_brand", F.explode(F.filter(F.array(*[F.lit(b) for b in names]).cast("array<string>"), lambda b: F.contains(F.col("plain_title"), b))))
 
 
 def match_by_title(rows: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -112,10 +116,29 @@ def best_rows(matched: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def diagnose(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per product and reason the number of brand-mates' titles: why candidates were or weren't accepted."""
-    c = _candidates(rows, catalog).select("*", F.explode("products").alias("p"))
-    rule = {"plain_title": F.col("plain_title"), "must": F.col("must"), "none": F.col("none"), "brand": F.col("rule_brand"), "size": F.col("p.rule_size"), "pack": F.col("p.rule_pack")}
-    return c.select(F.col("p.product").alias("product"), verdict(F.col("title"), rule).alias("reason")).groupBy("product", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """Per product and reason the number of brand-mates' titles: why candidates were or weren't accepted.
+
+    Equal titles are counted first. A title is judged once per rule group, and where the words pass, once per size and pack of the
+    group; products are joined to the counts, not to the titles.
+    """
+    rules = prepared(catalog).where("n_gtins = 0")
+    key = ["rule_brand", "must", "none"]
+    titles = _by_brand(rows.groupBy("title").agg(F.count(F.lit(1)).alias("n")), rules)
+    groups = rules.groupBy(*key).agg(F.collect_set(F.struct("rule_size", "rule_pack")).alias("sizes"))
+    rule = {"plain_title": F.col("plain_title"), "must": F.col("must"), "none": F.col("none"), "brand": F.col("rule_brand"), "size": F.lit(None).cast("string"), "pack": F.lit(None).cast("double")}
+    judged = titles.join(_broadcast(groups), "rule_brand").withColumn("words", verdict(F.col("title"), rule))
+    # a title whose words fail has the same reason for every size: one row with a null
+    every = F.array(F.lit(None).cast("struct<rule_size:string,rule_pack:double>"))
+    judged = judged.select(*key, "title", "plain_title", "n", "words", F.explode(F.when(F.col("words") == "ok", F.col("sizes")).otherwise(every)).alias("s"))
+    passed = F.array().cast("array<string>")
+    sized = verdict(F.col("title"), rule | {"must": passed, "none": passed, "size": F.col("s.rule_size"), "pack": F.col("s.rule_pack")})
+    counts = judged.select(*key, "s", F.when(F.col("s").isNull(), F.col("words")).otherwise(sized).alias("reason"), "n").groupBy(*key, "s", "reason").agg(F.sum("n").alias("n"))
+    # a product has the counts of its whole group and those of its size and pack
+    ends = rules.select("product", *key, "rule_size", "rule_pack", F.explode(F.array(F.lit(True), F.lit(False))).alias("every"))
+    ends = ends.select("product", *key, "every", F.when(~F.col("every"), F.struct("rule_size", "rule_pack")).alias("s"))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("s").isNull().alias("_every"), F.col("s.rule_size").alias("_size"), F.col("s.rule_pack").alias("_pack"), "reason", "n")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*key, "every"]] + [F.col("s.rule_size").eqNullSafe(F.col("_size")), F.col("s.rule_pack").eqNullSafe(F.col("_pack"))]
+    return ends.join(counts, same).groupBy("product", "reason").agg(F.sum("n").alias("n"))
 
 
 def confirmed_candidates(candidates: DataFrame, pages: DataFrame, max_checks: int = 3) -> DataFrame:
