@@ -445,11 +445,15 @@ def j8_comparison_rows(spark, sf):
 # --- work list, pages of shops, cache ---
 
 
-def scoped_products(spark, sf):
-    """Products with a list of shops (every third), others for all; a pinned link for every tenth."""
-    c = D.catalog(spark, sf).where("product % 20 = 0")
+def whole_products(spark, sf):
+    """Products with a list of shops (every third), others for all; a pinned link for every hundredth."""
     some = F.when(F.col("product") % 3 == 0, F.array(F.col("product") % 10, F.lit(9).cast("long")))
-    return c.select("product", some.alias("shops"), F.when(F.col("product") % 100 == 0, F.create_map(F.lit("9"), F.lit("https://pinned.example"))).alias("links"))
+    return D.catalog(spark, sf).select("product", some.alias("shops"), F.when(F.col("product") % 100 == 0, F.create_map(F.lit("9"), F.lit("https://pinned.example"))).alias("links"))
+
+
+def scoped_products(spark, sf):
+    """Of these every twentieth product only, as in WORK; the queries on whole_products take the whole catalog."""
+    return whole_products(spark, sf).where("product % 20 = 0")
 
 
 WORK = """
@@ -458,23 +462,50 @@ work AS (SELECT product, s_suppkey AS shop, CASE WHEN product % 100 = 0 AND s_su
   WHERE s_suppkey % 10 <> 9 OR (product % 100 = 0 AND s_suppkey = 9))"""
 
 
+WHOLE_WORK = """
+prod AS (SELECT p_partkey AS product, p_partkey % 3 = 0 AS listed_shops FROM part),
+listed_shop AS (SELECT product, unnest([product % 10, 9]) AS shop FROM prod WHERE listed_shops),
+work AS (SELECT product, shop, CASE WHEN product % 100 = 0 AND shop = 9 THEN 'https://pinned.example' END AS link
+  FROM (SELECT product, s_suppkey AS shop FROM prod, supplier WHERE NOT listed_shops UNION ALL SELECT product, shop FROM listed_shop JOIN supplier ON s_suppkey = shop)
+  WHERE shop % 10 <> 9 OR (product % 100 = 0 AND shop = 9))"""
+
+
 @query(sql(WORK, then="SELECT * FROM work"))
 def j3_work_list(spark, sf):
     return O.work_list(scoped_products(spark, sf), D.shops(spark, sf).select("shop", "enabled"))
 
 
+@query(sql(WHOLE_WORK, then="SELECT * FROM work"))
+def j3_work_list_all(spark, sf):
+    return O.work_list(whole_products(spark, sf), D.shops(spark, sf).select("shop", "enabled"))
+
+
 @query(sql(OFFERS, WORK, then="SELECT * FROM work w WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.source = 'feed' AND o.product = w.product AND o.shop = w.shop)"))
 def j4_not_in_feeds(spark, sf):
     return O.not_covered(O.work_list(scoped_products(spark, sf), D.shops(spark, sf).select("shop", "enabled")), D.offers(spark, sf).where("source = 'feed'"))
 
 
+@query(sql(OFFERS, WHOLE_WORK, then="SELECT * FROM work w WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.source = 'feed' AND o.product = w.product AND o.shop = w.shop)"))
+def j4_not_in_feeds_all(spark, sf):
+    return O.not_covered(j3_work_list_all(spark, sf), D.offers(spark, sf).where("source = 'feed'"))
+
+
 @query(
     sql(CATALOG, OFFERS, ONE, VERIFIED, WORK, then="""
 SELECT shop, count(*) AS wanted, count(*) FILTER (v.product IS NOT NULL) AS found, count(*) FILTER (v.gtin IS NOT NULL) AS with_gtin, round(count(*) FILTER (v.product IS NOT NULL) / count(*), 4) AS ratio
 FROM work w LEFT JOIN kept v USING (product, shop) GROUP BY shop""")
 )
 def a12_coverage(spark, sf):
-    return P.coverage(O.work_list(scoped_products(spark, sf), D.shops(spark, sf).select("shop", "enabled")), kept_offers(spark, sf))
+    return P.catalog_coverage(scoped_products(spark, sf), D.shops(spark, sf).select("shop", "enabled"), kept_offers(spark, sf))
+
+
+@query(
+    sql(CATALOG, OFFERS, ONE, VERIFIED, WHOLE_WORK, then="""
+SELECT shop, count(*) AS wanted, count(*) FILTER (v.product IS NOT NULL) AS found, count(*) FILTER (v.gtin IS NOT NULL) AS with_gtin, round(count(*) FILTER (v.product IS NOT NULL) / count(*), 4) AS ratio
+FROM work w LEFT JOIN kept v USING (product, shop) GROUP BY shop""")
+)
+def a12_coverage_all(spark, sf):
+    return P.catalog_coverage(whole_products(spark, sf), D.shops(spark, sf).select("shop", "enabled"), kept_offers(spark, sf))
 
 
 @query(

@@ -9,6 +9,8 @@ from offerloom.functions import gtin as G
 
 #: A page that shows something else is forgotten at once, any other failure after so many rounds.
 MAX_FAILURES = 3
+#: Shops are broadcast up to this many rows; a longer list is joined without.
+SHOPS_BROADCAST = 100_000
 WRONG_PAGE = r"(?i)past niet meer|ander artikel|geen prijs op de pagina"
 
 
@@ -22,13 +24,12 @@ def gtin_allowed(strict: Column, gtins: Column, gtin: Column) -> Column:
 def work_list(products: DataFrame, shops: DataFrame) -> DataFrame:
     """(product, shop, pinned link): every enabled shop that a product allows, and disabled ones only where a link is pinned.
 
-    products: product, shops (null: all), links map. The shops are a short configured list and go to every product; products with a list of shops
-    are joined by it. Nothing else multiplies.
+    products: product, shops (null: all), links map. Every shop goes to every product without a list, by broadcast if the shops are few;
+    products with a list of shops are joined by it. Nothing else multiplies.
     """
     listed = products.where("shops IS NOT NULL").select("product", "links", F.explode("shops").alias("shop")).join(shops, "shop")
-    names = shops.agg(F.collect_list(F.struct("shop", "enabled")).alias("all"))  # one row: the configured shops
-    every = products.where("shops IS NULL").withColumn("k", F.lit(1)).join(F.broadcast(names.withColumn("k", F.lit(1))), "k")
-    every = every.select("product", "links", F.explode("all").alias("s")).select("product", "links", "s.shop", "s.enabled")
+    few = shops.limit(SHOPS_BROADCAST + 1).count() <= SHOPS_BROADCAST
+    every = products.where("shops IS NULL").crossJoin(F.broadcast(shops) if few else shops).select("product", "links", "shop", "enabled")
     out = listed.select("product", "links", "shop", "enabled").unionByName(every)
     link = F.try_element_at("links", F.col("shop").cast("string"))
     return out.withColumn("link", link).where(F.coalesce("enabled", F.lit(True)) | F.col("link").isNotNull()).select("product", "shop", "link")

@@ -90,6 +90,32 @@ def coverage(work: DataFrame, offers: DataFrame) -> DataFrame:
     return j.groupBy("shop").agg(F.count(F.lit(1)).alias("wanted"), F.count_if("found").alias("found"), F.count_if("with_gtin").alias("with_gtin")).withColumn("ratio", F.round(F.col("found") / F.col("wanted"), 4))
 
 
+def catalog_coverage(products: DataFrame, shops: DataFrame, offers: DataFrame) -> DataFrame:
+    """``coverage`` of the work list of products and shops without its pairs: wanted ones are counted from products, lists and links.
+
+    products: product, shops (null: all), links map. shops: shop, enabled. offers: one per product and shop.
+    """
+    on = F.coalesce("enabled", F.lit(True))
+    names = shops.select("shop", on.alias("enabled"), F.col("shop").cast("string").alias("name"))
+    all_ = products.where("shops IS NULL")
+    n = all_.agg(F.count(F.lit(1)).alias("wanted"))
+    every = names.where("enabled").crossJoin(F.broadcast(n)).select("shop", "wanted")
+    pinned = all_.select(F.explode("links").alias("name", "link")).where("link IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("wanted"))
+    pinned = names.where("NOT enabled").join(pinned, "name").select("shop", "wanted")
+    link = F.try_element_at("links", F.col("shop").cast("string"))
+    listed = products.where("shops IS NOT NULL").select(F.explode("shops").alias("shop"), "links").groupBy("shop").agg(F.count(F.lit(1)).alias("all"), F.count_if(link.isNotNull()).alias("linked"))
+    listed = names.join(listed, "shop").select("shop", F.when(F.col("enabled"), F.col("all")).otherwise(F.col("linked")).alias("wanted"))
+    wanted = every.unionByName(pinned).unionByName(listed).groupBy("shop").agg(F.sum("wanted").alias("wanted")).where("wanted > 0")
+
+    o = offers.select("product", "shop", F.col("gtin").isNotNull().alias("with_gtin")).join(products.select("product", "shops", "links"), "product").join(names.drop("name"), "shop")
+    times = F.when(F.col("shops").isNull(), 1).otherwise(F.size(F.filter("shops", lambda s: s == F.col("shop"))))
+    o = o.withColumn("times", F.when(F.col("enabled") | link.isNotNull(), times).otherwise(0))
+    found = o.groupBy("shop").agg(F.sum("times").alias("found"), F.sum(F.when(F.col("with_gtin"), F.col("times")).otherwise(0)).alias("with_gtin"))
+    zero = F.lit(0).cast("long")
+    out = wanted.join(found, "shop", "left").select("shop", "wanted", F.coalesce("found", zero).alias("found"), F.coalesce("with_gtin", zero).alias("with_gtin"))
+    return out.withColumn("ratio", F.round(F.col("found") / F.col("wanted"), 4))
+
+
 def problem_report(problems: DataFrame) -> DataFrame:
     """Per shop: identity problems (their type starts with gtin- or verpakking-) and missing products. problems: shop, type."""
     identity = F.col("type").rlike("^(gtin-|verpakking-)")

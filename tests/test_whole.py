@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from offerloom.jobs import queries as J
 from offerloom.operators import matching as MA
+from offerloom.operators import offers as O
+from offerloom.operators import publish as P
 from offerloom.sources import domain as D
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,21 @@ def test_diagnosis_takes_every_shop(spark):
     titles = J.usable_feed(spark, SF).select(MA.plain("title").alias("t"))
     assert got == titles.crossJoin(brands).where(F.contains("t", F.col("b"))).count()
     assert titles.count() > J.usable_feed(spark, SF).where("shop < 5").count()
+
+
+def test_coverage_counts_the_pairs_of_the_work_list(spark, monkeypatch):
+    products = spark.createDataFrame([(1, None, None), (2, None, {"9": "l", "1": "m"}), (3, [1, 9, 77], None), (4, [9], {"9": "l"}), (5, [], None)], "product long, shops array<long>, links map<string,string>")
+    shops = spark.createDataFrame([(1, True), (2, None), (9, False), (8, False)], "shop long, enabled boolean")
+    offers = spark.createDataFrame([(p, s, "g" if p % 2 else None) for p in range(1, 7) for s in (1, 9, 8)], "product long, shop long, gtin string")
+    want = sorted(map(tuple, P.coverage(O.work_list(products, shops), offers).collect()))
+    assert sorted(map(tuple, P.catalog_coverage(products, shops, offers).collect())) == want and len(want) == 3
+    pairs = sorted(map(str, O.work_list(products, shops).collect()))
+    monkeypatch.setattr(O, "SHOPS_BROADCAST", 2)
+    assert sorted(map(str, O.work_list(products, shops).collect())) == pairs
+
+
+@with_data
+def test_work_list_takes_every_product(spark):
+    work = J.QUERIES["j3_work_list_all"](spark, SF)
+    assert work.where("product % 3 > 0").select("product").distinct().count() == D.catalog(spark, SF).where("product % 3 > 0").count()
+    assert J.QUERIES["a12_coverage_all"](spark, SF).agg(F.sum("wanted")).first()[0] == work.count()
