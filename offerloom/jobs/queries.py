@@ -377,6 +377,24 @@ def s5_many_feeds(spark, sf):
     return source.select(F.col("shop").cast("long").alias("shop"), F.col("sku").alias("row_no"), "price").unionByName(bad)
 
 
+@query(sql(FEED, then="SELECT shop, CAST(row_no AS VARCHAR) AS row_no, price FROM feed UNION ALL SELECT -1, 'unknown shop', NULL"))
+def s5_many_feeds_all(spark, sf):
+    """Every row: odd shops' as text with tabs, even ones' as XML, each with its shop as a column; an unknown publisher is a problem row."""
+    rows = D.feed_text(spark, sf).withColumn("sku", F.col("row_no").cast("string")).withColumn("seller", F.col("shop").cast("string")).drop("row_no", "merchant_product_id")
+    a, b = scratch(spark, "tsv"), scratch(spark, "xml")
+    rows.where("shop % 2 = 1").drop("shop").write.options(header=True, sep="\t", quote='"', escape='"', emptyValue="").csv(a)
+    field = lambda name, c: F.concat(F.lit(f"<{name}>"), F.replace(F.regexp_replace(c, "</?b>", ""), F.lit("€"), F.lit("&euro;")), F.lit(f"</{name}>"))
+    item = F.concat(F.lit("<item>"), *[field(c, F.col(c)) for c in ("sku", "seller", "name", "search_price", "aw_deep_link")], F.lit("</item>"))
+    rows.where("shop % 2 = 0").select(item.alias("value")).write.text(b)
+    listed = [
+        {"id": "a", "shop": "odd", "path": a, "format": "csv", "delimiter": "\t", "keep": ["seller"]}, {"id": "b", "shop": "even", "path": b, "format": "xml", "keep": ["seller"]},
+        {"id": "c", "shop": "nobody", "path": a}, {"id": "d", "shop": "odd", "path": a, "enabled": False},
+    ]
+    source, problems = FE.read_feeds(spark, listed, ["odd", "even"])
+    bad = spark.createDataFrame([(-1, p["error"], None) for p in problems], "shop long, row_no string, price double")
+    return source.select(F.col("seller").cast("long").alias("shop"), F.col("sku").alias("row_no"), "price").unionByName(bad)
+
+
 @query(sql(CATALOG, FEED, MATCHED, then="SELECT shop, row_no, price, matched AS product, score FROM by_gtin"))
 def j1_match_by_gtin(spark, sf):
     return MA.match_by_gtin(usable_feed(spark, sf), D.catalog(spark, sf)).select("shop", "row_no", "price", "product", "score")

@@ -132,18 +132,18 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("price").isNotNull() & F.col("url").isNotNull())
 
 
-def read_feed(spark: SparkSession, path: str, fmt: str = "auto", delimiter: str | None = None) -> DataFrame:
-    """A feed file of either format as rows of strings."""
+def read_feed(spark: SparkSession, path: str, fmt: str = "auto", delimiter: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """A feed file of either format as rows of strings; of XML the known fields and those to keep."""
     fmt = sniff_format(head_of(spark, path)) if fmt in (None, "auto") else fmt
     if fmt == "xml":
-        return xml_to_columns(read_xml(spark, path), sorted({re.sub("^g:", "", n) for v in ALIASES.values() for n in v}))
+        return xml_to_columns(read_xml(spark, path), sorted({re.sub("^g:", "", n) for v in ALIASES.values() for n in v} | set(keep or [])))
     return read_delimited(spark, path, delimiter)
 
 
 def read_feeds(spark: SparkSession, feeds: list[dict], known_shops: list[str]) -> tuple[DataFrame | None, list[dict]]:
     """All enabled feeds that have a location as one table of normalised rows with shop and feed, and the problems.
 
-    feeds: dicts of id, shop, path, enabled, format, delimiter, mapping. A feed that can't be opened or names an unknown shop is a
+    feeds: dicts of id, shop, path, enabled, format, delimiter, mapping, keep (columns to carry along). A feed that can't be opened or names an unknown shop is a
     problem; the others go on. The list of feeds is configuration, so it is the driver's.
     """
     parts, problems = [], []
@@ -154,11 +154,11 @@ def read_feeds(spark: SparkSession, feeds: list[dict], known_shops: list[str]) -
             problems.append({"feed": f["id"], "shop": f["shop"], "error": "unknown shop"})
             continue
         try:
-            rows = read_feed(spark, f["path"], f.get("format", "auto"), f.get("delimiter"))
+            rows = read_feed(spark, f["path"], f.get("format", "auto"), f.get("delimiter"), f.get("keep"))
         except Exception as e:  # noqa: BLE001  whatever a broken file raises must not stop the other feeds
             problems.append({"feed": f["id"], "shop": f["shop"], "error": str(e).split("\n")[0]})
             continue
-        parts.append(normalize_rows(rows, f.get("mapping")).withColumns({"shop": F.lit(f["shop"]), "feed": F.lit(f["id"])}))
+        parts.append(normalize_rows(rows, f.get("mapping"), f.get("keep")).withColumns({"shop": F.lit(f["shop"]), "feed": F.lit(f["id"])}))
     out = None
     for p in parts:
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)

@@ -63,3 +63,11 @@ def test_work_list_takes_every_product(spark):
     work = J.QUERIES["j3_work_list_all"](spark, SF)
     assert work.where("product % 3 > 0").select("product").distinct().count() == D.catalog(spark, SF).where("product % 3 > 0").count()
     assert J.QUERIES["a12_coverage_all"](spark, SF).agg(F.sum("wanted")).first()[0] == work.count()
+
+
+@with_data
+def test_many_feeds_read_back_every_row(spark):
+    got = J.QUERIES["s5_many_feeds_all"](spark, SF).where("shop >= 0")
+    want = D.feed_text(spark, SF).select("shop", F.col("row_no").cast("string"))
+    assert sorted(map(tuple, got.select("shop", "row_no").collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("price IS NULL").isEmpty()
