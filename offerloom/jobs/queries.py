@@ -449,6 +449,13 @@ def p1_scope(spark, sf):
     return p.select("product", (F.col("product") % 25).alias("k")).join(s.select("shop", (F.col("shop") % 25).alias("k")), "k").select("product", "shop")
 
 
+@query("SELECT 'product' AS kind, p_partkey AS id FROM part UNION ALL SELECT 'shop', s_suppkey FROM supplier WHERE s_suppkey % 10 <> 9")
+def p1_scope_all(spark, sf):
+    """All products and the enabled shops, as two kinds of rows."""
+    p, s = CF.scope(D.catalog(spark, sf), D.shops(spark, sf))
+    return p.select(F.lit("product").alias("kind"), F.col("product").alias("id")).unionByName(s.select(F.lit("shop").alias("kind"), F.col("shop").alias("id")))
+
+
 @query(sql(CATALOG, OFFERS, then="SELECT product, shop, ord, price, coalesce(NOT listed OR gtin_text IS NULL OR gtin_text = own, true) AS allowed FROM offers JOIN catalog USING (product)"))
 def p4_gtin_gate(spark, sf):
     j = D.offers(spark, sf).join(D.catalog(spark, sf).select("product", "gtins", "strict"), "product")

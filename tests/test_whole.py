@@ -9,6 +9,7 @@ from offerloom.jobs import queries as J
 from offerloom.operators import matching as MA
 from offerloom.operators import offers as O
 from offerloom.operators import publish as P
+from offerloom.sources import config as CF
 from offerloom.sources import domain as D
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,17 @@ def test_many_feeds_read_back_every_row(spark):
     want = D.feed_text(spark, SF).select("shop", F.col("row_no").cast("string"))
     assert sorted(map(tuple, got.select("shop", "row_no").collect())) == sorted(map(tuple, want.collect()))
     assert got.where("price IS NULL").isEmpty()
+
+
+@with_data
+def test_scope_takes_every_product_and_enabled_shop(spark):
+    got = {(r["kind"], r["id"]) for r in J.QUERIES["p1_scope_all"](spark, SF).collect()}
+    want = {("product", r[0]) for r in D.catalog(spark, SF).select("product").collect()} | {("shop", r[0]) for r in D.shops(spark, SF).where("enabled").select("shop").collect()}
+    assert got == want and any(i % 2 == 0 for k, i in got if k == "product")
+
+
+def test_scope_of_the_first_products(spark):
+    products = spark.createDataFrame([(i,) for i in (8, 2, 5, 4, 1)], "product long")
+    shops = spark.createDataFrame([(1, True), (2, False), (3, None)], "shop long, enabled boolean")
+    p, s = CF.scope(products, shops, first=3)
+    assert sorted(r[0] for r in p.collect()) == [1, 2, 4] and sorted(r[0] for r in s.collect()) == [1, 3]
