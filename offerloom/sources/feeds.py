@@ -28,6 +28,8 @@ IN_STOCK = r"(?i)^(1|true|ja|yes|y|in ?stock|op ?voorraad|available|beschikbaar|
 OUT_OF_STOCK = r"(?i)^(0|false|nee|no|n|out ?of ?stock|niet ?op ?voorraad|uitverkocht|unavailable|sold ?out)\z"
 ITEM_TAGS = ("item", "product", "entry", "offer")
 DELIMITERS = (",", ";", "\t", "|")
+#: The item tag is looked for in so many lines before the whole file is searched.
+HEAD_LINES = 2000
 
 
 def sniff_delimiter(header: str) -> str:
@@ -58,18 +60,23 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     return df.na.drop("all").na.fill("")
 
 
+def item_tag(lines: DataFrame) -> str | None:
+    """The first of the item tags that occurs in the lines, as it is written there."""
+    found = lines.select(*[F.max(F.regexp_extract("value", f"(?i)<({t})\\b", 1)).alias(t) for t in ITEM_TAGS]).first()
+    return next((found[t] for t in ITEM_TAGS if found[t]), None)
+
+
 def read_xml(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
     """One row for each item: ``fields``, a map of lower-case names without prefix to text.
 
     The file is split at the items' closing tags, so one large file is read by many tasks, and an item that isn't well-formed costs
-    only itself. Fields that hold elements are left out; of repeated fields the first with a text counts.
+    only itself. Fields that hold elements are left out; of repeated fields the first with a text counts. A file without an item is an error.
     """
     if tag is None:
-        start = spark.read.text(path).limit(2000)
-        found = start.select(*[F.max(F.regexp_extract("value", f"(?i)<({t})\\b", 1)).alias(t) for t in ITEM_TAGS]).first()
-        tag = next((found[t] for t in ITEM_TAGS if found[t]), None)
+        lines = spark.read.text(path)
+        tag = item_tag(lines.limit(HEAD_LINES)) or item_tag(lines)
     if not tag:
-        return spark.createDataFrame([], "fields map<string,string>")
+        raise ValueError(f"no item tag in {path}")
     chunks = spark.read.option("lineSep", f"</{tag}>").text(path)
     body = F.regexp_extract("value", f"(?i)<{tag}\\b[^>]*>([\\s\\S]*)$", 1)
     items = chunks.where(F.col("value").rlike(f"(?i)<{tag}\\b[^>]*>")).select(body.alias("body"))

@@ -11,6 +11,7 @@ from offerloom.operators import offers as O
 from offerloom.operators import publish as P
 from offerloom.sources import config as CF
 from offerloom.sources import domain as D
+from offerloom.sources import feeds as FE
 
 SF = "/root/testdata/sf0.001"
 with_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -86,3 +87,14 @@ def test_scope_of_the_first_products(spark):
     shops = spark.createDataFrame([(1, True), (2, False), (3, None)], "shop long, enabled boolean")
     p, s = CF.scope(products, shops, first=3)
     assert sorted(r[0] for r in p.collect()) == [1, 2, 4] and sorted(r[0] for r in s.collect()) == [1, 3]
+
+
+def test_xml_feed_with_a_long_head(spark, tmp_path):
+    head = "".join(f"<category>{i}</category>\n" for i in range(5000))
+    late, none = tmp_path / "late.xml", tmp_path / "none.xml"
+    late.write_text(f"<?xml version='1.0'?><rss>\n{head}<Item><id>1</id></Item>\n<Item><id>2</id></Item>\n</rss>")
+    none.write_text(f"<?xml version='1.0'?><rss>\n{head}</rss>")
+    assert sorted(r["fields"]["id"] for r in FE.read_xml(spark, str(late)).collect()) == ["1", "2"]
+    feeds = [{"id": "a", "shop": "x", "path": str(late)}, {"id": "b", "shop": "x", "path": str(none)}]
+    rows, problems = FE.read_feeds(spark, feeds, ["x"])
+    assert rows.count() == 2 and [p["feed"] for p in problems] == ["b"] and "no item tag" in problems[0]["error"]
