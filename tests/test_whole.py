@@ -98,3 +98,19 @@ def test_xml_feed_with_a_long_head(spark, tmp_path):
     feeds = [{"id": "a", "shop": "x", "path": str(late)}, {"id": "b", "shop": "x", "path": str(none)}]
     rows, problems = FE.read_feeds(spark, feeds, ["x"])
     assert rows.count() == 2 and [p["feed"] for p in problems] == ["b"] and "no item tag" in problems[0]["error"]
+
+
+@with_data
+def test_the_whole_history_is_written(spark, monkeypatch):
+    first = []
+    write = J.H.write_days
+    monkeypatch.setattr(J.H, "write_days", lambda h, path: (first.append(h.agg(F.min("d")).first()[0]), write(h, path)))
+    assert J.QUERIES["s8_history_by_day"](spark, SF).agg(F.min("d").cast("string")).first()[0] >= "2001-06-01"
+    assert first[0] == J.history(spark, SF).agg(F.min("d")).first()[0]
+
+
+@with_data
+def test_candidates_have_titles(spark):
+    got = J.QUERIES["u4_candidate_titles"](spark, SF)
+    assert sorted(map(tuple, got.select("shop", "url").collect())) == sorted(map(tuple, J.QUERIES["u4_candidates"](spark, SF).collect()))
+    assert got.where("title IS NULL").isEmpty()
