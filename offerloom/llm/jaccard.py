@@ -1,36 +1,37 @@
 """N-gram Jaccard join with prefix trees.
 
 A document is the set of its 5-word shingles (64-bit hashes). Equal sets are one node from the start.
-All sets are put in one global order: shingles found hot (in over HOT sets) come last, the others by hash.
+All sets are put in one global order: shingles found in over HOT sets come last, the commonest at the very end, the others by hash.
+A shingle's key says its place in that order, so sets are sorted arrays of keys.
 Two sets of similarity t share one of the first ``n - ceil(t n) + 1`` shingles of each (the prefix), and where
 the first such shingle stands bounds their overlap.
 
 1. Frequencies are counted over all sets, for the part of the hash range that prefixes come from. The order may be any,
    as long as it is one: the hot list only makes it better, so its size can be bounded.
-2. Prefix shingles are gathered by hash range, packed; those of one set only are dropped. A shingle that a task has
-   seen in many sets goes around the range's task, which gets one of its rows.
+2. The tree's first level is spread over the cluster: prefix shingles are gathered by hash range, packed, and those of one set
+   only are dropped. A shingle that a task has seen in many sets goes around the range's task, which gets one of its rows.
 3. First round: every member of a shingle's group is compared with one hub only, the member of whose prefix the most
    is shared. Links are verified and merged into components, so most of a large group of near copies needs one comparison each.
 4. Second round: what is left are pairs that share a prefix shingle and are in different components. Groups of up to PAIRS members
-   list their pairs. Larger groups that touch each other form blocks: all sets of a block that are outside its largest component walk the prefix
-   trees of the whole block, part by part. No pair of a block is ever a row; only links are, one for a set and component.
-5. Candidates pass an exact bound from parity bitmaps, then verification: the sets to be compared with one set
-   are put in a prefix tree in the global order; walking it shares the overlap counted so far among all sets below a
-   node, and a subtree is pruned where the overlap so far and the lengths that remain can't reach the threshold.
+   list their pairs. In larger groups the sets outside the group's largest component meet all its members in cells of CELL x CELL sets, in which an
+   exact bound from parity bitmaps leaves few pairs; no other pair is ever a row.
+5. Verification: the sets to be compared with one set are put in a prefix tree in the global order. Walking it level by level counts an overlap once
+   for all sets below a node, and drops a subtree where the overlap so far and the lengths that remain can't reach the threshold.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, broadcast_if, gram_hashes, mix64, parallelism, sliced, table, trimmed
+from .common import Scratch, broadcast_if, by_bytes, distinct, gram_hashes, mix64, parallelism, sliced, table, trimmed, words_of
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -39,16 +40,19 @@ HOT, HOT_LIST = 64, 1_000_000
 COUNTED = 90
 #: Top bits of a hash that name the range in which it is counted; ranges are put together to about RANGE_ROWS hashes each.
 RANGE_BITS, RANGE_ROWS = 16, 100_000
+#: Bits of a key that hold the hash; those above say how common the shingle is.
+KEY_BITS = 61
 FLUSH, BUCKET_ROWS, LOCAL_HOT = 500_000, 500_000, 8
-VERIFY_GROUP = 1000
-#: Members up to which a group's pairs are listed, sets of a block in one tree or one batch of probes, and places of their bitmaps.
-PAIRS, BLOCK_PART, BLOCK_BITS = 200, 1000, 4096
-IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST = 1_000_000, 1_000_000, 2_000_000
-
-SETS = "kind string, doc_id long, n_shingles long, set_id binary, bitmap binary, range int, low binary"
-SETS_ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bitmap", pa.binary()), ("range", pa.int32()), ("low", pa.binary())])
+#: Candidates of one set in a tree, and shingles that a verifying task gets at a time.
+VERIFY_GROUP, VERIFY_SHINGLES = 1000, 1_000_000
+#: Members up to which a group's pairs are listed, sets on each side of a cell, and places of a bitmap at least.
+PAIRS, CELL, BITMAP_BITS = 200, 1000, 2048
+IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST = 3_000_000, 1_000_000, 2_000_000
+
+SETS = "kind string, doc_id long, n_shingles long, set_id binary, range int, low binary"
+SETS_ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("range", pa.int32()), ("low", pa.binary())])
 MEMBERS = "shingle long, doc_id long, n int, pos int"
-MEMBERS_ARROW = pa.schema([("shingle", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+PAIR, PAIR_ARROW = "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int):
@@ -56,37 +60,47 @@ def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def shingle_set(text: bytes | None, memo: WordHashes, k: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; with fewer than k words the whole sequence is one."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < k:
-        return mix64(gram_hashes(memo.of(words, len(words)), len(words)) + np.uint64(len(words)))
-    return np.unique(gram_hashes(memo.of(words, len(words)), k))
+def shingle_sets(texts: pa.Array, k: int, keys: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[np.ndarray]:
+    """Each text's distinct shingles, sorted; with fewer than k words the whole sequence is one, without words there is none.
+    keys: what to put in the place of the hashes."""
+    w = words_of(texts, fold=True)
+    grams = gram_hashes(w.hashes, k)
+    grams = grams if keys is None else keys(grams)
+    for a, b in pairwise(w.first.tolist()):
+        if b - a >= k:
+            yield distinct(grams[a : b - k + 1])
+        else:
+            whole = mix64(gram_hashes(w.hashes[a:b], b - a) + np.uint64(b - a)) if b > a else np.empty(0, np.uint64)
+            yield whole if keys is None else keys(whole)
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit for each place: the parity of the number of shingles there; as words. At least twice as many places as shingles, a power of two."""
+    places = max(BITMAP_BITS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
 
 
-def parity_bitmap(s: np.ndarray) -> bytes:
-    """One bit for each place: the parity of the number of hashes there. At least as many places as hashes."""
-    bits = max(6, int(len(s) - 1).bit_length() if len(s) else 0)
-    odd = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps with fewer places: the upper half is laid on the lower one as often as needed."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
 
 
-def wide_bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity bitmap of BLOCK_BITS places, as words."""
-    odd = np.bincount((s & np.uint64(BLOCK_BITS - 1)).astype(np.int64), minlength=BLOCK_BITS) & 1
-    return np.packbits(odd.astype(bool)).view(np.uint64)
+def overlap_bounds(n: np.ndarray, m: np.ndarray, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """No two sets of these sizes and bitmaps share more: shingles that only one of them has leave odd places."""
+    words = np.minimum([len(a) for a in x], [len(b) for b in y])
+    odd = np.zeros(len(words), np.int64)
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w).tolist()
+        odd[at] = np.bitwise_count(np.stack([folded(x[i], w) for i in at]) ^ np.stack([folded(y[i], w) for i in at])).sum(1, dtype=np.int64)
+    return (n + m - odd) // 2
 
 
-def overlap_bound(n: int, m: int, a: bytes, b: bytes) -> int:
-    """No two sets with these bitmaps share more. The longer bitmap is folded onto the shorter one."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
+def _bitmaps(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
 
 
 def _sets(k: int):
@@ -98,22 +112,19 @@ def _sets(k: int):
         low = ((x << np.uint64(RANGE_BITS)) >> np.uint64(32)).astype("<u4")
         first = np.flatnonzero(np.diff(part, prepend=-1))
         blobs = [low[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(x)), strict=True)]
-        n = len(first)
-        none = [pa.nulls(n, t) for t in SETS_ARROW.types[1:5]]
-        return pa.RecordBatch.from_arrays([pa.array(["low"] * n), *none, pa.array(part[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SETS_ARROW)
+        none = [pa.nulls(len(first), t) for t in SETS_ARROW.types[1:4]]
+        return pa.RecordBatch.from_arrays([pa.array(["low"] * len(first)), *none, pa.array(part[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SETS_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size, limit = WordHashes(), [], 0, np.uint64(COUNTED << 56)
-        for batch in sliced(batches):
+        held, size, limit = [], 0, np.uint64(COUNTED << 56)
+        for batch in by_bytes(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, memo, k)
-                rows.append(("set", doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), parity_bitmap(s), None, None))
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+                rows.append(("set", doc_id, len(s), hashlib.blake2b(s, digest_size=16).digest(), None, None))
                 if doc_id is not None:
                     held.append(s[: np.searchsorted(s, limit)])
                     size += len(held[-1])
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SETS_ARROW.types, strict=True)], schema=SETS_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SETS_ARROW.types, strict=True)], schema=SETS_ARROW)
             if size >= FLUSH:
                 yield low_rows(held)
                 held, size = [], 0
@@ -123,86 +134,107 @@ def _sets(k: int):
     return run
 
 
-# --- frequencies ---
+# --- the global order ---
 
 
 def _hot_in_range(part: pa.Table) -> pa.Table:
-    """Keys (RANGE_BITS and 32 bits) of more than HOT sets."""
+    """Names (RANGE_BITS and 32 bits) of shingles of more than HOT sets."""
     held = [(np.int64(r) << np.int64(32)) | np.frombuffer(b, "<u4").astype(np.int64) for r, b in zip(part.column("range").to_pylist(), part.column("low").to_pylist(), strict=True)]
-    keys = np.sort(np.concatenate(held))
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    counts = np.diff(np.append(first, len(keys)))
+    names = np.sort(np.concatenate(held))
+    first = np.flatnonzero(np.diff(names, prepend=-1))
+    counts = np.diff(np.append(first, len(names)))
     hot = counts > HOT
-    return pa.table({"key": pa.array(keys[first[hot]]), "n": pa.array(counts[hot].astype(np.int64))})
+    return pa.table({"name": pa.array(names[first[hot]]), "n": pa.array(counts[hot].astype(np.int64))})
 
 
 class Order:
-    """The global order of shingles: hot ones last, then by hash."""
+    """The global order of shingles. Hot ones come last, in seven classes of frequency; within a class the hash decides."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        by = np.argsort(names)
+        self.names = names[by]
+        self.level = np.clip(np.log2(np.maximum(counts[by], 1) / HOT).astype(np.int64) + 1, 1, 7).astype(np.uint64) << np.uint64(KEY_BITS)
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers that sort like the shingles."""
+        out = hashes >> np.uint64(64 - KEY_BITS)
+        if len(self.names) and len(hashes):
+            names = (hashes >> np.uint64(32 - RANGE_BITS)).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            out |= np.where(self.names[at] == names, self.level[at], np.uint64(0))
+        return out
 
-    def __init__(self, hot: np.ndarray):
-        self.shift, self.hot = np.uint64(32 - RANGE_BITS), hot  # sorted keys
 
-    def sort(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.hot) or not len(s):
-            return s
-        keys = (s >> self.shift).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
-        late = self.hot[at] == keys
-        return np.concatenate([s[~late], s[late]])
+# --- prefixes ---
 
 
-# --- prefixes ---
+def _packed(arrays: tuple[np.ndarray, ...], a: int, b: int) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x[a:b].tobytes() for x in arrays))
+
+
+#: Columns of packed rows: a shingle (its key, mixed), the document, the set's size, and the place in its order.
+FIELDS = tuple(np.dtype(t) for t in ("<u8", "<i8", "<i4", "<i4"))
 
-def _prefixes(k: int, percent: int, order, buckets: int):
-    """(bucket, packed rows of shingle, doc_id, n, pos)."""
 
-    def pack(rows: np.ndarray) -> bytes:
-        import zstandard
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    import zstandard
+
+    parts: list[list[np.ndarray]] = [[] for _ in FIELDS]
+    for blob in blobs:
+        data = zstandard.ZstdDecompressor().decompress(blob)
+        n, at = len(data) // sum(t.itemsize for t in FIELDS), 0
+        for held, t in zip(parts, FIELDS, strict=True):
+            held.append(np.frombuffer(data, t, n, at))
+            at += n * t.itemsize
+    return [np.concatenate(p) for p in parts]
 
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names))
 
-    def flush(held: list[np.ndarray], turn: int) -> pa.RecordBatch:
-        x = np.concatenate(held)
-        x = x[np.argsort(x["shingle"])]
-        first = np.flatnonzero(np.diff(x["shingle"].astype(np.uint64), prepend=x["shingle"][0] + np.uint64(1)))
-        counts = np.diff(np.append(first, len(x)))
+def _prefixes(k: int, percent: int, order, buckets: int):
+    """(bucket, packed rows). Negative buckets hold groups that one task has seen whole."""
+    bounds = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
+
+    def flush(held: list[tuple[np.ndarray, int, int]], turn: int) -> pa.RecordBatch:
+        lengths = np.array([len(s) for s, _, _ in held])
+        shingle = mix64(np.concatenate([s for s, _, _ in held]))
+        by = np.argsort(shingle)
+        shingle = shingle[by]
+        doc = np.repeat(np.array([d for _, d, _ in held], np.int64), lengths)[by]
+        n = np.repeat(np.array([m for _, _, m in held], np.int32), lengths)[by]
+        pos = (np.arange(len(by)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)[by]
+        first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        counts = np.diff(np.append(first, len(shingle)))
         crowd = np.repeat(counts > LOCAL_HOT, counts)
         names, blobs = [], []
         if crowd.any():  # these are groups anyway: they need not meet in one task
             names.append(-1 - turn % (1 << 20))
-            blobs.append(pack(x[crowd]))
-            x["n"][first[crowd[first]]] *= -1  # a stand-in: it tells the bucket of the group, and isn't returned
+            blobs.append(_packed((shingle[crowd], doc[crowd], n[crowd], pos[crowd]), 0, None))
+            n[first[crowd[first]]] *= -1  # a stand-in: it tells the bucket of the group, and isn't returned
             keep = ~crowd
             keep[first] = True
-            x = x[keep]
-        bucket = (mix64(x["shingle"]) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        x, bucket = x[by], bucket[by]
-        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(x)), strict=True):
-            names.append(int(bucket[a]))
-            blobs.append(pack(x[a:b]))
+            shingle, doc, n, pos = shingle[keep], doc[keep], n[keep], pos[keep]
+        starts = np.searchsorted(shingle, bounds)
+        for bucket, (a, b) in enumerate(pairwise([*starts.tolist(), len(shingle)])):
+            if a < b:
+                names.append(bucket)
+                blobs.append(_packed((shingle, doc, n, pos), a, b))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size, seen, turn = WordHashes(), [], 0, {}, None
-        o = order.value
-        for batch in sliced(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, memo, k)
-                if not len(s):
+        held, size, seen, turn = [], 0, {}, None
+        for batch in by_bytes(batches):
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k, order.value.keys), strict=True):
+                n = len(s)
+                if not n:
                     continue
                 turn = doc_id if turn is None else turn
-                digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
-                if seen.setdefault(digest, doc_id) < doc_id:
+                digest = hashlib.blake2b(s, digest_size=16).digest()
+                if seen.get(digest, doc_id + 1) <= doc_id:
                     continue  # an equal set with a smaller id stands for this one
-                n = len(s)
-                p = n - -(-percent * n // 100) + 1
-                rows = np.empty(p, ROWS)
-                rows["shingle"], rows["doc_id"], rows["n"], rows["pos"] = o.sort(s)[:p], doc_id, n, np.arange(p)
-                held.append(rows)
-                size += p
+                seen[digest] = doc_id
+                held.append((s[: n - -(-percent * n // 100) + 1].copy(), doc_id, n))
+                size += len(held[-1][0])
                 if size >= FLUSH:
                     yield flush(held, turn)
                     held, size, seen, turn = [], 0, {}, turn + 1
@@ -212,180 +244,217 @@ def _prefixes(k: int, percent: int, order, buckets: int):
     return run
 
 
-ROWS = np.dtype([("shingle", "<u8"), ("doc_id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+def _groups(part: pa.Table) -> pa.Table:
+    """The rows of shingles that several sets have."""
+    shingle, doc, n, pos = _unpacked(part.column("rows").to_pylist())
+    if part.column("bucket")[0].as_py() >= 0:
+        by = np.argsort(shingle)
+        s = shingle[by]
+        twice = np.append(s[1:] == s[:-1], False)
+        twice[1:] |= twice[:-1].copy()
+        by = by[twice & (n[by] > 0)]
+        shingle, doc, n, pos = shingle[by], doc[by], n[by], pos[by]
+    return pa.table({"shingle": pa.array(shingle.view(np.int64)), "doc_id": pa.array(doc), "n": pa.array(n), "pos": pa.array(pos)})
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    import zstandard
+# --- candidates and verification ---
 
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = np.empty(len(data) // ROWS.itemsize, ROWS), 0
-    for f in ROWS.names:
-        width = ROWS[f].itemsize * len(out)
-        out[f] = np.frombuffer(data[at : at + width], ROWS[f])
-        at += width
-    return out
 
+def _maps(k: int, order):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            sets = list(shingle_sets(batch.column(1), k, order.value.keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "map"])
 
-def _groups(part: pa.Table) -> pa.Table:
-    x = np.concatenate([_unpack(b) for b in part.column("rows").to_pylist()])
-    if part.column("bucket")[0].as_py() >= 0:
-        x = x[np.argsort(x["shingle"], kind="stable")]
-        first = np.flatnonzero(np.append(True, x["shingle"][1:] != x["shingle"][:-1]))
-        counts = np.diff(np.append(first, len(x)))
-        x = x[np.repeat(counts > 1, counts) & (x["n"] > 0)]
-    return pa.Table.from_arrays([pa.array(x["shingle"].view(np.int64) if x["shingle"].flags.c_contiguous else np.ascontiguousarray(x["shingle"]).view(np.int64)), pa.array(x["doc_id"]), pa.array(x["n"]), pa.array(x["pos"])], schema=MEMBERS_ARROW)
+    return run
 
 
-# --- verification ---
+def _whole_sets(k: int, order):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            keys = [s.tobytes() for s in shingle_sets(batch.column(1), k, order.value.keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["b", "keys"])
 
+    return run
 
-class PrefixTree:
-    """Of sets in the global order, with compressed edges: a node is a range of the sorted sets and a depth."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())  # big-endian bytes sort like numbers
-        self.sizes = np.array([len(sets[i]) for i in self.order])
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1000):
+            n, m = (batch.column(c).to_numpy() for c in (2, 3))
+            keep = overlap_bounds(n, m, _bitmaps(batch.column(4)), _bitmaps(batch.column(5))) >= needed(n, m, percent)
+            yield batch.select([0, 1, 3]).filter(pa.array(keep))
 
-    def linked(self, probe: np.ndarray, percent: int) -> list[int]:
-        """Numbers of the sets linked to the probe."""
-        out, n = [], len(probe)
-        stack = [(0, len(self.order), 0, 0)]  # range, depth, overlap so far
-        while stack:
-            lo, hi, depth, overlap = stack.pop()
-            sizes = self.sizes[lo:hi]
-            least, most = int(sizes.min()), int(sizes.max())
-            first, last = self.sets[self.order[lo]], self.sets[self.order[hi - 1]]
-            shared = min(len(first), len(last))
-            # elements all sets of the range have in common: of the sorted range's first and last one
-            differ = np.flatnonzero(first[depth:shared] != last[depth:shared])
-            end = depth + int(differ[0]) if len(differ) else shared
-            if end > depth:
-                edge = first[depth:end]
-                at = np.searchsorted(probe, edge)
-                overlap += int(np.count_nonzero(probe[np.minimum(at, n - 1)] == edge))
-            passed = int(np.searchsorted(probe, first[end - 1], "right")) if end else 0
-            if overlap + min(most - end, n - passed) < needed(n, least, percent):
-                continue
-            k = lo
-            while k < hi and self.sizes[k] == end:  # sets that end here come first
-                if overlap >= needed(n, end, percent):
-                    out.append(self.order[k])
-                k += 1
-            while k < hi:
-                branch, stop = self.sets[self.order[k]][end], k + 1
-                while stop < hi and self.sets[self.order[stop]][end] == branch:
-                    stop += 1
-                stack.append((k, stop, end, overlap))
-                k = stop
-        return out
+    return run
 
 
-def _verify(percent: int):
+def _cells(percent: int):
+    """Pairs of one cell that may be linked: in different components, allowed by sizes and places, and by the bitmaps."""
+
     def run(part: pa.Table) -> pa.Table:
-        ids, a = part.column("b").to_pylist(), part.column("a")[0].as_py()
-        sets = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
-        probes = [s for i, s in zip(ids, sets, strict=True) if i == a]
-        others = [(i, s) for i, s in zip(ids, sets, strict=True) if i != a]
-        found: set[int] = set()
-        if others:
-            tree = PrefixTree([s for _, s in others])
-            for p in probes:
-                found |= {others[k][0] for k in tree.linked(p, percent)}
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
+        probe = part.column("probe").to_numpy()
+        ids, labels, n, pos = (part.column(c).to_numpy() for c in ("doc_id", "label", "n", "pos"))
+        maps = _bitmaps(part.column("map"))
+        words = np.array([len(x) for x in maps])
+        same = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}  # maps of one length side by side
+        side = {w: np.stack([maps[i] for i in at]) for w, at in same.items()}
+        place = np.empty(len(maps), np.int64)
+        for at in same.values():
+            place[at] = np.arange(len(at))
+        members, a, b = np.flatnonzero(~probe), [], []
+        for i in np.flatnonzero(probe).tolist():
+            m = n[members]
+            least = needed(n[i], m, percent)
+            near = members[(labels[members] != labels[i]) & (np.minimum(n[i], m) >= least) & (np.minimum(n[i] - pos[i], m - pos[members]) >= least)]
+            for w in np.unique(words[near]).tolist():
+                some = near[words[near] == w]
+                least = min(w, len(maps[i]))
+                odd = np.bitwise_count(folded(side[w][place[some]], least) ^ folded(maps[i], least)).sum(1, dtype=np.int64)
+                near = near[~np.isin(near, some[(n[i] + n[some] - odd) // 2 < needed(n[i], n[some], percent)])]
+            a.append(np.minimum(ids[i], ids[near]))
+            b.append(np.maximum(ids[i], ids[near]))
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or empty)), "b": pa.array(np.concatenate(b or empty))})
 
     return run
 
 
-def _verify_block(percent: int):
-    def run(part: pa.Table) -> pa.Table:
-        ids, labels, probing = (part.column(c).to_pylist() for c in ("doc_id", "label", "probe"))
-        sets = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
-        members = [i for i, p in enumerate(probing) if not p]
-        tree, out = PrefixTree([sets[i] for i in members]) if members else None, set()
-        maps, sizes = np.array([wide_bitmap(sets[i]) for i in members]), np.array([len(sets[i]) for i in members])
-        for i, p in enumerate(probing):
-            if p and tree:
-                n = len(sets[i])
-                bound = (n + sizes - np.bitwise_count(maps ^ wide_bitmap(sets[i])).sum(1, dtype=np.int64)) // 2
-                if not (bound >= needed(n, sizes, percent)).any():
-                    continue  # no member can reach the threshold
-                first = {}  # one link to each other component is enough
-                for k in tree.linked(sets[i], percent):
-                    m = members[k]
-                    if labels[m] != labels[i]:
-                        first[labels[m]] = min(ids[m], first.get(labels[m], ids[m]))
-                out |= {(min(ids[i], m), max(ids[i], m)) for m in first.values()}
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+class PrefixTree:
+    """Sets in the global order as a prefix tree with compressed edges.
 
-    return run
+    Sets are sorted, and each set adds one run: what lies below the prefix that it shares with the set before it. A run
+    hangs on the run that holds the last shingle of that prefix, at that depth. So a shingle shared by many sets from the start is there once.
+    """
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())  # big-endian bytes sort like numbers
+        rows = [sets[i] for i in self.order]
+        self.sizes = np.array([len(s) for s in rows], np.int64)
+        self.depth = np.zeros(len(rows), np.int64)  # where each run starts
+        self.parent = np.full(len(rows), -1, np.int64)
+        level = np.zeros(len(rows), np.int64)
+        path: list[int] = []
+        for r, s in enumerate(rows):
+            if r:
+                before = rows[r - 1]
+                shared = min(len(before), len(s))
+                differ = np.flatnonzero(before[:shared] != s[:shared])
+                self.depth[r] = differ[0] if len(differ) else shared
+            while path and self.depth[path[-1]] >= self.depth[r]:
+                path.pop()
+            if path:
+                self.parent[r], level[r] = path[-1], level[path[-1]] + 1
+            path.append(r)
+        # sizes of all sets below a run: children stand behind their parents
+        self.least, self.most = self.sizes.copy(), self.sizes.copy()
+        for r in range(len(rows) - 1, -1, -1):
+            p = self.parent[r]
+            if p >= 0:
+                self.least[p], self.most[p] = min(self.least[p], self.least[r]), max(self.most[p], self.most[r])
+        self.levels = [np.flatnonzero(level == v) for v in range(int(level.max(initial=-1)) + 1)]
+        self.start = np.concatenate([[0], np.cumsum(self.sizes - self.depth)])
+        self.elements = np.concatenate([s[d:] for s, d in zip(rows, self.depth.tolist(), strict=True)]) if rows else np.empty(0, np.uint64)
 
-def _possible(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2000):
-            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
-            keep = [i for i in range(len(a)) if overlap_bound(n[i], m[i], x[i], y[i]) >= needed(n[i], m[i], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], ["a", "b"])
+    def linked(self, probe: np.ndarray, percent: int) -> list[int]:
+        """Numbers of the sets linked to the probe. A level of the tree at a time; subtrees that can't reach the threshold are left."""
+        n, out = len(probe), []
+        place = np.full(len(self.order), -1, np.int64)
+        runs = self.levels[0] if self.levels else np.empty(0, np.int64)
+        overlap, passed = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        for depth, _ in enumerate(self.levels):
+            rest = np.minimum(self.most[runs] - self.depth[runs], n - passed)
+            open_ = overlap + rest >= needed(n, self.least[runs], percent)
+            runs, overlap = runs[open_], overlap[open_]
+            if not len(runs):
+                break
+            lengths = self.start[runs + 1] - self.start[runs]
+            base = np.cumsum(lengths) - lengths
+            elements = self.elements[np.repeat(self.start[runs] - base, lengths) + np.arange(int(lengths.sum()))]
+            at = np.searchsorted(probe, elements)
+            hit = probe[np.minimum(at, n - 1)] == elements
+            total = np.concatenate([[0], np.cumsum(hit)])
+            whole = overlap + total[base + lengths] - total[base]
+            found = whole >= needed(n, self.sizes[runs], percent)
+            out += [self.order[r] for r in runs[found].tolist()]
+            if depth + 1 == len(self.levels):
+                break
+            place[runs] = np.arange(len(runs))
+            below = self.levels[depth + 1]
+            below = below[place[self.parent[below]] >= 0]
+            up = place[self.parent[below]]
+            end = base[up] + self.depth[below] - self.depth[self.parent[below]]
+            overlap, passed = overlap[up] + total[end] - total[base[up]], at[end - 1] + hit[end - 1]
+            place[runs] = -1
+            runs = below
+        return out
 
-    return run
 
+def _verify(percent: int):
+    """Rows (a, b, keys): the set of a where b = a, else one to be compared with it."""
 
-def _full_sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in sliced(batches):
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shingle_set(t, memo, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["b", "set"])
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("a")
+        a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
+        keys = part.column("keys").combine_chunks()
+        starts, out = np.flatnonzero(np.append(True, a[1:] != a[:-1])), set()
+        for first, stop in pairwise([*starts.tolist(), len(a)]):
+            sets = [np.frombuffer(x, np.uint64) for x in keys.slice(first, stop - first).to_pylist()]
+            own = int(a[first])
+            others = [i for i in range(stop - first) if b[first + i] != own]
+            tree = PrefixTree([sets[i] for i in others])
+            for i in range(stop - first):
+                if b[first + i] == own:
+                    out |= {(own, int(b[first + others[k]])) for k in tree.linked(sets[i], percent)}
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=PAIR_ARROW)
 
     return run
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, scratch: Scratch, k: int, percent: int):
-        self.docs, self.scratch, self.k, self.percent = docs, scratch, k, percent
-
-    def sets_of(self, ids: DataFrame, label: str) -> DataFrame:
-        """b, set: the whole sets of some nodes."""
-        ids = self.scratch.save(ids.distinct(), f"{label}-ids")
-        full = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_full_sets(self.k)), "b long, set binary")
-        return self.scratch.save(full, f"{label}-sets")
-
-    def block_links(self, members: DataFrame, label: str) -> DataFrame:
-        """Links between different components of a block. members: block, doc_id, label."""
-        by_label = members.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = by_label.groupBy("block").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("n"), F.max("n").alias("m"))
-        parts = largest.select("block", "largest", F.ceil(F.col("n") / BLOCK_PART).cast("long").alias("trees"), F.ceil((F.col("n") - F.col("m")) / BLOCK_PART).cast("long").alias("batches")).where("batches > 0")
-        m = members.join(parts, "block")
-        tree, batch = F.pmod(F.xxhash64("doc_id"), F.col("trees")), F.pmod(F.xxhash64("doc_id"), F.col("batches"))
-        zero = F.lit(0).cast("long")
-        in_trees = m.select("block", "doc_id", "label", F.lit(False).alias("probe"), tree.alias("tree"), F.explode(F.sequence(zero, F.col("batches") - 1)).alias("batch"))
-        probes = m.where("label <> largest").select("block", "doc_id", "label", F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("trees") - 1)).alias("tree"), batch.alias("batch"))
-        full = self.sets_of(members.select("doc_id"), label).withColumnRenamed("b", "doc_id")
-        found = in_trees.unionByName(probes).join(full, "doc_id").groupBy("block", "tree", "batch").applyInArrow(trimmed(_verify_block(self.percent)), "a long, b long")
-        return self.scratch.save(found, f"{label}-links")
-
-    def links(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-        """The pairs (a < b) that are linked."""
-        left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("bitmap").alias("x"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("bitmap").alias("y"))
-        likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(trimmed(_possible(self.percent)), "a long, b long")
-        likely = self.scratch.save(likely.distinct(), f"{label}-likely")
-        full = self.sets_of(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), label)
-        # a set with very many candidates is compared in several groups
-        parts = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY_GROUP).cast("int").alias("parts"))
+    """docs: doc_id, text. members: doc_id, n, map of every set that shares a prefix shingle with another one."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, scratch: Scratch, k: int, percent: int, order):
+        self.docs, self.members, self.scratch, self.k, self.percent, self.order = docs, members, scratch, k, percent, order
+
+    def in_cells(self, groups: DataFrame) -> DataFrame:
+        """Candidates of large groups. groups: shingle, doc_id, n, pos, label, members."""
+        by_label = groups.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members"))
+        cells = by_label.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("most"), F.first("members").alias("members"))
+        trees, batches = (F.ceil(x / CELL).cast("long") for x in (F.col("members"), F.col("members") - F.col("most.c")))
+        cells = cells.select("shingle", F.col("most.label").alias("largest"), trees.alias("trees"), batches.alias("batches"))
+        m = groups.drop("members").join(cells, "shingle").join(self.members.select("doc_id", "map"), "doc_id")
+        tree, batch, zero = F.pmod(F.xxhash64("doc_id"), F.col("trees")), F.pmod(F.xxhash64("doc_id"), F.col("batches")), F.lit(0).cast("long")
+        row = ["shingle", "doc_id", "n", "pos", "label", "map"]
+        all_ = m.select(*row, F.lit(False).alias("probe"), tree.alias("tree"), F.explode(F.sequence(zero, F.col("batches") - 1)).alias("batch"))
+        probes = m.where("label <> largest").select(*row, F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("trees") - 1)).alias("tree"), batch.alias("batch"))
+        return all_.unionByName(probes).groupBy("shingle", "tree", "batch").applyInArrow(trimmed(_cells(self.percent)), PAIR)
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, m) that the bitmaps let through; m is the size of b's set."""
+        left = self.members.select(F.col("doc_id").alias("a"), "n", F.col("map").alias("x"))
+        right = self.members.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("map").alias("y"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(trimmed(_possible(self.percent)), "a long, b long, m int")
+
+    def links(self, likely: DataFrame, label: str) -> DataFrame:
+        """The linked ones of the pairs (a, b, m). A set with very many candidates is compared in several trees."""
+        likely = self.scratch.save(likely, f"{label}-likely")
+        heads = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("shingles"))
+        buckets = max(parallelism(likely.sparkSession), int((likely.agg(F.sum("m")).first()[0] or 0) // VERIFY_SHINGLES) + 1)
+        parts = heads.select("a", F.greatest(F.ceil(F.col("c") / VERIFY_GROUP), F.ceil(F.col("shingles") / VERIFY_SHINGLES)).cast("int").alias("parts"))
         jobs = likely.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-        jobs = jobs.unionByName(parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part")))
-        found = jobs.join(full, "b").groupBy("a", "part").applyInArrow(trimmed(_verify(self.percent)), "a long, b long")
-        return self.scratch.save(found, f"{label}-links")
+        jobs = jobs.unionByName(parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part")))
+        ids = self.scratch.save(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{label}-ids")
+        sets = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_whole_sets(self.k, self.order)), "b long, keys binary")
+        jobs = self.scratch.save(jobs.select("a", "b", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket")), f"{label}-jobs")
+        jobs = sets.join(broadcast_if(jobs, IDS_BROADCAST), "b").select("bucket", "a", "b", "keys")
+        return self.scratch.save(jobs.groupBy("bucket").applyInArrow(trimmed(_verify(self.percent)), PAIR), f"{label}-links")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
-    Empty and null texts have no shingle and no link. Rows that repeat an id are one node, with the links of all their texts.
-    A null id has no component. Texts of any length are whole sets. An empty table gives an empty result.
+    Ids are whole numbers (or cast to them). Empty and null texts have no shingle and no link. Rows that repeat an id are one node, with the links of all
+    their texts. A null id has no component. Texts of any length are whole sets. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -393,28 +462,39 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     path = f"{scratch.root}/sets"
     rows.mapInArrow(trimmed(_sets(shingle)), SETS).write.partitionBy("kind").parquet(path)
     both = spark.read.schema(SETS.replace("kind string, ", "") + ", kind string").parquet(path)
-    sets = both.where("kind = 'set'").select("doc_id", "n_shingles", "set_id", "bitmap")
+    sets = both.where("kind = 'set'").select("doc_id", "n_shingles", "set_id")
     known = rows.where("doc_id IS NOT NULL")
     nodes = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    first = nodes.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = scratch.save(nodes.join(first, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
+
+    # equal sets: the smallest id stands for all. Ids with several sets can't be left out, they tie what their sets are equal to
+    first = nodes.groupBy("set_id").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    copies = scratch.save(nodes.join(first, "set_id").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "copies")
+    several = scratch.save(nodes.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id"), "several")
+    several = broadcast_if(several, COPIES_BROADCAST)
+    equal = copies.join(several, F.col("b") == F.col("doc_id"), "left_anti")
+    tied = copies.join(several, F.col("b") == F.col("doc_id"), "left_semi")
 
     shift = max(0, RANGE_BITS - max(4, int(total * COUNTED / 256 // RANGE_ROWS).bit_length()))
     low = both.where("kind = 'low'").select("range", "low", F.shiftright("range", shift).alias("part"))
-    hot = low.groupBy("part").applyInArrow(trimmed(_hot_in_range), "key long, n long")
-    hot = hot.orderBy(F.desc("n"), "key").limit(HOT_LIST).select("key").toPandas()["key"].to_numpy(np.int64)  # at most HOT_LIST keys of 8 bytes
-    order = spark.sparkContext.broadcast(Order(np.sort(hot)))
+    hot = low.groupBy("part").applyInArrow(trimmed(_hot_in_range), "name long, n long")
+    hot = hot.orderBy(F.desc("n"), "name").limit(HOT_LIST).toPandas()  # at most HOT_LIST rows of 16 bytes
+    order = spark.sparkContext.broadcast(Order(hot["name"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
 
     buckets = max(parallelism(spark), int(total * (100 - percent) / 100 // BUCKET_ROWS) + 1)
     groups = known.mapInArrow(trimmed(_prefixes(shingle, percent, order, buckets)), "bucket long, rows binary").groupBy("bucket").applyInArrow(trimmed(_groups), MEMBERS)
-    equal = copies.select(F.col("b").alias("doc_id")).distinct()
-    groups = scratch.save(groups.join(broadcast_if(equal, COPIES_BROADCAST), "doc_id", "left_anti"), "all")
+    groups = scratch.save(groups.join(broadcast_if(equal.select(F.col("b").alias("doc_id")), COPIES_BROADCAST), "doc_id", "left_anti"), "all")
     # shingles with the same members say the same; the first of them in the order stands for all (it has the smallest positions)
-    who = groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("t"), F.sum("pos").alias("p")).where("c > 1")
-    classes = who.groupBy("c", "s", "t").agg(F.min(F.struct("p", "shingle"))["shingle"].alias("shingle"), F.count(F.lit(1)).alias("stands_for"))
+    h, g = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    who = groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(h).alias("s"), F.bit_xor(g).alias("t"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("u"), F.sum("pos").alias("p")).where("c > 1")
+    classes = who.groupBy("c", "s", "t", "u").agg(F.min(F.struct("p", "shingle"))["shingle"].alias("shingle"), F.count(F.lit(1)).alias("stands_for"))
     classes = scratch.save(classes.select("shingle", "stands_for"), "classes")
     groups = scratch.save(groups.join(broadcast_if(classes, CLASSES_BROADCAST), "shingle"), "groups")
+    scratch.drop("all")
+    ids = scratch.save(groups.select("doc_id").distinct(), "ids")
+    members = known.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text")
+    members = scratch.save(members.mapInArrow(trimmed(_maps(shingle, order)), "doc_id long, n int, map binary"), "members")
+    join = _Join(known, members, scratch, shingle, percent, order)
 
     def fits(n, m, i, j):
         """Sizes allow the link, and so does this shingle if it is the first one that both have."""
@@ -423,36 +503,31 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     hubs = groups.groupBy("doc_id", "n").agg((F.sum("stands_for") / F.first(prefix)).alias("shared"))
-    hubs = scratch.save(groups.join(hubs, ["doc_id", "n"]), "hubs")
+    hubs = groups.join(hubs, ["doc_id", "n"])
     best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("pos").alias("j")))
-    heads = hubs.groupBy("shingle").agg(best.alias("h"), F.count_distinct("doc_id").alias("members")).where("members > 1").select("shingle", "h.*")
-    stars = groups.join(heads, "shingle").where((F.col("hub") != F.col("doc_id")) & fits("n", "m", "pos", "j"))
-    stars = stars.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    stars = scratch.save(stars, "stars")
-    join = _Join(known, scratch, shingle, percent)
-    one_each = nodes.join(broadcast_if(equal, COPIES_BROADCAST), "doc_id", "left_anti") if not equal.isEmpty() else nodes
-    links = join.links(stars, one_each, "first")
+    heads = scratch.save(hubs.groupBy("shingle").agg(best.alias("h")).select("shingle", "h.hub", "h.m", "h.j"), "heads")
+    stars = groups.join(broadcast_if(heads, CLASSES_BROADCAST), "shingle").where((F.col("hub") != F.col("doc_id")) & fits("n", "m", "pos", "j"))
+    stars = scratch.save(stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    links = join.links(join.possible(stars), "first").unionByName(tied)
     merged = components(links, scratch, "merged")
 
-    labelled = groups.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    labelled = groups.join(broadcast_if(merged.withColumnRenamed("node", "doc_id"), COPIES_BROADCAST), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component", "stands_for")
     labelled = scratch.save(labelled, "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("head")).where("p < q")
-    open_ = scratch.save(labelled.join(mixed.drop("p", "q"), "shingle"), "open")
+    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("members")).where("p < q").select("shingle", "members")
+    open_ = scratch.save(labelled.join(broadcast_if(scratch.save(mixed, "mixed"), CLASSES_BROADCAST), "shingle"), "open")
     few = open_.where(F.col("members") <= PAIRS)
     other = few.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("label").alias("other"))
     pairs = few.join(other, "shingle").where((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("other")) & fits("n", "m", "pos", "j"))
-    pairs = scratch.save(pairs.select(F.col("doc_id").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    found = [] if pairs.isEmpty() else [join.links(pairs, one_each, "second")]
+    pairs = pairs.select(F.col("doc_id").alias("a"), "b")
     many = open_.where(F.col("members") > PAIRS)
     if not many.isEmpty():
-        blocks = components(many.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), scratch, "blocks")
-        members = many.select("doc_id", "label").distinct().join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-        found.append(join.block_links(scratch.save(members, "members"), "block"))
-    if found:
-        links = reduce(DataFrame.unionByName, [links, *found])
-        merged = components(links, scratch, "all")
-    out = sets.select("doc_id", "n_shingles").join(copies.withColumnRenamed("b", "doc_id"), "doc_id", "left").withColumn("node", F.coalesce("a", "doc_id")).drop("a")
-    return out.join(merged, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+        pairs = pairs.unionByName(scratch.save(join.in_cells(many), "cells"))
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.save(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        merged = components(reduce(DataFrame.unionByName, [links, join.links(join.possible(pairs), "second")]), scratch, "all")
+    out = sets.select("doc_id", "n_shingles").join(broadcast_if(equal.withColumnRenamed("b", "doc_id"), COPIES_BROADCAST), "doc_id", "left").withColumn("node", F.coalesce("a", "doc_id")).drop("a")
+    return out.join(broadcast_if(merged, COPIES_BROADCAST), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

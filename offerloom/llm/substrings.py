@@ -6,14 +6,14 @@
    candidate windows. The candidate windows of one anchor in one document form a segment. Equal
    segments of several documents are merged first and keep their smallest document, so large groups
    of copies shrink to one segment before anything is gathered.
-3. A shard's distinct segments are indexed: suffix order up to the window length, Burrows-Wheeler
-   transform over word ids, and a wavelet matrix of bit vectors with rank counts. The segments are then streamed
-   against it: backward search extends every match by a word to the left and drops the last word of matches that have
-   reached the window length, which gives the matching statistics capped at that length. A match of full length is
-   reported with the smallest document among its occurrences.
+3. A shard's distinct segments are indexed: a run-length FM-index, which is a wavelet matrix over the heads of the
+   Burrows-Wheeler transform's runs, a bit vector of where runs start, and summed run lengths. Neither texts nor suffixes are kept. The
+   segments are then streamed against it: backward search extends every match by a word to the left, and shortens it from the right as far as
+   needed where that word doesn't fit, which gives matching statistics. Where they reach ``min_words``, the window
+   is reported with the smallest document of its block of rows.
 4. An anchor with more than SHARD_SEGMENTS distinct segments (a passage that very many documents quote between texts of their own) would
-   make a shard too large. Its windows are matched by an aggregation over their 128-bit hashes instead, which has no hot
-   group: equal windows are merged map-side.
+   make a shard too large. Of its windows those that two documents have are found by an aggregation over their 128-bit hashes, which merges map-side; each
+   of them becomes a segment of its own, dealt by its hash, and goes through the index like the others.
 
 Reports are joined back to the documents that have the segment, and a word goes if a window over it also
 starts in a document with a smaller id.
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, gram_hashes, parallelism, sliced, table
+from .common import SPACES, Scratch, broadcast_if, by_bytes, gram_hashes, parallelism, sliced, table, trimmed, words_of
 
 GRAM, MIN_WORDS = 20, 50
-SHARD_SEGMENTS = 1500
+SHARD_SEGMENTS = 3000
+#: Repeated windows of hot anchors are broadcast up to so many rows of 30 bytes.
+WINDOWS_BROADCAST = 1_000_000
 PLACE_BITS = 30
 
 ANCHORS = "doc_id long, anchor long"
@@ -70,13 +72,13 @@ def window_anchors(grams: np.ndarray, span: int) -> np.ndarray:
 
 def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in sliced(batches):
+        for batch in by_bytes(batches):
             ids, out = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or b"").split()
-                if len(words) >= min_words:
-                    g = gram_hashes(memo.of(words, len(words)), GRAM)
+            w = words_of(batch.column(1))
+            grams = gram_hashes(w.hashes, GRAM)
+            for doc_id, first, end in zip(batch.column(0).to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                if end - first >= min_words:
+                    g = grams[first : end - GRAM + 1]
                     a = np.unique(g[np.unique(window_anchors(g, min_words - GRAM + 1))])
                     out.append(a.view(np.int64))
                     ids.append(np.full(len(a), doc_id, np.int64))
@@ -86,27 +88,41 @@ def _anchors(min_words: int):
     return run
 
 
+def _joined(w, first: int, end: int) -> bytes:
+    """Words first..end of a chunk of texts with one space between them."""
+    if first >= end:
+        return b""
+    at = int(w.starts[first])
+    data = w.data[at : w.ends[end - 1]]
+    gaps = SPACES[data]
+    if np.count_nonzero(gaps) == end - first - 1:
+        return np.where(gaps, np.uint8(0x20), data).tobytes()
+    return b" ".join(data.tobytes().split())
+
+
 def _cut(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in sliced(batches):
+        for batch in by_bytes(batches, 2):
             rows = []
-            for doc_id, key, text, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words, segments = (text or b"").split(), []
+            w = words_of(batch.column(2))
+            grams = gram_hashes(w.hashes, GRAM)
+            ends = zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)
+            for (first, end), doc_id, key, text, marks in zip(ends, *[c.to_pylist() for c in batch.columns], strict=True):
+                segments = []
                 if marks:
-                    g = gram_hashes(memo.of(words, len(words)), GRAM)
+                    g = grams[first : end - GRAM + 1]
                     place = window_anchors(g, min_words - GRAM + 1)
                     open_ = np.flatnonzero(np.isin(g[place].view(np.int64), np.array(marks, np.int64)))
                     if len(open_):
                         breaks = np.flatnonzero((np.diff(open_) != 1) | (np.diff(place[open_]) != 0)) + 1
                         for run_ in np.split(open_, breaks):
                             s, e = int(run_[0]), int(run_[-1])
-                            piece = b" ".join(words[s : e + min_words])
+                            piece = _joined(w, first + s, first + e + min_words)
                             segments.append({"anchor": int(g[place[s]].view(np.int64)), "id": hashlib.blake2b(piece, digest_size=16).digest(), "at": s, "windows": e - s + 1})
                 if segments:
-                    rows.append(("open", doc_id, key, len(words), None, text, segments))
+                    rows.append(("open", doc_id, key, end - first, None, text, segments))
                 else:
-                    rows.append(("done", doc_id, key, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None))
+                    rows.append(("done", doc_id, key, end - first, hashlib.sha256(_joined(w, first, end)).hexdigest(), None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), CUT_ARROW.types, strict=True)], schema=CUT_ARROW)
 
@@ -140,19 +156,30 @@ def _pieces(min_words: int):
 # --- the index ---
 
 
+class Bits:
+    """A bit vector with rank: eight bytes of bits and four of a count for each 64 places."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(8 - len(packed) % 8, np.uint8)]).view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class WaveletMatrix:
     """Rank over a sequence of symbols: a bit vector for each bit of the symbols, the highest first."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.bits = max(1, int(sigma - 1).bit_length())
-        self.words, self.ones, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         x = symbols.astype(np.uint32)
         for level in range(self.bits - 1, -1, -1):
             bit = ((x >> np.uint32(level)) & np.uint32(1)).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            packed = np.concatenate([packed, np.zeros(8 - len(packed) % 8, np.uint8)]).view(np.uint64)
-            self.words.append(packed)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]).astype(np.int32))
+            self.levels.append(Bits(bit))
             self.zeros.append(int(len(x) - np.count_nonzero(bit)))
             x = np.concatenate([x[~bit], x[bit]])
         # where each symbol's occurrences start in the last level
@@ -160,9 +187,7 @@ class WaveletMatrix:
 
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.bits - 1, -1, -1)):
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.ones[k][word] + np.bitwise_count(self.words[k][word] & below)
+            ones = self.levels[k].rank(at)
             at = np.where((symbols >> level) & 1, self.zeros[k] + ones, at - ones)
         return at
 
@@ -172,86 +197,121 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Of texts (arrays of word ids from 1 on; a 0 ends each), for matches of up to ``depth`` words."""
+    """Of texts (arrays of word ids from 1 on; a 0 ends each) with a number each, for matches of up to ``depth`` words.
+
+    Kept are the Burrows-Wheeler transform in runs (a wavelet matrix of their heads, a bit vector of their starts, two numbers a run), the common
+    prefix of neighbouring rows up to depth (a byte a row), and for each block of rows that agree in depth words the smallest number of their texts.
+    """
 
-    def __init__(self, texts: list[np.ndarray], sigma: int, depth: int):
-        lengths = np.array([len(t) + 1 for t in texts])
-        t = np.zeros(int(lengths.sum()), np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    def __init__(self, texts: list[np.ndarray], sigma: int, depth: int, numbers: np.ndarray | None = None):
+        lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        n = int(lengths.sum())
+        t = np.zeros(n, np.int64)
+        starts = np.cumsum(lengths) - lengths
         for s, x in zip(starts.tolist(), texts, strict=True):
             t[s : s + len(x)] = x
-        n = len(t)
-        rank, size, ranks = t.astype(np.int32), 1, {}
-        order = None
-        while True:
-            if size & depth or size & (depth - 1):
-                ranks[size] = rank
-            if size >= depth:
-                break
+        numbers = np.zeros(len(texts), np.int64) if numbers is None else numbers
+        rank, size, ranks = t.astype(np.int32), 1, []
+        order = np.argsort(t, kind="stable")
+        while size < depth:
+            ranks.append((size, rank))
             key = rank.astype(np.int64) << 32
-            if size < n:
-                key[: n - size] += rank[size:] + 1
+            key[: max(0, n - size)] += rank[size:] + 1
             order = np.argsort(key)
             key = key[order]
             rank = np.empty(n, np.int32)
-            rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+            rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])[:n]
             size *= 2
-        del key
-        self.order = order if order is not None else np.argsort(t, kind="stable")
-        self.text_at = np.searchsorted(starts, self.order, "right") - 1
-        bwt = t[self.order - 1]
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=sigma))])[:-1]
-        self.wavelet = WaveletMatrix(bwt, sigma)
-        self.rows = n
-        self._ranks = ranks
-
-    def blocks(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """First row and end of each row's block of rows that agree in depth words."""
-        new, at = np.zeros(self.rows, bool), self.order
-        for size in sorted((k for k in self._ranks if k & depth), reverse=True):
-            r = np.where(at < self.rows, self._ranks[size][np.minimum(at, self.rows - 1)], -1)
-            new[1:] |= r[1:] != r[:-1]
-            at = at + size
-        new[0] = True
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, self.rows))
-        return np.repeat(first, sizes), np.repeat(first + sizes, sizes)
+        ranks.append((size, rank))
+        common = np.zeros(n + 1, np.int64)  # of each row with the one before it; none at both ends
+        a, b = order[:-1].copy(), order[1:].copy()
+        for step, r in reversed(ranks):
+            inside = (a < n) & (b < n)
+            same = inside & (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)])
+            common[1:n] += np.where(same, step, 0)
+            a, b = a + step * same, b + step * same
+        self.rows, self.depth = n, depth
+        self.common = np.minimum(common, depth).astype(np.uint8)
+        self.blocks = Bits(self.common[:n] < depth)
+        self.least = np.minimum.reduceat(numbers[np.searchsorted(starts, order, "right") - 1], np.flatnonzero(self.common[:n] < depth)) if n else numbers
+        bwt = t[order - 1]
+        head = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1])) if n else np.empty(0, np.int64)
+        self.starts = Bits(np.isin(np.arange(n), head))
+        self.heads = WaveletMatrix(bwt[head], sigma)
+        by_symbol = np.argsort(bwt[head], kind="stable")
+        ends = np.append(head[1:], n)
+        self.run_end = ends[by_symbol].astype(np.int32)
+        self.summed = np.concatenate([[0], np.cumsum((ends - head)[by_symbol])]).astype(np.int32)
+        self.first_run = np.searchsorted(bwt[head][by_symbol], np.arange(sigma + 1)).astype(np.int32)
+        self._edges: dict[int, np.ndarray] = {}
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: rows that start with the symbol and then what the rows lo..hi start with."""
-        c = self.before[symbols]
-        return c + self.wavelet.rank(symbols, lo), c + self.wavelet.rank(symbols, hi)
-
-
-def smallest_documents(texts: list[np.ndarray], docs: np.ndarray, sigma: int, depth: int) -> list[np.ndarray]:
-    """For each text and each of its windows of ``depth`` words, the smallest document with that window."""
-    index = FMIndex(texts, sigma, depth)
-    cut_first, cut_end = index.blocks(depth - 1)
-    full_first, _ = index.blocks(depth)
-    heads = np.unique(full_first)
-    least = np.minimum.reduceat(docs[index.text_at], heads)
-    row_least = np.repeat(least, np.diff(np.append(heads, index.rows)))
-    lengths = np.array([len(t) for t in texts])
-    lanes = np.argsort(-lengths, kind="stable")
-    n = lengths[lanes]
-    ends = np.cumsum(lengths)
-    flat = np.concatenate(texts)
-    last = ends[lanes] - 1  # place of each lane's last word
-    lo, hi = np.zeros(len(lanes), np.int64), np.full(len(lanes), index.rows, np.int64)
-    out = [np.empty(max(0, len(t) - depth + 1), np.int64) for t in texts]
-    found = np.empty(len(flat), np.int64)
-    for step in range(int(n[0])):
-        k = int(np.searchsorted(-n, -step, "left"))  # lanes longer than step
-        a, b = lo[:k], hi[:k]
-        if step >= depth:  # the match has full length: give up its last word
-            a, b = cut_first[a], cut_end[a]
-        a, b = index.extend(flat[last[:k] - step], a, b)
-        lo[:k], hi[:k] = a, b
-        if step >= depth - 1:
-            found[last[:k] - step] = row_least[a]
-    for i, (e, m) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True)):
-        out[i] = found[e - m : e - depth + 1]
-    return out
+        c, at = np.concatenate([symbols, symbols]), np.concatenate([lo, hi])
+        first = self.first_run[c]
+        run = first + self.heads.rank(c, self.starts.rank(at))  # runs of the symbol that start before the place
+        over = np.where(run > first, np.maximum(self.run_end[run - 1] - at, 0), 0)
+        rows = self.summed[run] - over
+        return rows[: len(lo)], rows[len(lo) :]
+
+    def widen(self, lo: np.ndarray, hi: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows that agree with the rows lo..hi in so many words."""
+        if not words:
+            return np.zeros_like(lo), np.full_like(hi, self.rows)
+        if words not in self._edges:
+            self._edges[words] = np.flatnonzero(self.common < words).astype(np.int32)
+        edges = self._edges[words]
+        return edges[np.searchsorted(edges, lo, "right") - 1], edges[np.searchsorted(edges, hi, "left")]
+
+    def matching_statistics(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each place of each text (a -1 is a word that the index lacks): the length of the longest match that starts there, up to
+        depth, and where it is depth the smallest number of the texts that have it, else -1. All texts go right to left side by side."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        lanes = np.argsort(-lengths, kind="stable")
+        n = lengths[lanes]
+        ends = np.cumsum(lengths)
+        flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
+        last = ends[lanes] - 1
+        lo, hi, size = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.rows, np.int64), np.zeros(len(lanes), np.int64)
+        found, match = np.full(len(flat), -1, np.int64), np.zeros(len(flat), np.int64)
+        for step in range(int(n[0]) if len(n) else 0):
+            k = int(np.searchsorted(-n, -step, "left"))  # lanes longer than step
+            places = last[:k] - step
+            symbols = flat[places]
+            full = np.flatnonzero(size[:k] == self.depth)  # a match of full length gives up its last word
+            if len(full):
+                lo[full], hi[full] = self.widen(lo[full], hi[full], self.depth - 1)
+                size[full] = self.depth - 1
+            todo = np.arange(k)
+            missing = symbols < 0
+            if missing.any():
+                gone = todo[missing]
+                lo[gone], hi[gone], size[gone] = 0, self.rows, 0
+                todo = todo[~missing]
+            while len(todo):
+                a, b = self.extend(symbols[todo], lo[todo], hi[todo])
+                fits = a < b
+                good = todo[fits]
+                lo[good], hi[good] = a[fits], b[fits]
+                size[good] += 1
+                todo = todo[~fits]
+                todo = todo[size[todo] > 0]  # a word alone that doesn't fit starts anew with the next one
+                if len(todo):
+                    shorter = np.maximum(self.common[lo[todo]], self.common[hi[todo]]).astype(np.int64)
+                    for words in np.unique(shorter).tolist():
+                        part = todo[shorter == words]
+                        lo[part], hi[part] = self.widen(lo[part], hi[part], words)
+                        size[part] = words
+            match[places] = size[:k]
+            whole = np.flatnonzero(size[:k] == self.depth)
+            found[places[whole]] = self.least[self.blocks.rank(lo[whole] + 1) - 1]
+        cuts = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
+        return [match[a:b] for a, b in cuts], [found[a:b] for a, b in cuts]
+
+
+def word_ids(texts: list[bytes], known: dict[bytes, int]) -> list[np.ndarray]:
+    """Texts of words with one space between them as arrays of ids; new words get the next ids."""
+    return [np.array([known.setdefault(w, len(known) + 1) for w in t.split(b" ")], np.int64) for t in texts]
 
 
 def _as_runs(docs: np.ndarray) -> list[dict]:
@@ -260,38 +320,51 @@ def _as_runs(docs: np.ndarray) -> list[dict]:
 
 
 def _search_shard(min_words: int):
-    def run(pieces: pa.Table) -> pa.Table:
-        anchors, ids, docs, words = (pieces.column(c).to_pylist() for c in ("anchor", "id", "doc_id", "words"))
-        several = set()
-        seen = set()
-        for a in anchors:
-            (several if a in seen else seen).add(a)
-        runs: list = [None] * len(ids)
-        lanes = [i for i, a in enumerate(anchors) if a in several]
-        for i, a in enumerate(anchors):
-            if a not in several:  # all documents with this anchor agree
-                runs[i] = [{"start": 0, "end": words[i].count(b" ") + 2 - min_words, "doc_id": docs[i]}]
-        if lanes:
-            known: dict[bytes, int] = {}
-            texts = [np.array([known.setdefault(w, len(known) + 1) for w in words[i].split(b" ")], np.int64) for i in lanes]
-            for i, least in zip(lanes, smallest_documents(texts, np.array([docs[i] for i in lanes]), len(known) + 1, min_words), strict=True):
-                runs[i] = _as_runs(least)
-        return pa.Table.from_arrays([pa.array(anchors, pa.int64()), pa.array(ids, pa.binary()), pa.array(runs, RUNS)], schema=REPORTS_ARROW)
+    def run(part: pa.Table) -> pa.Table:
+        ids, docs, words = (part.column(c).to_pylist() for c in ("id", "doc_id", "words"))
+        known: dict[bytes, int] = {}
+        texts = word_ids(words, known)
+        del words
+        index = FMIndex(texts, len(known) + 1, min_words, np.array(docs, np.int64))
+        _, least = index.matching_statistics(texts)
+        runs = [_as_runs(x[: len(x) - min_words + 1]) for x in least]
+        return pa.Table.from_arrays([part.column("anchor").combine_chunks(), pa.array(ids, pa.binary()), pa.array(runs, RUNS)], schema=REPORTS_ARROW)
+
+    return run
+
+
+def _word_places(piece: bytes) -> list[int]:
+    """Where the words of a piece start, and one place behind the space that would follow it."""
+    return [0, *(np.flatnonzero(np.frombuffer(piece, np.uint8) == 0x20) + 1).tolist(), len(piece) + 1]
+
+
+def _single(min_words: int):
+    """The window of each piece that starts at the word ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1000):
+            words = []
+            for piece, at in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                ends = _word_places(piece)
+                words.append(piece[ends[at] : ends[at + min_words] - 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary())], ["anchor", "id", "doc_id", "words"])
 
     return run
 
 
 def _windows(min_words: int):
+    """Each window of a piece with its hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
             while part := list(itertools.islice(rows, 500)):
                 out = []
                 for anchor, id_, doc_id, last_doc, piece in part:
-                    words = piece.split(b" ")
-                    for s in range(len(words) - min_words + 1):
-                        out.append((anchor, id_, doc_id, last_doc, s, hashlib.blake2b(b" ".join(words[s : s + min_words]), digest_size=16).digest()))
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    ends = _word_places(piece)
+                    for s in range(len(ends) - min_words):
+                        out.append((anchor, id_, doc_id, last_doc, s, hashlib.blake2b(piece[ends[s] : ends[s + min_words] - 1], digest_size=16).digest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["anchor", "id", "doc_id", "last_doc", "at", "window"])
 
     return run
@@ -323,7 +396,7 @@ def _finish(min_words: int):
 def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed spans (in words) of every row.
 
-    min_words is at least 21. Null texts have no words. Rows that repeat an id don't remove each other's words, whatever
+    min_words is at least 21, ids are whole numbers (or cast to them). Null texts have no words. Rows that repeat an id don't remove each other's words, whatever
     their texts; rows with a null id lose nothing and remove nothing. An empty table gives an empty result.
     """
     if min_words <= GRAM:
@@ -332,31 +405,41 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "substrings")
     data = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.md5(data).alias("text_key"), data.alias("text"))
-    anchors = scratch.save(rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_anchors(min_words), ANCHORS), "anchors")
+    anchors = scratch.save(rows.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(trimmed(_anchors(min_words)), ANCHORS), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     marks = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("marks"))
     marks = scratch.save(marks, "marks")
     scratch.drop("anchors")
-    cut = rows.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text_key", "text", "marks").mapInArrow(_cut(min_words), CUT)
+    cut = rows.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(_cut(min_words)), CUT)
     path = f"{scratch.root}/cut"
     cut.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    scratch.drop("marks")
     cut = spark.read.schema(CUT.replace("kind string, ", "") + ", kind string").parquet(path)
     done, open_ = cut.where("kind = 'done'"), cut.where("kind = 'open'")
 
-    pieces = open_.select("doc_id", "text", "segments").mapInArrow(_pieces(min_words), PIECES)
+    pieces = open_.select("doc_id", "text", "segments").mapInArrow(trimmed(_pieces(min_words)), PIECES)
     pieces = scratch.save(pieces.groupBy("anchor", "id").agg(F.min("doc_id").alias("doc_id"), F.max("last_doc").alias("last_doc"), F.first("words").alias("words")), "pieces")
     sizes = pieces.groupBy("anchor").count()
     hot = scratch.save(sizes.where(F.col("count") > shard_segments).select("anchor"), "hot")
     any_hot = not hot.isEmpty()
     cool = pieces.join(hot, "anchor", "left_anti") if any_hot else pieces
     shards = max(parallelism(spark), -(-pieces.count() // shard_segments))
-    reports = cool.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search_shard(min_words), REPORTS)
+    search = trimmed(_search_shard(min_words))
+    reports = cool.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(search, REPORTS)
     if any_hot:
-        windows = pieces.join(hot, "anchor").select("anchor", "id", "doc_id", "last_doc", "words").mapInArrow(_windows(min_words), "anchor long, id binary, doc_id long, last_doc long, at int, window binary")
+        whole = pieces.join(hot, "anchor")
+        windows = whole.select("anchor", "id", "doc_id", "last_doc", "words").mapInArrow(trimmed(_windows(min_words)), "anchor long, id binary, doc_id long, last_doc long, at int, window binary")
         windows = scratch.save(windows, "windows")
-        least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("last_doc").alias("most")).where("least < most").drop("most")
-        # windows of one document only need no report
-        found = windows.join(least, "window").groupBy("anchor", "id").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), F.col("least").alias("doc_id"))).alias("runs"))
+        first = F.min_by(F.struct("anchor", "id", "at"), F.struct("doc_id", "id", "at"))
+        again = windows.groupBy("window").agg(F.min("doc_id").alias("doc_id"), F.max("last_doc").alias("last_doc"), first.alias("p")).where("doc_id < last_doc")
+        again = scratch.save(again.select("window", "doc_id", "last_doc", "p.*"), "again")
+        # a window that two documents have is a segment of its own from here on; its words come from the first piece that has it
+        single = again.join(whole.select("anchor", "id", "words"), ["anchor", "id"]).select("anchor", F.col("window").alias("id"), "doc_id", "words", "at").mapInArrow(_single(min_words), "anchor long, id binary, doc_id long, words binary")
+        shards = max(parallelism(spark), -(-again.count() // shard_segments))
+        least = single.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInArrow(search, REPORTS)
+        least = scratch.save(least.select(F.col("id").alias("window"), F.get("runs", F.lit(0))["doc_id"].alias("least")), "least")
+        found = windows.select("anchor", "id", "at", "window").join(broadcast_if(least, WINDOWS_BROADCAST), "window").groupBy("anchor", "id")
+        found = found.agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), F.col("least").alias("doc_id"))).alias("runs"))
         reports = reports.unionByName(found)
     reports = scratch.save(reports, "reports")
 
@@ -364,7 +447,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     runs = segments.join(reports, ["anchor", "id"]).select("doc_id", "text_key", "at", F.filter("runs", lambda r: r["doc_id"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0)
     spans = runs.select("doc_id", "text_key", F.transform("runs", lambda r: F.struct((r["start"] + F.col("at")).alias("start"), (r["end"] + F.col("at")).alias("end"))).alias("spans"))
     spans = spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    finished = open_.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(_finish(min_words), RESULT)
+    finished = open_.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(trimmed(_finish(min_words)), RESULT)
     untouched = done.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return untouched.unionByName(finished)
 

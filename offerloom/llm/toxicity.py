@@ -8,7 +8,7 @@ gives every token's marginal; a document's score is a logistic function of the e
 toxic tokens, fitted on the same sample, and its offending offsets are the runs of tokens with a
 marginal of at least one half. Whole texts of any length are scored, in chains of their full length.
 
-Only texts go into a score. The model is a table of at most MODEL_FEATURES weights.
+Only texts go into a score. The model is a table of at most ``model_features`` weights, those that are largest.
 """
 
 from __future__ import annotations
@@ -21,23 +21,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes, gram_hashes, sliced, table, trimmed
+from .common import Scratch, by_bytes, gram_hashes, table, trimmed, words_of
 
-#: Bounds of the training sample: documents of each class, and characters in all.
+#: Defaults of the training sample's bounds (documents of each class, and characters in all) and of the model's. They fit a task of 500 MB.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1500, 8_000_000
 MODEL_FEATURES = 60_000
 PREFIXES = (3, 4, 5, 6)
 LIFT, EVIDENCE, STEPS, RIDGE = 20.0, 14.0, 45, 0.3
-CHUNK_TOKENS = 400_000
+CHUNK_TOKENS = 150_000
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 INNER = re.compile(r"^\W+|\W+$")
 
 SCORE = "score double, predicted int, spans array<struct<start:int,end:int>>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def features(token: str) -> list[int]:
@@ -61,7 +62,7 @@ class Model:
 class Potentials(dict):
     """Token -> potential of label 1, with a memo of bounded size."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -153,12 +154,12 @@ def _score_group(model: Model, texts: list[str | None], tokens: list[list[str]],
     return [(float(s), int(s >= 0.5), [{"start": r["start"], "end": r["end"]} for r in x]) for s, x in zip(score, spans, strict=True)]
 
 
-def _distinct_samples(texts: list[str], memo: WordHashes) -> list[int]:
+def _distinct_samples(texts: list[str]) -> list[int]:
     """Leaves out samples that share one of three smallest 5-word hashes with an earlier one: near copies would count as evidence many times."""
     seen, out = set(), []
     for i, t in enumerate(texts):
-        words = t.encode().split()
-        g = gram_hashes(memo.of(words, len(words)), min(5, max(1, len(words)))) if words else np.empty(0, np.uint64)
+        words = words_of(pa.array([t])).hashes
+        g = gram_hashes(words, min(5, max(1, len(words))))
         keys = {(k, int((g * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min())) for k in range(3)} if len(g) else {("", i)}
         if not keys & seen:
             out.append(i)
@@ -166,9 +167,9 @@ def _distinct_samples(texts: list[str], memo: WordHashes) -> list[int]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
+def fit(texts: list[str], labels: list[int], toxic_rate: float, model_features: int = MODEL_FEATURES) -> Model:
     """Fits the CRF and the score's line; toxic_rate is the share of toxic documents among all labelled ones."""
-    keep = _distinct_samples(texts, WordHashes())
+    keep = _distinct_samples(texts)
     texts, y = [texts[i] for i in keep], np.array([labels[i] for i in keep], np.int64)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     flat = Model({}, -12.0, (0.0, 0.0, 0.0), (math.log((toxic_rate + 1e-6) / (1 - toxic_rate + 1e-6)), 0.0))
@@ -204,7 +205,7 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Model:
     gold = np.empty(len(chains.place), bool)
     gold[chains.place] = np.concatenate([suspicious[x] & bool(label) for x, label in zip(ids, y.tolist(), strict=True)])
     weights, bias, trans = _fit_crf(chains, word_at, gold, slots, len(known))
-    top = np.argsort(-np.abs(weights))[:MODEL_FEATURES]
+    top = np.argsort(-np.abs(weights))[:model_features]
     model = Model({int(known[i]): float(weights[i]) for i in top.tolist() if abs(weights[i]) > 0.01}, bias, trans, (0.0, 1.0))
     kept = np.append(np.where(np.isin(np.arange(len(known)), top) & (np.abs(weights) > 0.01), weights, 0.0), 0.0)
     p = chains.marginals(np.clip(kept[slots].sum(1) + bias, -30, 30)[word_at], trans)[0][chains.place]
@@ -279,54 +280,66 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, *, toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE, sample_chars: int = SAMPLE_CHARS, model_features: int = MODEL_FEATURES
+) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic. Held-out rows and null labels are left out. The sample is
-    the labelled documents with the smallest digest of their id, up to the bounds above."""
+    the labelled documents with the smallest digest of their id, up to the bounds. Of rows that repeat an id the smallest text
+    counts, and the largest label. Without texts of both labels the model knows no feature and gives every text the labels' rate."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(labels["doc_id"])).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rate = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    sample = known.where("toxic > 0").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(CLEAN_SAMPLE))
-    # at most TOXIC_SAMPLE + CLEAN_SAMPLE ids of 12 bytes; the fit is one task, as its input is bounded
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
+    sample = known.where("toxic > 0").orderBy(order, "doc_id").limit(toxic_sample).unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(clean_sample))
+    # at most toxic_sample + clean_sample ids of 12 bytes, and as many rows after the grouping; the fit is one task, as its input is bounded
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    found = Scratch(docs.sparkSession, "toxicity").save(found, "sample")
     lengths = sorted(((r["k"], r["doc_id"], r["n"]) for r in found.select("doc_id", order.alias("k"), F.length("text").alias("n")).collect()))
-    taken, room = [], SAMPLE_CHARS
+    taken, room = [], sample_chars
     for _, doc_id, n in lengths:
         if n <= room:
             taken.append(doc_id)
             room -= n
     if not taken:
         return fit([], [], float(rate))
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")
-    rows = found.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in taken], found.select("doc_id").schema)
+    rows = found.join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def fit_task(part: pa.Table) -> pa.Table:
         part = part.sort_by("doc_id")
-        model = fit(part.column("text").to_pylist(), [int(t > 0) for t in part.column("toxic").to_pylist()], float(rate))
+        model = fit(part.column("text").to_pylist(), [int(t > 0) for t in part.column("toxic").to_pylist()], float(rate), model_features)
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     return pickle.loads(rows.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(trimmed(fit_task), "model binary").first()[0])
 
 
-def scorer(spark: SparkSession, model: Model):
-    """Column function: text -> struct<score, predicted, spans>. Null texts count as empty."""
-    shared = spark.sparkContext.broadcast(model)
+def score_texts(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns, score, predicted and spans of every row. Null texts count as empty; equal texts have equal scores."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = docs.select(*columns, F.col(text_col).alias("_scored"))
+    types = T.StructType([*docs.select(*columns).schema.fields, *T.StructType.fromDDL(SCORE).fields])
 
-    @F.pandas_udf(SCORE)
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Potentials(shared.value)
-        for part in parts:
-            yield pd.DataFrame(document_scores(shared.value, part.tolist(), memo), columns=["score", "predicted", "spans"])
+        for batch in by_bytes(batches, len(columns)):
+            found = document_scores(shared.value, batch.column(len(columns)).to_pylist(), memo)
+            score, predicted, spans = zip(*found, strict=True)
+            marks = [pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(spans, SPANS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *marks], names=types.names)
 
-    return score
+    return out.mapInArrow(trimmed(run), types)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score under 0.5, columns unchanged. Rows are filtered as Arrow batches, a slice at a time."""
+    """The rows of docs with a score under 0.5, columns unchanged. Rows are filtered as Arrow batches, a slice at a time.
+
+    Null and empty texts hold no token and stay, unless the model knows no feature and most labels are toxic. Every row is judged by itself:
+    repeated rows stay or go together.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Potentials(shared.value)
-        for batch in sliced(batches, 1000):
+        for batch in by_bytes(batches, place):
             scores = document_scores(shared.value, batch.column(place).to_pylist(), memo)
             yield batch.filter(pa.array([not predicted for _, predicted, _ in scores], pa.bool_()))
 
@@ -335,9 +348,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
 def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    score = scorer(spark, train(docs, table(spark, sf_dir, "labels")))
-    scored = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), score("text").alias("s"))
-    return scored.select("doc_id", "held_out", "s.score", "s.predicted", "s.spans")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_texts(docs.withColumn("held_out", held_out(docs["doc_id"])), model, ["doc_id", "held_out"])
 
 
 QUERIES = {"op4_toxicity_crf": op4_toxicity_crf}

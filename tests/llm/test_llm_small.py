@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from offerloom.llm import chat, decontamination, jaccard, media, mixing, packing, substrings, toxicity, urls, warc
-from offerloom.llm.common import Scratch, WordHashes
+from offerloom.llm.common import SPACES, Scratch, by_bytes, span_hashes, words_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +103,24 @@ def test_fm_index_counts():
             assert hi[0] - lo[0] == want
 
 
+@pytest.mark.parametrize("depth", [1, 5, 8])
+def test_matching_statistics_of_foreign_texts(depth):
+    """Texts that the index doesn't hold, with words it lacks, against a search of all places."""
+    r = np.random.default_rng(5)
+    texts = [r.integers(1, 5, n) for n in (40, 17, 60, 5, 1)]
+    texts += [texts[0][3:30], texts[2][10:50]]
+    numbers = np.array([7, 3, 9, 1, 4, 8, 2])
+    index = substrings.FMIndex(texts, 6, depth, numbers)
+    foreign = [np.where(r.random(n) < 0.1, -1, r.integers(1, 6, n)) for n in (50, 1, 33, 7)] + [np.concatenate([texts[2][5:40], texts[0][:9]]), np.empty(0, np.int64), texts[1]]
+    lengths, least = index.matching_statistics(foreign)
+    places = [(list(t[k : k + depth]), d) for t, d in zip(texts, numbers, strict=True) for k in range(len(t))]
+    for f, got, docs_ in zip(foreign, lengths, least, strict=True):
+        for i in range(len(f)):
+            want = max((next((k for k in range(min(len(p), len(f) - i)) if p[k] != f[i + k]), min(len(p), len(f) - i)) for p, _ in places), default=0)
+            assert got[i] == want
+            assert docs_[i] == (min(d for p, d in places if p == list(f[i : i + depth])) if want == depth else -1)
+
+
 # --- urls ---
 
 
@@ -156,6 +175,9 @@ def test_packing_loses_nothing(docs, empty):
         for d, k, o, a, b in zip(r["doc_ids"], r["pieces"], r["offsets"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
             assert (d, k) not in parts and o == 64 * k
             parts[d, k] = ids[a:b]
+    twice = packing.pack_tokens(docs.where("doc_id < 9").unionAll(docs.where("doc_id < 9")), row_length=64, buffer_tokens=2000).collect()
+    found = [(d, c, k) for r in twice for d, c, k in zip(r["doc_ids"], r["copies"], r["pieces"], strict=True)]
+    assert len(found) == len(set(found)) == 2 * sum(d < 9 for d, _ in parts) and len({(d, c) for d, c, _ in found}) == 18
     import tiktoken  # noqa: F401
 
     for i, text, *_ in corpus():
@@ -165,10 +187,11 @@ def test_packing_loses_nothing(docs, empty):
     assert packing.pack_tokens(empty).count() == 0
 
 
-def test_tokens_split_like_the_whole_text():
+def test_tokens_of_hard_texts():
     t = packing.tokens(packing.VOCABULARY)
-    for text in ["a b", " a", "a  b", "a \n b", "a\nb c", "x \u00a0y", "tail ", "don't  stop", "é ü\t z", "a\n\n b"]:
-        assert np.frombuffer(t.of(text), t.dtype).tolist()[:-1] == t.encode(text)
+    for text in ["a b", " a", "a  b", "", "x \u00a0y", "tail ", "don't  stop", "<|endoftext|> é ü\t z", "a\n\n b"]:
+        assert np.frombuffer(t.of(text), t.dtype).tolist() == [*t.encode(text), t.end]
+        assert t.encoding.decode(t.encode(text)) == text
 
 
 def test_best_fit_decreasing():
@@ -225,15 +248,41 @@ def test_toxicity_learns_and_marks(spark, empty):
     rows += [(1000, None, "x"), (1001, "", "x"), (1002, "w1 " * 30000 + "Grobian,", "x"), (1003, rows[1][1], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     model = toxicity.train(docs, spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id long, toxic int"))
-    got = {x["doc_id"]: x["s"] for x in docs.select("doc_id", toxicity.scorer(spark, model)("text").alias("s")).collect()}
+    got = {x["doc_id"]: x for x in toxicity.score_texts(docs.select("doc_id", "text"), model, ["doc_id"]).collect()}
+    mark = lambda i: (got[i]["score"], got[i]["predicted"], got[i]["spans"])
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == (i % 5 == 0) for i in held]) > 0.95
     for i in (0, 5, 10):
         assert {rows[i][1][s["start"] : s["end"]].split()[0].strip("!") for s in got[i]["spans"]} <= {"grobian", "grobianer", "fiesling"} and got[i]["spans"]
-    assert got[1000] == got[1001] and got[1000]["predicted"] == 0 and got[1002]["predicted"] == 1 and got[1003] == got[1]
+    assert mark(1000) == mark(1001) and got[1000]["predicted"] == 0 and got[1002]["predicted"] == 1 and mark(1003) == mark(1)
+    clean = toxicity.keep_clean(docs.unionAll(docs.where("doc_id IN (1, 5)")), model)
+    assert clean.columns == docs.columns
+    assert sorted(x["doc_id"] for x in clean.collect()) == sorted([i for i in got if not got[i]["predicted"]] + [1])
+    assert toxicity.keep_clean(empty, model).count() == 0
     flat = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert docs.select(toxicity.scorer(spark, flat)("text").alias("s")).where("s.predicted = 1").count() == 0
-    assert empty.select(toxicity.scorer(spark, model)("text")).count() == 0
+    assert toxicity.score_texts(docs, flat, ["doc_id"]).where("predicted = 1").count() == 0
+    assert toxicity.score_texts(empty, model, ["doc_id"]).count() == 0
+    few = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), toxic_sample=20, clean_sample=30, sample_chars=5000, model_features=4)
+    assert len(few.weights) <= 4
+
+
+def test_document_scores_against_enumeration():
+    """The score is the logistic line over the log of the expected number of toxic tokens, here by all labellings of a text."""
+    import itertools
+    import math
+
+    words_ = ["ab", "Cd!", "efg"]
+    weights = {toxicity.features(w)[0]: x for w, x in zip(words_, (2.0, -1.0, 0.5), strict=True)}
+    model = toxicity.Model(weights, -0.4, (0.3, -0.7, 0.9), (0.2, 1.3))
+    for text in ["ab", "ab Cd! efg", "efg  efg\nab unknown", ""]:
+        ws, total, expected = text.split(), 0.0, 0.0
+        psi = [weights.get(toxicity.features(w)[0], 0.0) + model.bias for w in ws]
+        for y in itertools.product((0, 1), repeat=len(ws)):
+            w = math.exp(sum(p * v for p, v in zip(psi, y, strict=True)) + sum({(0, 0): 0, (0, 1): 0.3, (1, 0): -0.7, (1, 1): 0.9}[a] for a in itertools.pairwise(y)))
+            total, expected = total + w, expected + w * sum(y)
+        want = 1 / (1 + math.exp(-(0.2 + 1.3 * math.log(expected / total + 1e-6))))
+        (score, predicted, _), _ = toxicity.document_scores(model, [text, "ab"], toxicity.Potentials(model))
+        assert abs(score - want) < 1e-9 and predicted == (want >= 0.5)
 
 
 # --- decontamination ---
@@ -243,7 +292,7 @@ def test_decontamination(spark, empty):
     item = "A farmer called Anna Berg sells 12 kg of green apples to her old friend Paul for 30 euros every second week of the year."
     renamed = item.replace("Anna", "Maria").replace("Berg", "Stone").replace("12 kg", "45 lb").replace("Paul", "Tom").replace("30", "77")
     mixed = item.replace("sells 12", "sells 45")
-    items = spark.createDataFrame([(1, item, "c"), (2, None, "c"), (3, "too short", "c"), (4, "7 8 9 1 2 3 4 5 6 7 8", "c")], "item_id long, text string, gram string")
+    items = spark.createDataFrame([(1, item, "c"), (2, None, "c"), (3, "...", "c"), (4, "", "c")], "item_id long, text string, gram string")
     noise = " ".join(f"word{i}" for i in range(200))
     texts = [item, noise + " " + item.upper().lower().replace("anna berg", "Anna Berg").replace("paul", "Paul") + " " + noise, renamed, mixed, noise, None, "", "7 8 9 1 2 3 4 5 6 7 8", item[:40], renamed.replace("Tom", "Tim", 1), noise * 50]
     docs = spark.createDataFrame([(i, t, "z", "q") for i, t in enumerate([*texts, item])] + [(0, item, "z", "q")], "doc_id long, text string, grams string, at string")
@@ -254,6 +303,45 @@ def test_decontamination(spark, empty):
     assert decontamination.find_items(empty, items).count() == 0 and decontamination.find_items(docs, items.where("false")).count() == 0
 
 
+def test_short_items_and_items_of_numbers(spark):
+    """Short questions are found with other values if they hold three literal words; lists of numbers, and two words, only verbatim."""
+    questions = {1: "Compute 3 + 4", 2: "What is 15% of 80 kg?", 3: "7 8 9 1 2 3 4 5 6 7 8", 4: "too short", 5: "Add 4 and 9 and 12 and 7 and 30 and 8 and 1", 6: "7 8 9 1 2 3 4 5 6 7 9 10 11"}
+    noise = "nothing of this kind is written here at all my friend"
+    texts = {
+        0: noise, 1: f"{noise}. Compute 3 + 4 {noise}", 2: "Compute 5 + 9", 3: f"{noise} what is 22% of 31 lb {noise}", 4: "and 7 8 9 1 2 3 4 5 6 7 8 then", 5: "7 8 9 1 2 3 4 5 6 7", 6: f"{noise} too short {noise}",
+        7: "too many short", 8: "Add 5 and 2 and 33 and 6 and 41 and 3 and 2", 9: "Add 5 and 2 and 33 and 6 and 41 and 3 or 2", 10: "what is 22% of 31", 11: "too", 12: "3 5 7 11 13 17 19 23 29 31 37 41 43",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(questions.items()), "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, items).collect())
+    assert got == [(1, 1), (3, 2), (4, 3), (6, 4), (8, 5)]
+
+
+def test_recall_of_questions_with_other_values(spark):
+    """Benchmark items with all numbers and names replaced, between words of other documents: at least nine of ten are found, and no other text."""
+    sf = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    other = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").where("text IS NOT NULL").orderBy("doc_id").limit(3).collect()]
+
+    def renewed(text):
+        out = []
+        for i, w in enumerate(text.split()):
+            if w[0].isdigit():
+                w = re.sub(r"\d+", lambda m: str(int(m[0]) + 13), w)
+            elif i and w[0].isupper() and out[-1][-1] not in ".!?:|":
+                w = "Q" + w[1:]
+            out.append(w)
+        return " ".join(out)
+
+    rows = [(r["item_id"], f"{' '.join(other[0].split()[:40])} ok. {renewed(r['text'])} so it goes {' '.join(other[1].split()[:30])}") for r in items.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, items).collect()}
+    assert sum((i, i) in got for i, _ in rows) >= 0.9 * len(rows)
+    clash = docs.withColumns({"_key": F.lit(1), "_id": F.lit(2), "row": F.lit(3), "found_id": F.lit(4), "row_id": F.lit(5)})
+    left = decontamination.remove_contaminated(clash, items)
+    assert left.columns == clash.columns and left.count() == len(rows) - len({d for d, _ in got})
+
+
 def test_slots_have_to_be_consistent(spark):
     twice = "the price of 5 big boxes is shown and then 5 big boxes are sold again today"
     items = spark.createDataFrame([(1, twice)], "item_id long, text string")
@@ -319,11 +407,35 @@ def test_mix(spark, docs, empty):
         assert abs(taken - group[0]["mix_target"]) <= max(r["mix_size"] for r in group) / 2 + 1
     again = mixing.mix_sources(docs.repartition(9)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
-    out = mixing.repeat_rows(mixed, docs.columns)
-    assert out.count() == sum(r["mix_copies"] for r in rows)
+    out = mixing.mixed_rows(docs.withColumn("mix_copies", F.lit("x")).withColumn("_copy", F.lit(1)))
+    assert out.count() == sum(r["mix_copies"] for r in rows) and out.columns == [*docs.columns, "mix_copies", "_copy"]
+    clash = mixing.mix_sources(docs.withColumn("MIX_SIZE", F.lit(1)))
+    assert clash.columns[-4:] == ["mix_size_", "mix_source_size", "mix_target", "mix_copies"] and clash.count() == len(rows)
     assert mixing.mix_sources(empty).count() == 0
-    uneven = mixing.mix_sources(docs, propensity=F.col("doc_id") + 1.0)
-    assert {r["mix_copies"] for r in uneven.collect()} <= {0, 1, 2}
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Over many seeds documents are taken as often as their weights say, at the limit too, and every sample has the target's size."""
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.choice([1, 2, 4])), "s", w) for i, w in enumerate([1, 1, 2, 3, 5, 9, 40, None] * 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w int")
+    size = [len(t.split()) for _, t, *_ in rows]
+    w = [x or 1 for *_, x in rows]
+    target, rate = 0.9 * sum(size), 0.0
+    for cut in sorted(set(w), reverse=True):
+        rate = (target - sum(2 * s for s, x in zip(size, w, strict=True) if x > cut)) / sum(x * s for s, x in zip(size, w, strict=True) if x <= cut)
+        if rate * cut <= 2:
+            break
+    taken, seeds = np.zeros(len(rows)), 25
+    for seed in range(seeds):
+        got = sorted(mixing.mix_sources(docs, share=0.9, seed=seed, propensity=F.col("w"), keep=["doc_id"]).select("doc_id", "mix_copies").collect())
+        copies = np.array([c for _, c in got])
+        assert abs((copies * size).sum() - target) <= 2 and copies.max() <= 2
+        taken += copies
+    for x in set(w):
+        same = [i for i, y in enumerate(w) if y == x]
+        want = min(2.0, rate * x)
+        assert abs(taken[same].sum() / seeds / len(same) - want) < 0.07 + 0.05 * want
 
 
 # --- media ---
@@ -409,7 +521,7 @@ def test_jaccard(docs, percent):
 
 
 def test_jaccard_with_tiny_limits(spark, monkeypatch):
-    """Blocks, batches and trees of a few sets each: the same components."""
+    """Cells, trees, batches and groups of a few sets each, most shingles hot: the same components."""
     r = random.Random(8)
     vocab = [f"v{i}" for i in range(300)]
     base, rows = r.choices(vocab, k=120), []
@@ -418,7 +530,7 @@ def test_jaccard_with_tiny_limits(spark, monkeypatch):
         for _ in range(r.randint(0, 6)):
             w[r.randrange(len(w))] = r.choice(vocab)
         rows.append((i, " ".join(w), "en", "s", 0))
-    for name, value in (("PAIRS", 2), ("BLOCK_PART", 9), ("VERIFY_GROUP", 4)):
+    for name, value in (("PAIRS", 2), ("CELL", 9), ("VERIFY_GROUP", 4), ("VERIFY_SHINGLES", 500), ("HOT", 3), ("LOCAL_HOT", 2), ("FLUSH", 400)):
         monkeypatch.setattr(jaccard, name, value)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == linked(rows, 75)
@@ -442,7 +554,42 @@ def test_prefix_tree_against_brute_force():
 
 def test_overlap_bound_holds():
     r = np.random.default_rng(9)
-    memo = WordHashes()
     for _ in range(100):
-        a, b = (jaccard.shingle_set(" ".join(map(str, r.integers(0, 9, n))).encode(), memo, 2) for n in r.integers(2, 300, 2))
-        assert jaccard.overlap_bound(len(a), len(b), jaccard.parity_bitmap(a), jaccard.parity_bitmap(b)) >= len(np.intersect1d(a, b))
+        texts = [" ".join(map(str, r.integers(0, 9, n))) for n in r.integers(2, 3000, 2)]
+        a, b = jaccard.shingle_sets(pa.array(texts), 4)
+        bound = jaccard.overlap_bounds(np.array([len(a)]), np.array([len(b)]), [jaccard.bitmap(a)], [jaccard.bitmap(b)])
+        assert bound[0] >= len(np.intersect1d(a, b))
+
+
+def test_order_puts_common_shingles_last():
+    r = np.random.default_rng(2)
+    hashes = r.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)
+    names = (hashes[:20] >> np.uint64(16)).astype(np.int64)
+    order = jaccard.Order(names, np.arange(65, 65 + 2000 * 20, 2000))
+    keys = order.keys(hashes)
+    assert len(set(keys.tolist())) == 500 and keys[:20].min() > keys[20:].max() and keys[19] > keys[0]
+    assert (np.argsort(keys[20:]) == np.argsort(hashes[20:])).all()
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    near = two.replace("b29", "b99")
+    rows = [(5, one), (5, two), (2, one), (7, near), (8, "c d e"), (3, two), (3, "c d e"), (9, "lone"), (9, "")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 26, 2), (3, 1, 2), (3, 26, 2), (5, 26, 2), (5, 26, 2), (7, 26, 2), (8, 1, 2), (9, 0, 9), (9, 1, 9)]
+
+
+# --- words ---
+
+
+def test_words_of_texts():
+    texts = ["a b  c\n", "", None, "  x", "abc", "é\u00a0ü\tabc", " ", "A bC", "x" * 3_000_000 + " y", "\x1c\x85"]
+    for batch in by_bytes([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])], size=9):
+        w = words_of(batch.column(1))
+        found = [[bytes(w.data[s:e]) for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True)] for a, b in zip(w.first, w.first[1:], strict=False)]
+        assert found == [[x.encode() for x in words(t)] for t in batch.column(1).to_pylist()]
+    w = words_of(pa.array(texts))
+    names = {bytes(w.data[s:e]): h for s, e, h in zip(w.starts, w.ends, w.hashes, strict=True)}
+    assert len(set(names.values())) == len(names) and all(names[bytes(w.data[s:e])] == h for s, e, h in zip(w.starts, w.ends, w.hashes, strict=True))
+    assert (words_of(pa.array(["A bC x1"]), fold=True).hashes == words_of(pa.array(["a Bc X1"]), fold=True).hashes).all()
+    assert not SPACES[0x1C] and len(span_hashes(w.data, w.starts[:0], w.ends[:0])) == 0
