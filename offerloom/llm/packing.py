@@ -8,13 +8,13 @@ task's last rows may be loose. No shuffle is needed: packing doesn't care which
 
 A packed row holds the id matrix's row (little-endian, padded), the cumulative segment lengths
 (0 first, the used length last), the positions at which position ids restart at 0, and for each
-segment its document, the piece's number and the token offset in the document.
+segment its document, the copy (a number that tells the rows of one id apart), the piece's number
+and the token offset in the document.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,68 +22,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trimmed
+from .common import by_bytes, table, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before its byte pairs are merged; has to be this pattern for the vocabulary above.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROW_LENGTH = 2048
-BUFFER_TOKENS = 4_000_000
+BUFFER_TOKENS = 2_000_000
 LOOSE = 0.03
 
-PACKED = "ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>, offsets array<long>"
+PACKED = "ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, copies array<long>, pieces array<int>, offsets array<long>"
 ARROW = pa.schema(
     [("ids", pa.binary()), ("n_tokens", pa.int32())]
     + [(n, pa.list_(pa.int32())) for n in ("cu_seqlens", "position_resets")]
-    + [("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))]
+    + [("doc_ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))]
 )
 
 
-class Tokens(dict):
-    """Text -> token ids as bytes. A memo of bounded size for each space-separated unit.
-
-    The pattern never crosses a space that has a visible character behind it, so units can be
-    tokenised one by one; texts in which a space meets other white space are tokenised whole.
-    """
-
-    LIMIT = 250_000
+class Tokens:
+    """Text -> token ids as bytes of the narrowest type that holds them, the end-of-document id last."""
 
     def __init__(self, vocabulary: str):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = len(ranks)
         self.dtype = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
         self.end_bytes = np.array([self.end], self.dtype).tobytes()
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(unit)
-        if out is None:
-            out = np.array(self.encode(unit), self.dtype).tobytes()
-        self[unit] = out
-        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(text)
 
     def of(self, text: str) -> bytes:
-        """The ids of a text, the end-of-document id last."""
-        if not text or text[-1] == " " or re.search(r" \s", text):
-            return np.array(self.encode(text), self.dtype).tobytes() + self.end_bytes
-        first, *units = text.split(" ")
-        head = self[first] if first else b""
-        return head + b"".join([self[" " + u] for u in units]) + self.end_bytes
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes() + self.end_bytes
 
 
 _LOADED: dict[str, Tokens] = {}
 
 
 def tokens(vocabulary: str) -> Tokens:
+    """The tokeniser of a file, loaded once in a worker. A file shipped with ``addFile`` is named by its bare name."""
     if vocabulary not in _LOADED:
-        _LOADED[vocabulary] = Tokens(vocabulary)
+        from pyspark import SparkFiles
+
+        _LOADED[vocabulary] = Tokens(vocabulary if "/" in vocabulary else SparkFiles.get(vocabulary))
     return _LOADED[vocabulary]
 
 
@@ -141,7 +125,7 @@ def _pack(vocabulary: str, row_length: int, buffer_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens(vocabulary)
         wide = t.dtype.itemsize
-        pieces, held = [], 0  # (doc_id, number, offset, ids)
+        pieces, held = [], 0  # (doc_id, copy, number, ids)
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal pieces, held
@@ -156,7 +140,7 @@ def _pack(vocabulary: str, row_length: int, buffer_tokens: int):
                 own = [pieces[i] for i in row]
                 out.append(
                     {"ids": ids + t.end_bytes * (row_length - n), "n_tokens": n, "cu_seqlens": ends, "position_resets": ends[:-1],
-                     "doc_ids": [p[0] for p in own], "pieces": [p[1] for p in own], "offsets": [p[2] for p in own]}
+                     "doc_ids": [p[0] for p in own], "copies": [p[1] for p in own], "pieces": [p[2] for p in own], "offsets": [p[2] * row_length for p in own]}
                 )
                 if len(out) == 256:
                     yield pa.RecordBatch.from_pylist(out, schema=ARROW)
@@ -166,18 +150,17 @@ def _pack(vocabulary: str, row_length: int, buffer_tokens: int):
             pieces = [pieces[i] for i in loose]
             held = sum(len(p[3]) // wide for p in pieces)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in by_bytes(batches):
+            for doc_id, text, copy in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 ids = t.of(text or "")
                 n = len(ids) // wide
                 for k, at in enumerate(range(0, n, row_length)):
-                    pieces.append((doc_id, k, at, ids[at * wide : (at + row_length) * wide]))
+                    pieces.append((doc_id, copy, k, ids[at * wide : (at + row_length) * wide]))
                 held += n
                 if held >= buffer_tokens:
                     yield from flush(False)
         if pieces:
             yield from flush(True)
-        t.older = {}  # what a worker keeps between tasks
 
     return run
 
@@ -186,10 +169,11 @@ def pack_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Packed rows of all documents; every token of every document is in exactly one of them.
 
     Null and empty texts are the end-of-document id alone. A document longer than a row is cut into
-    pieces of row_length ids; rows may repeat an id (pieces are told apart by their row). The vocabulary
-    file has to be at the same path on every executor. An empty table gives no rows.
+    pieces of row_length ids. Ids are whole numbers (or cast to them), may be null and may repeat: ``copies`` numbers the input's rows. The
+    vocabulary is a path that every executor has, or the bare name of a file sent by ``SparkContext.addFile``. An empty table gives no rows.
     """
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(trimmed(_pack(vocabulary, row_length, buffer_tokens)), PACKED)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("copy"))
+    return rows.mapInArrow(trimmed(_pack(vocabulary, row_length, buffer_tokens)), PACKED)
 
 
 def id_matrix(rows: list, wide: int = 2) -> np.ndarray:
