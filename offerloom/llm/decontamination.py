@@ -6,6 +6,10 @@ alignment of a document with an item (document position minus item position) the
 consistent: an item's value always has the same value in the document. An item is found in a
 document if consistent windows cover enough of the item's windows.
 
+Items that are short, or of hardly more than numbers and names, have no window of eight words that is specific. Their windows
+(of all their words, if there are fewer than eight) have to be found all of them, along one alignment; and where even these hold too few literal words,
+with the very values, so that such an item is found verbatim only.
+
 A document's windows first pass a bit filter of the benchmark's window hashes inside the row, so only
 likely windows leave it; documents themselves are never shuffled. The filter has a fixed largest size: a benchmark that
 fills it costs time, not results.
@@ -23,6 +27,8 @@ from .common import Scratch, broadcast_if, table
 WINDOW = 8
 #: Words of a window that are not placeholders, at least; share of an item's windows that has to be found.
 LITERALS, SHARE = 5, 0.5
+#: The same for items without such a window: fewer literal words are enough for a template if all windows are found.
+WEAK_LITERALS = 3
 FILTER_LONGS = 1 << 16
 WINDOWS_BROADCAST, FOUND_BROADCAST = 200_000, 500_000
 UNITS = (
@@ -55,11 +61,46 @@ def _template(word: Column) -> Column:
     return F.when(word.startswith("<"), F.substring_index(word, ">", 1)).otherwise(word)
 
 
-def _windows(d: DataFrame, n: int) -> DataFrame:
-    """Adds ``grams``: the hash of each n template words in a row."""
+def _with_hashes(d: DataFrame, exact: bool) -> DataFrame:
+    """Adds the template words' hashes, and if asked for those of the words with their values."""
     d = d.withColumn("_hashes", F.transform("words", lambda w: F.xxhash64(_template(w))))
-    at = F.when(F.size("_hashes") >= n, F.sequence(F.lit(0), F.size("_hashes") - n)).otherwise(F.array().cast("array<int>"))
-    return d.withColumn("grams", F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(n)]))).drop("_hashes")
+    return d.withColumn("_values", F.transform("words", lambda w: F.xxhash64(w))) if exact else d
+
+
+def _gram(at: Column, k: int, exact: bool, window: int) -> Column:
+    """Hash of k words from a place on; windows of other kinds than the usual one have their kind in it."""
+    words = [F.get(F.col("_values" if exact else "_hashes"), at + j) for j in range(k)]
+    return F.xxhash64(*words) if k == window and not exact else F.xxhash64(F.lit(k), F.lit(exact), *words)
+
+
+def _gram_at(k: int, exact: bool, window: int):
+    return lambda at: _gram(at, k, exact, window)
+
+
+def _places(n: Column, k: Column | int) -> Column:
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.when((n >= k) & (k > 0), F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+
+
+def item_windows(items: DataFrame, window: int, literals: int, share: float, weak_literals: int) -> DataFrame:
+    """item_id, item_at, k, exact, gram, item_words, share, whole (share is that of one alignment). items: item_id, _text."""
+    d = _with_hashes(template_words(items, F.col("_text")).drop("_text"), True)
+    n = F.size("words")
+    k = F.least(F.lit(window), n)
+    cut = lambda i: F.slice(F.col("words"), i + 1, k)
+    plain = lambda i: F.size(F.filter(cut(i), lambda w: ~w.startswith("<")))
+    d = d.select("item_id", "words", "_hashes", "_values", k.alias("k"), F.transform(_places(n, k), lambda i: F.struct(i.alias("at"), cut(i).alias("item_words"), plain(i).alias("plain"))).alias("w"), _row())
+    d = d.where("_row >= 0")
+    most = F.array_max(F.transform("w", lambda w: w["plain"]))
+    level = F.when((F.col("k") == window) & (most >= literals), 0).when(most >= weak_literals, 1).otherwise(2)
+    least = F.when(F.col("level") == 0, literals).when(F.col("level") == 1, weak_literals).otherwise(0)
+    d = d.withColumn("level", level).withColumn("w", F.filter("w", lambda w: w["plain"] >= least))
+    d = d.select("item_id", "_hashes", "_values", "k", (F.col("level") == 2).alias("exact"), F.when(F.col("level") == 0, share).otherwise(1.0).alias("share"), (F.col("level") > 0).alias("whole"), F.explode("w").alias("w"))
+    gram = F.lit(None).cast("long")
+    for size in range(1, window + 1):
+        for exact in (False, True):
+            gram = F.when((F.col("k") == size) & (F.col("exact") == exact), _gram(F.col("w.at"), size, exact, window)).otherwise(gram)
+    return d.select("item_id", F.col("w.at").alias("item_at"), "k", "exact", gram.alias("gram"), F.col("w.item_words").alias("item_words"), "share", "whole").distinct()
 
 
 def _row() -> Column:
@@ -75,50 +116,60 @@ def _bit_filter(windows: DataFrame) -> tuple[Column, int]:
     return F.expr("array(" + ",".join(str(filled.get(i, 0)) + "L" if filled.get(i, 0) != -(1 << 63) else "shiftleft(1L, 63)" for i in range(longs)) + ")"), longs
 
 
-def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, share: float = SHARE, weak_literals: int = WEAK_LITERALS) -> DataFrame:
     """One row for each document and item found in it: doc_id, text_key, item_id, n_windows, item_windows, slots.
 
     text_key is xxhash64 of the text: with the id it tells the rows of a repeated id apart. Repeated
-    rows are found together. Null, empty and short texts have no windows; an item with fewer than
-    ``window`` words, or whose windows hold fewer than ``literals`` words that are not placeholders, is too unspecific and never found.
+    rows are found together, and rows of items that repeat an id are one item. Null and empty texts have no windows, and an item without words is
+    never found. An item whose windows are all short of ``literals`` words that aren't placeholders needs all its windows of
+    ``weak_literals`` found, or if there are none either, all its words with their values.
     """
     scratch = Scratch(docs.sparkSession, "decontamination")
-    own = _windows(template_words(items.select(items[item_col].alias("item_id"), items[item_text_col].alias("_text")), F.col("_text")).drop("_text"), window)
-    own = own.select("item_id", "words", "grams", _row()).select("item_id", "words", "_row", F.posexplode("grams").alias("item_at", "gram"))
-    own = own.withColumn("item_words", F.slice("words", F.col("item_at") + 1, window)).drop("words")
-    plain = F.size(F.filter("item_words", lambda w: ~w.startswith("<")))
-    own = scratch.save(own.where(plain >= literals).where("_row >= 0").drop("_row").distinct(), "windows")
-    sizes = own.groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"))
+    own = item_windows(items.select(items[item_col].alias("item_id"), items[item_text_col].alias("_text")), window, literals, share, weak_literals)
+    own = scratch.save(own, "windows")
+    sizes = own.groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"), F.min("share").alias("share"), F.min("whole").alias("whole"))
     bits, longs = _bit_filter(own.select("gram").distinct())
+    usual = (window, False)
+    kinds = [usual, *sorted(k for k in {(r["k"], r["exact"]) for r in own.select("k", "exact").distinct().collect()} if k != usual)]  # at most two for each length
 
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
-    d = _windows(template_words(d, F.col("_text")), window)
+    d = _with_hashes(template_words(d, F.col("_text")), any(exact for _, exact in kinds))
+    for i, (k, exact) in enumerate(kinds):
+        d = d.withColumn(f"_grams{i}", F.transform(_places(F.size("_hashes"), k), _gram_at(k, exact, window)))
+
+    def mark(k: int):
+        def one(gram: Column, i: Column) -> Column:
+            word = F.get(bits, F.pmod(F.shiftright(gram, 6), F.lit(longs)).cast("int"))
+            bit = F.call_function("shiftright", word, gram.bitwiseAND(63).cast("int")).bitwiseAND(1)
+            return F.when(bit == 1, F.struct(i.alias("at"), gram.alias("gram"), F.lit(k).alias("k")))
 
-    def mark(gram: Column, i: Column) -> Column:
-        word = F.get(bits, F.pmod(F.shiftright(gram, 6), F.lit(longs)).cast("int"))
-        bit = F.call_function("shiftright", word, gram.bitwiseAND(63).cast("int")).bitwiseAND(1)
-        return F.when(bit == 1, F.struct(i.alias("at"), gram.alias("gram")))
+        return one
 
-    hit = F.transform("grams", mark)
-    likely = d.select("doc_id", F.xxhash64("_text").alias("text_key"), "words", F.array_compact(hit).alias("hits"), _row())
-    with_words = F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["gram"].alias("gram"), F.slice(F.col("words"), h["at"] + 1, window).alias("doc_words")))
+    hit = [F.array_compact(F.transform(f"_grams{i}", mark(k))) for i, (k, _) in enumerate(kinds)]
+    likely = d.select("doc_id", F.xxhash64("_text").alias("text_key"), "words", (F.concat(*hit) if len(hit) > 1 else hit[0]).alias("hits"), _row())
+    with_words = F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["gram"].alias("gram"), F.slice(F.col("words"), h["at"] + 1, h["k"]).alias("doc_words")))
     likely = likely.where(F.size("hits") > 0).select("_row", "doc_id", "text_key", F.explode(with_words).alias("h")).select("_row", "doc_id", "text_key", "h.*")
     pairs = likely.join(broadcast_if(own, WINDOWS_BROADCAST), "gram")
-    same = F.transform("doc_words", _template) == F.transform("item_words", _template)
+    same = F.when(F.col("exact"), F.col("doc_words") == F.col("item_words")).otherwise(F.transform("doc_words", _template) == F.transform("item_words", _template))
     slots = F.filter(F.zip_with("item_words", "doc_words", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda s: s["item"].startswith("<"))
     aligned = pairs.where(same).groupBy("_row", "doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     # of one alignment there are at most as many windows as the item has
     aligned = aligned.agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
-    items_in = aligned.where(consistent).groupBy("_row", "doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_windows"), F.max(F.size("slots")).alias("slots"))
-    return items_in.join(broadcast_if(sizes, WINDOWS_BROADCAST), "item_id").where(F.col("n_windows") >= F.ceil(F.lit(share) * F.col("item_windows"))).select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "slots").distinct()
+    items_in = aligned.where(consistent).groupBy("_row", "doc_id", "text_key", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_all"), F.max(F.size("found")).alias("n_one"), F.max(F.size("slots")).alias("slots")
+    )
+    items_in = items_in.join(broadcast_if(sizes, WINDOWS_BROADCAST), "item_id").withColumn("n_windows", F.when(F.col("whole"), F.col("n_one")).otherwise(F.col("n_all")))
+    return items_in.where(F.col("n_windows") >= F.ceil(F.col("share") * F.col("item_windows"))).select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "slots").distinct()
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no item is found."""
-    found = find_items(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    """The rows of docs in which no item is found; their columns may carry any names."""
+    found = find_items(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
     found = broadcast_if(Scratch(docs.sparkSession, "contaminated").save(found, "found"), FOUND_BROADCAST)
-    return docs.join(found, F.xxhash64(docs[text_col]).eqNullSafe(F.col("_key")) & docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("row_id"), F.xxhash64(docs[text_col]).alias("row_key"))
+    left = rows.join(found, F.col("row_key").eqNullSafe(F.col("found_key")) & F.col("row_id").eqNullSafe(F.col("found_id")), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,15 +194,18 @@ typed AS (SELECT kind, r, id, i,
                  ELSE lower(word) END AS w
           FROM tok WHERE word <> ''),
 pos AS (SELECT kind, r, id, w, CASE WHEN starts_with(w, '<') THEN split_part(w, '>', 1) ELSE w END AS t, row_number() OVER (PARTITION BY kind, r ORDER BY i) - 1 AS p FROM typed),
-win AS (SELECT kind, r, id, p, list(t) OVER f AS ts, list(w) OVER f AS ws FROM pos WINDOW f AS (PARTITION BY kind, r ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-iw AS (SELECT DISTINCT id AS item_id, p, ts, ws FROM win WHERE kind = 'i' AND len(ts) = {WINDOW} AND len(list_filter(ws, lambda x: NOT starts_with(x, '<'))) >= {LITERALS}),
-dw AS (SELECT * FROM win WHERE kind = 'd' AND len(ts) = {WINDOW}),
-pair AS (SELECT dw.id AS doc_id, dw.r, item_id, dw.p - iw.p AS shift, iw.p AS ip, list_filter(list_zip(iw.ws, dw.ws), lambda x: starts_with(x[1], '<')) AS slots FROM dw JOIN iw USING (ts)),
+win AS (SELECT kind, r, id, p, list(t) OVER f AS ts, list(w) OVER f AS ws, count(*) OVER (PARTITION BY kind, r) AS n FROM pos WINDOW f AS (PARTITION BY kind, r ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+iw0 AS (SELECT r, id AS item_id, p, ts, ws, len(ts) AS k, len(list_filter(ws, lambda x: NOT starts_with(x, '<'))) AS plain FROM win WHERE kind = 'i' AND len(ts) = least(n, {WINDOW})),
+lev AS (SELECT r, CASE WHEN max(k) = {WINDOW} AND max(plain) >= {LITERALS} THEN 0 WHEN max(plain) >= {WEAK_LITERALS} THEN 1 ELSE 2 END AS level FROM iw0 GROUP BY r),
+iw AS (SELECT DISTINCT item_id, p, k, level = 2 AS exact, CASE level WHEN 0 THEN {SHARE} ELSE 1.0 END AS share, level > 0 AS whole, ts, ws FROM iw0 JOIN lev USING (r) WHERE plain >= CASE level WHEN 0 THEN {LITERALS} WHEN 1 THEN {WEAK_LITERALS} ELSE 0 END),
+dw AS (SELECT id, r, p, k, exact, ts[1 : k] AS ts, ws[1 : k] AS ws FROM win, (SELECT DISTINCT k, exact FROM iw) kinds WHERE kind = 'd' AND len(ts) >= k),
+pair AS (SELECT dw.id AS doc_id, dw.r, item_id, dw.p - iw.p AS shift, iw.p AS ip, list_filter(list_zip(iw.ws, dw.ws), lambda x: starts_with(x[1], '<')) AS slots FROM dw JOIN iw USING (k, exact, ts) WHERE NOT exact OR iw.ws = dw.ws),
 al AS (SELECT doc_id, r, item_id, shift, list(DISTINCT ip) AS found, list_distinct(flatten(list(slots))) AS slots FROM pair GROUP BY ALL),
 ok AS (SELECT *, len(slots) AS n FROM al WHERE len(slots) = len(list_distinct(list_transform(slots, lambda s: s[1])))),
-fin AS (SELECT doc_id, r, item_id, len(list_distinct(flatten(list(found)))) AS n_windows, max(n) AS slots FROM ok GROUP BY ALL)
+fin AS (SELECT doc_id, r, item_id, len(list_distinct(flatten(list(found)))) AS n_all, max(len(found)) AS n_one, max(n) AS slots FROM ok GROUP BY ALL),
+hit AS (SELECT *, CASE WHEN whole THEN n_one ELSE n_all END AS n_windows FROM fin JOIN (SELECT item_id, count(DISTINCT p) AS item_windows, min(share) AS share, bool_and(whole) AS whole FROM iw GROUP BY item_id) USING (item_id))
 SELECT DISTINCT doc_id, item_id, CAST(n_windows AS INTEGER) AS n_windows, item_windows, CAST(slots AS INTEGER) AS slots
-FROM fin JOIN (SELECT item_id, count(DISTINCT p) AS item_windows FROM iw GROUP BY item_id) USING (item_id)
-WHERE n_windows >= ceil({SHARE} * item_windows)
+FROM hit
+WHERE n_windows >= ceil(share * item_windows)
 """,
 }

@@ -4,8 +4,9 @@ Sources get weights by code point order, share a budget of words by weight, and
 multiple of what they hold; what a capped source can't use is shared among the others by weight
 (water filling, solved in closed form with one window over the per-source table).
 
-Within a source every document first gets its certain whole copies, ``floor(e)`` for the expected
-number of copies ``e``. The fraction left is drawn by Pareto order sampling: documents are ranked
+Within a source documents have unequal chances: the expected number of copies ``e`` is in proportion to a document's
+weight, up to the most copies, and what documents at that limit can't use goes to the others (again in closed form, over the table of
+weights, which has at most WEIGHTS rows a source). Every document first gets its certain whole copies, ``floor(e)``. The fraction left is drawn by Pareto order sampling: documents are ranked
 by the odds of a per-document random number divided by the odds of their inclusion, and the
 smallest ranks are taken. The sample's size is fixed in words: the ranking is cut where the words
 taken come nearest to the target. The cut is found without gathering a source in one task: rank
@@ -20,9 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, broadcast_if, table
+from .common import WORD, Scratch, broadcast_if, fresh, table
 
 BINS = 256
+#: Weights of documents are whole numbers from 1 to this.
+WEIGHTS = 1000
 #: The per-source table is broadcast up to this many sources, else joined by shuffle.
 SOURCES_BROADCAST = 200_000
 
@@ -54,11 +57,24 @@ def targets(totals: DataFrame, weights: tuple[float, ...], share: float, cap: fl
     return t.select("source", "source_size", F.coalesce(F.least(F.col("_cap"), F.col("_water") * F.col("_w")), F.col("_cap")).alias("target"))
 
 
+def rates(levels: DataFrame, per_source: DataFrame, cap: float) -> DataFrame:
+    """_source, _rate: the expected copies of a document of weight w are least(cap, rate * w), and all of a source's make its target.
+    levels: _source, _p, _words (the words of the source's documents of that weight)."""
+    t = levels.join(broadcast_if(per_source.select(F.col("source").alias("_ts"), "target"), SOURCES_BROADCAST), F.col("_source").eqNullSafe(F.col("_ts"))).drop("_ts")
+    above = W.partitionBy("_source").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
+    below = W.partitionBy("_source").orderBy(F.desc("_p")).rowsBetween(0, W.unboundedFollowing)
+    # the rate if all heavier documents are at the limit and neither this weight nor a lighter one is: right for the heaviest weight that it keeps below
+    left = F.col("target") - F.lit(float(cap)) * F.coalesce(F.sum("_words").over(above), F.lit(0)).cast("double")
+    t = t.withColumn("_left", left).withColumn("_mass", F.sum(F.col("_p") * F.col("_words")).over(below).cast("double"))
+    t = t.withColumn("_r", F.when(F.col("_mass") > 0, F.col("_left") / F.col("_mass")))
+    ok = F.col("_r") * F.col("_p") <= F.lit(float(cap))
+    return t.groupBy("_source").agg(F.coalesce(F.max(F.when(ok, F.struct("_p", "_r")))["_r"], F.when(F.max("_mass") > 0, F.lit(float(cap))), F.lit(0.0)).alias("_rate"))
+
+
 def _ranked(sized: DataFrame, per_source: DataFrame, max_copies: int) -> DataFrame:
     """Adds whole copies and the Pareto rank, mapped to (0, 1) by q / (1 + q)."""
     s = sized.join(broadcast_if(per_source, SOURCES_BROADCAST).withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    expected = F.when(F.col("_mean_p") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("source_size") * F.col("_p") / F.col("_mean_p"))).otherwise(F.lit(0.0))
-    s = s.withColumn("_e", expected).withColumn("_whole", F.floor("_e").cast("long"))
+    s = s.withColumn("_e", F.least(F.lit(float(max_copies)), F.col("_rate") * F.col("_p"))).withColumn("_whole", F.floor("_e").cast("long"))
     pi = F.col("_e") - F.col("_whole")
     q = F.col("_u") / (1 - F.col("_u")) * (1 - pi) / pi
     return s.withColumn("_v", F.when((pi > 0) & (F.col("_whole") < max_copies) & (F.col("_size") > 0), q / (1 + q)))
@@ -77,27 +93,39 @@ def mix_sources(
     seed: int = 7,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per input row: the kept columns, then mix_size, mix_source_size, mix_target, mix_copies.
+    """One row per input row: the kept columns, then mix_size, mix_source_size, mix_target, mix_copies (with an underscore more where a kept column has that name).
 
-    keep: columns of docs to carry (all by default). propensity: a positive weight of a document
-    within its source (equal by default). The random number depends on seed and id: rows that
-    repeat an id are taken or left together. Null texts have size 0; null sources are a source of
+    keep: columns of docs to carry (all by default). propensity: a document's weight within its source, a whole number from 1 to
+    WEIGHTS (rounded up, and put into that range; null counts as 1); equal by default. The random number depends on seed and id: rows that
+    repeat an id and their weight are taken or left together. Null texts have size 0; null sources are a source of
     their own, ordered last; a source without words has target 0 and its documents get no copies.
     An empty table gives an empty result. Columns of docs may carry any names.
     """
+    mixed, kept = _mixed(docs, id_col, text_col, source_col, weights, share, max_copies, propensity, seed, docs.columns if keep is None else keep)
+    marks = [F.col(c).alias(fresh(kept, f"mix{c}")) for c in ("_size", "_source_size", "_target", "_copies")]
+    return mixed.select(*[F.col("_row").getField(c).alias(c) for c in kept], *marks)
+
+
+def mixed_rows(docs: DataFrame, *, propensity: Column | None = None, seed: int = 7, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_copies: int = 2) -> DataFrame:
+    """The mix itself: every row of docs (doc_id, text, source and any other columns) as often as it is taken."""
+    mixed, kept = _mixed(docs, "doc_id", "text", "source", weights, share, max_copies, propensity, seed, docs.columns)
+    times = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return mixed.select("_row", F.explode(times).alias("_copy")).select(*[F.col("_row").getField(c).alias(c) for c in kept])
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, max_copies: int, propensity: Column | None, seed: int, kept: list[str]) -> tuple[DataFrame, list[str]]:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    p = F.lit(1.0) if propensity is None else F.greatest(F.coalesce(propensity.cast("double"), F.lit(0.0)), F.lit(0.0))
+    p = F.lit(1) if propensity is None else F.least(F.greatest(F.coalesce(F.ceil(propensity.cast("double")), F.lit(1)), F.lit(1)), F.lit(WEIGHTS)).cast("int")
     marks = [docs[source_col].alias("_source"), word_count(docs[text_col]).alias("_size"), uniform(docs[id_col], seed).alias("_u"), p.alias("_p")]
-    kept = docs.columns if keep is None else keep
     carry = F.struct(*[docs[c] for c in kept]).alias("_row")
     narrow = set(kept) <= {id_col, source_col}
     sized = scratch.save(docs.select(carry, *marks) if narrow else docs.select(*marks), "sized")
-    sums = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum(F.col("_p") * F.col("_size")).alias("_ps"))
-    sums = scratch.save(sums.withColumnRenamed("_source", "source"), "sums")
-    per_source = targets(sums.select("source", "source_size"), weights, share, float(max_copies)).withColumnRenamed("source", "_ts")
-    means = sums.select("source", F.when(F.col("source_size") > 0, F.col("_ps") / F.col("source_size")).alias("_mean_p"))
-    per_source = scratch.save(per_source.join(means, F.col("_ts").eqNullSafe(F.col("source"))).drop("_ts"), "targets")
+    levels = scratch.save(sized.groupBy("_source", "_p").agg(F.sum("_size").alias("_words")), "levels")
+    sums = levels.groupBy("_source").agg(F.sum("_words").alias("source_size")).withColumnRenamed("_source", "source")
+    per_source = targets(sums, weights, share, float(max_copies))
+    rate = rates(levels, per_source, float(max_copies))
+    per_source = scratch.save(per_source.join(rate, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "targets")
 
     ranked = _ranked(sized, per_source, max_copies)
     whole = W.partitionBy("_source")
@@ -136,23 +164,17 @@ def mix_sources(
     rows = sized if narrow else docs.select(carry, *marks)
     out = _ranked(rows, per_source, max_copies).join(broadcast_if(cuts, SOURCES_BROADCAST), F.col("_source").eqNullSafe(F.col("_fs")), "left")
     copies = F.col("_whole") + F.when(F.col("_v") <= F.col("_cut"), 1).otherwise(0)
-    return out.select(
-        *[F.col("_row").getField(c).alias(c) for c in kept],
-        F.col("_size").alias("mix_size"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.coalesce(copies, F.lit(0)).cast("long").alias("mix_copies"),
-    )
+    return out.select("_row", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.coalesce(copies, F.lit(0)).cast("long").alias("_copies")), kept
 
 
-def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: every row as often as mix_copies says."""
-    times = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return mixed.select(*columns, F.explode(times).alias("_copy")).drop("_copy")
+def by_length(docs: DataFrame, text_col: str = "text") -> Column:
+    """Weights 1 to 10: a document counts more for every 50 words, up to 450."""
+    return 1 + F.least(F.lit(9), F.floor(word_count(docs[text_col]) / 50))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix_sources(docs, keep=["doc_id", "source"], propensity=by_length(docs))
     return mixed.select(
         "doc_id",
         F.col("mix_size").alias("size"),
@@ -168,7 +190,7 @@ QUERIES = {"op7_source_mix": op7_source_mix}
 ORACLES = {
     "op7_source_mix": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, 1 + least(9, size // 50) AS p,
          (('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -179,7 +201,11 @@ l AS (SELECT *, cap / w AS lim,
              / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
 water AS (SELECT arg_min(level, lim) AS water FROM l WHERE level <= lim),
 t AS (SELECT source, source_size, least(cap, water * w) AS target FROM l, water),
-e AS (SELECT sized.*, source_size, target, least(2.0, target / source_size) AS e FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+lv AS (SELECT source, p, sum(size) AS words FROM sized GROUP BY ALL),
+ra AS (SELECT lv.source, p, (target - 2.0::DOUBLE * CAST(coalesce(sum(words) OVER (PARTITION BY lv.source ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) AS rest,
+         CAST(sum(p * words) OVER (PARTITION BY lv.source ORDER BY p DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS mass FROM lv JOIN t ON lv.source IS NOT DISTINCT FROM t.source),
+rate AS (SELECT source, coalesce(arg_max(rest / mass, p) FILTER (mass > 0 AND rest / mass * p <= 2.0::DOUBLE), CASE WHEN max(mass) > 0 THEN 2.0::DOUBLE END, 0.0::DOUBLE) AS rate FROM ra GROUP BY source),
+e AS (SELECT sized.*, source_size, target, least(2.0::DOUBLE, rate * p) AS e FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source JOIN rate ON sized.source IS NOT DISTINCT FROM rate.source),
 v AS (SELECT *, floor(e) AS whole, CASE WHEN e > floor(e) AND floor(e) < 2 AND size > 0 THEN (u / (1 - u)) * (1 - (e - floor(e))) / (e - floor(e)) END AS q FROM e),
 need AS (SELECT source, max(target) - sum(size * whole) AS need FROM v GROUP BY source),
 c AS (SELECT v.source, q, need, sum(size) OVER (PARTITION BY v.source ORDER BY q) AS taken FROM v JOIN need ON v.source IS NOT DISTINCT FROM need.source WHERE q IS NOT NULL
