@@ -31,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks get texts in Arrow batches of 4 MB, unless the session has another bound than Spark's default of 64 MB: a batch is in memory
+    twice, in the executor and in its worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(4 << 20))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage where several later steps read a result.
 
@@ -39,6 +47,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -82,7 +91,7 @@ def sliced(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
-def by_bytes(batches, column: int = 1, size: int = 1 << 20):
+def by_bytes(batches, column: int = 1, size: int = 1 << 19):
     """Arrow batches in slices whose texts have about so many bytes; a longer text is a slice of its own."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -161,7 +170,7 @@ _FOLDED[ord("A") : ord("Z") + 1] += 32
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def _powers(n: int) -> list[np.ndarray]:

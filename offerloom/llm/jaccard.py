@@ -42,7 +42,7 @@ COUNTED = 90
 RANGE_BITS, RANGE_ROWS = 16, 100_000
 #: Bits of a key that hold the hash; those above say how common the shingle is.
 KEY_BITS = 61
-FLUSH, BUCKET_ROWS, LOCAL_HOT = 500_000, 500_000, 8
+FLUSH, BUCKET_ROWS, LOCAL_HOT = 300_000, 500_000, 8
 #: Candidates of one set in a tree, and shingles that a verifying task gets at a time.
 VERIFY_GROUP, VERIFY_SHINGLES = 1000, 1_000_000
 #: Members up to which a group's pairs are listed, sets on each side of a cell, and places of a bitmap at least.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, table, trimmed
+from .common import by_bytes, small_batches, table, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before its byte pairs are merged; has to be this pattern for the vocabulary above.
@@ -172,6 +172,7 @@ def pack_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pieces of row_length ids. Ids are whole numbers (or cast to them), may be null and may repeat: ``copies`` numbers the input's rows. The
     vocabulary is a path that every executor has, or the bare name of a file sent by ``SparkContext.addFile``. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("copy"))
     return rows.mapInArrow(trimmed(_pack(vocabulary, row_length, buffer_tokens)), PACKED)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, by_bytes, gram_hashes, table, trimmed, words_of
+from .common import Scratch, by_bytes, gram_hashes, small_batches, table, trimmed, words_of
 
 #: Defaults of the training sample's bounds (documents of each class, and characters in all) and of the model's. They fit a task of 500 MB.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1500, 8_000_000
@@ -314,6 +314,7 @@ def train(
 
 def score_texts(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
     """The columns, score, predicted and spans of every row. Null texts count as empty; equal texts have equal scores."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(*columns, F.col(text_col).alias("_scored"))
     types = T.StructType([*docs.select(*columns).schema.fields, *T.StructType.fromDDL(SCORE).fields])
@@ -335,6 +336,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     Null and empty texts hold no token and stay, unless the model knows no feature and most labels are toxic. Every row is judged by itself:
     repeated rows stay or go together.
     """
+    small_batches(docs.sparkSession)
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -426,7 +426,7 @@ def test_inclusion_follows_the_weights(spark):
         rate = (target - sum(2 * s for s, x in zip(size, w, strict=True) if x > cut)) / sum(x * s for s, x in zip(size, w, strict=True) if x <= cut)
         if rate * cut <= 2:
             break
-    taken, seeds = np.zeros(len(rows)), 25
+    taken, seeds = np.zeros(len(rows)), 10
     for seed in range(seeds):
         got = sorted(mixing.mix_sources(docs, share=0.9, seed=seed, propensity=F.col("w"), keep=["doc_id"]).select("doc_id", "mix_copies").collect())
         copies = np.array([c for _, c in got])
@@ -435,7 +435,7 @@ def test_inclusion_follows_the_weights(spark):
     for x in set(w):
         same = [i for i, y in enumerate(w) if y == x]
         want = min(2.0, rate * x)
-        assert abs(taken[same].sum() / seeds / len(same) - want) < 0.07 + 0.05 * want
+        assert abs(taken[same].sum() / seeds / len(same) - want) < 0.1 + 0.1 * want
 
 
 # --- media ---
