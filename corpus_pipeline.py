@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import Scratch, broadcast_if, table
+from offerloom.llm.common import Scratch, broadcast_if, fresh, table
 from offerloom.llm.decontamination import remove_contaminated
 from offerloom.llm.jaccard import COPIES_BROADCAST, jaccard_components
-from offerloom.llm.mixing import mix_sources, repeat_rows
+from offerloom.llm.mixing import by_length, mixed_rows
 from offerloom.llm.packing import pack_tokens
 from offerloom.llm.toxicity import keep_clean, train
 
@@ -28,14 +28,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles with a similarity of 0.75 or more, the document with the smallest id
-    stays. Rows that repeat an id are one document, of which one row stays; rows without an id all stay."""
+    stays. Rows that repeat an id are one document, of which the row stays that is first by the hash of its text and then by its
+    columns as JSON; rows without an id all stay."""
     classes = Scratch(spark, "near").save(jaccard_components(docs).where("doc_id IS NOT NULL"), "classes")
     others = classes.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(broadcast_if(others, COPIES_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
     if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_row", F.when(F.col("doc_id").isNull(), 1).otherwise(first)).where("_row = 1").drop("_row")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.to_json(F.struct(*docs.columns))))
+    number = fresh(docs.columns, "row_of_id")
+    return kept.withColumn(number, F.when(F.col("doc_id").isNull(), 1).otherwise(first)).where(F.col(number) == 1).drop(number)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in shares by weight; a document taken twice is two rows."""
-    return repeat_rows(mix_sources(docs), docs.columns)
+    """Sources in shares by weight, longer documents likelier; a document taken twice is two rows."""
+    return mixed_rows(docs, propensity=by_length(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
