@@ -35,7 +35,7 @@ def small_batches(spark: SparkSession) -> None:
     """Python tasks get texts in Arrow batches of 4 MB, unless the session has another bound than Spark's default of 64 MB: a batch is in memory
     twice, in the executor and in its worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(name, str(64 << 20)).rstrip("b") == str(64 << 20):
         spark.conf.set(name, str(4 << 20))
 
 
