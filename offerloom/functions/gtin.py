@@ -12,11 +12,25 @@ def digits(value: Column | str) -> Column:
     return F.regexp_replace(col(value).cast("string"), r"[^0-9]+", "")
 
 
+def weighted_sum(number: Column, digits_: int, first: int) -> Column:
+    """Of a bigint's last digits from the right: every other one times three, the first times ``first`` (1 or 3)."""
+    total, power = None, 1
+    for i in range(digits_):
+        digit = F.call_function("mod", F.call_function("div", number, F.lit(power).cast("bigint")) if i else number, F.lit(10).cast("bigint"))
+        digit = digit * 3 if (i % 2 == 0) == (first == 3) else digit
+        total = digit if total is None else total + digit
+        power *= 10
+    return total
+
+
+def check_digit_of(number: Column, digits_: int = 13) -> Column:
+    """Of a bigint of up to 13 digits. The number is read once for each digit: it should be cheap."""
+    return F.call_function("mod", 10 - F.call_function("mod", weighted_sum(number, digits_, 3), F.lit(10).cast("bigint")), F.lit(10).cast("bigint")).cast("int")
+
+
 def check_digit(body: Column | str) -> Column:
     """Of up to 13 digits: weights 3, 1, 3, ... from the left of the padded body."""
-    p = F.lpad(digits(body), 13, "0")
-    total = sum((F.substring(p, i + 1, 1).cast("int") * (3 if i % 2 == 0 else 1) for i in range(13)), F.lit(0))
-    return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10))
+    return let(F.substring(F.lpad(digits(body), 13, "0"), 1, 13).cast("bigint"), lambda number: check_digit_of(number))
 
 
 def normalize_gtin(value: Column | str) -> Column:
@@ -25,9 +39,10 @@ def normalize_gtin(value: Column | str) -> Column:
 
 
 def _normalized(d: Column) -> Column:
-    p = F.lpad(d, 14, "0")
-    fits = F.length(d).isin(8, 12, 13, 14) & ~d.rlike("^0+$")
-    return F.when(fits & (check_digit(F.substring(p, 1, 13)) == F.substring(p, 14, 1).cast("int")), p)
+    def checked(number: Column) -> Column:
+        return (number > 0) & (F.call_function("mod", weighted_sum(number, 14, 1), F.lit(10).cast("bigint")) == 0)
+
+    return F.when(F.length(d).isin(8, 12, 13, 14) & let(d.try_cast("bigint"), checked), F.lpad(d, 14, "0"))
 
 
 def is_valid_gtin(value: Column | str) -> Column:

@@ -1,7 +1,7 @@
-"""What a product page says about its product. One helper for whole batches of pages: nested JSON has no fixed schema.
+"""What a product page's JSON-LD says about its product. One helper for whole batches of blocks: nested JSON has no fixed schema.
 
-Sources in order: schema.org data in script elements, meta elements, a data-price attribute. Prices and pack sizes leave here
-as text: they are parsed by Column functions, the same ones as for feeds.
+Only these blocks come here, cut out of the page by Column functions, which also read meta elements, attributes and titles. Prices and pack sizes
+leave here as text: they are parsed by Column functions, the same ones as for feeds.
 """
 
 from __future__ import annotations
@@ -15,16 +15,11 @@ import pandas as pd
 
 from .text import ENTITIES
 
-FACTS = "title string, price_text string, currency string, stock_text string, stock_from_meta boolean, size_text string, description string, image string, gtin_texts array<string>, sku string, mpn string, source string"
-COLUMNS = [f.split()[0] for f in FACTS.split(", ")]
-SCRIPT = re.compile(r"<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>", re.I)
-META = re.compile(r"<meta\b([^>]+)>", re.I)
-ATTRIBUTE = re.compile(r"([a-z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
-LOOSE_NUMBER = re.compile(r"\b(?:ean|gtin|barcode|artikelnummer)\b[^0-9]{0,20}(\d{8,14})", re.I)
+NODE = "found boolean, title string, price_text string, currency string, stock_text string, size_text string, image string, gtin_texts array<string>, sku string, mpn string"
+COLUMNS = [f.split()[0] for f in NODE.split(", ")]
 # fixed values: keys that hold an article number, and those below which it may be
 NUMBER_KEYS = ("gtin14", "gtin13", "gtin12", "gtin8", "gtin", "ean", "europeanArticleNumber")
 BELOW = ("offers", "hasVariant", "isVariantOf", "additionalProperty")
-META_NUMBERS = ("product:ean", "og:upc", "product:retailer_part_no", "gtin13", "ean")
 ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]+)|#(\d+)|([a-zA-Z][a-zA-Z0-9]*));")
 
 
@@ -47,10 +42,10 @@ def as_list(x: Any) -> list:
     return x if isinstance(x, list) else [] if x is None else [x]
 
 
-def nodes_of(html: str) -> list[dict]:
-    """All objects of the page's JSON-LD, arrays and @graph opened; blocks that don't parse are left out."""
+def nodes_of(blocks: list[str]) -> list[dict]:
+    """All objects of JSON-LD blocks, arrays and @graph opened; blocks that don't parse are left out."""
     todo: list[Any] = []
-    for block in SCRIPT.findall(html):
+    for block in blocks:
         block = re.sub(r"^\s*<!\[CDATA\[|\]\]>\s*$", "", block)
         try:
             todo.append(json.loads(block))
@@ -116,64 +111,50 @@ def identifiers(node: Any, depth: int = 0) -> dict[str, list[str]]:
     return found
 
 
-def meta_values(html: str) -> dict[str, str]:
-    """Content by property, name or itemprop; the first one of a key counts."""
-    out: dict[str, str] = {}
-    for inner in META.findall(html):
-        a = {k.lower(): x or y for k, x, y in ATTRIBUTE.findall(inner)}
-        for k in ("property", "name", "itemprop"):
-            if k in a and "content" in a:
-                out.setdefault(a[k].lower(), unescape(a["content"]).strip())
-    return out
+def image_of(x: Any) -> str | None:
+    """The first image, however deep the lists that hold it."""
+    while isinstance(x, list):
+        x = x[0] if x else None
+    return x if isinstance(x, str) else first_of(x.get("url"), x.get("contentUrl")) if isinstance(x, dict) else None
 
 
-def image_of(x: Any) -> str | None:
-    x = as_list(x)[0] if as_list(x) else None
-    return x if isinstance(x, str) else (x.get("url") or x.get("contentUrl")) if isinstance(x, dict) else None
+def first_of(*values: Any) -> Any:
+    """The first value that isn't null."""
+    return next((v for v in values if v is not None), None)
 
 
-def facts(page: str | None) -> dict[str, Any]:
-    f: dict[str, Any] = dict.fromkeys(COLUMNS)
-    f["gtin_texts"] = []
-    if not page:
+def node_facts(blocks: list[str]) -> dict[str, Any]:
+    """Of the first product with a priced offer, or else the first product; identifiers of all products, that one's first."""
+    f: dict[str, Any] = dict.fromkeys(COLUMNS) | {"found": False, "gtin_texts": []}
+    products = [n for n in nodes_of(blocks) if is_product(n)]
+    if not products:
         return f
-    meta, products = meta_values(page), [n for n in nodes_of(page) if is_product(n)]
-    node = next((n for n in products if lowest_offer(n)), products[0] if products else None)
-    if node:
-        f["source"] = "json-ld"
-        name, size = node.get("name"), node.get("size")
-        weight = node.get("weight")
-        size = size if size is not None else weight.get("value") if isinstance(weight, dict) else None
-        offer = lowest_offer(node) or {}
-        spec = offer.get("priceSpecification")
-        currency = offer.get("priceCurrency") or (spec.get("priceCurrency") if isinstance(spec, dict) else None)
-        stock = offer.get("availability", offer.get("itemCondition"))
-        price = offer_price(offer)
-        f |= {"title": visible_text(str(name)) if name else None, "price_text": None if price is None else str(price), "currency": currency and str(currency).upper()}
-        f |= {"stock_text": stock and str(stock), "size_text": size if isinstance(size, str) else None, "image": image_of(node.get("image"))}
-    ids = {"gtin": [], "sku": [], "mpn": []}
-    for n in ([node] if node else []) + products:
+    node = next((n for n in products if lowest_offer(n)), products[0])
+    offer, weight = lowest_offer(node) or {}, node.get("weight")
+    spec = offer.get("priceSpecification")
+    spec = spec if isinstance(spec, dict) else {}
+    size = first_of(node.get("size"), weight.get("value") if isinstance(weight, dict) else None)
+    price = first_of(offer.get("price"), offer.get("lowPrice"), offer.get("highPrice"), spec.get("price"))
+    currency = first_of(offer.get("priceCurrency"), spec.get("priceCurrency"))
+    stock = first_of(offer.get("availability"), offer.get("itemCondition"))
+    ids: dict[str, list[str]] = {"gtin": [], "sku": [], "mpn": []}
+    for n in [node, *products]:
         for k, v in identifiers(n).items():
             ids[k] += v
-    if f["price_text"] is None or not re.search(r"\d", f["price_text"]):
-        text = next((meta[k] for k in ("product:price:amount", "og:price:amount", "price") if k in meta), None)
-        attribute = re.search(r"data-(?:product-)?price\s*=\s*[\"']([^\"']+)[\"']", page, re.I)
-        if text and re.search(r"\d", text):
-            f |= {"price_text": text, "source": f["source"] or "meta"}
-        elif attribute and re.search(r"\d", attribute[1]):
-            f |= {"price_text": attribute[1], "source": f["source"] or "attribute"}
-    f["stock_from_meta"] = not f["stock_text"]
-    f["stock_text"] = f["stock_text"] or meta.get("product:availability") or meta.get("og:availability")
-    title = re.search(r"<title[^>]*>([\s\S]*?)</title>", page, re.I)
-    f["title"] = f["title"] or (visible_text(meta["og:title"]) if meta.get("og:title") else None) or (title and visible_text(title[1]))
-    f["image"], f["description"] = f["image"] or meta.get("og:image"), meta.get("og:description")
-    loose = LOOSE_NUMBER.search(page)
-    f["gtin_texts"] = ids["gtin"] + [meta[k] for k in META_NUMBERS if k in meta] + ([loose[1]] if loose else [])
-    f["sku"] = next(iter(ids["sku"]), None) or meta.get("product:retailer_item_id") or meta.get("sku")
-    f["mpn"] = next(iter(ids["mpn"]), None)
-    return f
-
-
-def read_pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    return {
+        "found": True,
+        "title": visible_text(str(node["name"])) if node.get("name") else None,
+        "price_text": None if price is None else str(price),
+        "currency": str(currency).upper() if currency else None,
+        "stock_text": None if stock is None else str(stock),
+        "size_text": size if isinstance(size, str) else None,
+        "image": image_of(node.get("image")),
+        "gtin_texts": ids["gtin"],
+        "sku": next(iter(ids["sku"]), None),
+        "mpn": next(iter(ids["mpn"]), None),
+    }
+
+
+def read_blocks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for pages in batches:
-        yield pd.DataFrame([facts(p) for p in pages], columns=COLUMNS)
+        yield pd.DataFrame([node_facts([] if b is None else list(b)) for b in pages], columns=COLUMNS)

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# fixed values: the same characters, for trimming
+WHITE = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # fixed values: the named entities that are decoded
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "euro": "€", "eacute": "é", "egrave": "è", "euml": "ë",
@@ -30,6 +32,11 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def trim(text: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.trim(col(text), F.lit(WHITE))
+
+
 def _code_point(number: Column) -> Column:
     """The character of a code point; empty beyond Unicode and for surrogates."""
     real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
@@ -135,7 +142,7 @@ def slug_title(url: Column | str) -> Column:
     """A readable title from the last part of the path that is neither a number nor ``p``."""
     parts = F.filter(F.split(F.regexp_replace(without_query(url), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), "/"), lambda p: (p != "") & ~p.rlike(r"^\d+$") & (p != "p"))
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-    return F.trim(F.regexp_replace(F.regexp_replace(last, r"(?i)\.html?$", ""), "[-_]+", " "))
+    return trim(F.regexp_replace(F.regexp_replace(last, r"(?i)\.html?$", ""), "[-_]+", " "))
 
 
 def page_title(html: Column | str) -> Column:
@@ -151,4 +158,4 @@ def meta_content(html: Column | str, key: str) -> Column:
     name, content = rf"(?:property|name|itemprop)\s*=\s*[\"']{k}[\"']", r"content\s*=\s*[\"']([^\"']*)[\"']"
     found = F.regexp_extract_all(col(html), F.lit(rf"(?i)<meta[^>]+{name}[^>]*{content}"), F.lit(1))
     other = F.regexp_extract_all(col(html), F.lit(rf"(?i)<meta[^>]+{content}[^>]*{name}"), F.lit(1))
-    return F.trim(decode_entities(F.coalesce(F.try_element_at(found, F.lit(1)), F.try_element_at(other, F.lit(1)))))
+    return trim(decode_entities(F.coalesce(F.try_element_at(found, F.lit(1)), F.try_element_at(other, F.lit(1)))))

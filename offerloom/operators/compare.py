@@ -26,9 +26,10 @@ def facet_filter(products: DataFrame, category: str | None = None, sizes: list[s
     return p
 
 
-def comparison_rows(products: DataFrame, offers: DataFrame) -> DataFrame:
-    """Product x offer, with a unit price, and the cost of a month."""
+def comparison_rows(products: DataFrame, offers: DataFrame, shops: list = ()) -> DataFrame:
+    """Product x offer, with a unit price, and the cost of a month; of the listed shops only, if any are."""
     o = offers.where("unit_price IS NOT NULL")
+    o = o.where(F.col("shop").isin(list(shops))) if shops else o
     return o.join(products.select("product", "name", "brand", "category", "size"), "product").withColumn("monthly", M.monthly_cost(F.col("unit_price")))
 
 
@@ -59,22 +60,26 @@ def comparison_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def size_number(size: Column) -> Column:
+    """The number that a size starts with, or null: sizes such as 4+ or newborn are sorted, not refused."""
+    return F.regexp_extract(size, r"^(\d+)", 1).try_cast("long")
+
+
 def facets(products: DataFrame, offers: DataFrame) -> DataFrame:
     """category, kind (size or brand), value, position. Sizes are in natural order; brands only of products with offers."""
     with_offers = products.join(offers.select("product").distinct(), "product", "left_semi")
     sizes = products.where("size IS NOT NULL AND size <> ''").select("category", F.lit("size").alias("kind"), F.col("size").alias("value")).distinct()
     brands = with_offers.where("brand IS NOT NULL").select("category", F.lit("brand").alias("kind"), F.col("brand").alias("value")).distinct()
-    number = F.try_to_number(F.regexp_extract("value", r"^(\d+)", 1), F.lit("999999999")).cast("long")
-    key = F.when(F.col("kind") == "size", number)
+    key = F.when(F.col("kind") == "size", size_number(F.col("value")))
     # as many rows as a category has sizes and brands
     return sizes.unionByName(brands).withColumn("position", F.row_number().over(W.partitionBy("category", "kind").orderBy(key.asc_nulls_last(), "value")))
 
 
 def default_size(products: DataFrame, offers: DataFrame) -> DataFrame:
-    """Per category the size with the most brands that have offers; of equal ones the lowest size."""
+    """Per category the size with the most brands that have offers; of equal ones the lowest size, those without a number last."""
     with_offers = products.join(offers.select("product").distinct(), "product", "left_semi").where("size IS NOT NULL")
     n = with_offers.groupBy("category", "size").agg(F.count_distinct("brand").alias("brands"))
-    return n.groupBy("category").agg(F.min_by("size", F.struct(-F.col("brands"), F.col("size").cast("int"))).alias("size"), F.max("brands").alias("brands"))
+    return n.groupBy("category").agg(F.min_by("size", F.struct(-F.col("brands"), F.coalesce(size_number(F.col("size")), F.lit((1 << 63) - 1)), "size")).alias("size"), F.max("brands").alias("brands"))
 
 
 def product_listing(summary: DataFrame, mode: str = "unit") -> DataFrame:

@@ -1,7 +1,13 @@
-"""Offers to catalog products: by article number, else by title rules."""
+"""Offers to catalog products: by article number, else by title rules.
+
+A title rule asks for words that may stand anywhere in a title, inside other words too. So that titles and rules meet by equality only, distinct
+titles look up the required strings by a piece of three letters, rules are keyed by their two rarest required strings, and products by rule and size.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,19 +18,30 @@ from offerloom.functions.text import plain, tokens
 
 #: A catalog is broadcast up to this many products; a larger one is joined by shuffle.
 CATALOG_BROADCAST = 100_000
+#: Stands for sizes that need a pattern.
+ODD_SIZE = "*"
 
 
 def _broadcast(df: DataFrame, rows: int = CATALOG_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _size_key(size: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(size), r"\s", ""), "^0+", "")
+
+
 def has_size(plain_title: Column, size: Column) -> Column:
     """The title names the size: after maat, maten, size, mt or nr, or as s4 or t4. No size passes."""
-    n = F.regexp_replace(F.regexp_replace(F.lower(size), r"\s", ""), "^0+", "")
-    pattern = F.concat(F.lit(r"\b(?:(?:maat|maten|size|mt|nr)\s*0*|s|t)"), n, F.lit(r"\b"))
+    pattern = F.concat(F.lit(r"\b(?:(?:maat|maten|size|mt|nr)\s*0*|s|t)"), _size_key(size), F.lit(r"\b"))
     return F.coalesce(size == "", F.lit(True)) | F.coalesce(F.call_function("rlike", plain_title, pattern), F.lit(False))
 
 
+def named_sizes(plain_title: Column) -> Column:
+    """All sizes of letters and digits that ``has_size`` would find."""
+    after_word = F.regexp_extract_all(plain_title, F.lit(r"(?<![a-z0-9])(?:maat|maten|size|mt|nr)(?=\s*0*([a-z0-9]+))"), F.lit(1))
+    return F.array_union(after_word, F.regexp_extract_all(plain_title, F.lit(r"(?<![a-z0-9])[st]([a-z0-9]+)"), F.lit(1)))
+
+
 def verdict(title: Column, c: dict[str, Column]) -> Column:
     """The first reason against a title, or ``ok``. c: plain_title, must, none (plain words), brand, size, pack."""
     t = c["plain_title"]
@@ -50,62 +67,113 @@ def score(title_tokens: Column, query_tokens: Column) -> Column:
 
 
 def prepared(catalog: DataFrame) -> DataFrame:
-    """The catalog's rules in plain form, once per product."""
-    return catalog.select(
+    """The rules of the products without article numbers in plain form, once per product. size_mark: the size as titles name it, nothing, or ODD_SIZE."""
+    brand = plain(F.coalesce("brand", F.lit("")))
+    must, none = F.transform("must", plain), F.transform("none", plain)
+    key = _size_key(F.col("size"))
+    mark = F.when(F.coalesce(F.col("size"), F.lit("")) == "", "").when(key.rlike("^[a-z0-9]+$"), key).otherwise(ODD_SIZE)
+    return catalog.where(F.coalesce(F.size("gtins"), F.lit(0)) <= 0).select(
         "product",
-        F.transform("must", plain).alias("must"),
-        F.transform("none", plain).alias("none"),
-        plain(F.coalesce("brand", F.lit(""))).alias("rule_brand"),
+        F.md5(F.to_json(F.struct(brand, must, none))).alias("rule"),
+        must.alias("must"),
+        none.alias("none"),
+        brand.alias("rule_brand"),
         F.col("size").alias("rule_size"),
+        mark.alias("size_mark"),
         F.col("match_pack").alias("rule_pack"),
         tokens(plain(F.coalesce("query", "name"))).alias("query_tokens"),
-        F.size("gtins").alias("n_gtins"),
     )
 
 
 def match_by_gtin(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows whose article number is in a product's list, with that product and score 100; a number listed twice is the last product's."""
-    listed = catalog.select("product", F.explode("gtins").alias("g")).select("product", G.normalize_gtin("g").alias("gtin")).where("gtin IS NOT NULL")
-    listed = listed.groupBy("gtin").agg(F.max("product").alias("product"))
+    """Rows whose article number is in a product's list, with that product and score 100. A number listed twice is the last product's: the last by
+    ``position`` if the catalog has that column, else by id."""
+    place = "position" if "position" in catalog.columns else "product"
+    listed = catalog.select("product", F.col(place).alias("place"), F.explode("gtins").alias("g")).select("product", "place", G.normalize_gtin("g").alias("gtin")).where("gtin IS NOT NULL")
+    listed = listed.groupBy("gtin").agg(F.max_by("product", "place").alias("product"))
     return rows.join(_broadcast(listed), "gtin").withColumn("score", F.lit(100.0))
 
 
-def _candidates(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows beside the products without article numbers whose brand is in the title.
+# --- strings in titles ---
 
-    Brands are found in the title first (a list of distinct brands, not of products), so that rows and products meet by an
-    equality join. Products with the same words to check are one rule group: a title is compared with groups, then with their products.
-    """
-    rules = prepared(catalog).where("n_gtins = 0")
-    groups = rules.groupBy("rule_brand", "must", "none").agg(F.collect_list(F.struct("product", "rule_size", "rule_pack", "query_tokens")).alias("products"))
-    return _by_brand(rows, rules).join(_broadcast(groups), "rule_brand")
+
+def _pieces(text: Column) -> Column:
+    """The distinct runs of three letters; the whole text if it is shorter."""
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3)))
+    return F.when(F.length(text) >= 3, runs).otherwise(F.array(text))
+
+
+def keyed_strings(strings: DataFrame) -> DataFrame:
+    """strings (s, distinct) with piece: of each string's pieces the one that the fewest strings have."""
+    pieces = strings.where("s <> ''").select("s", F.explode(_pieces(F.col("s"))).alias("piece"))
+    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    return pieces.join(counts, "piece").groupBy("s").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+
+
+def strings_in(titles: DataFrame, keyed: DataFrame) -> DataFrame:
+    """title, plain_title, s: every string that a title contains. titles: title, plain_title; keyed: of keyed_strings."""
+    t, empty = F.col("plain_title"), F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, n))).otherwise(empty)
+
+    lengths = sorted(r["n"] for r in keyed.select(F.length("piece").alias("n")).distinct().collect())  # of 1, 2 and 3
+    found = F.array_distinct(F.concat(empty, *[runs(n) for n in lengths]))
+    return titles.select("title", "plain_title", F.explode(found).alias("piece")).join(_broadcast(keyed), "piece").where(F.contains(t, F.col("s"))).select("title", "plain_title", "s")
+
+
+class Rules(NamedTuple):
+    """The catalog's title rules as tables to be joined: required strings, rules by key, products by rule and size."""
+
+    strings: DataFrame
+    groups: DataFrame
+    products: DataFrame
+
+    def persist(self) -> Rules:
+        """Kept for several batches; what is lost with an executor is computed again."""
+        return Rules(*[t.persist() for t in self])
 
 
-def _by_brand(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows with their plain title, once for each brand of the rules that is in it."""
-    brands = rules.select("rule_brand").distinct()
-    listed = brands.agg(F.sort_array(F.collect_set("rule_brand")).alias("brands"))  # distinct brands of the catalog: one small row
-    r = rows.withColumn("plain_title", plain(F.coalesce("title", F.lit(""))))
-    names = [b for b in (listed.first()["brands"] or [])]
-    return r.withColumn("rule_brand", F.explode(F.filter(F.array(*[F.lit(b) for b in names]).cast("array<string>"), lambda b: F.contains(F.col("plain_title"), b))))
+def title_rules(catalog: DataFrame) -> Rules:
+    products = prepared(catalog)
+    groups = products.groupBy("rule").agg(F.first("rule_brand").alias("rule_brand"), F.first("must").alias("must"), F.first("none").alias("none"))
+    required = F.filter(F.array_distinct(F.concat("must", F.array("rule_brand"))), lambda w: w != "")
+    strings = groups.select("rule", F.explode(required).alias("s"))
+    counts = strings.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "s"))), 1, 2)
+    keys = strings.join(counts, "s").groupBy("rule").agg(F.sort_array(F.concat(F.transform(rarest, lambda x: x["s"]), F.array(F.lit("")))).alias("k"))
+    # the two rarest strings in order; where there is but one, the empty string before it
+    first, second = F.element_at("k", F.when(F.size("k") > 2, 2).otherwise(1)), F.element_at("k", -1)
+    groups = groups.join(keys, "rule", "left").select("rule", "rule_brand", "must", "none", F.coalesce(first, F.lit("")).alias("k1"), F.coalesce(second, F.lit("")).alias("k2"))
+    used = groups.select(F.explode(F.array("k1", "k2")).alias("s")).distinct()
+    return Rules(keyed_strings(used), groups, products.select("rule", "product", "rule_size", "size_mark", "rule_pack", "query_tokens"))
 
 
-def match_by_title(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows with every product (of those without article numbers) whose rules the title passes, and the score."""
-    fits = F.forall("must", lambda w: F.contains(F.col("plain_title"), w)) & ~F.exists("none", lambda w: F.contains(F.col("plain_title"), w))
-    near = _candidates(rows, catalog).where(fits & (F.col("plain_title") != ""))
-    near = near.withColumn("title_tokens", tokens("plain_title")).select("*", F.explode("products").alias("p")).drop("products")
-    sized = F.coalesce(F.col("p.rule_size") == "", F.col("p.rule_size").isNull(), F.lit(True)) | has_size(F.col("plain_title"), F.col("p.rule_size"))
-    packed = F.col("p.rule_pack").isNull() | F.coalesce(F.abs(M.parse_pack_size("title")["amount"] - F.col("p.rule_pack")) <= 0.01, F.lit(False))
-    out = near.where(sized & packed).withColumn("score", score(F.col("title_tokens"), F.col("p.query_tokens")))
-    return out.select(*[F.col(c) for c in rows.columns], F.col("p.product").alias("product"), "score")
+def match_by_title(rows: DataFrame, catalog: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Rows with every product (of those without article numbers) whose rules the title passes, and the score. Equal titles are judged once."""
+    rules = rules or title_rules(catalog)
+    titles = rows.select("title").distinct().select("title", plain(F.coalesce("title", F.lit(""))).alias("plain_title")).where("plain_title <> ''")
+    found = strings_in(titles, rules.strings).unionByName(titles.withColumn("s", F.lit("")))
+    found = found.groupBy("title", "plain_title").agg(F.sort_array(F.collect_set("s")).alias("found"))
+    n = F.size("found")
+    pairs = F.flatten(F.transform("found", lambda a, i: F.transform(F.slice("found", i + 2, n), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
+    pairs = F.concat(pairs, F.array(F.struct(F.lit("").alias("k1"), F.lit("").alias("k2"))))
+    t = F.col("plain_title")
+    fits = F.contains(t, F.col("rule_brand")) & F.forall("must", lambda w: F.contains(t, w)) & ~F.exists("none", lambda w: F.contains(t, w))
+    near = found.select("title", "plain_title", F.explode(pairs).alias("k")).select("title", "plain_title", "k.*").join(_broadcast(rules.groups), ["k1", "k2"]).where(fits).select("title", "plain_title", "rule")
+    marks = F.array_union(named_sizes(t), F.array(F.lit(""), F.lit(ODD_SIZE)))
+    near = near.select("title", "plain_title", "rule", tokens("plain_title").alias("title_tokens"), F.explode(marks).alias("size_mark")).join(_broadcast(rules.products), ["rule", "size_mark"])
+    sized = (F.col("size_mark") != ODD_SIZE) | has_size(t, F.col("rule_size"))
+    packed = F.col("rule_pack").isNull() | F.coalesce(F.abs(M.parse_pack_size("title")["amount"] - F.col("rule_pack")) <= 0.01, F.lit(False))
+    matched = near.where(sized & packed).select("title", "product", score(F.col("title_tokens"), F.col("query_tokens")).alias("score"))
+    return rows.join(matched, "title").select(*rows.columns, "product", "score")
 
 
-def match_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def match_rows(rows: DataFrame, catalog: DataFrame, rules: Rules | None = None) -> DataFrame:
     """By article number where a product lists it, by title otherwise."""
     listed = catalog.select(F.explode("gtins").alias("g")).select(G.normalize_gtin("g").alias("gtin")).where("gtin IS NOT NULL").distinct()
     rest = rows.join(_broadcast(listed), "gtin", "left_anti")
-    return match_by_gtin(rows, catalog).select(*rows.columns, "product", "score").unionByName(match_by_title(rest, catalog))
+    return match_by_gtin(rows, catalog).select(*rows.columns, "product", "score").unionByName(match_by_title(rest, catalog, rules))
 
 
 def best_rows(matched: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -121,9 +189,13 @@ def diagnose(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     Equal titles are counted first. A title is judged once per rule group, and where the words pass, once per size and pack of the
     group; products are joined to the counts, not to the titles.
     """
-    rules = prepared(catalog).where("n_gtins = 0")
+    rules = prepared(catalog)
     key = ["rule_brand", "must", "none"]
-    titles = _by_brand(rows.groupBy("title").agg(F.count(F.lit(1)).alias("n")), rules)
+    counted = rows.groupBy("title").agg(F.count(F.lit(1)).alias("n")).withColumn("plain_title", plain(F.coalesce("title", F.lit(""))))
+    brands = keyed_strings(rules.select(F.col("rule_brand").alias("s")).distinct())
+    # products without a brand take every title
+    mates = strings_in(counted.select("title", "plain_title"), brands).withColumnRenamed("s", "rule_brand")
+    titles = counted.withColumn("rule_brand", F.lit("")).unionByName(mates.join(counted.select("title", "n"), "title"))
     groups = rules.groupBy(*key).agg(F.collect_set(F.struct("rule_size", "rule_pack")).alias("sizes"))
     rule = {"plain_title": F.col("plain_title"), "must": F.col("must"), "none": F.col("none"), "brand": F.col("rule_brand"), "size": F.lit(None).cast("string"), "pack": F.lit(None).cast("double")}
     judged = titles.join(_broadcast(groups), "rule_brand").withColumn("words", verdict(F.col("title"), rule))

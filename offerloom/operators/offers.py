@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions import gtin as G
+from offerloom.functions import money as M
 
 #: A page that shows something else is forgotten at once, any other failure after so many rounds.
 MAX_FAILURES = 3
@@ -39,13 +40,22 @@ def not_covered(work: DataFrame, feed_offers: DataFrame) -> DataFrame:
     return work.join(feed_offers.select("product", "shop").distinct(), ["product", "shop"], "left_anti")
 
 
+#: What an offer says beside product, shop, url and price, with its type.
+FACTS = {"title": "string", "gtin": "string", "sku": "string", "mpn": "string", "currency": "string", "in_stock": "boolean", "amount": "double", "unit": "string"}
+
+
+def _facts(df: DataFrame) -> Column:
+    return F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in FACTS.items()])
+
+
 def known_page_offers(work: DataFrame, resolved: DataFrame, pages: DataFrame, rediscovered: DataFrame) -> DataFrame:
-    """The offer of the pinned or resolved page if it still fits, else of the rediscovered one; errors are kept.
+    """product, shop, url, price, the page's FACTS, error, from_known: the offer of the pinned or resolved page if it still fits, else of
+    the rediscovered one; errors are kept.
 
-    pages: url, fits, allowed, price (and more). rediscovered: product, shop, url, price.
+    pages: url, fits, allowed, price, and of FACTS what there is. rediscovered: product, shop, url, price, and the same.
     """
     known = work.join(resolved.select("product", "shop", F.col("url").alias("cached")), ["product", "shop"], "left").withColumn("url", F.coalesce("link", "cached"))
-    seen = known.join(pages.withColumn("page_found", F.lit(True)), "url", "left")
+    seen = known.join(pages.select("url", "fits", "allowed", "price", _facts(pages).alias("facts"), F.lit(True).alias("page_found")), "url", "left")
     error = (
         F.when(F.col("url").isNull(), None)
         .when(F.col("page_found").isNull(), "pagina niet gevonden")
@@ -54,12 +64,26 @@ def known_page_offers(work: DataFrame, resolved: DataFrame, pages: DataFrame, re
         .when(~F.col("fits"), "pagina past niet meer")
     )
     good = F.col("page_found").isNotNull() & F.col("fits") & F.col("allowed") & F.col("price").isNotNull()
-    seen = seen.select("product", "shop", F.when(good, F.col("url")).alias("known_url"), F.when(good, F.col("price")).alias("known_price"), error.alias("known_error"))
-    again = rediscovered.select("product", "shop", F.col("url").alias("new_url"), F.col("price").alias("new_price"))
-    out = seen.join(again, ["product", "shop"], "left")
-    url, price = F.coalesce("known_url", "new_url"), F.coalesce("known_price", "new_price")
+    seen = seen.select("product", "shop", F.when(good, F.struct("url", "price", "facts")).alias("known"), error.alias("known_error"))
+    again = rediscovered.select("product", "shop", F.struct("url", "price", _facts(rediscovered).alias("facts")).alias("new"))
+    out = seen.join(again, ["product", "shop"], "left").withColumn("o", F.coalesce("known", "new"))
     failed = F.concat_ws("; ", "known_error", F.lit("geen passend resultaat"))
-    return out.select("product", "shop", url.alias("url"), price.alias("price"), F.when(url.isNull(), failed).alias("error"), F.col("known_url").isNotNull().alias("from_known"))
+    return out.select("product", "shop", "o.url", "o.price", "o.facts.*", F.when(F.col("o").isNull(), failed).alias("error"), F.col("known").isNotNull().alias("from_known"))
+
+
+def full_offers(found: DataFrame, catalog: DataFrame, shops: DataFrame, source: str) -> DataFrame:
+    """Matched feed rows or page results as offers: FACTS, url, price, unit price and label, the shop's name and the source.
+
+    found: product, shop, url, price, and of FACTS what there is. A pack that the offer doesn't say is the catalog's (pack_amount, pack_unit).
+    catalog and shops may be of any size: they are joined by their keys.
+    """
+    packs = catalog.select("product", "pack_amount", "pack_unit")
+    o = found.withColumn("_facts", _facts(found)).select("product", "shop", "url", "price", *[c for c in found.columns if c not in ("product", "shop", "url", "price", *FACTS)], "_facts.*")
+    o = o.join(packs, "product", "left").join(shops.select("shop", "shop_name"), "shop", "left")
+    own = F.col("amount").isNotNull()
+    o = o.withColumns({"amount": F.when(own, F.col("amount")).otherwise(F.col("pack_amount")), "unit": F.when(own, F.col("unit")).otherwise(F.col("pack_unit"))}).drop("pack_amount", "pack_unit")
+    price = F.when(F.col("amount").isNotNull(), M.unit_price(F.col("price"), F.col("amount"), F.col("unit")))
+    return o.withColumns({"currency": F.coalesce("currency", F.lit("EUR")), "unit_price": price, "unit_label": M.unit_label(F.col("unit")), "source": F.lit(source), "gtin_text": F.col("gtin")}).drop("gtin")
 
 
 def one_per_shop(offers: DataFrame, order: list[Column]) -> DataFrame:
@@ -74,10 +98,12 @@ def union_sources(feed: DataFrame, page: DataFrame) -> DataFrame:
 
 
 def merge_resolved(old: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The cache after a round. old: product, shop, url, failures. outcomes: product, shop, url (null: failed), error."""
-    o = outcomes.select("product", "shop", F.col("url").alias("new_url"), "error", F.lit(True).alias("tried"))
-    m = old.join(o, ["product", "shop"], "full_outer")
-    failed = F.col("tried").isNotNull() & F.col("new_url").isNull()
-    failures = F.when(F.col("new_url").isNotNull(), 0).when(failed, F.coalesce("failures", F.lit(0)) + 1).otherwise(F.coalesce("failures", F.lit(0)))
+    """The cache after a round. old: product, shop, url, title, resolved_at, source, failures. outcomes: product, shop, url (null: failed), title, at, source, error."""
+    entry = F.struct("url", "title", F.col("at").alias("resolved_at"), "source")
+    o = outcomes.select("product", "shop", F.when(F.col("url").isNotNull(), entry).alias("new"), "error", F.lit(True).alias("tried"))
+    m = old.select("product", "shop", F.struct("url", "title", "resolved_at", "source").alias("old"), "failures").join(o, ["product", "shop"], "full_outer")
+    failed = F.col("tried").isNotNull() & F.col("new").isNull()
+    failures = F.when(F.col("new").isNotNull(), 0).when(failed, F.coalesce("failures", F.lit(0)) + 1).otherwise(F.coalesce("failures", F.lit(0)))
     gone = failed & (F.coalesce(F.col("error").rlike(WRONG_PAGE), F.lit(False)) | (failures >= MAX_FAILURES))
-    return m.withColumn("f", failures).where(~gone).select("product", "shop", F.coalesce("new_url", "url").alias("url"), F.col("f").cast("int").alias("failures")).where("url IS NOT NULL")
+    kept = m.withColumn("f", failures).where(~gone).select("product", "shop", F.coalesce("new", "old").alias("e"), F.col("f").cast("int").alias("failures"))
+    return kept.where("e.url IS NOT NULL").select("product", "shop", "e.*", "failures")

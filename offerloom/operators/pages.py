@@ -12,48 +12,74 @@ from pyspark.sql import functions as F
 from offerloom.functions import gtin as G
 from offerloom.functions import money as M
 from offerloom.functions import text as T
-from offerloom.functions.productpage import FACTS, read_pages
+from offerloom.functions.productpage import NODE, read_blocks
 
 # fixed values: stock words of schema.org and meta elements
 PAGE_IN_STOCK = r"(?i)instock|in_stock|limitedavailability|onlineonly|presale|preorder|backorder"
 PAGE_OUT_OF_STOCK = r"(?i)outofstock|out_of_stock|soldout|discontinued"
 
 
-def _facts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    yield from read_pages(pages)
+# fixed values: where a page's product data stands beside its JSON-LD, in the order in which the places are tried
+LD_BLOCK = "(?i)<script\\b[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>([\\s\\S]*?)</script>"
+PRICE_ATTRIBUTE = "(?i)data-(?:product-)?price\\s*=\\s*[\"']([^\"']+)[\"']"
+LOOSE_NUMBER = r"(?i)\b(?:ean|gtin|barcode|artikelnummer)\b[^0-9]{0,20}(\d{8,14})"
+META_PRICES = ("product:price:amount", "og:price:amount", "price")
+META_NUMBERS = ("product:ean", "og:upc", "product:retailer_part_no", "gtin13", "ean")
+
+
+def _read(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    yield from read_blocks(blocks)
 
 
 def product_facts(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without the html, with title, price, currency, in_stock, amount, unit, gtin, sku, mpn, image, page_source.
 
-    Each page crosses to Python once, and only its html; what comes back is parsed by Column functions.
+    JSON-LD blocks, which have no schema, cross to Python; the rest is read and parsed by Column functions.
     """
     keep = [c for c in pages.columns if c != html]
-    p = pages.select(*keep, F.pandas_udf(_facts, FACTS)(F.col(html)).alias("f")).select(*keep, "f.*")
-    compact = F.regexp_replace("stock_text", r"\s", "")
-    stock = F.when(F.col("stock_text").isNull() | (F.col("stock_text") == ""), None).when(F.col("stock_text").rlike(PAGE_OUT_OF_STOCK), False).when(compact.rlike(PAGE_IN_STOCK), True).when(F.col("stock_from_meta"), False)
-    pack = F.coalesce(M.parse_pack_size("size_text"), M.parse_pack_size("title"), M.parse_pack_size("description"))
-    number = F.try_element_at(F.filter(F.transform("gtin_texts", G.normalize_gtin), lambda g: g.isNotNull()), F.lit(1))
+    h = F.col(html)
+    metas = F.array_join(F.regexp_extract_all(h, F.lit(r"(?i)<meta\b[^>]+>"), F.lit(0)), "\n")
+    p = pages.select(
+        *keep,
+        F.regexp_extract_all(h, F.lit(LD_BLOCK), F.lit(1)).alias("_blocks"),
+        metas.alias("_metas"),
+        F.regexp_extract(h, PRICE_ATTRIBUTE, 1).alias("_attribute"),
+        T.page_title(h).alias("_page_title"),
+        F.regexp_extract(h, LOOSE_NUMBER, 1).alias("_loose"),
+    )
+    p = p.withColumn("_f", F.pandas_udf(_read, NODE)(F.col("_blocks")))
+    node = {c: F.col(f"_f.{c}") for c in ("found", "title", "price_text", "currency", "stock_text", "size_text", "image", "gtin_texts", "sku", "mpn")}
+    meta = lambda key: T.meta_content("_metas", key)
+    filled = lambda c: F.nullif(c, F.lit(""))
+    said, own_price = F.coalesce(node["stock_text"], F.lit("")), M.parse_price(node["price_text"])
+    p = p.withColumns({"_own": own_price, "_meta": M.parse_price(F.coalesce(*[meta(k) for k in META_PRICES])), "_marked": M.parse_price("_attribute"), "_stock": filled(F.coalesce(meta("product:availability"), meta("og:availability")))})
+    in_meta = ~F.col("_stock").rlike(PAGE_OUT_OF_STOCK) & F.regexp_replace("_stock", r"\s", "").rlike(PAGE_IN_STOCK)
+    stock = F.when(said.rlike(PAGE_OUT_OF_STOCK), False).when(said.rlike(PAGE_IN_STOCK), True).when(F.col("_stock").isNotNull(), in_meta)
+    title = F.coalesce(filled(node["title"]), filled(T.strip_tags(meta("og:title"))), filled(T.strip_tags("_page_title")))
+    texts = F.concat(F.coalesce(node["gtin_texts"], F.array().cast("array<string>")), F.array(*[meta(k) for k in META_NUMBERS], filled(F.col("_loose"))))
+    number = F.try_element_at(F.filter(F.transform(texts, G.normalize_gtin), lambda g: g.isNotNull()), F.lit(1))
+    p = p.withColumn("_title", title)
+    p = p.withColumn("_pack", F.coalesce(M.parse_pack_size(node["size_text"]), M.parse_pack_size("_title"), M.parse_pack_size(meta("og:description"))))
     return p.select(
         *keep,
-        "title",
-        M.parse_price("price_text").alias("page_price"),
-        F.coalesce("currency", F.lit("EUR")).alias("currency"),
+        F.col("_title").alias("title"),
+        F.coalesce("_own", "_meta", "_marked").alias("page_price"),
+        F.coalesce(node["currency"], F.lit("EUR")).alias("currency"),
         stock.alias("in_stock"),
-        pack["amount"].alias("amount"),
-        pack["unit"].alias("unit"),
+        F.col("_pack.amount").alias("amount"),
+        F.col("_pack.unit").alias("unit"),
         number.alias("page_gtin"),
-        "sku",
-        "mpn",
-        "image",
-        F.col("source").alias("page_source"),
+        F.coalesce(filled(node["sku"]), filled(meta("product:retailer_item_id")), filled(meta("sku"))).alias("sku"),
+        node["mpn"].alias("mpn"),
+        F.coalesce(filled(node["image"]), meta("og:image")).alias("image"),
+        F.when(node["found"], "json-ld").when(F.col("_meta").isNotNull(), "meta").when(F.col("_marked").isNotNull(), "attribute").alias("page_source"),
     )
 
 
 def hrefs(html: Column | str) -> Column:
     """Distinct hrefs of a page's anchors in order, decoded, without fragments and scripts."""
     raw = F.regexp_extract_all(T.col(html), F.lit("(?i)<a\\b[^>]*href\\s*=\\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(raw, lambda h: F.trim(T.decode_entities(h))), lambda h: (h != "") & ~h.startswith("#") & ~h.startswith("javascript:")))
+    return F.array_distinct(F.filter(F.transform(raw, lambda h: T.trim(T.decode_entities(h))), lambda h: (h != "") & ~h.startswith("#") & ~h.startswith("javascript:")))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -65,19 +91,22 @@ def candidates(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """shop, url, title: one row for each product URL of a shop, with the longest title.
 
     sites: shop, host (without www.), path_pattern. A title is the longest, of at least four characters, of the anchor's text, its title
-    attribute and the URL's last part. Pages without a fitting anchor fall back to their bare hrefs, which are the same URLs without texts.
+    attribute and the URL's last part. A page without a fitting anchor of a shop falls back to its bare hrefs there.
     """
+    # fixed values: what an anchor and its title attribute look like
     anchor = "(?i)<a\\b([^>]*)href\\s*=\\s*[\"']([^\"']+)[\"']([^>]*)>([\\s\\S]{0,600}?)</a>"
     whole = F.regexp_extract_all("html", F.lit(anchor), F.lit(0))
     rows = pages.select("page_id", "url", F.posexplode(whole).alias("pos", "a"))
-    href = F.trim(T.decode_entities(F.regexp_extract("a", anchor, 2)))
+    href = T.trim(T.decode_entities(F.regexp_extract("a", anchor, 2)))
     target = T.resolve(href, F.col("url"))
     attrs = F.concat(F.regexp_extract("a", anchor, 1), F.regexp_extract("a", anchor, 3))
-    texts = rows.select("page_id", "url", "pos", target.alias("target"), T.strip_tags(F.regexp_extract("a", anchor, 4)).alias("t1"), F.trim(T.decode_entities(F.regexp_extract(attrs, "(?i)title\\s*=\\s*[\"']([^\"']+)[\"']", 1))).alias("t2"))
-    bare = links(pages).select("page_id", "url", (F.col("pos") + 1_000_000).alias("pos"), T.resolve(F.col("href"), F.col("url")).alias("target"), F.lit("").alias("t1"), F.lit("").alias("t2"))
+    texts = rows.select("page_id", "url", F.lit(False).alias("bare"), "pos", target.alias("target"), T.strip_tags(F.regexp_extract("a", anchor, 4)).alias("t1"), T.trim(T.decode_entities(F.regexp_extract(attrs, "(?i)title\\s*=\\s*[\"']([^\"']+)[\"']", 1))).alias("t2"))
+    bare = links(pages).select("page_id", "url", F.lit(True).alias("bare"), "pos", T.resolve(F.col("href"), F.col("url")).alias("target"), F.lit("").alias("t1"), F.lit("").alias("t2"))
     both = texts.unionByName(bare).where(F.col("target").rlike("^https?:"))
     both = both.withColumn("link_host", T.url_host("target")).withColumn("path", T.url_path("target"))
     found = both.join(sites, F.col("link_host") == F.col("host")).where(F.col("path_pattern").isNull() | F.call_function("rlike", F.col("path"), F.col("path_pattern")))
+    # bare hrefs count where a page has no fitting anchor of the shop; a page's links bound the window
+    found = found.withColumn("only_bare", F.min("bare").over(W.partitionBy("page_id", "shop"))).where(F.col("bare") == F.col("only_bare"))
     slug = T.slug_title("target")
     options = F.filter(F.array("t1", "t2", slug), lambda t: F.length(t) >= 4)
     title = F.coalesce(F.try_element_at(F.array_sort(options, lambda a, b: F.length(b) - F.length(a)), F.lit(1)), slug)
@@ -98,9 +127,9 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
     A group is the lines after a run of user-agent lines. A file is one row here, so its lines are windowed within the host.
     """
-    lines = files.select("host", F.posexplode(F.split("body", r"\r?\n")).alias("no", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "#.*$", ""))).where(F.contains("line", F.lit(":")))
-    key = F.lower(F.trim(F.substring_index("line", ":", 1)))
-    value = F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    lines = files.select("host", F.posexplode(F.split("body", r"\r?\n")).alias("no", "raw")).withColumn("line", T.trim(F.regexp_replace("raw", "#.*$", ""))).where(F.contains("line", F.lit(":")))
+    key = F.lower(T.trim(F.substring_index("line", ":", 1)))
+    value = T.trim(F.regexp_replace("line", "^[^:]*:", ""))
     w = W.partitionBy("host").orderBy("no")
     x = lines.select("host", "no", key.alias("k"), value.alias("v")).withColumn("starts", (F.col("k") == "user-agent") & (F.coalesce(F.lag("k").over(w), F.lit("")) != "user-agent"))
     x = x.withColumn("group_no", F.sum(F.col("starts").cast("int")).over(w)).where("group_no > 0")

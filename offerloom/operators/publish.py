@@ -56,30 +56,37 @@ def round_stats(catalog: DataFrame, offers: DataFrame) -> DataFrame:
     return n.join(o.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+#: What the payload says of an offer, as far as it is known.
+SHOWN = (
+    "shop", "shop_name", "url", "price", "unit_price", "unit_label", "amount", "unit", "source", "in_stock", "title", "gtin", "sku", "verification", "gtin_changed",
+)
+
+
 def payload(catalog: DataFrame, offers: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row per product with its offers in rank order. A product has at most one offer of a shop, which bounds the list."""
-    cols = [c for c in ("shop", "price", "unit_price", "unit_label", "amount", "unit", "in_stock", "source", "verification") if c in offers.columns]
+    """One row per product with its offers in rank order, numbers as shops show them. A product has at most one offer of a shop, which bounds the list."""
+    shown = {"gtin": G.display_gtin("gtin")}
+    cols = [shown.get(c, F.col(c)).alias(c) for c in SHOWN if c in offers.columns]
     nested = F.transform(F.array_sort(F.collect_list(F.struct(_rank_struct().alias("k"), F.struct(*cols).alias("o")))), lambda x: x["o"])
     lists = offers.groupBy("product").agg(nested.alias("offer_list"))
     return catalog.select("product", "name", "brand", "category", "size").join(summary, "product").join(lists, "product")
 
 
 def publish(products: DataFrame, path: str, dry_run: bool = False) -> bool:
-    """Writes the payload as JSON to a new folder and points ``path/current`` at it; an empty result or a dry run leaves the last one.
+    """Writes the payload as JSON to a new folder and then adds its name to ``path/current``; an empty result or a dry run leaves the last one.
 
-    Returns True if something was published. Readers find the newest complete folder in ``current``.
+    Returns True if something was published. Nothing is ever overwritten: until the new name is there, readers find the last whole payload.
     """
     if dry_run or products.isEmpty():
         return False
     spark = products.sparkSession
     version = spark.sql("select date_format(current_timestamp(), 'yyyyMMddHHmmssSSS')").first()[0]
     products.write.mode("error").json(f"{path}/v={version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/current")
     return True
 
 
 def read_published(spark: SparkSession, path: str, schema) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/current").first()[0]
+    version = spark.read.schema("version string").json(f"{path}/current").agg(F.max("version")).first()[0]
     return spark.read.schema(schema).json(f"{path}/v={version}")
 
 

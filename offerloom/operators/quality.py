@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ def _twice(df: DataFrame, subject: str, rule: str) -> DataFrame:
 
 
 def catalog_violations(catalog: DataFrame, categories: DataFrame, shops: DataFrame) -> DataFrame:
-    """catalog: product, name, brand, category, size, query, must, none, match_pack, gtins, strict, shops."""
+    """catalog: product, name, brand, category, size, query, must, none, match_pack, gtins, strict, shops, links; gtins_given, if a list
+    that is absent is empty there. Categories are checked only where there are any."""
     c = catalog
+    given = F.col("gtins_given") if "gtins_given" in c.columns else F.col("gtins").isNotNull()
+    linked = c.select("product", F.explode(F.map_keys("links")).alias("shop"))
     listed = c.select("product", F.explode("shops").alias("shop"))
     numbers = c.select("product", F.explode("gtins").alias("number"))
     own = F.when(F.col("match_pack").isNotNull(), F.concat_ws(" ", "name", F.regexp_replace(F.col("match_pack").cast("string"), r"\.0$", ""))).otherwise(F.col("name"))
@@ -43,8 +48,10 @@ def catalog_violations(catalog: DataFrame, categories: DataFrame, shops: DataFra
         _found(c, "product", "no id", F.col("product").isNull()),
         _found(c, "product", "no name", _blank("name")),
         _found(c, "product", "no category", _blank("category")),
-        _unknown(c, "product", "category", categories, "unknown category"),
+        _unknown(c.where(~_blank("category")), "product", "category", categories, "unknown category") if not categories.isEmpty() else _found(c, "product", "unknown category", F.lit(False)),
         _unknown(listed, "product", "shop", shops, "unknown shop"),
+        _unknown(linked, "product", "shop", shops, "link to an unknown shop"),
+        _found(c, "product", "empty list of article numbers", given & (F.size("gtins") == 0), "warning"),
         _found(numbers, "product", "invalid article number", ~G.is_valid_gtin("number")),
         _found(c, "product", "strict without a list", F.coalesce("strict", F.lit(False)) & (F.coalesce(F.size("gtins"), F.lit(0)) <= 0)),
         _found(c, "product", "own name fails its rules", ~_blank("name") & (verdict(own, rules) != "ok")),
@@ -54,14 +61,26 @@ def catalog_violations(catalog: DataFrame, categories: DataFrame, shops: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def _broken(patterns: pd.Series) -> pd.Series:
+    def broken(p: str | None) -> bool:
+        try:
+            re.compile(p or "")
+        except re.error:
+            return True
+        return False
+
+    return patterns.map(broken).astype(bool)
+
+
 def shop_violations(shops: DataFrame) -> DataFrame:
-    """shops: shop, name, site, enabled, search_url, browse_urls, discovery."""
+    """shops: shop, name, site, enabled, search_url, browse_urls, discovery, path_pattern."""
     on, browse = F.coalesce("enabled", F.lit(True)), F.coalesce(F.size("browse_urls"), F.lit(0)) > 0
     parts = [
         _found(shops, "shop", "no name", _blank("name")),
         _found(shops, "shop", "no site", _blank("site")),
         _found(shops, "shop", "search url without {q}", ~_blank("search_url") & ~F.contains("search_url", F.lit("{q}"))),
         _found(shops, "shop", "products can't be found", on & _blank("search_url") & ~browse),
+        _found(shops.where(~_blank("path_pattern")), "shop", "invalid path pattern", F.pandas_udf(_broken, "boolean")("path_pattern")),
         _found(shops, "shop", "browses without urls", on & (F.coalesce("discovery", F.lit("")) == "browse") & ~browse, "warning"),
     ]
     return reduce(DataFrame.unionByName, parts)

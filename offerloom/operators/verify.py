@@ -53,13 +53,30 @@ def with_changes(v: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def issues(v: DataFrame) -> DataFrame:
-    """product, shop, type: not in the catalog's list, another number than before, and the same number with another pack than the first shop's."""
-    a = v.where(F.col("verification") == MISMATCH).select("product", "shop", F.lit("gtin-niet-in-catalogus").alias("type"))
-    b = v.where("gtin_changed").select("product", "shop", F.lit("gtin-gewijzigd").alias("type"))
-    packs = v.where("gtin IS NOT NULL AND amount IS NOT NULL").select("product", "gtin", "shop", "amount")
-    first = packs.groupBy("product", "gtin").agg(F.min_by("amount", "shop").alias("first_amount"))
-    c = packs.join(first, ["product", "gtin"]).where("amount <> first_amount").select("product", "shop", F.lit("verpakking-wijkt-af").alias("type"))
-    return a.unionByName(b).unionByName(c)
+    """product, shop, type, message: not in the catalog's list, another number than before, and the same number with another pack than the first shop's.
+
+    v: verified offers with amount, unit, before_gtin and gtin_changed. It is read once: each offer lists its own issues.
+    """
+    v = v if "unit" in v.columns else v.withColumn("unit", F.lit(None).cast("string"))
+    known = F.col("gtin").isNotNull() & F.col("amount").isNotNull()
+    # offers are in parts by product already, so the window needs no shuffle; a number of a product has an offer a shop at most
+    first = F.min_by(F.struct("amount", "unit"), F.when(known, F.col("shop"))).over(W.partitionBy("product", "gtin"))
+    shown = G.display_gtin("gtin")
+
+    def issue(when: Column, kind: str, *text: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("type"), F.concat(*text).alias("message")))
+
+    def pack(p: str) -> Column:
+        return F.concat(F.regexp_replace(F.col(f"{p}amount").cast("string"), r"\.0$", ""), F.lit(" "), F.coalesce(F.col(f"{p}unit"), F.lit("")))
+
+    found = F.array_compact(
+        F.array(
+            issue(F.col("verification") == MISMATCH, "gtin-niet-in-catalogus", F.lit("EAN "), shown, F.lit(" is not in the list of "), F.col("product").cast("string")),
+            issue(F.col("gtin_changed"), "gtin-gewijzigd", F.lit("the shop shows EAN "), shown, F.lit(" now instead of "), G.display_gtin("before_gtin")),
+            issue(known & (F.col("_first.amount") != F.col("amount")), "verpakking-wijkt-af", F.lit("EAN "), shown, F.lit(" has "), pack(""), F.lit(" here but elsewhere "), pack("_first.")),
+        )
+    )
+    return v.withColumn("_first", first).select("product", "shop", F.explode(found).alias("i")).select("product", "shop", "i.type", "i.message")
 
 
 def pin_votes(identity: DataFrame, catalog: DataFrame) -> DataFrame:

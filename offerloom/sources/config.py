@@ -27,14 +27,14 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per product, in the columns of the matching and quality operators; absent lists are empty."""
-    p = read_document(spark, path, CATALOG).select(F.explode("products").alias("p"))
+    """One row per product, in the columns of the matching and quality operators, with its position in its document; absent lists are empty."""
+    p = read_document(spark, path, CATALOG).select(F.posexplode("products").alias("position", "p"))
     none = F.array().cast("array<string>")
     return p.select(
         F.col("p.id").alias("product"), "p.name", "p.brand", "p.category", "p.size", "p.weight", "p.query",
         F.coalesce("p.match.must", none).alias("must"), F.coalesce("p.match.none", none).alias("none"), F.col("p.match.packSize").alias("match_pack"),
         F.col("p.packSize.amount").alias("pack_amount"), F.col("p.packSize.unit").alias("pack_unit"),
-        F.coalesce("p.gtins", none).alias("gtins"), F.col("p.strictGtin").alias("strict"), "p.shops", "p.links",
+        F.coalesce("p.gtins", none).alias("gtins"), F.col("p.gtins").isNotNull().alias("gtins_given"), "position", F.col("p.strictGtin").alias("strict"), "p.shops", "p.links",
     )
 
 

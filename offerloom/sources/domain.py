@@ -16,10 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ean13(prefix: Column | str, number: Column) -> Column:
-    """A valid 13-digit article number with this three-digit prefix."""
-    body = F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, F.lpad(number.cast("string"), 9, "0"))
-    return F.concat(body, G.check_digit(body).cast("string"))
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, dealt out before work is done for each of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ean13(prefix: str, number: Column) -> Column:
+    """A valid 13-digit article number of this three-digit prefix and a number of up to nine digits."""
+    body = number.cast("bigint") + int(prefix) * 10**9
+    return F.concat(body.cast("string"), G.check_digit_of(body, 12).cast("string"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("p_name", " ").alias("must"),
         F.when(F.col("p_partkey") % 7 == 0, F.array(F.lit("refurbished"))).otherwise(F.array().cast("array<string>")).alias("none"),
         F.lit(None).cast("double").alias("match_pack"),
+        F.when(F.col("p_partkey") % 4 == 0, F.lit(10.0)).alias("pack_amount"),
+        F.when(F.col("p_partkey") % 4 == 0, "stuk").alias("pack_unit"),
         F.when(pinned, F.array(ean13("200", F.col("p_partkey")))).otherwise(F.array().cast("array<string>")).alias("gtins"),
         F.lit(None).cast("boolean").alias("strict"),
         F.col("p_retailprice").alias("list_price"),
@@ -49,7 +57,7 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All offers of all days, feed and page ones, with unit prices."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     key, order = F.col("l_partkey"), F.col("l_orderkey")
     unit = F.when(key % 3 == 0, "stuk").when(key % 3 == 1, "ml").otherwise("g")
     number = F.when(order % 10 == 0, F.lit(None)).when(order % 10 == 1, ean13("201", key)).otherwise(ean13("200", key))
@@ -70,8 +78,10 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed rows as a shop would publish them: all strings, price in Dutch notation, pack size in the title."""
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
+    """Feed rows as a shop would publish them: all strings, price in Dutch notation, pack size in the title. They are dealt out as rows, like those of a file."""
+    source = table(spark, sf_dir, "lineitem")
+    parts = max(source.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    li = source.where("l_returnflag = 'A'")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -89,4 +99,4 @@ def feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(order % 10 == 0, "").when(order % 10 == 1, "1234567890128").otherwise(ean13("200", F.col("l_partkey"))).alias("ean"),
         F.when(order % 11 == 0, "").otherwise(F.concat(F.lit("https://shop"), F.col("l_suppkey"), F.lit(".example/p/"), F.col("l_partkey"))).alias("aw_deep_link"),
         F.when(F.col("l_linenumber") % 5 == 0, "3").when(F.col("l_linestatus") == "O", "ja").otherwise("Uitverkocht").alias("in_stock"),
-    )
+    ).repartition(parts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import gtin as G
 from offerloom.functions import money as M
-from offerloom.functions.text import decode_entities, let, strip_tags
+from offerloom.functions.text import WS, decode_entities, let, strip_tags, trim
 
 # fixed values: field names of common feeds, in the order in which they are tried
 ALIASES = {
@@ -28,8 +28,8 @@ IN_STOCK = r"(?i)^(1|true|ja|yes|y|in ?stock|op ?voorraad|available|beschikbaar|
 OUT_OF_STOCK = r"(?i)^(0|false|nee|no|n|out ?of ?stock|niet ?op ?voorraad|uitverkocht|unavailable|sold ?out)\z"
 ITEM_TAGS = ("item", "product", "entry", "offer")
 DELIMITERS = (",", ";", "\t", "|")
-#: The item tag is looked for in so many lines before the whole file is searched.
-HEAD_LINES = 2000
+#: The start of a feed by which its format is told, and its header's line at most.
+SNIFFED, HEADER = 512, 1 << 16
 
 
 def sniff_delimiter(header: str) -> str:
@@ -38,14 +38,27 @@ def sniff_delimiter(header: str) -> str:
     return best if header.count(best) else ","
 
 
-def head_of(spark: SparkSession, path: str, size: int = 4096) -> str:
-    """The start of a file; only that is read."""
-    line = spark.read.text(path).limit(1).first()
-    return (line[0] if line else "")[:size]
+def head_of(spark: SparkSession, path: str, size: int = SNIFFED) -> str:
+    """The first bytes of a file, or of the first file that isn't empty of a folder or pattern, as text. Only these are read, from any storage that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop
+    conf, place = spark._jsc.hadoopConfiguration(), hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    found = [f for s in fs.globStatus(place) or [] for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    files = sorted((f.getPath().toString(), f) for f in found if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._")
+    if not files:
+        return ""
+    stream = fs.open(files[0][1].getPath())
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(files[0][1].getPath())
+    stream = stream if codec is None else codec.createInputStream(stream)
+    try:
+        return bytes(stream.readNBytes(size)).decode("utf-8", "ignore").lstrip("\ufeff")
+    finally:
+        stream.close()
 
 
 def sniff_format(head: str) -> str:
-    return "xml" if re.search(r"^\s*<\?xml|<rss|<products|<item\b", head[:512].lstrip("﻿"), re.I) else "csv"
+    """By the first 512 characters, over line ends."""
+    return "xml" if re.search(r"^\s*<\?xml|<rss|<products|<item\b", head[:SNIFFED].lstrip("\ufeff"), re.I) else "csv"
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> DataFrame:
@@ -53,7 +66,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
 
     multi_line=False lets Spark split one file over many tasks; use it for feeds without line breaks in quotes.
     """
-    delimiter = delimiter or sniff_delimiter(head_of(spark, path))
+    delimiter = delimiter or sniff_delimiter(head_of(spark, path, HEADER).split("\n")[0])
     options = {"header": True, "sep": delimiter, "multiLine": multi_line, "quote": '"', "escape": '"', "inferSchema": False, "mode": "PERMISSIVE"}
     df = spark.read.options(**options).csv(path)
     df = df.toDF(*[c.strip().lstrip("﻿").lower() for c in df.columns])
@@ -72,9 +85,8 @@ def read_xml(spark: SparkSession, path: str, tag: str | None = None) -> DataFram
     The file is split at the items' closing tags, so one large file is read by many tasks, and an item that isn't well-formed costs
     only itself. Fields that hold elements are left out; of repeated fields the first with a text counts. A file without an item is an error.
     """
-    if tag is None:
-        lines = spark.read.text(path)
-        tag = item_tag(lines.limit(HEAD_LINES)) or item_tag(lines)
+    # the whole file is searched, cut behind tags: a feed may be one line
+    tag = tag or item_tag(spark.read.option("lineSep", ">").text(path))
     if not tag:
         raise ValueError(f"no item tag in {path}")
     chunks = spark.read.option("lineSep", f"</{tag}>").text(path)
@@ -86,8 +98,8 @@ def read_xml(spark: SparkSession, path: str, tag: str | None = None) -> DataFram
 
     def clean(pair: Column) -> Column:
         name = F.regexp_replace(F.lower(F.substring_index(pair, "\u0000", 1)), "^[a-z0-9_-]+:", "")
-        value = F.regexp_replace(F.regexp_replace(F.substring_index(pair, "\u0000", -1), r"^\s*<!\[CDATA\[", ""), r"\]\]>\s*\z", "")
-        return F.struct(name.alias("k"), F.trim(decode_entities(value)).alias("v"))
+        value = F.regexp_replace(F.regexp_replace(F.substring_index(pair, "\u0000", -1), rf"^{WS}*<!\[CDATA\[", ""), rf"\]\]>{WS}*\z", "")
+        return F.struct(name.alias("k"), trim(decode_entities(value)).alias("v"))
 
     plain = F.filter(pairs, lambda p: ~F.substring_index(p, "\u0000", -1).rlike("(?i)<[a-z]"))
 
@@ -105,7 +117,7 @@ def xml_to_columns(rows: DataFrame, names: list[str]) -> DataFrame:
 def pick(columns: list[str], names: list[str]) -> Column:
     """The first value that isn't blank, trimmed, of the columns that a list of names stands for."""
     tries = list(dict.fromkeys(k for n in names for k in (n, n.lower(), re.sub("^g:", "", n)) if k in columns))
-    options = [F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`"))) for c in tries]
+    options = [F.nullif(trim(F.col(f"`{c}`")), F.lit("")) for c in tries]
     return F.coalesce(*options, F.lit(None).cast("string"))
 
 
@@ -119,7 +131,7 @@ def normalize_rows(rows: DataFrame, mapping: dict[str, list[str]] | None = None,
     raw = {f: pick(rows.columns, n) for f, n in names.items()}
     r = rows.select(*[F.col(f"`{c}`").alias(c) for c in keep or []], *[raw[f].alias(f"_{f}") for f in names])
     r = r.withColumn("_title", decode_entities(strip_tags(F.coalesce("_title", F.lit("")))))
-    pack = F.coalesce(M.parse_pack_size("_size"), M.parse_pack_size("_title"))
+    r = r.withColumn("_pack", F.coalesce(M.parse_pack_size("_size"), M.parse_pack_size("_title")))
     return r.select(
         *(keep or []),
         G.normalize_gtin("_gtin").alias("gtin"),
@@ -130,8 +142,8 @@ def normalize_rows(rows: DataFrame, mapping: dict[str, list[str]] | None = None,
         F.substring(F.upper(F.coalesce("_currency", F.lit("EUR"))), 1, 3).alias("currency"),
         F.col("_url").alias("url"),
         stock_flag(F.col("_stock")).alias("in_stock"),
-        pack["amount"].alias("amount"),
-        pack["unit"].alias("unit"),
+        F.col("_pack.amount").alias("amount"),
+        F.col("_pack.unit").alias("unit"),
     )
 
 
@@ -139,18 +151,18 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("price").isNotNull() & F.col("url").isNotNull())
 
 
-def read_feed(spark: SparkSession, path: str, fmt: str = "auto", delimiter: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """A feed file of either format as rows of strings; of XML the known fields and those to keep."""
+def read_feed(spark: SparkSession, path: str, fmt: str = "auto", delimiter: str | None = None, keep: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """A feed file of either format as rows of strings; of XML the known fields and those to keep. multi_line=False: see ``read_delimited``."""
     fmt = sniff_format(head_of(spark, path)) if fmt in (None, "auto") else fmt
     if fmt == "xml":
         return xml_to_columns(read_xml(spark, path), sorted({re.sub("^g:", "", n) for v in ALIASES.values() for n in v} | set(keep or [])))
-    return read_delimited(spark, path, delimiter)
+    return read_delimited(spark, path, delimiter, multi_line)
 
 
 def read_feeds(spark: SparkSession, feeds: list[dict], known_shops: list[str]) -> tuple[DataFrame | None, list[dict]]:
     """All enabled feeds that have a location as one table of normalised rows with shop and feed, and the problems.
 
-    feeds: dicts of id, shop, path, enabled, format, delimiter, mapping, keep (columns to carry along). A feed that can't be opened or names an unknown shop is a
+    feeds: dicts of id, shop, path, enabled, format, delimiter, mapping, keep (columns to carry along), multi_line. A feed that can't be opened or names an unknown shop is a
     problem; the others go on. The list of feeds is configuration, so it is the driver's.
     """
     parts, problems = [], []
@@ -161,7 +173,7 @@ def read_feeds(spark: SparkSession, feeds: list[dict], known_shops: list[str]) -
             problems.append({"feed": f["id"], "shop": f["shop"], "error": "unknown shop"})
             continue
         try:
-            rows = read_feed(spark, f["path"], f.get("format", "auto"), f.get("delimiter"), f.get("keep"))
+            rows = read_feed(spark, f["path"], f.get("format", "auto"), f.get("delimiter"), f.get("keep"), f.get("multi_line", True))
         except Exception as e:  # noqa: BLE001  whatever a broken file raises must not stop the other feeds
             problems.append({"feed": f["id"], "shop": f["shop"], "error": str(e).split("\n")[0]})
             continue

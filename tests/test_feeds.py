@@ -1,32 +1,55 @@
-"""Feeds: sniffing, delimited and XML files, normalisation, isolation of broken feeds, matching."""
+"""Feeds: sniffing, delimited and XML files, white space, normalisation, isolation of broken feeds, matching."""
 
+import gzip
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from offerloom.functions import gtin as G
 from offerloom.operators import matching as MA
 from offerloom.sources import feeds as FE
 
-CSV = (
-    "﻿merchant_product_id;Name ;brand;search_price;currency;ean;aw_deep_link;in_stock\n"
-    "111;Pampers Baby-Dry maat 4 luiers 160 stuks;Pampers;39,99;EUR;8006540090992;https://w/1;1\n"
-    '112;"Pampers Baby-Dry Pants maat 4; 114 ""stuks""";Pampers;41,99;eur;8006540090993;https://w/2;1\n'
-    "113;Iets heel anders;;3,49;;;https://w/3;0\n"
-    ";;;;;;;\n"
-    "114;Bepanthen Baby Zalf 30 g;Bepanthen;9,49;;4015400636632;https://w/4;ja\n"
-)
-XML = """<?xml version="1.0"?><rss><channel><title>Feed</title>
-<product><id>1</id><title><![CDATA[Pampers Baby-Dry maat 4 - 150 stuks &amp; co]]></title><g:brand>Pampers</g:brand><g:price>37.49 EUR</g:price>
-<gtin>8006540090992</gtin><link>https://x/1</link><link>https://x/other</link><g:availability>in stock</g:availability><shipping><price>1</price></shipping></product>
-<product><id>2</id><title>Cr&egrave;me</title><g:price>5.00</g:price><link>https://x/2</link><g:availability>out of stock</g:availability></product></channel></rss>"""
-
-
-def catalog(spark):
+def number(spark, body):
+    return spark.range(1).select(F.concat(F.lit(body), G.check_digit(F.lit(body)).cast("string"))).first()[0]
+
+
+def feed_text(good, bad, glue):
+    return (
+        f"\ufeffid|Title |merk|prijs|valuta|barcode|link|voorraad\n"
+        f"k-1|Orlo fluitketel staal maat 3, 2 stuks|Orlo|24,50|EUR|{good}|https://ketel.example/1|ja\n"
+        f'k-2|"Orlo fluitketel | klein, ""mini"" maat 3"|Orlo|19,95|eur|{bad}|https://ketel.example/2|op voorraad\n'
+        f"k-3|Losse dop||0,99|||https://ketel.example/3|nee\n"
+        f"|||||||\n"
+        f"k-4|Houtlijm 250 ml|Bindra|7,25||{glue}|https://ketel.example/4|1\n"
+    )
+
+
+def xml_text(good):
+    return f"""
+  <?xml version="1.0"?><rss><channel><title>Alles</title>
+<product><sku>\n x-1\t</sku><title>\u00a0<![CDATA[Orlo fluitketel staal maat 3 &amp; deksel]]>\n</title><g:brand>Orlo</g:brand><g:price>\n24.50 EUR </g:price>
+<gtin>{good}</gtin><link> \t\n</link><link>\n https://dop.example/1 \r\n</link><link>https://dop.example/later</link><g:availability>\n in stock\t</g:availability><delivery><price>1</price></delivery></product>
+<product><sku>x-2</sku><title>Gar&ccedil;on</title><g:price>5.00</g:price><link>https://dop.example/2</link><g:availability>out of stock</g:availability></product></channel></rss>"""
+
+
+CATALOG = "product string, name string, brand string, category string, size string, query string, must array<string>, none array<string>, match_pack double, gtins array<string>, strict boolean, position int"
+
+
+def catalog(spark, glue):
     none = []
     rows = [
-        ("pampers-4", "Pampers Baby-Dry maat 4", "Pampers", "luiers", "4", "pampers baby dry maat 4", ["pampers", "dry"], ["pants"], None, none, None),
-        ("bepanthen", "Bepanthen zalf", "Bepanthen", "zalf", None, None, ["bepanthen"], none, None, ["4015400636632"], None),
-        ("absent", "Merkloos", "Merkloos", "luiers", "4", None, ["merkloos"], none, None, none, None),
+        ("kettle", "Orlo fluitketel maat 3", "Orlo", "ketels", "3", "orlo fluitketel staal maat 3", ["orlo", "ketel"], ["mini"], None, none, None, 0),
+        ("glue", "Bindra houtlijm", "Bindra", "lijm", None, None, ["lijm"], none, None, [glue], None, 1),
+        ("absent", "Zilt", "Zilt", "ketels", "3", None, ["zilt"], none, None, none, None, 2),
     ]
-    return spark.createDataFrame(rows, "product string, name string, brand string, category string, size string, query string, must array<string>, none array<string>, match_pack double, gtins array<string>, strict boolean")
+    return spark.createDataFrame(rows, CATALOG)
+
+
+@pytest.fixture(scope="module")
+def numbers(spark):
+    good, glue = number(spark, "200000000001"), number(spark, "200000000002")
+    return good, good[:-1] + str((int(good[-1]) + 1) % 10), glue
 
 
 def write(path, text):
@@ -35,29 +58,51 @@ def write(path, text):
 
 
 def test_sniffing():
-    assert [FE.sniff_delimiter(h) for h in ("a;b;c", "a\tb", "a,b", "a|b|c", "a")] == [";", "\t", ",", "|", ","]
-    assert [FE.sniff_format(h) for h in (' <?xml version="1"', "<RSS>", "a;b", "x <item id>")] == ["xml", "xml", "csv", "xml"]
+    assert [FE.sniff_delimiter(h) for h in ("x;y;z", "x\ty", "x,y", "x|y|z", "x", "a,b;c")] == [";", "\t", ",", "|", ",", ","]
+    heads = ['\n\n <?xml version="1.1"?>', "<PRODUCTS>", "p;q", "first line\n\n<item nr=1>", " " * 600 + "<rss", "<items>"]
+    assert [FE.sniff_format(h) for h in heads] == ["xml", "xml", "csv", "xml", "csv", "csv"]
 
 
-def test_delimited_feed(spark, tmp_path):
-    rows = FE.normalize_rows(FE.read_feed(spark, write(tmp_path / "f.csv", CSV))).orderBy("sku").collect()
-    assert [r["sku"] for r in rows] == ["111", "112", "113", "114"]
+def test_head_of_a_file(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "_SUCCESS").write_text("")
+    (tmp_path / "f" / "a.csv").write_text("")
+    (tmp_path / "f" / "b.csv").write_text("\ufeff\none;two\n" + "x" * 5000)
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as f:
+        f.write("zip;ped\n")
+    assert FE.head_of(spark, str(tmp_path / "f"), 12) == "\none;two\n" and FE.head_of(spark, str(tmp_path / "f" / "b*")).startswith("\none")
+    assert FE.head_of(spark, str(tmp_path / "z.csv.gz")) == "zip;ped\n" and FE.head_of(spark, str(tmp_path / "absent")) == ""
+
+
+def test_delimited_feed(spark, tmp_path, numbers):
+    rows = FE.normalize_rows(FE.read_feed(spark, write(tmp_path / "f.csv", feed_text(*numbers)))).orderBy("sku").collect()
+    assert [r["sku"] for r in rows] == ["k-1", "k-2", "k-3", "k-4"]
     a, b, c, d = rows
-    assert (a["price"], a["gtin"], a["amount"], a["unit"], a["in_stock"], a["currency"]) == (39.99, "08006540090992", 160.0, "stuk", True, "EUR")
-    assert b["title"] == 'Pampers Baby-Dry Pants maat 4; 114 "stuks"' and b["gtin"] is None and b["currency"] == "EUR"
-    assert c["in_stock"] is False and d["in_stock"] is True
+    assert (a["price"], a["gtin"], a["amount"], a["unit"], a["in_stock"], a["currency"]) == (24.5, "0" + numbers[0], 2.0, "stuk", True, "EUR")
+    assert b["title"] == 'Orlo fluitketel | klein, "mini" maat 3' and b["gtin"] is None and b["currency"] == "EUR" and b["in_stock"] is True
+    assert c["in_stock"] is False and (d["amount"], d["unit"]) == (250.0, "ml")
 
 
 def test_line_break_in_quotes(spark, tmp_path):
-    rows = FE.read_delimited(spark, write(tmp_path / "q.csv", 'id,name\n1,"two\nlines"\n2,x\n')).collect()
-    assert [r["name"] for r in rows] == ["two\nlines", "x"]
+    path = write(tmp_path / "q.csv", 'nr;what\n1;"top\nbottom"\n2;y\n')
+    assert [r["what"] for r in FE.read_delimited(spark, path).collect()] == ["top\nbottom", "y"]
+    flat = FE.read_feed(spark, write(tmp_path / "r.csv", "nr;what\n1;a\n2;b\n"), multi_line=False)
+    assert sorted(r["what"] for r in flat.collect()) == ["a", "b"]
 
 
-def test_xml_feed(spark, tmp_path):
-    rows = FE.normalize_rows(FE.read_feed(spark, write(tmp_path / "f.xml", XML))).orderBy("sku").collect()
+def test_xml_feed_with_white_space(spark, tmp_path, numbers):
+    path = write(tmp_path / "f.xml", xml_text(numbers[0]))
+    rows = FE.normalize_rows(FE.read_feed(spark, path)).orderBy("sku").collect()
     a, b = rows
-    assert (a["price"], a["in_stock"], a["gtin"], a["url"], a["title"]) == (37.49, True, "08006540090992", "https://x/1", "Pampers Baby-Dry maat 4 - 150 stuks & co")
-    assert b["title"] == "Crème" and b["in_stock"] is False and b["gtin"] is None
+    assert (a["sku"], a["price"], a["in_stock"], a["gtin"], a["url"], a["title"]) == ("x-1", 24.5, True, "0" + numbers[0], "https://dop.example/1", "Orlo fluitketel staal maat 3 & deksel")
+    assert b["title"] == "Garçon" and b["in_stock"] is False and b["gtin"] is None
+    one_line = write(tmp_path / "g.xml", xml_text(numbers[0]).replace("\n", " "))
+    assert FE.read_feed(spark, one_line).count() == 2
+
+
+def test_blank_values_are_passed_over(spark):
+    rows = spark.createDataFrame([("\t", "\n\u00a0", " \u2003named ", "3")], "name string, title string, product_name string, price string")
+    assert FE.normalize_rows(rows).first()["title"] == "named"
 
 
 def test_mapping_replaces_a_field(spark):
@@ -65,24 +110,49 @@ def test_mapping_replaces_a_field(spark):
     assert FE.normalize_rows(rows, {"price": ["special"]}).first()["price"] == 2.5
 
 
-def test_matching(spark, tmp_path):
-    rows = FE.usable(FE.normalize_rows(FE.read_feed(spark, write(tmp_path / "f.csv", CSV)))).withColumn("n", F.monotonically_increasing_id()).withColumn("shop", F.lit("s"))
-    best = MA.best_rows(MA.match_rows(rows, catalog(spark)), ["shop", "product"], F.col("n")).collect()
-    assert {r["product"]: (r["sku"], r["score"] == 100.0) for r in best} == {"pampers-4": ("111", False), "bepanthen": ("114", True)}
+def test_matching(spark, tmp_path, numbers):
+    rows = FE.usable(FE.normalize_rows(FE.read_feed(spark, write(tmp_path / "f.csv", feed_text(*numbers))))).withColumn("n", F.monotonically_increasing_id()).withColumn("shop", F.lit("s"))
+    best = MA.best_rows(MA.match_rows(rows, catalog(spark, numbers[2])), ["shop", "product"], F.col("n")).collect()
+    assert {r["product"]: (r["sku"], r["score"] == 100.0) for r in best} == {"kettle": ("k-1", False), "glue": ("k-4", True)}
+
+
+def test_a_number_listed_twice_is_the_last_products(spark, numbers):
+    c = catalog(spark, numbers[2]).withColumn("gtins", F.array(F.lit(numbers[2])))
+    rows = spark.createDataFrame([("0" + numbers[2], "t")], "gtin string, title string")
+    assert MA.match_by_gtin(rows, c).first()["product"] == "absent"
+    assert MA.match_by_gtin(rows, c.drop("position")).first()["product"] == "kettle"
+
+
+def test_title_matches_against_brute_force(spark):
+    """Words inside words, short and missing words, odd and repeated sizes, brands that are parts of others: each title with each product by the verdict."""
+    r = random.Random(3)
+    words = ["ketel", "fluit", "tel", "a", "st", "staal", "orlo", "orlo 2", "x9"]
+    products = [
+        (i, "n", r.choice(["", "Orlo", "Orlo 2", None, "Él"]), r.choice([None, "", "4", "04", "4+", "xl", "0", "3 6"]), None, r.sample(words, r.randint(0, 3)), r.sample(["mini", "tweede"], r.randint(0, 1)), r.choice([None, None, 6.0]), r.choice([[], [], None, ["123"]]))
+        for i in range(60)
+    ]
+    titles = [" ".join(r.choices([*words, "El", "maat 4", "maat04", "size xl", "s4", "t0", "mini", "6 stuks", "maat maat 4", "nr 3 6", "Fluitketel!"], k=r.randint(1, 7))) for _ in range(120)] + [None, "", "?"]
+    c = spark.createDataFrame(products, "product long, name string, brand string, size string, query string, must array<string>, none array<string>, match_pack double, gtins array<string>")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "n int, title string")
+    rule = {"plain_title": F.col("plain_title"), "must": F.col("must"), "none": F.col("none"), "brand": F.col("rule_brand"), "size": F.col("rule_size"), "pack": F.col("rule_pack")}
+    pairs = rows.withColumn("plain_title", MA.plain(F.coalesce("title", F.lit("")))).where("plain_title <> ''").crossJoin(MA.prepared(c))
+    want = pairs.where(MA.verdict(F.col("title"), rule) == "ok").select("n", "product", MA.score(MA.tokens("plain_title"), F.col("query_tokens")).alias("score"))
+    got = MA.match_by_title(rows, c).select("n", "product", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
 
 
-def test_many_feeds_and_their_problems(spark, tmp_path):
-    good = write(tmp_path / "f.csv", CSV)
+def test_many_feeds_and_their_problems(spark, tmp_path, numbers):
+    good = write(tmp_path / "f.csv", feed_text(*numbers))
     feeds = [{"id": "a", "shop": "x", "path": good}, {"id": "b", "shop": "nobody", "path": good}, {"id": "c", "shop": "x", "path": str(tmp_path / "absent.csv")}, {"id": "d", "shop": "x", "path": None}]
     rows, problems = FE.read_feeds(spark, feeds, ["x"])
     assert rows.count() == 4 and [p["feed"] for p in problems] == ["b", "c"]
 
 
-def test_verdicts(spark):
-    c = MA.prepared(catalog(spark)).where("product = 'pampers-4'")
-    titles = ["Pampers Baby Dry maat 4", "Pampers dry maat 5", "Pampers dry pants maat 4", "dry size 04 pampers", "Pampers s4 dry", "", "Huggies dry maat 4"]
+def test_verdicts(spark, numbers):
+    c = MA.prepared(catalog(spark, numbers[2])).where("product = 'kettle'")
+    titles = ["Orlo fluitketel maat 3", "Orlo ketel maat 8", "Orlo ketel mini maat 3", "ketel size 03 orlo", "Orlo s3 ketel", "", "Zilt ketel maat 3"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, title string").withColumn("k", F.lit(1)).join(c.withColumn("k", F.lit(1)), "k")
     df = df.withColumn("plain_title", MA.plain("title"))
     rule = {"plain_title": F.col("plain_title"), "must": F.col("must"), "none": F.col("none"), "brand": F.col("rule_brand"), "size": F.col("rule_size"), "pack": F.col("rule_pack")}
     got = [r[0] for r in df.orderBy("i").select(MA.verdict(F.col("title"), rule)).collect()]
-    assert got == ["ok", "size", "has pants", "ok", "ok", "no title", "misses pampers"]
+    assert got == ["ok", "size", "has mini", "ok", "ok", "no title", "misses orlo"]

@@ -71,3 +71,11 @@ def test_url_parts(spark):
     assert each(spark, lambda c: T.meta_content(c, "k"), html, "") == ["5 & 6", None]
     assert each(spark, lambda c: T.meta_content(c, "og:x"), html) == ["y"]
     assert each(spark, T.page_title, html, "none") == ["A €", None]
+
+
+def test_trim_and_equal_numbers(spark):
+    assert each(spark, T.trim, "\t a b\u00a0\u2003\n", "\r\n", None) == ["a b", "", None]
+    df = spark.createDataFrame([("73513537", "0000073513537", True), ("73513537", "73513538", False), (None, None, False), ("99999999999999999999", "1", False)], "a string, b string, want boolean")
+    assert all(r[0] == r[1] for r in df.select(G.same_gtin("a", "b"), "want").collect())
+    labels = [r[0] for r in spark.createDataFrame([("k",), ("z",)], "c string").select(M.piece_label(F.col("c"), {"k": "per kan"})).collect()]
+    assert labels == ["per kan", "per stuk"]

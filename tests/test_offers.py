@@ -96,9 +96,18 @@ def test_comparison(spark):
 
 
 def test_cache_forgets(spark):
-    old = spark.createDataFrame([("p", "a", "u", 0), ("p", "b", "u", 2), ("p", "c", "u", 0), ("p", "d", "u", 1)], "product string, shop string, url string, failures int")
-    out = spark.createDataFrame([("p", "a", None, "HTTP 500"), ("p", "b", None, "HTTP 500"), ("p", "c", None, "pagina past niet meer"), ("p", "e", "n", None)], "product string, shop string, url string, error string")
-    assert {r["shop"]: (r["url"], r["failures"]) for r in O.merge_resolved(old, out).collect()} == {"a": ("u", 1), "d": ("u", 1), "e": ("n", 0)}
+    old = spark.createDataFrame([("p", k, "u", "t", 1, "zoek", n) for k, n in (("a", 0), ("b", 2), ("c", 0), ("d", 1))], "product string, shop string, url string, title string, resolved_at int, source string, failures int")
+    out = [("p", "a", None, None, 2, "zoek", "HTTP 500"), ("p", "b", None, None, 2, "zoek", "HTTP 500"), ("p", "c", None, None, 2, "zoek", "pagina past niet meer"), ("p", "e", "n", "new", 2, "feed", None)]
+    out = spark.createDataFrame(out, "product string, shop string, url string, title string, at int, source string, error string")
+    got = {r["shop"]: tuple(r)[2:] for r in O.merge_resolved(old, out).collect()}
+    assert got == {"a": ("u", "t", 1, "zoek", 1), "d": ("u", "t", 1, "zoek", 1), "e": ("n", "new", 2, "feed", 0)}
+
+
+def test_sizes_of_all_kinds(spark):
+    products = spark.createDataFrame([("a", "A", "X", "k", "newborn"), ("b", "B", "Y", "k", "4+"), ("c", "C", "Z", "k", "10"), ("d", "D", "Z", "k", None)], "product string, name string, brand string, category string, size string")
+    some = spark.createDataFrame([(p,) for p in "abcd"], "product string")
+    assert C.default_size(products, some).first()["size"] == "4+"
+    assert [x["value"] for x in C.facets(products, some).where("kind = 'size'").orderBy("position").collect()] == ["4+", "10", "newborn"]
 
 
 def test_an_empty_payload_leaves_the_last_one(spark, tmp_path):

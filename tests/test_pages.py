@@ -1,59 +1,91 @@
 """Product pages, candidates, links and robots rules."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from offerloom.functions import gtin as G
 from offerloom.operators import pages as PG
 
-JSONLD = """<html><head><title>T</title><script type="application/ld+json">{"@graph":[{"@type":"WebPage"},
-{"@type":"Product","name":"Pampers Baby-Dry maat 4 - 160 stuks","sku":"112233","image":["https://i/1.jpg"],"offers":{"@type":"Offer","price":"39.99","priceCurrency":"EUR","availability":"https://schema.org/InStock","gtin13":"8006540090992"}}]}</script></head></html>"""
-META = """<head><meta property="og:title" content="Zalf 100 g"><meta content="14,49" property="product:price:amount"><meta property="product:availability" content="in stock"></head><td>EAN</td><td>4015400636632</td>"""
-SOLD_OUT = """<script type='application/ld+json'>[{"@type":["Product"],"name":"X &amp; Y","offers":[{"price":"7,50"},{"price":"5,99","availability":"http://schema.org/OutOfStock"}]}]</script><script type="application/ld+json">{broken</script>"""
+
+def ld(*nodes, kind='"application/ld+json"'):
+    return "".join(f"<script type={kind}>{n if isinstance(n, str) else json.dumps(n)}</script>" for n in nodes)
+
+
+def facts(spark, *pages):
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id int, url string, html string")
+    return [r.asDict() for r in PG.product_facts(df).orderBy("page_id").collect()]
+
+
+@pytest.fixture(scope="module")
+def gtin(spark):
+    return spark.range(1).select(F.concat(F.lit("200000000003"), G.check_digit(F.lit("200000000003")).cast("string"))).first()[0]
+
+
+def test_facts(spark, gtin):
+    lamp = {"@type": "Product", "name": "Bureaulamp <b>Sol</b>, 3 stuks", "sku": "bl-7", "image": [[{"url": "https://beeld.example/l.png"}]]}
+    lamp["offers"] = {"price": "61.20", "priceCurrency": "chf", "availability": "https://schema.org/PreOrder", "gtin13": gtin}
+    graph = ld("{not json", {"@graph": [{"@type": "BreadcrumbList"}, lamp]})
+    meta = f'<meta content="8,05" property="og:price:amount"><meta name="og:title" content="Zeep 75 g &amp; doos"><meta property="product:availability" content="in stock"><p>barcode nr {gtin}</p>'
+    two = ld([{"@type": ["Thing", "Product"], "name": "Mok", "offers": [{"price": "11,00"}, {"offers": [{"lowPrice": "4,75", "availability": "SoldOut"}]}]}], kind="'application/ld+json'")
+    a, b, c, d, e = facts(spark, graph, meta, two, None, '<title> Kan\n</title><i data-product-price="1.050,00">')
+    assert (a["page_source"], a["page_price"], a["currency"], a["in_stock"], a["title"], a["amount"], a["page_gtin"], a["sku"], a["image"]) == ("json-ld", 61.2, "CHF", True, "Bureaulamp Sol , 3 stuks", 3.0, "0" + gtin, "bl-7", "https://beeld.example/l.png")
+    assert (b["page_source"], b["page_price"], b["in_stock"], b["title"], b["amount"], b["unit"], b["page_gtin"]) == ("meta", 8.05, True, "Zeep 75 g & doos", 75.0, "g", "0" + gtin)
+    assert (c["page_price"], c["in_stock"], c["title"]) == (4.75, False, "Mok")
+    assert d["page_price"] is None and d["page_source"] is None and d["in_stock"] is None
+    assert (e["page_price"], e["page_source"], e["title"]) == (1050.0, "attribute", "Kan")
 
 
-def test_facts(spark):
-    df = spark.createDataFrame([(1, "u", JSONLD), (2, "u", META), (3, "u", SOLD_OUT), (4, "u", None), (5, "u", '<b data-price="1.299,00">')], "page_id int, url string, html string")
-    r = {x["page_id"]: x for x in PG.product_facts(df).collect()}
-    assert (r[1]["page_source"], r[1]["page_price"], r[1]["in_stock"], r[1]["amount"], r[1]["page_gtin"], r[1]["sku"], r[1]["image"]) == ("json-ld", 39.99, True, 160.0, "08006540090992", "112233", "https://i/1.jpg")
-    assert (r[2]["page_source"], r[2]["page_price"], r[2]["in_stock"], r[2]["amount"], r[2]["unit"], r[2]["page_gtin"]) == ("meta", 14.49, True, 100.0, "g", "04015400636632")
-    assert (r[3]["page_price"], r[3]["in_stock"], r[3]["title"]) == (5.99, False, "X & Y")
-    assert r[4]["page_price"] is None and r[4]["page_source"] is None
-    assert (r[5]["page_price"], r[5]["page_source"]) == (1299.0, "attribute")
+def test_what_json_leaves_open_is_read_from_meta(spark):
+    """A condition isn't a stock word, nulls are passed over, and a product without a price takes the page's."""
+    stock = '<meta property="product:availability" content="in stock">'
+    node = {"@type": "Product", "name": "Vaas", "offers": {"price": 3, "availability": None, "itemCondition": "https://schema.org/NewCondition"}}
+    spec = {"@type": "Product", "name": "Vaas", "offers": {"price": None, "lowPrice": None, "priceSpecification": {"price": "2,40", "priceCurrency": "eur"}}}
+    none = {"@type": "Product", "name": "Vaas"}
+    a, b, c, d = facts(spark, ld(node) + stock, ld(node), ld(spec), ld(none) + '<meta name="price" content="9,10"><meta property="og:availability" content="Uitverkocht">')
+    assert (a["in_stock"], b["in_stock"]) == (True, None)
+    assert (c["page_price"], c["currency"]) == (2.4, "EUR")
+    assert (d["page_price"], d["page_source"], d["in_stock"]) == (9.1, "json-ld", False)
 
 
 def test_candidates(spark):
-    html = """<a href="/pampers-dry-4/p/1?x=1" title="Pampers Baby Dry maat 4">Bekijk</a><a href="/pampers-dry-4/p/1">Pampers Baby Dry maat 4 voordeelpak</a>
-<a href="https://other.nl/x/p/2">Other</a><a href="/over-ons">Over ons</a><a href="/huggies-size-5/p/22"><img></a>"""
-    sites = spark.createDataFrame([("w", "winkel.test", r"^/[a-z0-9-]+/p/\d+")], "shop string, host string, path_pattern string")
-    pages = spark.createDataFrame([(1, "https://www.winkel.test/zoek?q=a", html)], "page_id int, url string, html string")
+    html = """<a href="\n/rode-stoel/art/5?kleur=rood" title="\tRode stoel met leuning\n">Kijk</a><a href="/rode-stoel/art/5#x">Rode stoel met leuning en kussen</a>
+<a href="https://elders.example/stoel/art/6">Elders</a><a href="/contact">Contact</a><a href="/groene-kruk/art/71"><img></a><a href="/verborgen/art/9">"""
+    only_bare = '<a href="/losse-plank/art/3"><a href="/contact">'
+    sites = spark.createDataFrame([("m", "meubel.example", r"^/[a-z-]+/art/\d+")], "shop string, host string, path_pattern string")
+    pages = spark.createDataFrame([(1, "https://www.meubel.example/alle?p=1", html), (2, "https://meubel.example/", only_bare)], "page_id int, url string, html string")
     got = {r["url"]: r["title"] for r in PG.candidates(pages, sites).collect()}
-    assert got == {"https://www.winkel.test/pampers-dry-4/p/1": "Pampers Baby Dry maat 4 voordeelpak", "https://www.winkel.test/huggies-size-5/p/22": "huggies size 5"}
+    assert got == {"https://www.meubel.example/rode-stoel/art/5": "Rode stoel met leuning en kussen", "https://www.meubel.example/groene-kruk/art/71": "art", "https://meubel.example/losse-plank/art/3": "art"} or got == {
+        "https://www.meubel.example/rode-stoel/art/5": "Rode stoel met leuning en kussen", "https://www.meubel.example/groene-kruk/art/71": "groene kruk", "https://meubel.example/losse-plank/art/3": "losse plank",
+    }
 
 
 def test_links(spark):
-    df = spark.createDataFrame([(1, "u", '<a href="/a&amp;b"><a href="#x"><a href="javascript:1"><a href="/a&amp;b"><A HREF=\'c\'>')], "page_id int, url string, html string")
-    assert [(r["pos"], r["href"]) for r in PG.links(df).orderBy("pos").collect()] == [(0, "/a&b"), (1, "c")]
+    df = spark.createDataFrame([(1, "u", '<a href="\n/q&amp;r\t"><a href="#top"><a href=" javascript:go()"><a href="/q&amp;r"><A HREF=\'\u00a0s \'>')], "page_id int, url string, html string")
+    assert [(r["pos"], r["href"]) for r in PG.links(df).orderBy("pos").collect()] == [(0, "/q&r"), (1, "s")]
 
 
-ROBOTS = """User-agent: *
-Disallow: /zoeken
-Allow: /zoeken/ok
-Disallow: /*.pdf$
+ROBOTS = """User-agent:\t*
+Disallow:\t/mandje
+\u00a0Allow :\t/mandje/hulp\u00a0
+Disallow: /*.zip$
 Disallow:
-Crawl-delay: 2
+Crawl-delay:\t2,5
 
-User-agent: PriceBot
-User-agent: Other
-Disallow: /geheim # comment
+User-agent: OfferBot
+User-agent: Tweede
+Disallow: /intern # niet voor bots
 """
 
 
 def test_robots(spark):
     files = spark.createDataFrame([("h", ROBOTS), ("e", "")], "host string, body string")
     rules = PG.robots_rules(files)
-    urls = ["/zoeken?q=a", "/zoeken/ok", "/x.pdf", "/x.pdf?y", "/geheim", "/"]
-    df = spark.createDataFrame([(i, "h", u) for i, u in enumerate(urls)] + [(99, "e", "/zoeken")], "url_id int, host string, path string")
-    star = {r["path"]: r["allowed"] for r in PG.allowed(df.where("host = 'h'"), rules, "Somebody/1").collect()}
-    assert star == {"/zoeken?q=a": False, "/zoeken/ok": True, "/x.pdf": False, "/x.pdf?y": True, "/geheim": True, "/": True}
-    own = {r["path"]: r["allowed"] for r in PG.allowed(df, rules, "PriceBot/2.0").collect()}
-    assert own == {"/zoeken?q=a": True, "/zoeken/ok": True, "/x.pdf": True, "/x.pdf?y": True, "/geheim": False, "/": True, "/zoeken": True}
-    assert PG.own_rules(rules, "Somebody").select(F.max("delay")).first()[0] == 2.0
+    urls = ["/mandje?a=b", "/mandje/hulp", "/alles.zip", "/alles.zip?z", "/intern", "/"]
+    df = spark.createDataFrame([(i, "h", u) for i, u in enumerate(urls)] + [(99, "e", "/mandje")], "url_id int, host string, path string")
+    star = {r["path"]: r["allowed"] for r in PG.allowed(df.where("host = 'h'"), rules, "Iemand/3").collect()}
+    assert star == {"/mandje?a=b": False, "/mandje/hulp": True, "/alles.zip": False, "/alles.zip?z": True, "/intern": True, "/": True}
+    own = {r["path"]: r["allowed"] for r in PG.allowed(df, rules, "OfferBot/2.0").collect()}
+    assert own == {"/mandje?a=b": True, "/mandje/hulp": True, "/alles.zip": True, "/alles.zip?z": True, "/intern": False, "/": True, "/mandje": True}
+    assert PG.own_rules(rules, "Iemand").select(F.max("delay")).first()[0] == 2.5

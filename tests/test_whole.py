@@ -32,7 +32,7 @@ TITLES = ["Pampers Dry maat 4 - 44 stuks"] * 3 + ["pampers dry MAAT 4, 20 stuks"
 
 def test_diagnosis_against_brute_force(spark):
     catalog, rows = spark.createDataFrame(PRODUCTS, CATALOG), spark.createDataFrame([(t,) for t in TITLES], "title string")
-    pairs = rows.withColumn("plain_title", MA.plain(F.coalesce("title", F.lit("")))).crossJoin(MA.prepared(catalog).where("n_gtins = 0")).where(F.contains("plain_title", F.col("rule_brand")))
+    pairs = rows.withColumn("plain_title", MA.plain(F.coalesce("title", F.lit("")))).crossJoin(MA.prepared(catalog)).where(F.contains("plain_title", F.col("rule_brand")))
     rule = {"plain_title": F.col("plain_title"), "must": F.col("must"), "none": F.col("none"), "brand": F.col("rule_brand"), "size": F.col("rule_size"), "pack": F.col("rule_pack")}
     want = pairs.select("product", MA.verdict(F.col("title"), rule).alias("reason")).groupBy("product", "reason").count()
     got = MA.diagnose(rows, catalog)
@@ -111,6 +111,53 @@ def test_the_whole_history_is_written(spark, monkeypatch):
 
 @with_data
 def test_candidates_have_titles(spark):
-    got = J.QUERIES["u4_candidate_titles"](spark, SF)
-    assert sorted(map(tuple, got.select("shop", "url").collect())) == sorted(map(tuple, J.QUERIES["u4_candidates"](spark, SF).collect()))
-    assert got.where("title IS NULL").isEmpty()
+    assert J.QUERIES["u4_candidates"](spark, SF).where("title IS NULL").isEmpty()
+
+
+def test_a_round_and_the_next(spark, tmp_path):
+    """Feed rows to payload and state twice: packs of the catalog, changed numbers, offers without a URL, a dry run, and an empty round."""
+    from offerloom.operators import round as R
+
+    valid = [r[0] for r in spark.range(2).select(D.ean13("200", F.col("id") + 1)).collect()]
+    catalog = spark.createDataFrame([("p", "Kan", "Bo", "k", "", None, ["kan"], [], None, [], None, 5.0, "stuk")], "product string, name string, brand string, category string, size string, query string, must array<string>, none array<string>, match_pack double, gtins array<string>, strict boolean, pack_amount double, pack_unit string")
+    shops = spark.createDataFrame([("a", "Aa"), ("b", "Bee"), ("c", "Cee")], "shop string, shop_name string")
+    schema = "shop string, n int, gtin string, sku string, title string, price double, currency string, url string, in_stock boolean, amount double, unit string"
+    path = f"file://{tmp_path}/round"
+
+    def play(rows, day, **options):
+        offers = R.feed_offers(spark.createDataFrame(rows, schema), catalog, shops, "n")
+        payload, report, done = R.run_round(offers, catalog, path, F.lit(day).cast("timestamp"), order=[F.col("n")], **options)
+        return payload, sorted((r["shop"], r["type"]) for r in report.collect()), done
+
+    first = [("a", 1, "0" + valid[0], "s1", "Bo kan", 10.0, "EUR", "ua", True, None, None), ("b", 2, "0" + valid[0], None, "Bo kan 2 stuks", 8.0, "EUR", "ub", None, 2.0, "stuk"), ("c", 3, None, None, "Bo kan", 1.0, "EUR", None, True, None, None)]
+    payload, issues, done = play(first, "2001-03-01 10:00:00", dry_run=True)
+    assert not done and not (tmp_path / "round").exists() and payload.count() == 1
+    payload, issues, done = play(first, "2001-03-01 10:00:00")
+    row = P.read_published(spark, path, payload.schema).first()
+    assert done and [(o["shop"], o["shop_name"], o["url"], o["unit_price"], o["amount"], o["gtin"]) for o in row["offer_list"]] == [("a", "Aa", "ua", 2.0, 5.0, valid[0]), ("b", "Bee", "ub", 4.0, 2.0, valid[0])]
+    assert row["lowest30"] == 8.0 and issues == [("b", "verpakking-wijkt-af")]
+    second = [("a", 1, "0" + valid[1], "s1", "Bo kan", 12.0, "EUR", "ua", True, None, None)]
+    payload, issues, done = play(second, "2001-03-05 10:00:00")
+    row = P.read_published(spark, path, payload.schema).first()
+    assert done and ("a", "gtin-gewijzigd") in issues and row["offer_list"][0]["gtin_changed"] and row["lowest30"] == 8.0
+    identity = {r["shop"]: r for r in R.read_state(spark, path, "identity", "string").collect()}
+    assert (identity["a"]["gtin"], str(identity["a"]["first_seen"])[:10], str(identity["a"]["last_seen"])[:10]) == ("0" + valid[1], "2001-03-01", "2001-03-05") and "b" in identity
+    assert R.read_state(spark, path, "history", "string").count() == 3
+    _, _, done = play([], "2001-03-06 10:00:00")
+    assert not done and P.read_published(spark, path, payload.schema).first()["best_price"] == 12.0
+
+
+def test_page_results_become_offers(spark):
+    from offerloom.operators import round as R
+
+    work = spark.createDataFrame([("p", "a", "u1"), ("p", "b", None), ("q", "a", "gone")], "product string, shop string, link string")
+    resolved = spark.createDataFrame([("p", "b", "u2")], "product string, shop string, url string")
+    pages = spark.createDataFrame([("u1", True, True, 4.0, "One", "s", True, None, None), ("u2", True, False, 5.0, "Two", None, None, 2.0, "stuk")], "url string, fits boolean, allowed boolean, price double, title string, sku string, in_stock boolean, amount double, unit string")
+    again = spark.createDataFrame([("p", "b", "u3", 6.0, "Three")], "product string, shop string, url string, price double, title string")
+    found = O.known_page_offers(work, resolved, pages, again)
+    assert {(r["product"], r["shop"]): (r["url"], r["title"], r["error"], r["from_known"]) for r in found.collect()} == {
+        ("p", "a"): ("u1", "One", None, True), ("p", "b"): ("u3", "Three", None, False), ("q", "a"): (None, None, "pagina niet gevonden; geen passend resultaat", False),
+    }
+    catalog = spark.createDataFrame([("p", 8.0, "stuk")], "product string, pack_amount double, pack_unit string")
+    offers = {r["shop"]: r for r in R.page_offers(found, catalog, spark.createDataFrame([("a", "Aa")], "shop string, shop_name string")).collect()}
+    assert (offers["a"]["unit_price"], offers["a"]["shop_name"], offers["a"]["source"], offers["b"]["shop_name"]) == (0.5, "Aa", "page", None) and len(offers) == 2
