@@ -39,6 +39,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(4 << 20))
 
 
+#: Bytes of a row group of scratch tables: what a writer holds in memory.
+ROW_GROUP = 16 << 20
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage where several later steps read a result.
 
@@ -53,7 +57,7 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.root}/{label}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:

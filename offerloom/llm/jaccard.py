@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if, by_bytes, distinct, gram_hashes, mix64, parallelism, sliced, table, trimmed, words_of
+from .common import ROW_GROUP, Scratch, broadcast_if, by_bytes, distinct, gram_hashes, mix64, parallelism, sliced, table, trimmed, words_of
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -460,7 +460,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
     path = f"{scratch.root}/sets"
-    rows.mapInArrow(trimmed(_sets(shingle)), SETS).write.partitionBy("kind").parquet(path)
+    rows.mapInArrow(trimmed(_sets(shingle)), SETS).write.option("parquet.block.size", str(ROW_GROUP)).partitionBy("kind").parquet(path)
     both = spark.read.schema(SETS.replace("kind string, ", "") + ", kind string").parquet(path)
     sets = both.where("kind = 'set'").select("doc_id", "n_shingles", "set_id")
     known = rows.where("doc_id IS NOT NULL")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, broadcast_if, by_bytes, gram_hashes, parallelism, sliced, table, trimmed, words_of
+from .common import ROW_GROUP, SPACES, Scratch, broadcast_if, by_bytes, gram_hashes, parallelism, sliced, table, trimmed, words_of
 
 GRAM, MIN_WORDS = 20, 50
 SHARD_SEGMENTS = 3000
@@ -412,7 +412,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch.drop("anchors")
     cut = rows.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text_key", "text", "marks").mapInArrow(trimmed(_cut(min_words)), CUT)
     path = f"{scratch.root}/cut"
-    cut.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    cut.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).partitionBy("kind").parquet(path)
     scratch.drop("marks")
     cut = spark.read.schema(CUT.replace("kind string, ", "") + ", kind string").parquet(path)
     done, open_ = cut.where("kind = 'done'"), cut.where("kind = 'open'")

@@ -33,7 +33,8 @@ TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1500, 8_000_000
 MODEL_FEATURES = 60_000
 PREFIXES = (3, 4, 5, 6)
 LIFT, EVIDENCE, STEPS, RIDGE = 20.0, 14.0, 45, 0.3
-CHUNK_TOKENS = 150_000
+#: Texts that are scored side by side, in tokens and in bytes: chains of like length make full steps.
+CHUNK_TOKENS, SLICE_BYTES = 400_000, 3 << 20
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 INNER = re.compile(r"^\W+|\W+$")
 
@@ -62,7 +63,7 @@ class Model:
 class Potentials(dict):
     """Token -> potential of label 1, with a memo of bounded size."""
 
-    LIMIT = 100_000
+    LIMIT = 150_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -321,7 +322,7 @@ def score_texts(docs: DataFrame, model: Model, columns: list[str], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Potentials(shared.value)
-        for batch in by_bytes(batches, len(columns)):
+        for batch in by_bytes(batches, len(columns), SLICE_BYTES):
             found = document_scores(shared.value, batch.column(len(columns)).to_pylist(), memo)
             score, predicted, spans = zip(*found, strict=True)
             marks = [pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(spans, SPANS)]
@@ -341,7 +342,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Potentials(shared.value)
-        for batch in by_bytes(batches, place):
+        for batch in by_bytes(batches, place, SLICE_BYTES):
             scores = document_scores(shared.value, batch.column(place).to_pylist(), memo)
             yield batch.filter(pa.array([not predicted for _, predicted, _ in scores], pa.bool_()))
 
