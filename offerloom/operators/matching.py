@@ -110,8 +110,8 @@ def keyed_strings(strings: DataFrame) -> DataFrame:
     return pieces.join(counts, "piece").groupBy("s").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
 
 
-def strings_in(titles: DataFrame, keyed: DataFrame) -> DataFrame:
-    """title, plain_title, s: every string that a title contains. titles: title, plain_title; keyed: of keyed_strings."""
+def strings_in(titles: DataFrame, keyed: DataFrame, few: bool | None = None) -> DataFrame:
+    """title, plain_title, s: every string that a title contains. titles: title, plain_title; keyed: of keyed_strings; few: they are known to fit a broadcast."""
     t, empty = F.col("plain_title"), F.array().cast("array<string>")
 
     def runs(n: int) -> Column:
@@ -119,23 +119,25 @@ def strings_in(titles: DataFrame, keyed: DataFrame) -> DataFrame:
 
     lengths = sorted(r["n"] for r in keyed.select(F.length("piece").alias("n")).distinct().collect())  # of 1, 2 and 3
     found = F.array_distinct(F.concat(empty, *[runs(n) for n in lengths]))
-    return titles.select("title", "plain_title", F.explode(found).alias("piece")).join(_broadcast(keyed), "piece").where(F.contains(t, F.col("s"))).select("title", "plain_title", "s")
+    return titles.select("title", "plain_title", F.explode(found).alias("piece")).join(F.broadcast(keyed) if few else _broadcast(keyed), "piece").where(F.contains(t, F.col("s"))).select("title", "plain_title", "s")
 
 
 class Rules(NamedTuple):
-    """The catalog's title rules as tables to be joined: required strings, rules by key, products by rule and size."""
+    """The catalog's title rules as tables to be joined: required strings, rules by key, products by rule and size; few: all fit a broadcast."""
 
     strings: DataFrame
     groups: DataFrame
     products: DataFrame
+    few: bool
 
-    def persist(self) -> Rules:
-        """Kept for several batches; what is lost with an executor is computed again."""
-        return Rules(*[t.persist() for t in self])
+    def small(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.few else table
 
 
 def title_rules(catalog: DataFrame) -> Rules:
-    products = prepared(catalog)
+    """Kept for the joins that read them several times, and for several batches; what is lost with an executor is computed again."""
+    few = catalog.limit(CATALOG_BROADCAST + 1).count() <= CATALOG_BROADCAST  # there are no more rules than products, and at most two strings a rule
+    products = prepared(catalog).persist()
     groups = products.groupBy("rule").agg(F.first("rule_brand").alias("rule_brand"), F.first("must").alias("must"), F.first("none").alias("none"))
     required = F.filter(F.array_distinct(F.concat("must", F.array("rule_brand"))), lambda w: w != "")
     strings = groups.select("rule", F.explode(required).alias("s"))
@@ -146,23 +148,23 @@ def title_rules(catalog: DataFrame) -> Rules:
     first, second = F.element_at("k", F.when(F.size("k") > 2, 2).otherwise(1)), F.element_at("k", -1)
     groups = groups.join(keys, "rule", "left").select("rule", "rule_brand", "must", "none", F.coalesce(first, F.lit("")).alias("k1"), F.coalesce(second, F.lit("")).alias("k2"))
     used = groups.select(F.explode(F.array("k1", "k2")).alias("s")).distinct()
-    return Rules(keyed_strings(used), groups, products.select("rule", "product", "rule_size", "size_mark", "rule_pack", "query_tokens"))
+    return Rules(keyed_strings(used).persist(), groups.persist(), products.select("rule", "product", "rule_size", "size_mark", "rule_pack", "query_tokens"), few)
 
 
 def match_by_title(rows: DataFrame, catalog: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Rows with every product (of those without article numbers) whose rules the title passes, and the score. Equal titles are judged once."""
     rules = rules or title_rules(catalog)
     titles = rows.select("title").distinct().select("title", plain(F.coalesce("title", F.lit(""))).alias("plain_title")).where("plain_title <> ''")
-    found = strings_in(titles, rules.strings).unionByName(titles.withColumn("s", F.lit("")))
+    found = strings_in(titles, rules.strings, rules.few).unionByName(titles.withColumn("s", F.lit("")))
     found = found.groupBy("title", "plain_title").agg(F.sort_array(F.collect_set("s")).alias("found"))
     n = F.size("found")
     pairs = F.flatten(F.transform("found", lambda a, i: F.transform(F.slice("found", i + 2, n), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
     pairs = F.concat(pairs, F.array(F.struct(F.lit("").alias("k1"), F.lit("").alias("k2"))))
     t = F.col("plain_title")
     fits = F.contains(t, F.col("rule_brand")) & F.forall("must", lambda w: F.contains(t, w)) & ~F.exists("none", lambda w: F.contains(t, w))
-    near = found.select("title", "plain_title", F.explode(pairs).alias("k")).select("title", "plain_title", "k.*").join(_broadcast(rules.groups), ["k1", "k2"]).where(fits).select("title", "plain_title", "rule")
+    near = found.select("title", "plain_title", F.explode(pairs).alias("k")).select("title", "plain_title", "k.*").join(rules.small(rules.groups), ["k1", "k2"]).where(fits).select("title", "plain_title", "rule")
     marks = F.array_union(named_sizes(t), F.array(F.lit(""), F.lit(ODD_SIZE)))
-    near = near.select("title", "plain_title", "rule", tokens("plain_title").alias("title_tokens"), F.explode(marks).alias("size_mark")).join(_broadcast(rules.products), ["rule", "size_mark"])
+    near = near.select("title", "plain_title", "rule", tokens("plain_title").alias("title_tokens"), F.explode(marks).alias("size_mark")).join(rules.small(rules.products), ["rule", "size_mark"])
     sized = (F.col("size_mark") != ODD_SIZE) | has_size(t, F.col("rule_size"))
     packed = F.col("rule_pack").isNull() | F.coalesce(F.abs(M.parse_pack_size("title")["amount"] - F.col("rule_pack")) <= 0.01, F.lit(False))
     matched = near.where(sized & packed).select("title", "product", score(F.col("title_tokens"), F.col("query_tokens")).alias("score"))
