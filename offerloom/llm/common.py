@@ -106,6 +106,19 @@ def by_bytes(batches, column: int = 1, size: int = 1 << 19):
             at = stop
 
 
+def gathered(batches, size: int):
+    """Arrow batches put together to about so many bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def trimmed(run):
     """A task function for mapInArrow or applyInArrow after which the worker gives free memory back: workers are used again by
     other tasks and stages, and share their executor's memory limit."""

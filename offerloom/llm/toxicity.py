@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, by_bytes, gram_hashes, small_batches, table, trimmed, words_of
+from .common import Scratch, gathered, gram_hashes, small_batches, table, trimmed, words_of
 
 #: Defaults of the training sample's bounds (documents of each class, and characters in all) and of the model's. They fit a task of 500 MB.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1500, 8_000_000
@@ -34,7 +34,7 @@ MODEL_FEATURES = 60_000
 PREFIXES = (3, 4, 5, 6)
 LIFT, EVIDENCE, STEPS, RIDGE = 20.0, 14.0, 45, 0.3
 #: Texts that are scored side by side, in tokens and in bytes: chains of like length make full steps.
-CHUNK_TOKENS, SLICE_BYTES = 400_000, 3 << 20
+CHUNK_TOKENS, SLICE_BYTES = 400_000, 16 << 20
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 INNER = re.compile(r"^\W+|\W+$")
 
@@ -322,7 +322,7 @@ def score_texts(docs: DataFrame, model: Model, columns: list[str], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Potentials(shared.value)
-        for batch in by_bytes(batches, len(columns), SLICE_BYTES):
+        for batch in gathered(batches, SLICE_BYTES):
             found = document_scores(shared.value, batch.column(len(columns)).to_pylist(), memo)
             score, predicted, spans = zip(*found, strict=True)
             marks = [pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(spans, SPANS)]
@@ -342,7 +342,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Potentials(shared.value)
-        for batch in by_bytes(batches, place, SLICE_BYTES):
+        for batch in gathered(batches, SLICE_BYTES):
             scores = document_scores(shared.value, batch.column(place).to_pylist(), memo)
             yield batch.filter(pa.array([not predicted for _, predicted, _ in scores], pa.bool_()))
 
