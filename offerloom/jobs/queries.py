@@ -80,6 +80,17 @@ def usable_feed(spark: SparkSession, sf: str) -> DataFrame:
     return FE.usable(FE.normalize_rows(D.feed_text(spark, sf), keep=["shop", "row_no"]))
 
 
+def saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Written once for the several steps that read it."""
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def feed_to_match(spark: SparkSession, sf: str) -> DataFrame:
+    return saved(spark, usable_feed(spark, sf).select("shop", "row_no", "gtin", "title", "price"), "feed")
+
+
 # --- offers, ranks, summaries ---
 
 
@@ -397,12 +408,12 @@ def j1_match_by_gtin(spark, sf):
 
 @query(sql(CATALOG, FEED, MATCHED, then="SELECT shop, row_no, price, product, score FROM matched"))
 def j2_match_feed(spark, sf):
-    return MA.match_rows(usable_feed(spark, sf).select("shop", "row_no", "gtin", "title", "price"), D.catalog(spark, sf)).select("shop", "row_no", "price", "product", "score")
+    return MA.match_rows(feed_to_match(spark, sf), D.catalog(spark, sf)).select("shop", "row_no", "price", "product", "score")
 
 
 @query(sql(CATALOG, FEED, MATCHED, then="SELECT shop, product, row_no, price, score FROM matched QUALIFY row_number() OVER (PARTITION BY shop, product ORDER BY score DESC, price, row_no) = 1"))
 def k1_best_feed_row(spark, sf):
-    m = MA.match_rows(usable_feed(spark, sf).select("shop", "row_no", "gtin", "title", "price"), D.catalog(spark, sf))
+    m = MA.match_rows(feed_to_match(spark, sf), D.catalog(spark, sf))
     return MA.best_rows(m, ["shop", "product"], F.col("row_no")).select("shop", "product", "row_no", "price", "score")
 
 
@@ -451,11 +462,10 @@ def e1_round(spark, sf):
     rows.write.options(header=True, sep="\t", quote='"', escape='"', emptyValue="").csv(a)
     source, _ = FE.read_feeds(spark, [{"id": "a", "shop": "all", "path": a, "format": "csv", "delimiter": "\t", "keep": ["seller", "row_no"], "multi_line": False}], ["all"])
     fed = FE.usable(source).drop("shop", "feed").withColumns({"shop": F.col("seller").cast("long"), "row_no": F.col("row_no").cast("long")}).drop("seller")
+    fed = saved(spark, fed, "feed")
     catalog = D.catalog(spark, sf)
     offers = R.feed_offers(fed, catalog, D.shops(spark, sf), "row_no")
-    saved = scratch(spark, "offers")
-    offers.write.parquet(saved)
-    offers = spark.read.parquet(saved)
+    offers = saved(spark, offers, "offers")
     before = offers.select("product", "shop", F.when(F.col("product") % 4 == 0, D.ean13("201", F.col("product"))).otherwise(D.ean13("200", F.col("product"))).alias("gtin"))
     at = F.lit("2001-06-29 08:00:00").cast("timestamp")
     identity = before.select("product", "shop", at.alias("first_seen"), at.alias("last_seen"), G.normalize_gtin("gtin").alias("gtin"), F.lit(None).cast("string").alias("sku"), F.lit(None).cast("double").alias("amount"))

@@ -81,7 +81,7 @@ def feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed rows as a shop would publish them: all strings, price in Dutch notation, pack size in the title. They are dealt out as rows, like those of a file."""
     source = table(spark, sf_dir, "lineitem")
     parts = max(source.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    li = source.where("l_returnflag = 'A'")
+    li = spread(source).where("l_returnflag = 'A'")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
