@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, media, mixing, packing, substrings, toxicity, urls, warc
+from . import chat, clusters, codes, decontamination, jaccard, media, mixing, packing, substrings, tokencount, toxicity, urls, warc
 
-MODULES = [mixing, chat, urls, warc, packing, media, toxicity, decontamination, substrings, jaccard]
+MODULES = [mixing, chat, urls, warc, packing, media, toxicity, decontamination, substrings, jaccard, codes, tokencount, clusters]
 
 
 def queries() -> dict:
