@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, let
+from .text import bound, col, let, sql_let
 
 
 def digits(value: Column | str) -> Column:
@@ -35,14 +37,15 @@ def check_digit(body: Column | str) -> Column:
 
 def normalize_gtin(value: Column | str) -> Column:
     """14 digits, or null if length or check digit are wrong or all digits are zero."""
-    return let(digits(value), _normalized)
-
+    return bound(col(value).cast("string"), normalized_sql("t"))
 
-def _normalized(d: Column) -> Column:
-    def checked(number: Column) -> Column:
-        return (number > 0) & (F.call_function("mod", weighted_sum(number, 14, 1), F.lit(10).cast("bigint")) == 0)
 
-    return F.when(F.length(d).isin(8, 12, 13, 14) & let(d.try_cast("bigint"), checked), F.lpad(d, 14, "0"))
+@cache
+def normalized_sql(t: str) -> str:
+    """Of a SQL text. The check is integer arithmetic: digits from the right, every other one times three, the last once."""
+    total = " + ".join(f"n DIV {10**i}L % 10 * {1 if i % 2 == 0 else 3}" for i in range(14))
+    checked = f"n > 0 AND ({total}) % 10 = 0"
+    return sql_let(f"regexp_replace({t}, '[^0-9]+', '')", "d", f"CASE WHEN length(d) IN (8, 12, 13, 14) AND {sql_let("try_cast(d AS BIGINT)", "n", checked)} THEN lpad(d, 14, '0') END")
 
 
 def is_valid_gtin(value: Column | str) -> Column:

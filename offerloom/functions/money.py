@@ -5,12 +5,13 @@ Prices are doubles. Rounding is half up on the binary value plus 2**-52, so that
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, decode_entities, let
+from .text import WS, bound, col, decoded_sql, quoted, sql_let
 
-PACK = "struct<amount:double,unit:string>"
 # fixed values: words for pieces, and words that name a size number
 PIECES = r"stuks|stuk|st\.|luiers|luier|doekjes|doekje|wipes|tissues|billendoekjes|pants|broekjes"
 SIZE_WORDS = r"maat|maten|size|mt\.?|nr\.?"
@@ -33,36 +34,26 @@ def parse_price(text: Column | str) -> Column:
     Of comma and dot the last one is the decimal mark; a comma alone with more than two digits behind it, or a dot alone with
     exactly three, parts thousands. Four or more digits that aren't grouped are cut after three (``1234,56`` is 123).
     """
-    t = decode_entities(text)
-    number = rf"(-?\d{{1,3}}(?:(?:[.,]|{WS})\d{{3}})*(?:[.,]\d{{1,2}})?)"
-    return let(F.regexp_replace(F.regexp_extract(t, number, 1), WS, ""), _price)
-
-
-def _price(raw: Column) -> Column:
-    comma = F.length(raw) - F.length(F.substring_index(raw, ",", -1))  # place of the last one, 0 without one
-    dot = F.length(raw) - F.length(F.substring_index(raw, ".", -1))
-    behind_comma, behind_dot = F.length(raw) - comma, F.length(raw) - dot
-    clean = (
-        F.when((comma > 0) & (dot > 0) & (comma > dot), F.regexp_replace(F.replace(raw, F.lit("."), F.lit("")), "^([^,]*),", "$1."))
-        .when((comma > 0) & (dot > 0), F.replace(raw, F.lit(","), F.lit("")))
-        .when((comma > 0) & (behind_comma <= 2), F.regexp_replace(raw, "^([^,]*),", "$1."))
-        .when(comma > 0, F.replace(raw, F.lit(","), F.lit("")))
-        .when((dot > 0) & (behind_dot == 3), F.replace(raw, F.lit("."), F.lit("")))
-        .otherwise(raw)
-    )
-    head = F.regexp_extract(clean, r"^(-?\d+(?:\.\d+)?)", 1)
-    return let(head, lambda h: F.when(h != "", round_half_up(h.cast("double"), 2)))
+    return bound(col(text), price_sql())
 
 
-def _pack(amount: Column, unit: Column | str) -> Column:
-    return F.struct(amount.cast("double").alias("amount"), (F.lit(unit) if isinstance(unit, str) else unit).alias("unit"))
+@cache
+def price_sql() -> str:
+    number = quoted(rf"(-?\d{{1,3}}(?:(?:[.,]|{WS})\d{{3}})*(?:[.,]\d{{1,2}})?)")
+    raw = f"regexp_replace(regexp_extract({sql_let(decoded_sql("t"), "e", "e")}, {number}, 1), {quoted(WS)}, '')"
+    # places of the last comma and dot, 0 without one
+    comma, dot = "(length(r) - length(substring_index(r, ',', -1)))", "(length(r) - length(substring_index(r, '.', -1)))"
+    point = f"regexp_replace({{r}}, {quoted("^([^,]*),")}, {quoted("$1.")})"
+    clean = f"""CASE WHEN {comma} > 0 AND {dot} > 0 AND {comma} > {dot} THEN {point.format(r="replace(r, '.', '')")} WHEN {comma} > 0 AND {dot} > 0 THEN replace(r, ',', '')
+      WHEN {comma} > 0 AND length(r) - {comma} <= 2 THEN {point.format(r="r")} WHEN {comma} > 0 THEN replace(r, ',', '')
+      WHEN {dot} > 0 AND length(r) - {dot} = 3 THEN replace(r, '.', '') ELSE r END"""
+    head = f"regexp_extract({clean}, {quoted(r"^(-?\d+(?:\.\d+)?)")}, 1)"
+    return sql_let(raw, "r", sql_let(head, "h", f"CASE WHEN h <> '' THEN {half_up_sql("double(h)")} END"))
 
 
-def _base(amount: Column, unit: Column) -> Column:
-    """Litres and kilograms as millilitres and grams; null for an amount that isn't positive."""
-    factor = F.when(unit.isin("l", "liter", "kg"), 1000.0).otherwise(1.0)
-    kind = F.when(unit.isin("ml", "milliliter", "l", "liter"), "ml").otherwise("g")
-    return F.when(amount > 0, _pack(round_half_up(amount * factor, 2), kind))
+def half_up_sql(x: str) -> str:
+    """``round_half_up`` to cents."""
+    return f"double(floor(({x} + {2.0**-52!r}D) * 100D + 0.5D)) / 100D"
 
 
 def parse_pack_size(text: Column | str) -> Column:
@@ -70,24 +61,32 @@ def parse_pack_size(text: Column | str) -> Column:
 
     In this order: ``a x b pieces``, ``a x b measure``, the first number of pieces that no size word precedes, the first measure.
     """
-    return let(F.lower(F.regexp_replace(decode_entities(text), f"{WS}+", " ")), _pack_size)
-
-
-def _pack_size(t: Column) -> Column:
-    times = rf"(\d{{1,3}})\s*[x×]\s*(\d{{1,4}})\s*(?:{PIECES}){WORD_END}"
-    measures = rf"(\d{{1,3}})\s*[x×]\s*(\d{{1,4}}(?:[.,]\d+)?)\s*({MEASURES}){END}"
-    one = rf"(\d{{1,4}}(?:[.,]\d+)?)\s*({MEASURES}){END}"
-    counted = F.regexp_extract_all(t, F.lit(rf"((?:(?:{SIZE_WORDS})\s*)?\d{{1,4}}\s*(?:{PIECES}){WORD_END})"), F.lit(1))
-    counts = F.transform(F.filter(counted, lambda h: h.rlike(r"^\d")), lambda h: F.regexp_extract(h, r"^(\d+)", 1).cast("int"))
-    pieces = F.try_element_at(F.filter(counts, lambda n: n > 0), F.lit(1))
-    first = F.regexp_extract(t, times, 1)
-    m_times, m_each, m_unit = (F.regexp_extract(t, measures, k) for k in (1, 2, 3))
-    each = _base(F.replace(m_each, F.lit(","), F.lit(".")).cast("double"), m_unit)
-    v_amount, v_unit = F.regexp_extract(t, one, 1), F.regexp_extract(t, one, 2)
-    product = F.when(first != "", _pack(first.cast("int") * F.regexp_extract(t, times, 2).cast("int"), "stuk"))
-    many = F.when((m_times != "") & each.isNotNull(), _pack(round_half_up(each["amount"] * m_times.cast("int"), 2), each["unit"]))
-    single = F.when(v_amount != "", _base(F.replace(v_amount, F.lit(","), F.lit(".")).cast("double"), v_unit))
-    return F.coalesce(product, many, F.when(pieces.isNotNull(), _pack(pieces, "stuk")), single)
+    return bound(col(text), pack_size_sql())
+
+
+@cache
+def pack_size_sql() -> str:
+    plain = f"lower(regexp_replace({decoded_sql("t")}, {quoted(f"{WS}+")}, ' '))"
+    times = quoted(rf"(\d{{1,3}})\s*[x×]\s*(\d{{1,4}})\s*(?:{PIECES}){WORD_END}")
+    measures = quoted(rf"(\d{{1,3}})\s*[x×]\s*(\d{{1,4}}(?:[.,]\d+)?)\s*({MEASURES}){END}")
+    one = quoted(rf"(\d{{1,4}}(?:[.,]\d+)?)\s*({MEASURES}){END}")
+    counted = quoted(rf"((?:(?:{SIZE_WORDS})\s*)?\d{{1,4}}\s*(?:{PIECES}){WORD_END})")
+    pack = lambda amount, unit: f"named_struct('amount', double({amount}), 'unit', {unit})"
+
+    def base(amount: str, unit: str, factor: str = "1") -> str:
+        """Litres and kilograms as millilitres and grams; null for an amount that isn't positive."""
+        scaled = half_up_sql(f"(a * CASE WHEN {unit} IN ('l', 'liter', 'kg') THEN 1000D ELSE 1D END)")
+        whole = scaled if factor == "1" else half_up_sql(f"({scaled} * {factor})")
+        kind = f"CASE WHEN {unit} IN ('ml', 'milliliter', 'l', 'liter') THEN 'ml' ELSE 'g' END"
+        return sql_let(f"double(replace({amount}, ',', '.'))", "a", f"CASE WHEN a > 0 THEN {pack(whole, kind)} END")
+
+    part = lambda pattern, k: f"regexp_extract(p, {pattern}, {k})"
+    pieces = f"try_element_at(filter(transform(filter(regexp_extract_all(p, {counted}, 1), c -> c RLIKE '^[0-9]'), c -> int(regexp_extract(c, '^([0-9]+)', 1))), n -> n > 0), 1)"
+    product = f"CASE WHEN {part(times, 1)} <> '' THEN {pack(f"int({part(times, 1)}) * int({part(times, 2)})", "'stuk'")} END"
+    many = f"CASE WHEN {part(measures, 1)} <> '' THEN {base(part(measures, 2), part(measures, 3), f"int({part(measures, 1)})")} END"
+    some = sql_let(pieces, "n", f"CASE WHEN n IS NOT NULL THEN {pack("n", "'stuk'")} END")
+    single = f"CASE WHEN {part(one, 1)} <> '' THEN {base(part(one, 1), part(one, 2))} END"
+    return sql_let(plain, "p", f"CASE WHEN p RLIKE '[0-9]' THEN coalesce({product}, {many}, {some}, {single}) END")
 
 
 def base_unit_price(price: Column, amount: Column) -> Column:

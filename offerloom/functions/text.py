@@ -32,43 +32,44 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(value: Column, body: str) -> Column:
+    """A SQL expression over ``t``, which is the value, computed once. For long rules: one text is parsed, where Column functions would need hundreds of calls to the JVM."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"t -> {body}")), 1)
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """The same inside such an expression."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def trim(text: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.trim(col(text), F.lit(WHITE))
 
 
-def _code_point(number: Column) -> Column:
-    """The character of a code point; empty beyond Unicode and for surrogates."""
-    real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit(""))
-
-
 def decode_entities(text: Column | str) -> Column:
     """Hexadecimal, then decimal, then named entities, each once. Texts without an ampersand are passed through."""
-    return let(col(text), _decoded)
+    return bound(col(text), decoded_sql("t"))
 
 
-def _decoded(t: Column) -> Column:
-    hexed = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(t, F.lit("&#[xX]([0-9a-fA-F]{1,6});"), F.lit(1))),
-        t,
-        lambda acc, x: F.regexp_replace(acc, F.concat(F.lit("&#[xX]"), x, F.lit(";")), F.regexp_replace(_code_point(F.conv(x, 16, 10).cast("bigint")), r"([\\$])", r"\\$1")),
-    )
-    decimal = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(hexed, F.lit(r"&#(\d{1,9});"), F.lit(1))),
-        hexed,
-        lambda acc, x: F.replace(acc, F.concat(F.lit("&#"), x, F.lit(";")), _code_point(x.cast("bigint"))),
-    )
-    known = F.create_map(*[F.lit(x) for e in ENTITIES.items() for x in e])
-
-    def named(text: Column) -> Column:
-        names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([a-zA-Z][a-zA-Z0-9]*);"), F.lit(1)))
-        # the ampersand last, so that nothing is decoded twice
-        order = F.concat(F.filter(names, lambda n: F.lower(n) != "amp"), F.filter(names, lambda n: F.lower(n) == "amp"))
-        entity = lambda n: F.concat(F.lit("&"), n, F.lit(";"))
-        return F.aggregate(order, text, lambda acc, n: F.replace(acc, entity(n), F.coalesce(F.try_element_at(known, F.lower(n)), entity(n))))
-
-    return F.when(F.contains(t, F.lit("&")), let(decimal, named)).otherwise(t)
+@cache
+def decoded_sql(t: str) -> str:
+    # empty beyond Unicode and for surrogates
+    character = "CASE WHEN {n} BETWEEN 1 AND 1114111 AND NOT {n} BETWEEN 55296 AND 57343 THEN decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32') ELSE '' END"
+    of_hex = f"regexp_replace({character.format(n="bigint(conv(x, 16, 10))")}, {quoted(r"([\\$])")}, {quoted(r"\\$1")})"
+    hexed = f"aggregate(array_distinct(regexp_extract_all({t}, '&#[xX]([0-9a-fA-F]{{1,6}});', 1)), {t}, (acc, x) -> regexp_replace(acc, concat('&#[xX]', x, ';'), {of_hex}))"
+    decimal = f"aggregate(array_distinct(regexp_extract_all(h, {quoted("&#([0-9]{1,9});")}, 1)), h, (acc, x) -> replace(acc, concat('&#', x, ';'), {character.format(n="bigint(x)")}))"
+    known = "map(" + ", ".join(quoted(x) for e in ENTITIES.items() for x in e) + ")"
+    # the ampersand last, so that nothing is decoded twice
+    order = "concat(filter(names, n -> lower(n) <> 'amp'), filter(names, n -> lower(n) = 'amp'))"
+    one = f"aggregate({order}, d, (acc, n) -> replace(acc, concat('&', n, ';'), coalesce(try_element_at({known}, lower(n)), concat('&', n, ';'))))"
+    named = sql_let("array_distinct(regexp_extract_all(d, '&([a-zA-Z][a-zA-Z0-9]*);', 1))", "names", one)
+    return f"CASE WHEN contains({t}, '&') THEN {sql_let(hexed, "h", sql_let(decimal, "d", named))} ELSE {t} END"
 
 
 def collapse(text: Column | str) -> Column:
@@ -77,8 +78,14 @@ def collapse(text: Column | str) -> Column:
 
 
 def strip_tags(html: Column | str) -> Column:
-    no_code = F.regexp_replace(col(html), r"(?i)<(script|style|noscript)\b[^>]*>[\s\S]*?</\1>", " ")
-    return collapse(decode_entities(F.regexp_replace(no_code, "<[^>]+>", " ")))
+    return bound(col(html), stripped_sql("t"))
+
+
+@cache
+def stripped_sql(t: str) -> str:
+    no_code = f"regexp_replace({t}, {quoted(r"(?i)<(script|style|noscript)\b[^>]*>[\s\S]*?</\1>")}, ' ')"
+    no_tags = sql_let(f"regexp_replace({no_code}, '<[^>]+>', ' ')", "s", decoded_sql("s"))
+    return f"regexp_replace(regexp_replace({no_tags}, {quoted(f"{WS}+")}, ' '), {quoted(r"^ | \z")}, '')"
 
 
 @cache

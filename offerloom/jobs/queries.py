@@ -594,14 +594,14 @@ def d3_resolved_cache(spark, sf):
 
 
 def product_pages(spark, sf):
-    """Product pages built from part: JSON-LD, meta elements or an attribute in turn."""
-    p = D.table(spark, sf, "part")
+    """Product pages built from part: JSON-LD with prices as numbers, meta elements or an attribute in turn."""
+    p = D.spread(D.table(spark, sf, "part"))
     k, price = F.col("p_partkey"), F.format_string("%.2f", F.col("p_retailprice"))
     ean = D.ean13("200", k)
     title = F.concat_ws(" ", "p_brand", "p_name", F.lit("maat"), F.col("p_size").cast("string"), F.lit("- 44 stuks"))
     data = F.concat(
         F.lit('<script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":"Product","name":"'), title, F.lit('","sku":"S'), k, F.lit('","gtin13":"'), ean,
-        F.lit('","offers":[{"price":"'), F.format_string("%.2f", F.col("p_retailprice") + 5), F.lit('"},{"price":"'), price, F.lit('","priceCurrency":"eur","availability":"https://schema.org/InStock"}]}]}</script>'),
+        F.lit('","offers":[{"price":'), F.format_string("%.2f", F.col("p_retailprice") + 5), F.lit('},{"price":'), price, F.lit(',"priceCurrency":"eur","availability":"https://schema.org/InStock"}]}]}</script>'),
     )
     meta = F.concat(F.lit('<meta property="og:title" content="'), title, F.lit('"><meta content="'), F.replace(price, F.lit("."), F.lit(",")), F.lit('" property="product:price:amount"><meta property="product:availability" content="out of stock"><td>EAN: '), ean, F.lit("</td>"))
     plainest = F.concat(F.lit("<title>"), title, F.lit('</title><div data-price="'), price, F.lit('"></div>'))
@@ -610,12 +610,27 @@ def product_pages(spark, sf):
 
 
 @query(
-    f"""SELECT p_partkey AS product, p_brand || ' ' || p_name || ' maat ' || p_size || ' - 44 stuks' AS title, {half_up("p_retailprice", 2)} AS page_price, 'EUR' AS currency,
+    f"""SELECT p_partkey AS product, p_brand || ' ' || p_name || ' maat ' || p_size || ' - 44 stuks' || CASE WHEN p_partkey % 15 = 6 THEN ' ?' ELSE '' END AS title,
+  {half_up("p_retailprice + CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 7 * 1000 ELSE 0 END", 2)} AS page_price, 'EUR' AS currency,
   CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS in_stock, 44.0::DOUBLE AS amount, CASE WHEN p_partkey % 3 < 2 THEN '0' || {ean13("200", "p_partkey")} END AS page_gtin,
-  CASE WHEN p_partkey % 3 = 0 THEN 'S' || p_partkey END AS sku, CASE p_partkey % 3 WHEN 0 THEN 'json-ld' WHEN 1 THEN 'meta' ELSE 'attribute' END AS page_source FROM part"""
+  CASE WHEN p_partkey % 3 = 0 THEN 'S' || p_partkey END AS sku, CASE WHEN p_partkey % 15 = 9 THEN 'https://shop.example/' || p_partkey || '.png' END AS image,
+  CASE p_partkey % 3 WHEN 0 THEN 'json-ld' WHEN 1 THEN 'meta' ELSE 'attribute' END AS page_source FROM part"""
 )
 def u1_product_pages(spark, sf):
-    return PG.product_facts(product_pages(spark, sf)).select("product", "title", "page_price", "currency", "in_stock", "amount", "page_gtin", "sku", "page_source")
+    """Prices up to 8,000 as JSON numbers. Of every 15 pages one each has a block nested 3,000 lists deep, a name with half a surrogate pair, an image list inside an object, and a block that breaks off."""
+    k, h = F.col("product"), F.col("html")
+    pages = product_pages(spark, sf)
+    more = F.when(k % 3 == 0, k % 7 * 1000).otherwise(0)
+    dearer = F.regexp_replace(h, r'"price":([0-9.]+)\},\{"price":([0-9.]+)', F.concat(F.lit('"price":$1},{"price":"none"},{"price":'), F.format_string("%.2f", F.regexp_extract(h, r'\},\{"price":([0-9.]+)', 1).try_cast("double") + more)))
+    dearer = F.when((k % 3 == 0) & (more > 0), F.replace(dearer, F.concat(F.lit('"price":'), F.regexp_extract(h, r'"price":([0-9.]+)', 1), F.lit("}")), F.lit('"price":9999}'))).otherwise(h)
+    deep = F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit("["), 3000), F.lit("</script>"), h)
+    broken = F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"cut</script>'), h)
+    html = (
+        F.when(k % 15 == 3, deep).when(k % 15 == 12, broken).when(k % 15 == 6, F.regexp_replace(h, "- 44 stuks", "- 44 stuks \\\\ud83d"))
+        .when(k % 15 == 9, F.replace(h, F.lit('"sku"'), F.concat(F.lit('"image":{"url":["https://shop.example/'), k, F.lit('.png"]},"sku"')))).otherwise(h)
+    )
+    facts = PG.product_facts(pages.withColumn("html", dearer).withColumn("html", html))
+    return facts.select("product", "title", "page_price", "currency", "in_stock", "amount", "page_gtin", "sku", "image", "page_source")
 
 
 def page_checks(spark, sf):

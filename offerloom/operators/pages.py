@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.functions import gtin as G
 from offerloom.functions import money as M
+from offerloom.functions import productpage as PP
 from offerloom.functions import text as T
-from offerloom.functions.productpage import NODE, read_blocks
 
 # fixed values: stock words of schema.org and meta elements
 PAGE_IN_STOCK = r"(?i)instock|in_stock|limitedavailability|onlineonly|presale|preorder|backorder"
@@ -25,55 +24,75 @@ PRICE_ATTRIBUTE = "(?i)data-(?:product-)?price\\s*=\\s*[\"']([^\"']+)[\"']"
 LOOSE_NUMBER = r"(?i)\b(?:ean|gtin|barcode|artikelnummer)\b[^0-9]{0,20}(\d{8,14})"
 META_PRICES = ("product:price:amount", "og:price:amount", "price")
 META_NUMBERS = ("product:ean", "og:upc", "product:retailer_part_no", "gtin13", "ean")
+META_KEYS = (*META_PRICES, *META_NUMBERS, "product:availability", "og:availability", "og:title", "og:description", "og:image", "product:retailer_item_id", "sku")
 
 
-def _read(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    yield from read_blocks(blocks)
+def meta_pairs(html: Column) -> Column:
+    """array<struct<key, content>> of the meta elements that product facts ask for, decoded: all elements are read once.
+
+    Elements whose property, name or itemprop stands before the content come first, in their order, then those where it stands behind.
+    """
+    wanted = "|".join(re.escape(k) for k in META_KEYS)
+    name = "(?:property|name|itemprop)\\s*=\\s*[\"']([^\"']*)[\"']"
+    parts = "(?is)^(.*)content\\s*=\\s*[\"']([^\"']*)[\"'](.*)\\z"
+    tags = F.filter(F.regexp_extract_all(html, F.lit("(?i)<meta[^>]+"), F.lit(0)), lambda t: t.rlike(f"(?i)[\"'](?:{wanted})[\"']"))
+
+    def keyed(place: int) -> Column:
+        def of(t: Column) -> Column:
+            content = T.trim(T.decode_entities(F.regexp_extract(t, parts, 2)))
+            return F.when(t.rlike(parts), F.transform(F.regexp_extract_all(F.regexp_extract(t, parts, place), F.lit("(?i)" + name), F.lit(1)), lambda k: F.struct(F.lower(k).alias("key"), content.alias("content"))))
+
+        return F.flatten(F.filter(F.transform(tags, of), lambda x: x.isNotNull()))
+
+    return F.concat(keyed(1), keyed(3))
 
 
 def product_facts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages without the html, with title, price, currency, in_stock, amount, unit, gtin, sku, mpn, image, page_source.
+    """pages without the html, with title, page_price, currency, in_stock, amount, unit, page_gtin, sku, mpn, image, page_source.
 
-    JSON-LD blocks, which have no schema, cross to Python; the rest is read and parsed by Column functions.
+    All by Column functions: JSON-LD as VARIANT, meta elements once for all keys. A null page, and one whose JSON can't be parsed, has what the rest of it says.
     """
     keep = [c for c in pages.columns if c != html]
     h = F.col(html)
-    metas = F.array_join(F.regexp_extract_all(h, F.lit(r"(?i)<meta\b[^>]+>"), F.lit(0)), "\n")
     p = pages.select(
         *keep,
         F.regexp_extract_all(h, F.lit(LD_BLOCK), F.lit(1)).alias("_blocks"),
-        metas.alias("_metas"),
+        meta_pairs(h).alias("_metas"),
         F.regexp_extract(h, PRICE_ATTRIBUTE, 1).alias("_attribute"),
         T.page_title(h).alias("_page_title"),
         F.regexp_extract(h, LOOSE_NUMBER, 1).alias("_loose"),
     )
-    p = p.withColumn("_f", F.pandas_udf(_read, NODE)(F.col("_blocks")))
-    node = {c: F.col(f"_f.{c}") for c in ("found", "title", "price_text", "currency", "stock_text", "size_text", "image", "gtin_texts", "sku", "mpn")}
-    meta = lambda key: T.meta_content("_metas", key)
+    p = p.withColumn("_products", PP.product_nodes("_blocks")).withColumn("_chosen", PP.chosen("_products"))
+    p = p.withColumns({"_f": PP.facts("_chosen"), "_own": F.col("_chosen.ids"), "_more": PP.other_ids("_products")})
+
+    def meta(key: str) -> Column:
+        return F.try_element_at(F.filter("_metas", lambda m: m["key"] == key), F.lit(1))["content"]
+
     filled = lambda c: F.nullif(c, F.lit(""))
-    said, own_price = F.coalesce(node["stock_text"], F.lit("")), M.parse_price(node["price_text"])
-    p = p.withColumns({"_own": own_price, "_meta": M.parse_price(F.coalesce(*[meta(k) for k in META_PRICES])), "_marked": M.parse_price("_attribute"), "_stock": filled(F.coalesce(meta("product:availability"), meta("og:availability")))})
+    said = F.coalesce("_f.stock_text", F.lit(""))
+    p = p.withColumns({"_meta": M.parse_price(F.coalesce(*[meta(k) for k in META_PRICES])), "_marked": M.parse_price("_attribute"), "_stock": filled(F.coalesce(meta("product:availability"), meta("og:availability")))})
     in_meta = ~F.col("_stock").rlike(PAGE_OUT_OF_STOCK) & F.regexp_replace("_stock", r"\s", "").rlike(PAGE_IN_STOCK)
     stock = F.when(said.rlike(PAGE_OUT_OF_STOCK), False).when(said.rlike(PAGE_IN_STOCK), True).when(F.col("_stock").isNotNull(), in_meta)
-    title = F.coalesce(filled(node["title"]), filled(T.strip_tags(meta("og:title"))), filled(T.strip_tags("_page_title")))
-    texts = F.concat(F.coalesce(node["gtin_texts"], F.array().cast("array<string>")), F.array(*[meta(k) for k in META_NUMBERS], filled(F.col("_loose"))))
-    number = F.try_element_at(F.filter(F.transform(texts, G.normalize_gtin), lambda g: g.isNotNull()), F.lit(1))
-    p = p.withColumn("_title", title)
-    p = p.withColumn("_pack", F.coalesce(M.parse_pack_size(node["size_text"]), M.parse_pack_size("_title"), M.parse_pack_size(meta("og:description"))))
-    return p.select(
-        *keep,
+    other = F.array(*[meta(k) for k in META_NUMBERS], filled(F.col("_loose")))
+    p = p.withColumn("_title", F.coalesce("_f.title", filled(T.strip_tags(meta("og:title"))), filled(F.col("_page_title"))))
+    p = p.withColumns({"_pack": M.parse_pack_size("_title"), "_said_pack": M.parse_pack_size("_f.size_text"), "_meta_pack": M.parse_pack_size(meta("og:description"))})
+    p = p.withColumn("_pack", F.coalesce("_said_pack", "_pack", "_meta_pack"))
+    complete = F.col("_own.gtin").isNotNull() & F.col("_own.sku").isNotNull()
+    # one struct, opened again by a generator: a later filter on a fact must not be put below it and work out the rules once more for each use
+    facts = F.struct(
         F.col("_title").alias("title"),
-        F.coalesce("_own", "_meta", "_marked").alias("page_price"),
-        F.coalesce(node["currency"], F.lit("EUR")).alias("currency"),
+        F.coalesce("_f.price", "_meta", "_marked").alias("page_price"),
+        F.coalesce("_f.currency", F.lit("EUR")).alias("currency"),
         stock.alias("in_stock"),
         F.col("_pack.amount").alias("amount"),
         F.col("_pack.unit").alias("unit"),
-        number.alias("page_gtin"),
-        F.coalesce(filled(node["sku"]), filled(meta("product:retailer_item_id")), filled(meta("sku"))).alias("sku"),
-        node["mpn"].alias("mpn"),
-        F.coalesce(filled(node["image"]), meta("og:image")).alias("image"),
-        F.when(node["found"], "json-ld").when(F.col("_meta").isNotNull(), "meta").when(F.col("_marked").isNotNull(), "attribute").alias("page_source"),
+        F.coalesce("_own.gtin", "_more.gtin", F.try_element_at(F.filter(F.transform(other, G.normalize_gtin), lambda g: g.isNotNull()), F.lit(1))).alias("page_gtin"),
+        F.coalesce("_own.sku", "_more.sku", filled(meta("product:retailer_item_id")), filled(meta("sku"))).alias("sku"),
+        F.coalesce("_own.mpn", F.when(~F.coalesce(complete, F.lit(False)), F.col("_more.mpn"))).alias("mpn"),
+        F.coalesce(filled(F.col("_f.image")), meta("og:image")).alias("image"),
+        F.when(F.col("_f.found"), "json-ld").when(F.col("_meta").isNotNull(), "meta").when(F.col("_marked").isNotNull(), "attribute").alias("page_source"),
     )
+    return p.select(*keep, F.inline(F.array(facts)))
 
 
 def hrefs(html: Column | str) -> Column:

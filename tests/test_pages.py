@@ -49,6 +49,46 @@ def test_what_json_leaves_open_is_read_from_meta(spark):
     assert (d["page_price"], d["page_source"], d["in_stock"]) == (9.1, "json-ld", False)
 
 
+def test_numbers_stay_numbers(spark):
+    """A JSON number is the price; a text goes by the rules for texts, when offers are ordered too."""
+    lamp = lambda **offer: ld({"@type": "Product", "name": "Lamp", "offers": offer})
+    many = lambda *prices: ld({"@type": "Product", "name": "Lamp", "offers": [{"price": p} for p in prices]})
+    rows = facts(spark, lamp(price=1299), lamp(price=1299.5), lamp(price=45000), lamp(lowPrice=0.005), many("1234,56", "500"), many(2200, "2.100,00", None, "gratis"), lamp(price=["12,50"]), lamp(price={"value": 3}), lamp(price=1e308))
+    assert [r["page_price"] for r in rows] == [1299.0, 1299.5, 45000.0, 0.01, 123.0, 2100.0, 12.5, None, None]
+
+
+def test_hostile_pages_are_rows(spark, gtin):
+    """Lists for images, half a surrogate pair, deep nesting and odd types cost nothing but themselves."""
+    good = {"@type": "Product", "name": "Lamp", "offers": {"price": 5}}
+    images = [{"url": ["https://beeld.example/a.png"]}, [[{"contentUrl": "https://beeld.example/b.png"}]], {"url": {"x": 1}}, [], 7]
+    pages = [ld(good | {"image": i}) for i in images] + [ld('{"@type":"Product","name":"Lamp \\ud83d","offers":{"price":5}}'), ld("[" * 200_000) + ld(good), ld('{"a":' * 5000) + ld(good)]
+    pages += [ld({"@type": ["Product", 3, None], "name": ["Lamp", "x"], "offers": [None, 4, [], {"price": 5}]}), ld({"@type": {"a": 1}}, good), ld([[[{"@graph": {"@graph": [good | {"sku": 12, "gtin": int(gtin)}]}}]]])]
+    rows = facts(spark, *pages)
+    assert [r["page_price"] for r in rows] == [5.0] * len(pages)
+    assert [r["image"] for r in rows[:5]] == ["https://beeld.example/a.png", "https://beeld.example/b.png", None, None, None]
+    assert rows[5]["title"].startswith("Lamp ") and rows[8]["title"] == "Lamp,x" and (rows[10]["sku"], rows[10]["page_gtin"]) == ("12", "0" + gtin)
+
+
+def test_identifiers_below_a_product(spark, gtin):
+    """The nearest in the order offers, variants; at most three steps down; a second product's where the first lacks them."""
+    deep = {"@type": "Product", "hasVariant": [{"offers": {"gtin": gtin}}]}
+    deeper = {"@type": "Product", "hasVariant": [{"offers": [{"gtin13": gtin}]}], "isVariantOf": {"sku": " v-1 ", "mpn": "m"}}
+    two = ld({"@type": "Product", "name": "A", "productID": "ean:" + gtin}, {"@type": "ProductGroup", "sku": "s", "mpn": "m2"}, {"@type": "Product", "mpn": "m3"})
+    a, b, c = facts(spark, ld(deep), ld(deeper), two)
+    assert a["page_gtin"] == "0" + gtin and b["page_gtin"] is None and (b["sku"], b["mpn"]) == ("v-1", "m")
+    assert (c["page_gtin"], c["sku"], c["mpn"]) == ("0" + gtin, "s", "m2")
+
+
+def test_meta_elements(spark):
+    """Either order of attributes, several names on one element, the first of equal keys, keys in any case; no Python in the plan."""
+    page = '<META NAME="SKU" itemprop="og:title" content="k&amp;1 "><meta content="8,05" property="og:price:amount"><meta property="og:price:amount" content="7,10"><meta name="skuu" content="x">'
+    (r,) = facts(spark, page)
+    assert (r["sku"], r["title"], r["page_price"], r["page_source"]) == ("k&1", "k&1", 7.1, "meta")
+    df = PG.product_facts(spark.createDataFrame([(1, "u", page)], "page_id int, url string, html string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_candidates(spark):
     html = """<a href="\n/rode-stoel/art/5?kleur=rood" title="\tRode stoel met leuning\n">Kijk</a><a href="/rode-stoel/art/5#x">Rode stoel met leuning en kussen</a>
 <a href="https://elders.example/stoel/art/6">Elders</a><a href="/contact">Contact</a><a href="/groene-kruk/art/71"><img></a><a href="/verborgen/art/9">"""
