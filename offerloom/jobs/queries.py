@@ -355,23 +355,27 @@ def n4_usable_rows(spark, sf):
 
 @query(sql(FEED, then="SELECT CAST(row_no AS VARCHAR) AS row_no, gtin, title, price, in_stock, CAST(l_quantity AS DOUBLE) AS amount FROM feed"))
 def s1_delimited_feed(spark, sf):
-    """The feed rows written as a semicolon file with quotes, sniffed, read back and normalised."""
+    """The feed rows written as semicolon files, sniffed, read back and normalised: with line breaks, delimiters and quotes in quotes, a dotted header, and a price column twice."""
     path = scratch(spark, "csv")
     rows = D.feed_text(spark, sf).drop("shop")
-    rows.write.options(header=True, sep=";", quote='"', escape='"', emptyValue="").csv(path)
-    return FE.normalize_rows(FE.read_feed(spark, path), keep=["row_no"]).select("row_no", "gtin", "title", "price", "in_stock", "amount")
+    note = F.concat(F.lit('first; "line"\n\nof row\n'), F.col("row_no").cast("string"))
+    rows = rows.select("*", F.col("search_price").alias("price")).withColumns({"search_price": F.lit("1,00"), "note.1": note}).withColumnRenamed("price", " Search_Price ")
+    rows.write.options(header=True, sep=";", quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = FE.read_feed(spark, path).where(F.col("`note.1`") == F.concat(F.lit('first; "line"\n\nof row\n'), F.col("row_no")))
+    return FE.normalize_rows(back, keep=["row_no"]).select("row_no", "gtin", "title", "price", "in_stock", "amount")
 
 
 @query(sql(FEED, then="SELECT CAST(row_no AS VARCHAR) AS row_no, gtin, title, price, url FROM feed"))
 def s3_xml_feed(spark, sf):
-    """The feed rows written as XML items with prefixes, CDATA, entities, nested elements and white space of all kinds around every text, and read back."""
+    """The feed rows written as XML items with prefixes, CDATA, entities, nested elements and white space of all kinds around every text, tags in three spellings, and read back."""
     path = scratch(spark, "xml")
     r = D.feed_text(spark, sf)
     field = lambda name, value: F.concat(F.lit(f"<{name}>\n\t"), value, F.lit(f"\u00a0 \r\n</{name.split(' ')[0]}>\n"))
     cdata = F.concat(F.lit("<![CDATA["), F.regexp_replace("name", "</?b>", ""), F.lit("]]>"))
+    tag = F.when(F.col("row_no") % 3 == 0, "Product").when(F.col("row_no") % 3 == 1, "PRODUCT").otherwise("product")
     item = F.concat(
-        F.lit("<product>"), field("row_no", F.col("row_no").cast("string")), field("title", cdata), field("g:brand", F.col("brand")), field("g:price", F.replace("search_price", F.lit("€"), F.lit("&euro;"))),
-        field("gtin", F.col("ean")), field("shipping", F.lit("<cost>9</cost>")), field("link", F.lit(" \t\n")), field("link", F.col("aw_deep_link")), field("link", F.lit("https://other.example")), F.lit("</product>"),
+        F.lit("<"), tag, F.lit(">"), field("row_no", F.col("row_no").cast("string")), field("title", cdata), field("g:brand", F.col("brand")), field("g:price", F.replace("search_price", F.lit("€"), F.lit("&euro;"))),
+        field("gtin", F.col("ean")), field("shipping", F.lit("<cost>9</cost>")), field("link", F.lit(" \t\n")), field("link", F.col("aw_deep_link")), field("link", F.lit("https://other.example")), F.lit("</"), tag, F.lit(">"),
     )
     r.select(item.alias("value")).write.text(path)
     rows = FE.read_xml(spark, path)
@@ -380,9 +384,24 @@ def s3_xml_feed(spark, sf):
     return n.select("row_no", "gtin", "title", "price", F.when(F.col("url") != "https://other.example", F.col("url")).alias("url"))
 
 
-@query(sql(FEED, then="SELECT shop, CAST(row_no AS VARCHAR) AS row_no, price FROM feed UNION ALL SELECT -1, 'unknown shop', NULL"))
+def cut_copy(spark, rows):
+    """The path of a gzip file with these rows of which the second half is missing."""
+    hadoop, folder = spark._jvm.org.apache.hadoop, scratch(spark, "gz")
+    rows.coalesce(1).write.options(header=True, compression="gzip").csv(folder)
+    (file,) = FE.files_of(spark, folder)
+    fs = hadoop.fs.Path(file.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.open(hadoop.fs.Path(file.path))
+    body = bytes(stream.readAllBytes())
+    stream.close()
+    out = fs.create(hadoop.fs.Path(f"{folder}-cut.csv.gz"))
+    out.write(bytearray(body[: len(body) // 2]))
+    out.close()
+    return f"{folder}-cut.csv.gz"
+
+
+@query(sql(FEED, then="SELECT shop, CAST(row_no AS VARCHAR) AS row_no, price FROM feed UNION ALL SELECT -1, unnest(['c', 'cut']), NULL"))
 def s5_many_feeds(spark, sf):
-    """Every row: odd shops' as text with tabs, even ones' as XML, each with its shop as a column; an unknown publisher is a problem row."""
+    """Every row: odd shops' as text with tabs, even ones' as XML, each with its shop as a column; an unknown publisher and a file that breaks off are problem rows."""
     rows = D.feed_text(spark, sf).withColumn("sku", F.col("row_no").cast("string")).withColumn("seller", F.col("shop").cast("string")).drop("row_no", "merchant_product_id")
     a, b = scratch(spark, "tsv"), scratch(spark, "xml")
     rows.where("shop % 2 = 1").drop("shop").write.options(header=True, sep="\t", quote='"', escape='"', emptyValue="").csv(a)
@@ -391,10 +410,10 @@ def s5_many_feeds(spark, sf):
     rows.where("shop % 2 = 0").select(item.alias("value")).write.text(b)
     listed = [
         {"id": "a", "shop": "odd", "path": a, "format": "csv", "delimiter": "\t", "keep": ["seller"]}, {"id": "b", "shop": "even", "path": b, "format": "xml", "keep": ["seller"]},
-        {"id": "c", "shop": "nobody", "path": a}, {"id": "d", "shop": "odd", "path": a, "enabled": False},
+        {"id": "c", "shop": "nobody", "path": a}, {"id": "d", "shop": "odd", "path": a, "enabled": False}, {"id": "cut", "shop": "odd", "path": cut_copy(spark, D.shops(spark, sf))},
     ]
     source, problems = FE.read_feeds(spark, listed, ["odd", "even"])
-    bad = spark.createDataFrame([(-1, p["error"], None) for p in problems], "shop long, row_no string, price double")
+    bad = spark.createDataFrame([(-1, p["feed"], None) for p in problems], "shop long, row_no string, price double")
     return source.select(F.col("seller").cast("long").alias("shop"), F.col("sku").alias("row_no"), "price").unionByName(bad)
 
 
@@ -460,7 +479,7 @@ def e1_round(spark, sf):
     short = F.when(F.col("row_no") % 6 == 0, F.regexp_replace("name", " - [0-9]+ stuks", "")).otherwise(F.col("name"))
     rows = D.feed_text(spark, sf).select("*", short.alias("title"), F.col("shop").cast("string").alias("seller")).drop("name", "shop")
     rows.write.options(header=True, sep="\t", quote='"', escape='"', emptyValue="").csv(a)
-    source, _ = FE.read_feeds(spark, [{"id": "a", "shop": "all", "path": a, "format": "csv", "delimiter": "\t", "keep": ["seller", "row_no"], "multi_line": False}], ["all"])
+    source, _ = FE.read_feeds(spark, [{"id": "a", "shop": "all", "path": a, "format": "csv", "delimiter": "\t", "keep": ["seller", "row_no"]}], ["all"])
     fed = FE.usable(source).drop("shop", "feed").withColumns({"shop": F.col("seller").cast("long"), "row_no": F.col("row_no").cast("long")}).drop("seller")
     fed = saved(spark, fed, "feed")
     catalog = D.catalog(spark, sf)

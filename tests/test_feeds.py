@@ -86,8 +86,102 @@ def test_delimited_feed(spark, tmp_path, numbers):
 def test_line_break_in_quotes(spark, tmp_path):
     path = write(tmp_path / "q.csv", 'nr;what\n1;"top\nbottom"\n2;y\n')
     assert [r["what"] for r in FE.read_delimited(spark, path).collect()] == ["top\nbottom", "y"]
-    flat = FE.read_feed(spark, write(tmp_path / "r.csv", "nr;what\n1;a\n2;b\n"), multi_line=False)
-    assert sorted(r["what"] for r in flat.collect()) == ["a", "b"]
+
+
+def by_character(text, sep):
+    """The rules for records, read character by character: quotes anywhere, as pairs; line ends outside them end a record."""
+    records, record, field, quoted = [], [], "", False
+    for c in text:
+        if c == '"':
+            if not quoted and field.endswith("\0"):
+                field = field[:-1] + '"'
+            elif quoted:
+                field += "\0"
+            quoted = not quoted
+        elif quoted:
+            field += c
+        elif c in sep + "\n\r":
+            record.append(field.replace("\0", ""))
+            field = ""
+            if c != sep:
+                records.append(record)
+                record = []
+        else:
+            field = field.replace("\0", "") + c
+    return [r for r in [*records, [*record, field.replace("\0", "")]] if any(r)]
+
+
+def test_records_over_splits(spark, tmp_path):
+    """Files with line breaks, delimiters and pairs of quotes in quotes, cut into splits of a few bytes: the same records as read whole."""
+    r = random.Random(11)
+    bits = ["a", "bc", ";", "\n", '"q"', '"x\ny"', '"one;two\n\nthree\n"', '"say ""hi""\n"', 'mid"dle\n;"end', "\r\n", '""', " é "]
+    (tmp_path / "many").mkdir()
+    for n in range(6):
+        text = "k;w;z\n" + "".join(r.choices(bits, k=300)) + ("\n" if n % 2 else "")
+        (tmp_path / "many" / f"{n}.csv").write_bytes(text.encode())
+    want = [(x + ["", "", ""])[:3] for n in range(6) for x in by_character((tmp_path / "many" / f"{n}.csv").read_bytes().decode().replace("\r\n", "\n"), ";")[1:]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = FE.read_delimited(spark, str(tmp_path / "many"), ";")
+        assert got.rdd.getNumPartitions() > 30
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_headers_of_all_kinds(spark, tmp_path):
+    """Equal names in any case or with blanks: the last counts; a name with a dot or none at all loses nothing else; short and long rows."""
+    path = write(tmp_path / "h.csv", '\ufeff id ;price;g.tin;; Price ;"na\nme"\n1;5,00;x;y;6,50;n\n2;1,00\n;;;;;\n3;1;2;3;4;5;6;7\n')
+    rows = FE.read_feed(spark, path)
+    assert rows.columns == ["id", "price", "g.tin", "na\nme"]
+    assert sorted(map(tuple, rows.collect())) == [("1", "6,50", "x", "n"), ("2", "", "", ""), ("3", "4", "2", "5")]
+    assert [r["price"] for r in FE.normalize_rows(rows).orderBy("sku").collect()] == [6.5, None, 4.0]
+    lone = write(tmp_path / "m.csv", "a;b\r1;x\r\n2;y\r3;z")
+    assert sorted(map(tuple, FE.read_feed(spark, lone).collect())) == [("1", "x"), ("2", "y"), ("3", "z")]
+
+
+def test_broken_feeds_cost_only_themselves(spark, tmp_path, numbers):
+    """A cut-off gzip file, an open quote, a file without items and an empty one are problems; all other feeds' rows come."""
+    body = feed_text(*numbers).encode()
+    many = body + b"".join(b"n-%d|Plank %d||%d,00|||https://plank.example/%d|ja\n" % (i, i * 7919 % 1000, i % 90 + 1, i) for i in range(3000))
+    packed = gzip.compress(many)
+    (tmp_path / "cut.csv.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "two.csv.gz").write_bytes(gzip.compress(body) + gzip.compress(b"n-1|Plank||2,00|||https://plank.example/1|ja\n"))
+    (tmp_path / "whole.csv.gz").write_bytes(packed)
+    xml = xml_text(numbers[0])
+    (tmp_path / "cut.xml.gz").write_bytes(gzip.compress((xml * 200).encode())[:-900])
+    (tmp_path / "whole.xml.gz").write_bytes(gzip.compress(xml.encode()))
+    files = {
+        "plain": write(tmp_path / "p.csv", feed_text(*numbers)), "cut": tmp_path / "cut.csv.gz", "two": tmp_path / "two.csv.gz", "packed": tmp_path / "whole.csv.gz", "open": write(tmp_path / "o.csv", 'id;name\n1;"x\n2;y\n'),
+        "xml": write(tmp_path / "f.xml", xml), "cutxml": tmp_path / "cut.xml.gz", "xmlgz": tmp_path / "whole.xml.gz", "noitem": write(tmp_path / "n.xml", "<?xml version='1.0'?><a><b>1</b></a>"), "empty": write(tmp_path / "e.csv", ""),
+    }
+    rows, problems = FE.read_feeds(spark, [{"id": k, "shop": "x", "path": str(v), "mapping": {"brand": ["merk", "g:brand"]} if k == "xml" else None} for k, v in files.items()], ["x"])
+    assert {p["feed"] for p in problems} == {"cut", "open", "cutxml", "noitem", "empty"}
+    assert {r["feed"]: r["n"] for r in rows.groupBy("feed").agg(F.count("*").alias("n")).collect()} == {"plain": 4, "two": 5, "packed": 3004, "xml": 2, "xmlgz": 2}
+    assert {r["brand"] for r in rows.where("feed = 'xml'").collect()} == {"Orlo", None}
+
+
+def test_many_feeds_are_one_scan(spark, tmp_path, numbers):
+    """Forty feeds with columns in different orders: the plan doesn't grow with them."""
+
+    def plan(n):
+        feeds = []
+        for i in range(n):
+            order = ["id;name;price;url", "url;price;name;id", "name;url;extra;id;price"][i % 3]
+            values = {"id": f"s{i}", "name": "Kom", "price": f"{i},50", "url": "u", "extra": "-"}
+            feeds.append({"id": f"f{i}", "shop": "x", "path": write(tmp_path / f"{n}-{i}.csv", order + "\n" + ";".join(values[k] for k in order.split(";")) + "\n")})
+        rows, problems = FE.read_feeds(spark, feeds, ["x"])
+        assert not problems and {(r["sku"], r["price"]) for r in rows.collect()} == {(f"s{i}", i + 0.5) for i in range(n)}
+        return len([x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x or "Join" in x or "Union" in x])
+
+    assert plan(3) == plan(40)
+
+
+def test_item_tags_of_any_case(spark, tmp_path):
+    path = write(tmp_path / "c.xml", "<rss><Product><id>1</id></Product><product><id>2</id></product>\n<PRODUCT a='1'><ID>3</ID></PRODUCT><Product><id>4</id></Product></rss>")
+    assert sorted(r["fields"]["id"] for r in FE.read_xml(spark, path).collect()) == ["1", "2", "3", "4"]
 
 
 def test_xml_feed_with_white_space(spark, tmp_path, numbers):
