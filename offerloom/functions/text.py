@@ -113,16 +113,22 @@ def tokens(plain_text: Column | str) -> Column:
     return F.filter(F.array_distinct(F.split(col(plain_text), " ")), lambda w: w != "")
 
 
+# a host ends at a port or where path, query or fragment begin; a user's name before it isn't part of it
+URL_PARTS = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)*(\[[0-9a-fA-F:.]+\]|[^/?#:@]+)(?::\d*)?([^?#]*)"
+#: Characters that no host has; underscores and letters beyond ASCII are allowed.
+NOT_IN_HOST = r"[\x00-\x20%<>\\^|\x7F]|^[^\[].*[\[\]]"
+
+
 def url_host(url: Column | str) -> Column:
-    """Host in lower case without www.; null for what isn't a URL. Blanks are percent-encoded first."""
-    u = F.replace(col(url), F.lit(" "), F.lit("%20"))
-    return F.regexp_replace(F.lower(F.try_parse_url(u, F.lit("HOST"))), r"^www\.", "")
+    """Host in lower case without www.; null for what isn't a URL with a host."""
+    host = F.regexp_extract(col(url), URL_PARTS, 1)
+    return F.when((host != "") & ~host.rlike(NOT_IN_HOST), F.regexp_replace(F.lower(host), r"^www\.", ""))
 
 
 def url_path(url: Column | str) -> Column:
-    u = F.replace(col(url), F.lit(" "), F.lit("%20"))
-    path = F.try_parse_url(u, F.lit("PATH"))
-    return F.when(path == "", "/").otherwise(path)
+    """The path as it is written, blanks percent-encoded; null where there is no host."""
+    host, path = F.regexp_extract(col(url), URL_PARTS, 1), F.regexp_extract(col(url), URL_PARTS, 2)
+    return F.when((host != "") & ~host.rlike(NOT_IN_HOST), F.when(path.startswith("/"), F.replace(path, F.lit(" "), F.lit("%20"))).when(path == "", "/"))
 
 
 def without_query(url: Column | str) -> Column:

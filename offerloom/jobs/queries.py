@@ -475,6 +475,13 @@ FROM kept JOIN prev USING (product, shop) JOIN catalog USING (product) JOIN supp
 def e1_round(spark, sf):
     """From feed files to the published payload: read, normalise, match, offers with the catalog's pack where the feed has none, verify against the last round's
     numbers, rank, publish, and write the state; read back from the published folder, and flattened."""
+    path, payload = played_round(spark, sf)
+    flat = P.read_published(spark, path, payload.schema).select("product", "name", F.posexplode("offer_list").alias("pos", "o"))
+    return flat.select("product", "name", "o.shop", "o.shop_name", "o.url", "o.price", "o.unit_price", "o.unit_label", "o.amount", "o.in_stock", "o.title", "o.gtin", "o.sku", "o.verification", "o.gtin_changed", F.col("pos").cast("long").alias("pos"))
+
+
+def played_round(spark, sf):
+    """(folder, payload) of a round over the feed's rows, with identities of a round before it."""
     a, path = scratch(spark, "tsv"), scratch(spark, "round")
     short = F.when(F.col("row_no") % 6 == 0, F.regexp_replace("name", " - [0-9]+ stuks", "")).otherwise(F.col("name"))
     rows = D.feed_text(spark, sf).select("*", short.alias("title"), F.col("shop").cast("string").alias("seller")).drop("name", "shop")
@@ -489,9 +496,41 @@ def e1_round(spark, sf):
     at = F.lit("2001-06-29 08:00:00").cast("timestamp")
     identity = before.select("product", "shop", at.alias("first_seen"), at.alias("last_seen"), G.normalize_gtin("gtin").alias("gtin"), F.lit(None).cast("string").alias("sku"), F.lit(None).cast("double").alias("amount"))
     identity.write.parquet(f"{R.state_path(path, 'identity')}/round=20010629080000000")
-    payload, _, _ = R.run_round(offers, catalog, path, F.lit("2001-06-30 08:00:00").cast("timestamp"), order=[F.col("row_no")])
-    flat = P.read_published(spark, path, payload.schema).select("product", "name", F.posexplode("offer_list").alias("pos", "o"))
-    return flat.select("product", "name", "o.shop", "o.shop_name", "o.url", "o.price", "o.unit_price", "o.unit_label", "o.amount", "o.in_stock", "o.title", "o.gtin", "o.sku", "o.verification", "o.gtin_changed", F.col("pos").cast("long").alias("pos"))
+    payload, _, _ = R.run_round(offers, catalog, path, F.lit("2001-06-30 08:00:00").cast("timestamp"), order=[F.col("row_no")], shops=D.shops(spark, sf))
+    return path, payload
+
+
+@query(
+    sql(CATALOG, SOLD, MATCHED, ROUND, VERIFIED, then="""
+SELECT 'history' AS kind, product, shop, printf('%.2f', price) AS value FROM one
+UNION ALL SELECT 'resolved', product, shop, url FROM one
+UNION ALL SELECT 'identity', product, shop, concat_ws('|', coalesce('0' || kept.gtin_text, '0' || before_gtin), coalesce(kept.sku, '-'), CASE WHEN kept.gtin_text <> before_gtin THEN '0' || before_gtin ELSE '' END,
+  CASE WHEN kept.product IS NULL THEN 29 ELSE 30 END) FROM prev LEFT JOIN kept USING (product, shop)
+UNION ALL SELECT 'head', NULL, NULL, concat_ws('|', (SELECT count(*) FROM part), count(DISTINCT product), count(*), count(DISTINCT shop), count(*) FILTER (verification = 'exact')) FROM kept
+UNION ALL SELECT 'site', NULL, shop, 'https://shop' || shop || '.example' FROM (SELECT DISTINCT shop FROM kept)
+UNION ALL SELECT 'report', NULL, NULL, concat_ws('|', 'true', (SELECT count(*) FROM part), count(*), (SELECT count(*) FROM supplier)) FROM kept""")
+)
+def e2_round_state(spark, sf):
+    """What the same round leaves: every price seen, resolved pages, identities with their changes, and the heads of payload and report."""
+    path, _ = played_round(spark, sf)
+    none, text = F.lit(None).cast("long"), lambda *c: F.concat_ws("|", *c)
+    row = lambda df, kind, product, shop, value: df.select(F.lit(kind).alias("kind"), product.alias("product"), shop.alias("shop"), value.alias("value"))
+    key = (F.col("product"), F.col("shop"))
+    R.compact(spark, path, "identity")
+    identity = text(F.col("gtin"), F.coalesce("sku", F.lit("-")), F.array_join(F.transform(F.coalesce("changes", F.array()), lambda c: c["from_gtin"]), ","), F.dayofmonth("last_seen"))
+    top, (report, _) = P.read_head(spark, path), R.read_report(spark, path)
+    parts = [
+        row(R.read_state(spark, path, "history"), "history", *key, F.format_string("%.2f", "p")),
+        row(R.read_state(spark, path, "resolved").where("source = 'feed' AND failures = 0"), "resolved", *key, F.col("url")),
+        row(R.read_state(spark, path, "identity"), "identity", *key, identity),
+        row(top, "head", none, none, text(*[F.col(f"stats.{c}") for c in ("products", "products_with_offers", "offers", "shops", "verified_offers")])),
+        row(top.select(F.explode("shops").alias("s")), "site", none, F.col("s.shop").cast("long"), F.col("s.site")),
+        row(report, "report", none, none, text(F.col("published"), F.col("product_count"), F.col("offer_count"), F.size("shops"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # --- configuration, gates ---
@@ -741,9 +780,13 @@ def c8_visible_text(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.strip_tags("html").alias("text"))
 
 
-@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS host, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages""")
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 1 THEN regexp_replace(url, '://', '://my_') WHEN 2 THEN url || '/a|b' WHEN 3 THEN url || '/p/[x]' WHEN 4 THEN regexp_replace(url, '(://[^/]*)', '\1/50%korting') WHEN 5 THEN 'shop ' || url ELSE url END AS url FROM pages)
+SELECT page_id, CASE WHEN page_id % 6 <> 5 THEN regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') END AS host, CASE WHEN page_id % 6 <> 5 THEN coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') END AS path FROM u""")
 def c10_url_parts(spark, sf):
-    return D.table(spark, sf, "pages").select("page_id", T.url_host("url").alias("host"), T.url_path("url").alias("path"))
+    """Five of six URLs with an underscore in the host, a bar, brackets or a percent sign in the path, or a blank before them, which makes them no URL."""
+    k, u = F.col("page_id") % 6, F.col("url")
+    odd = F.when(k == 1, F.regexp_replace(u, "://", "://my_")).when(k == 2, F.concat(u, F.lit("/a|b"))).when(k == 3, F.concat(u, F.lit("/p/[x]"))).when(k == 4, F.regexp_replace(u, "(://[^/]*)", "$1/50%korting")).when(k == 5, F.concat(F.lit("shop "), u)).otherwise(u)
+    return D.table(spark, sf, "pages").select("page_id", T.url_host(odd).alias("host"), T.url_path(odd).alias("path"))
 
 
 def sites(spark, sf):
@@ -878,7 +921,7 @@ def d5_config_violations(spark, sf):
         F.when(k == 3, "https://x.example/?s=").when(k.isin(4, 5), "").otherwise("https://x.example/?s={q}").alias("search_url"),
         F.when(k == 4, F.array().cast("array<string>")).when(k == 5, F.array(F.lit("u"))).otherwise(F.array().cast("array<string>")).alias("browse_urls"),
         F.lit("search").alias("discovery"),
-        F.when(k == 11, "^/p/(").when(k == 12, "").otherwise(r"^/p/\d+").alias("path_pattern"),
+        F.when(k == 11, "^/p/(").when(k == 12, "").when(k == 13, r"^/(?<slug>[a-z-]+)/\d+").otherwise(r"^/p/\d+").alias("path_pattern"),
     )
     browsing = s.where("shop % 20 = 5").select("shop", F.lit("n").alias("name"), F.lit("s").alias("site"), "enabled", F.lit("{q}").alias("search_url"), F.array().cast("array<string>").alias("browse_urls"), F.lit("browse").alias("discovery"), F.lit(None).cast("string").alias("path_pattern"))
     feeds = s.select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,26 +70,63 @@ def payload(catalog: DataFrame, offers: DataFrame, summary: DataFrame) -> DataFr
     cols = [shown.get(c, F.col(c)).alias(c) for c in SHOWN if c in offers.columns]
     nested = F.transform(F.array_sort(F.collect_list(F.struct(_rank_struct().alias("k"), F.struct(*cols).alias("o")))), lambda x: x["o"])
     lists = offers.groupBy("product").agg(nested.alias("offer_list"))
-    return catalog.select("product", "name", "brand", "category", "size").join(summary, "product").join(lists, "product")
+    more = [(F.col(c) if c in catalog.columns else F.lit(None)).cast("string").alias(c) for c in ("weight", "unit")]
+    return catalog.select("product", "name", "brand", "category", "size", *more).join(summary, "product").join(lists, "product")
+
+
+def new_version(spark: SparkSession) -> str:
+    """A name for a round: later rounds have greater ones."""
+    return spark.sql("select date_format(current_timestamp(), 'yyyyMMddHHmmssSSS')").first()[0]
+
+
+HEAD = "updated_at timestamp, categories array<struct<id:string,label:string>>, shops array<struct<shop:string,name:string,site:string>>, stats struct<products:long,products_with_offers:long,offers:long,shops:long,verified_offers:long>"
+
+
+def head(spark: SparkSession, now: Column, stats: dict[str, int], shops: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """One row that stands before a payload: its time, the categories, the shops whose offers it has, and the round's numbers.
+
+    shops: shop, shop_name, site of those shops; lists are as long as there are shops and categories.
+    """
+    site = F.col("site") if "site" in shops.columns else F.lit(None).cast("string")
+    used = shops.agg(F.sort_array(F.collect_list(F.struct(F.col("shop").cast("string").alias("shop"), F.col("shop_name").alias("name"), site.alias("site")))).alias("shops"))
+    empty = spark.createDataFrame([], "id string, label string") if categories is None else categories.select(F.col(categories.columns[0]).cast("string").alias("id"), F.col(categories.columns[-1]).cast("string").alias("label"))
+    kinds = empty.agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("categories"))
+    numbers = F.struct(*[F.lit(stats[k]).cast("long").alias(k) for k in ("products", "products_with_offers", "offers")], F.size("shops").cast("long").alias("shops"), F.lit(stats["verified_offers"]).cast("long").alias("verified_offers"))
+    return used.join(F.broadcast(kinds)).select(now.cast("timestamp").alias("updated_at"), "categories", "shops", numbers.alias("stats"))
 
 
-def publish(products: DataFrame, path: str, dry_run: bool = False) -> bool:
+def publish(products: DataFrame, path: str, dry_run: bool = False, version: str | None = None, head_of: Callable[[dict[str, int]], DataFrame] | None = None) -> bool:
     """Writes the payload as JSON to a new folder and then adds its name to ``path/current``; an empty result or a dry run leaves the last one.
 
-    Returns True if something was published. Nothing is ever overwritten: until the new name is there, readers find the last whole payload.
+    Returns True if something was published. Nothing is ever overwritten: until the new name is there, readers find the last whole payload. The
+    payload is worked out once: its numbers are observed while it is written, and handed to ``head_of`` for the row that goes to ``path/head``.
     """
-    if dry_run or products.isEmpty():
+    if dry_run:
         return False
     spark = products.sparkSession
-    version = spark.sql("select date_format(current_timestamp(), 'yyyyMMddHHmmssSSS')").first()[0]
-    products.write.mode("error").json(f"{path}/v={version}")
+    version = version or new_version(spark)
+    seen = Observation()
+    counted = products.observe(seen, F.count(F.lit(1)).alias("products_with_offers"), F.sum(F.size("offer_list")).alias("offers"), F.sum("verified_offers").alias("verified_offers")) if "offer_list" in products.columns else products.observe(seen, F.count(F.lit(1)).alias("products_with_offers"))
+    counted.write.mode("error").json(f"{path}/v={version}")
+    numbers = seen.get
+    if not numbers.get("products_with_offers"):
+        return False
+    if head_of:
+        head_of(numbers).coalesce(1).write.json(f"{path}/head/v={version}")
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/current")
     return True
 
 
+def current_version(spark: SparkSession, path: str) -> str:
+    return spark.read.schema("version string").json(f"{path}/current").agg(F.max("version")).first()[0]
+
+
 def read_published(spark: SparkSession, path: str, schema) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/current").agg(F.max("version")).first()[0]
-    return spark.read.schema(schema).json(f"{path}/v={version}")
+    return spark.read.schema(schema).json(f"{path}/v={current_version(spark, path)}")
+
+
+def read_head(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HEAD).json(f"{path}/head/v={current_version(spark, path)}")
 
 
 def coverage(work: DataFrame, offers: DataFrame) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +60,27 @@ def catalog_violations(catalog: DataFrame, categories: DataFrame, shops: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def _broken(patterns: pd.Series) -> pd.Series:
-    def broken(p: str | None) -> bool:
+#: Distinct patterns of a configuration that are tried on the driver at most; a shop has one, and most share a few.
+PATTERNS = 100_000
+
+
+def broken_patterns(patterns: DataFrame) -> DataFrame:
+    """The distinct patterns (one column) that can't be compiled by the engine that matches paths with them."""
+    (name,) = patterns.columns
+    distinct = [r[0] for r in patterns.where(F.col(name).isNotNull()).distinct().limit(PATTERNS + 1).collect()]
+    if len(distinct) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} distinct patterns")
+    spark = patterns.sparkSession
+    compiled = spark._jvm.java.util.regex.Pattern
+
+    def broken(pattern: str) -> bool:
         try:
-            re.compile(p or "")
-        except re.error:
+            compiled.compile(pattern)
+        except IllegalArgumentException:  # what the engine makes of a syntax error
             return True
         return False
 
-    return patterns.map(broken).astype(bool)
+    return spark.createDataFrame([(p,) for p in distinct if broken(p)], f"{name} string")
 
 
 def shop_violations(shops: DataFrame) -> DataFrame:
@@ -80,7 +91,7 @@ def shop_violations(shops: DataFrame) -> DataFrame:
         _found(shops, "shop", "no site", _blank("site")),
         _found(shops, "shop", "search url without {q}", ~_blank("search_url") & ~F.contains("search_url", F.lit("{q}"))),
         _found(shops, "shop", "products can't be found", on & _blank("search_url") & ~browse),
-        _found(shops.where(~_blank("path_pattern")), "shop", "invalid path pattern", F.pandas_udf(_broken, "boolean")("path_pattern")),
+        _found(shops.join(F.broadcast(broken_patterns(shops.select("path_pattern"))), "path_pattern"), "shop", "invalid path pattern", F.lit(True)),
         _found(shops, "shop", "browses without urls", on & (F.coalesce("discovery", F.lit("")) == "browse") & ~browse, "warning"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -45,9 +45,10 @@ def without_mismatches(v: DataFrame) -> DataFrame:
     return v.where(~(F.col("strict") & (F.col("verification") == MISMATCH)))
 
 
-def with_changes(v: DataFrame, previous: DataFrame) -> DataFrame:
-    """Adds before_gtin and gtin_changed. previous: product, shop, gtin. Only valid numbers on both sides count."""
-    p = previous.select("product", "shop", G.normalize_gtin("gtin").alias("before_gtin"))
+def with_changes(v: DataFrame, previous: DataFrame, carry: str | None = None) -> DataFrame:
+    """Adds before_gtin and gtin_changed. previous: product, shop, gtin. Only valid numbers on both sides count. carry: a name under which the whole previous row is kept."""
+    whole = [F.struct(*previous.columns).alias(carry)] if carry else []
+    p = previous.select("product", "shop", G.normalize_gtin("gtin").alias("before_gtin"), *whole)
     j = v.join(p, ["product", "shop"], "left")
     return j.withColumn("gtin_changed", F.coalesce(F.col("before_gtin") != F.col("gtin"), F.lit(False)))
 

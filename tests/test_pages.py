@@ -101,6 +101,18 @@ def test_candidates(spark):
     }
 
 
+def test_hosts_and_paths(spark):
+    urls = {
+        "https://my_shop.example/p/a|b?x=1": ("my_shop.example", "/p/a|b"), "http://WWW.Winkel.Example:8080": ("winkel.example", "/"), "https://u:p@h.example/p/[x]#y": ("h.example", "/p/[x]"),
+        "https://h.example/50%korting": ("h.example", "/50%korting"), "https://h.example/a b": ("h.example", "/a%20b"), "https://[2001:db8::1]:80/x": ("[2001:db8::1]", "/x"), "https://h.example?q": ("h.example", "/"),
+        "https://café.example/ü": ("café.example", "/ü"), "/p/1": (None, None), "https://": (None, None), "https://a b/c": (None, None), "https://a|b/c": (None, None), "mailto:x@y.example": (None, None), "": (None, None), None: (None, None),
+    }
+    from offerloom.functions import text as T
+
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r["url"]: (r["h"], r["p"]) for r in df.select("url", T.url_host("url").alias("h"), T.url_path("url").alias("p")).collect()} == urls
+
+
 def test_links(spark):
     df = spark.createDataFrame([(1, "u", '<a href="\n/q&amp;r\t"><a href="#top"><a href=" javascript:go()"><a href="/q&amp;r"><A HREF=\'\u00a0s \'>')], "page_id int, url string, html string")
     assert [(r["pos"], r["href"]) for r in PG.links(df).orderBy("pos").collect()] == [(0, "/q&r"), (1, "s")]

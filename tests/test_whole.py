@@ -147,6 +147,59 @@ def test_a_round_and_the_next(spark, tmp_path):
     assert not done and P.read_published(spark, path, payload.schema).first()["best_price"] == 12.0
 
 
+def test_what_a_round_leaves(spark, tmp_path):
+    """Prices of deviating offers in the history, feed and page outcomes in the resolved pages, changes of numbers, heads, days and deltas instead of snapshots."""
+    from offerloom.operators import round as R
+
+    own, other = [r[0] for r in spark.range(2).select(D.ean13("200", F.col("id") + 1)).collect()]
+    columns = "product string, name string, brand string, category string, size string, query string, must array<string>, none array<string>, match_pack double, gtins array<string>, strict boolean, pack_amount double, pack_unit string, weight string"
+    catalog = spark.createDataFrame([("p", "Kan", "Bo", "k", "", None, ["kan"], [], None, [own], True, None, None, "2 kg"), ("q", "Vaas", "Bo", "k", "", None, ["vaas"], [], None, [], None, None, None, None)], columns)
+    shops = spark.createDataFrame([("a", "Aa", "https://a.example"), ("b", "Bee", "https://b.example"), ("z", "Zet", "https://z.example")], "shop string, shop_name string, site string")
+    path, order = f"file://{tmp_path}/round", [F.col("n")]
+    offer = "product string, shop string, n int, gtin_text string, sku string, title string, price double, url string, in_stock boolean, amount double, unit string, unit_price double, unit_label string, source string, shop_name string"
+
+    def play(rows, day, outcomes=None, **options):
+        offers = spark.createDataFrame([(p, s, i, g, k, "t", price, f"{s}/{p}", True, None, None, None, None, source, None) for i, (p, s, g, k, price, source) in enumerate(rows)], offer)
+        tried = None if outcomes is None else spark.createDataFrame(outcomes, "product string, shop string, url string, title string, at timestamp, source string, error string")
+        return R.run_round(offers, catalog, path, F.lit(day).cast("timestamp"), order=order, shops=shops, outcomes=tried, **options)
+
+    feed, page = "feed", "page"
+    payload, report, done = play([("p", "a", own, "s", 10.0, feed), ("p", "b", other, None, 5.0, feed), ("q", "a", None, None, 4.0, page), ("q", "a", None, None, 3.0, feed)], "2001-03-01 10:00:00", [("q", "a", "a/q", "t", None, "zoek", None)])
+    assert done and [r["type"] for r in report.collect()] == ["gtin-niet-in-catalogus"]
+    assert sorted(map(tuple, R.read_state(spark, path, "history", "string").select("product", "shop", "p").collect())) == [("p", "a", 10.0), ("p", "b", 5.0), ("q", "a", 4.0)]
+    rows = {r["product"]: r for r in P.read_published(spark, path, payload.schema).collect()}
+    assert rows["p"]["lowest30"] == 5.0 and len(rows["p"]["offer_list"]) == 1 and rows["p"]["weight"] == "2 kg" and rows["q"]["best_price"] == 3.0
+    head = P.read_head(spark, path).first()
+    assert head["stats"].asDict() == {"products": 2, "products_with_offers": 2, "offers": 2, "shops": 1, "verified_offers": 1} and [(s["shop"], s["site"]) for s in head["shops"]] == [("a", "https://a.example")]
+    assert {(r["product"], r["shop"]): r["source"] for r in R.read_state(spark, path, "resolved", "string").collect()} == {("p", "a"): "feed", ("p", "b"): "feed", ("q", "a"): "zoek"}
+
+    # the same day again, with another number and no problems: one point a day, and a report with its head
+    _, report, done = play([("q", "a", own, None, 6.0, feed)], "2001-03-01 18:00:00")
+    assert done and report.isEmpty() and R.read_report(spark, path)[0].first().asDict() | {"ran_at": None} == {"ran_at": None, "published": True, "shops": ["a", "b", "z"], "product_count": 2, "offer_count": 1}
+    assert {r["p"] for r in R.read_state(spark, path, "history", "string").where("product = 'q'").collect()} == {6.0}
+    for day, number in ((2, other), (3, own), (4, None)):
+        play([("q", "a", number, "k", 6.0, feed)], f"2001-03-0{day} 10:00:00", [("p", "a", None, None, None, None, "pagina past niet meer"), ("p", "b", None, None, None, None, "HTTP 500")])
+    state = lambda name: sorted(map(str, R.read_state(spark, path, name, "string").collect()))
+    (q,) = R.read_state(spark, path, "identity", "string").where("product = 'q'").collect()
+    assert (q["gtin"], q["sku"], str(q["first_seen"])[:10], str(q["last_seen"])[:10]) == ("0" + own, "k", "2001-03-01", "2001-03-04")
+    assert [(c["from_gtin"], c["to_gtin"], str(c["at"])[8:10]) for c in q["changes"]] == [("0" + other, "0" + own, "03"), ("0" + own, "0" + other, "02")]
+    # a page that is wrong goes at once, one that fails goes at the third time
+    assert {(r["product"], r["shop"]) for r in R.read_state(spark, path, "resolved", "string").collect()} == {("q", "a")}
+    deltas = [spark.read.parquet(f"{R.state_path(path, 'identity')}/{f}").count() for f in R.folders(spark, R.state_path(path, "identity"))]
+    assert deltas == [1] * 5 and len(R.folders(spark, R.state_path(path, "history"))) == 4
+    for name in ("identity", "resolved"):
+        was = state(name)
+        R.compact(spark, path, name, "string")
+        assert state(name) == was and any(f.startswith("base=") for f in R.folders(spark, R.state_path(path, name)))
+    many = spark.createDataFrame([(own, [(str(i), "x", None) for i in range(5)])], "gtin string, changes array<struct<from_gtin:string,to_gtin:string,at:timestamp>>")
+    old = F.struct("gtin", "changes", *[F.lit(None).cast("string").alias(c) for c in ("sku", "amount", "unit", "first_seen")])
+    seen = many.select(F.lit("p").alias("product"), F.lit("a").alias("shop"), F.lit(other).alias("gtin"), F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("amount"), F.lit(None).cast("string").alias("unit"), old.alias("old"))
+    (delta,) = R.identity_delta(seen, F.lit("2001-03-05")).collect()
+    assert [c["from_gtin"] for c in delta["changes"]] == [own, "0", "1", "2", "3"]
+    _, _, done = play([], "2001-03-09 10:00:00")
+    assert not done and R.read_report(spark, path)[0].first()["published"] is False and P.read_published(spark, path, payload.schema).count() == 1
+
+
 def test_page_results_become_offers(spark):
     from offerloom.operators import round as R
 
