@@ -275,7 +275,7 @@ RANK = "row_number() OVER (PARTITION BY category, size ORDER BY unit_price, pric
 
 @query(sql(CATALOG, OFFERS, ONE, VERIFIED, ROWS, then=f"SELECT product, shop, category, size, brand, unit_price, monthly, {RANK} AS rank FROM cmp"))
 def w2_comparison_rank(spark, sf):
-    return C.comparison_rank(comparison(spark, sf)).select("product", "shop", "category", "size", "brand", "unit_price", "monthly", "rank")
+    return C.comparison_rank(saved(spark, comparison(spark, sf), "comparison")).select("product", "shop", "category", "size", "brand", "unit_price", "monthly", "rank")
 
 
 @query(sql(CATALOG, OFFERS, ONE, VERIFIED, ROWS, then="SELECT category, size, brand, product, shop, price, unit_price FROM cmp QUALIFY row_number() OVER (PARTITION BY category, size, brand ORDER BY unit_price, price, product, shop) = 1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +35,49 @@ def comparison_rows(products: DataFrame, offers: DataFrame, shops: list = ()) ->
     return o.join(products.select("product", "name", "brand", "category", "size"), "product").withColumn("monthly", M.monthly_cost(F.col("unit_price")))
 
 
-def comparison_rank(rows: DataFrame) -> DataFrame:
-    """1..n by unit price and price in each category and size; the list that is compared is never the whole table."""
-    order = [F.col("unit_price"), F.col("price"), F.col("product"), F.col("shop")]
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("category", "size").orderBy(*order)))
+#: Rows of a group that one task ranks, ranges that a larger group is cut into at most, and rows sampled to find their ends.
+RANGE_ROWS, RANGES, SAMPLE = 200_000, 256, 16_384
+#: Groups of more than RANGE_ROWS rows whose ends may be broadcast.
+LARGE_BROADCAST = 2_000
+
+
+def _same(keys: list[str], other: DataFrame) -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(other[f"_{k}"]) for k in keys])
+
+
+def deal_ranges(rows: DataFrame, keys: list[str], order: list[str], range_rows: int) -> tuple[DataFrame, bool]:
+    """(rows with ``_range``: the part of its group's order that a row is in; whether the groups of more than one range fit a broadcast)."""
+    whole, named = F.struct(*order), [F.col(k).alias(f"_{k}") for k in keys]
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > range_rows).select(*named, "_n")
+    few = large.limit(LARGE_BROADCAST + 1).count() <= LARGE_BROADCAST
+    small = lambda df: F.broadcast(df) if few else df
+    sampled = rows.join(small(large), _same(keys, large)).where(F.pmod(F.xxhash64(*order), F.greatest(F.lit(1).cast("long"), F.expr(f"_n div {SAMPLE}"))) == 0)
+    ranges = F.least(F.lit(RANGES), F.ceil(F.first("_n") / range_rows).cast("int"))
+    ends = sampled.groupBy(*[f"_{k}" for k in keys]).agg(F.sort_array(F.collect_set(whole)).alias("_s"), ranges.alias("_r"))
+    cut = F.transform(F.sequence(F.lit(1), F.col("_r") - 1), lambda i: F.element_at("_s", F.floor(i * F.size("_s") / F.col("_r")).cast("int") + 1))
+    ends = ends.where("_r > 1").select(*[f"_{k}" for k in keys], cut.alias("_ends"))
+    behind = F.size(F.filter(F.coalesce("_ends", F.slice("_ends", 1, 0)), lambda e: e <= whole))
+    return rows.join(small(ends), _same(keys, ends), "left").select(*rows.columns, F.greatest(behind, F.lit(0)).alias("_range")), few
+
+
+def distributed_rank(rows: DataFrame, keys: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with ``rank``, 1..n in each group by columns that make the order total, as a window over the group would give it.
+
+    A group of more than range_rows rows is cut into ranges of the order whose ends come from a sample by hash; ranges are ranked by tasks of their own, and the rows
+    of the ranges before are added. The ends only decide how evenly rows are dealt: ranks are exact. rows are read several times and should be a written table.
+    """
+    dealt, few = deal_ranges(rows, keys, order, range_rows)
+    before = F.sum("_m").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", before).where("_before > 0")
+    offsets = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_at"), "_before")
+    local = dealt.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    out = local.join(F.broadcast(offsets) if few else offsets, _same(keys, offsets) & (F.col("_range") == F.col("_at")), "left")
+    return out.select(*rows.columns, (F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("int").alias("rank"))
+
+
+def comparison_rank(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """1..n by unit price and price in each category and size; a group of any size is ranked by many tasks."""
+    return distributed_rank(rows, ["category", "size"], ["unit_price", "price", "product", "shop"], range_rows)
 
 
 def _order() -> Column:

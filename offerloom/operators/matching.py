@@ -1,7 +1,7 @@
 """Offers to catalog products: by article number, else by title rules.
 
 A title rule asks for words that may stand anywhere in a title, inside other words too. So that titles and rules meet by equality only, distinct
-titles look up the required strings by a piece of three letters, rules are keyed by their two rarest required strings, and products by rule and size.
+titles look up the required strings by a piece of three letters, walk a prefix tree of the rules' strings, and meet products by rule and size.
 """
 
 from __future__ import annotations
@@ -123,48 +123,78 @@ def strings_in(titles: DataFrame, keyed: DataFrame, few: bool | None = None) ->
 
 
 class Rules(NamedTuple):
-    """The catalog's title rules as tables to be joined: required strings, rules by key, products by rule and size; few: all fit a broadcast."""
+    """The catalog's title rules as tables to be joined: required strings, a prefix tree of them, rules by the node at which they end, products by rule and size.
+
+    few: all fit a broadcast. depth: the most strings that a rule requires.
+    """
 
     strings: DataFrame
-    groups: DataFrame
+    edges: DataFrame
+    ends: DataFrame
     products: DataFrame
     few: bool
+    depth: int
 
     def small(self, table: DataFrame) -> DataFrame:
         return F.broadcast(table) if self.few else table
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Worked out once for the joins that read it: on the storage that the session shares, or where it has none, with the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+ROOT = 0
+
+
 def title_rules(catalog: DataFrame) -> Rules:
-    """Kept for the joins that read them several times, and for several batches; what is lost with an executor is computed again."""
-    few = catalog.limit(CATALOG_BROADCAST + 1).count() <= CATALOG_BROADCAST  # there are no more rules than products, and at most two strings a rule
-    products = prepared(catalog).persist()
+    """The tree of the catalog's rules: a rule is the path of its required strings, the rarest first, so a title leaves it as soon as one is missing. A node is
+    the hash of the strings to it; what a hash may mix up is told apart by the rule itself in the end. A rule's end is a node of its own below its last string."""
+    few = catalog.limit(CATALOG_BROADCAST + 1).count() <= CATALOG_BROADCAST  # there are no more rules than products
+    products = _kept(prepared(catalog))
     groups = products.groupBy("rule").agg(F.first("rule_brand").alias("rule_brand"), F.first("must").alias("must"), F.first("none").alias("none"))
     required = F.filter(F.array_distinct(F.concat("must", F.array("rule_brand"))), lambda w: w != "")
     strings = groups.select("rule", F.explode(required).alias("s"))
     counts = strings.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "s"))), 1, 2)
-    keys = strings.join(counts, "s").groupBy("rule").agg(F.sort_array(F.concat(F.transform(rarest, lambda x: x["s"]), F.array(F.lit("")))).alias("k"))
-    # the two rarest strings in order; where there is but one, the empty string before it
-    first, second = F.element_at("k", F.when(F.size("k") > 2, 2).otherwise(1)), F.element_at("k", -1)
-    groups = groups.join(keys, "rule", "left").select("rule", "rule_brand", "must", "none", F.coalesce(first, F.lit("")).alias("k1"), F.coalesce(second, F.lit("")).alias("k2"))
-    used = groups.select(F.explode(F.array("k1", "k2")).alias("s")).distinct()
-    return Rules(keyed_strings(used).persist(), groups.persist(), products.select("rule", "product", "rule_size", "size_mark", "rule_pack", "query_tokens"), few)
+    paths = strings.join(counts, "s").groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("path"))
+    groups = groups.join(paths, "rule", "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+
+    def node(n: Column) -> Column:
+        return F.when(n > 0, F.xxhash64(F.slice("path", F.lit(1), n))).otherwise(F.lit(ROOT).cast("long"))
+
+    size = F.size("path")
+    end = F.xxhash64(node(size), F.lit("end")).alias("end")
+    groups = _kept(groups.select("rule", "rule_brand", "must", "none", "path", node(size).alias("last"), end))
+    steps = groups.where(size > 0).select("path", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    edges = steps.select(node(F.col("i") - 1).alias("parent"), F.element_at("path", F.col("i")).alias("s"), node(F.col("i")).alias("node"))
+    # from its last string a rule goes to its end without one, and stays there
+    stops = groups.select(F.explode(F.array(F.struct(F.col("last").alias("parent"), "end"), F.struct(F.col("end").alias("parent"), "end"))).alias("e")).select("e.parent", F.lit("").alias("s"), F.col("e.end").alias("node"))
+    depth = groups.agg(F.max(size)).first()[0] or 0
+    products = products.select("rule", "product", "rule_size", "size_mark", "rule_pack", "query_tokens")
+    ends = groups.select("end", "rule", "rule_brand", "must", "none")
+    return Rules(_kept(keyed_strings(strings.select("s").distinct())), _kept(edges.unionByName(stops).distinct()), ends, products, few, depth)
+
+
+def titles_rules(titles: DataFrame, rules: Rules) -> DataFrame:
+    """title, plain_title, rule: of titles (title, plain_title) every rule whose required strings it has, and none that it must not have. One equi-join a level of the tree."""
+    found = strings_in(titles, rules.strings, rules.few).unionByName(titles.withColumn("s", F.lit("")))
+    at = found.groupBy("title", "plain_title").agg(F.collect_set("s").alias("found")).withColumn("node", F.lit(ROOT).cast("long"))
+    for _ in range(rules.depth + 1):
+        step = at.select("title", "plain_title", "found", "node", F.explode("found").alias("s"))
+        edges = rules.small(rules.edges).select(F.col("parent"), F.col("s").alias("_s"), F.col("node").alias("_node"))
+        at = step.join(edges, (F.col("node") == F.col("parent")) & (F.col("s") == F.col("_s"))).select("title", "plain_title", "found", F.col("_node").alias("node"))
+    t = F.col("plain_title")
+    fits = F.contains(t, F.col("rule_brand")) & F.forall("must", lambda w: F.contains(t, w)) & ~F.exists("none", lambda w: F.contains(t, w))
+    return at.join(rules.small(rules.ends), F.col("node") == F.col("end")).where(fits).select("title", "plain_title", "rule")
 
 
 def match_by_title(rows: DataFrame, catalog: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Rows with every product (of those without article numbers) whose rules the title passes, and the score. Equal titles are judged once."""
     rules = rules or title_rules(catalog)
     titles = rows.select("title").distinct().select("title", plain(F.coalesce("title", F.lit(""))).alias("plain_title")).where("plain_title <> ''")
-    found = strings_in(titles, rules.strings, rules.few).unionByName(titles.withColumn("s", F.lit("")))
-    found = found.groupBy("title", "plain_title").agg(F.sort_array(F.collect_set("s")).alias("found"))
-    n = F.size("found")
-    pairs = F.flatten(F.transform("found", lambda a, i: F.transform(F.slice("found", i + 2, n), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
-    pairs = F.concat(pairs, F.array(F.struct(F.lit("").alias("k1"), F.lit("").alias("k2"))))
     t = F.col("plain_title")
-    fits = F.contains(t, F.col("rule_brand")) & F.forall("must", lambda w: F.contains(t, w)) & ~F.exists("none", lambda w: F.contains(t, w))
-    near = found.select("title", "plain_title", F.explode(pairs).alias("k")).select("title", "plain_title", "k.*").join(rules.small(rules.groups), ["k1", "k2"]).where(fits).select("title", "plain_title", "rule")
     marks = F.array_union(named_sizes(t), F.array(F.lit(""), F.lit(ODD_SIZE)))
-    near = near.select("title", "plain_title", "rule", tokens("plain_title").alias("title_tokens"), F.explode(marks).alias("size_mark")).join(rules.small(rules.products), ["rule", "size_mark"])
+    near = titles_rules(titles, rules).select("title", "plain_title", "rule", tokens("plain_title").alias("title_tokens"), F.explode(marks).alias("size_mark")).join(rules.small(rules.products), ["rule", "size_mark"])
     sized = (F.col("size_mark") != ODD_SIZE) | has_size(t, F.col("rule_size"))
     packed = F.col("rule_pack").isNull() | F.coalesce(F.abs(M.parse_pack_size("title")["amount"] - F.col("rule_pack")) <= 0.01, F.lit(False))
     matched = near.where(sized & packed).select("title", "product", score(F.col("title_tokens"), F.col("query_tokens")).alias("score"))

@@ -179,9 +179,28 @@ def own_rules(rules: DataFrame, agent: str) -> DataFrame:
     return r.join(has, "host").where("own = has_own").select("host", "allow", "path", "delay")
 
 
+#: Rules of the hosts may be broadcast up to so many rows (a host and a path each).
+RULES_BROADCAST = 100_000
+
+
 def allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """urls (url_id, host, path) with allowed: the longest matching rule wins, allow on ties; without a rule a URL is allowed."""
+    """urls (url_id, host, path) with allowed: the longest matching rule wins, allow on ties; without a rule a URL is allowed.
+
+    Rules without ``*`` and ``$`` are found by hash: a path's beginnings of the lengths that its host's rules have are looked up, so the
+    work of a URL is the number of lengths, and rows meet on host and beginning. Only the others are tried as patterns. Equal paths of a host are judged once.
+    """
     mine = own_rules(rules, agent).where("path IS NOT NULL").select(F.col("host").alias("h"), "allow", F.col("path").alias("rule"))
-    hits = urls.join(mine, F.col("host") == F.col("h")).where(rule_matches(F.col("rule"), F.col("path")))
-    best = hits.groupBy("url_id").agg(F.max(F.struct(rule_length(F.col("rule")).alias("n"), "allow")).alias("b"))
-    return urls.join(best, "url_id", "left").select(*urls.columns, F.coalesce("b.allow", F.lit(True)).alias("allowed"))
+    literal = ~F.col("rule").rlike("[*$]")
+    plain = mine.where(literal).groupBy("h", "rule").agg(F.max("allow").alias("allow"))
+    few = mine.limit(RULES_BROADCAST + 1).count() <= RULES_BROADCAST
+    small = lambda df: F.broadcast(df) if few else df
+    lengths = plain.groupBy("h").agg(F.collect_set(F.length("rule")).alias("lengths"))
+    paths = urls.select("host", "path").distinct()
+    probes = paths.join(small(lengths), F.col("host") == F.col("h")).select("host", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    found = probes.withColumn("begin", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(small(plain), (F.col("host") == F.col("h")) & (F.col("begin") == F.col("rule")))
+    tried = paths.join(small(mine.where(~literal)), F.col("host") == F.col("h")).where(rule_matches(F.col("rule"), F.col("path")))
+    hits = found.select("host", "path", "n", "allow").unionByName(tried.select("host", "path", rule_length(F.col("rule")).alias("n"), "allow"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct("n", "allow"))["allow"].alias("allowed"))
+    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "allowed")
+    same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    return urls.join(best, same, "left").select(*urls.columns, F.coalesce("allowed", F.lit(True)).alias("allowed"))

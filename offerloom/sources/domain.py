@@ -78,10 +78,8 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed rows as a shop would publish them: all strings, price in Dutch notation, pack size in the title. They are dealt out as rows, like those of a file."""
-    source = table(spark, sf_dir, "lineitem")
-    parts = max(source.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    li = spread(source).where("l_returnflag = 'A'")
+    """Feed rows as a shop would publish them: all strings, price in Dutch notation, pack size in the title."""
+    li = spread(table(spark, sf_dir, "lineitem")).where("l_returnflag = 'A'")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -99,4 +97,4 @@ def feed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(order % 10 == 0, "").when(order % 10 == 1, "1234567890128").otherwise(ean13("200", F.col("l_partkey"))).alias("ean"),
         F.when(order % 11 == 0, "").otherwise(F.concat(F.lit("https://shop"), F.col("l_suppkey"), F.lit(".example/p/"), F.col("l_partkey"))).alias("aw_deep_link"),
         F.when(F.col("l_linenumber") % 5 == 0, "3").when(F.col("l_linestatus") == "O", "ja").otherwise("Uitverkocht").alias("in_stock"),
-    ).repartition(parts)
+    )

@@ -1,8 +1,10 @@
 """Verification, history, ranking, comparison, cache and publishing on small tables."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.operators import compare as C
@@ -122,3 +124,18 @@ def test_gtin_gate(spark):
     rows = [(None, [P1], A1, False), (None, [P1], P1, True), (False, [P1], A1, True), (None, [], A1, True), (None, [P1], None, True), (None, ["12"], A1, True)]
     df = spark.createDataFrame(rows, "strict boolean, gtins array<string>, gtin string, want boolean")
     assert all(r[0] == r[1] for r in df.select(O.gtin_allowed(F.col("strict"), F.col("gtins"), F.col("gtin")), "want").collect())
+
+
+def test_rank_of_a_hot_group(spark):
+    """A group with most of the rows is ranked in many ranges: the ranks of a window, with nulls as keys, and ranges of like size."""
+    r = random.Random(9)
+    rows = [("hot" if i % 10 else r.choice(["a", "b", None]), r.choice(["1", None]) if i % 10 == 0 else "4", float(r.choice([1, 1, 1, r.randint(2, 400)])), float(r.randint(1, 5)), i // 7, i % 7) for i in range(6000)]
+    df = spark.createDataFrame(rows, "category string, size string, unit_price double, price double, product int, shop int").repartition(6)
+    got = C.comparison_rank(df, range_rows=100)
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("category", "size").orderBy("unit_price", "price", "product", "shop")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, C.comparison_rank(df).collect())) == sorted(map(str, want.collect()))
+    assert C.comparison_rank(df.where("false"), range_rows=100).count() == 0
+    dealt, _ = C.deal_ranges(df, ["category", "size"], ["unit_price", "price", "product", "shop"], 100)
+    sizes = [x["count"] for x in dealt.where("category = 'hot'").groupBy("_range").count().collect()]
+    assert len(sizes) == 54 and max(sizes) < 3 * 100 and dealt.where("category <> 'hot' AND size IS NOT NULL").select("_range").distinct().count() <= 3

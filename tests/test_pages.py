@@ -141,3 +141,31 @@ def test_robots(spark):
     own = {r["path"]: r["allowed"] for r in PG.allowed(df, rules, "OfferBot/2.0").collect()}
     assert own == {"/mandje?a=b": True, "/mandje/hulp": True, "/alles.zip": True, "/alles.zip?z": True, "/intern": False, "/": True, "/mandje": True}
     assert PG.own_rules(rules, "Iemand").select(F.max("delay")).first()[0] == 2.5
+
+
+def test_robots_against_every_rule(spark):
+    """Each URL with each rule of its host, one by one: the longest that matches, allow on ties. A hot host with many rules, repeated and null paths."""
+    import random
+    import re
+
+    r = random.Random(6)
+    part = lambda: "".join(r.choices("ab/.", k=r.randint(0, 4)))
+    rules = sorted({("hot" if i % 3 else f"h{i % 4}", r.random() < 0.4, "/" + part() + r.choice(["", "", "*", "$", "*" + part(), "(b"])) for i in range(300)} | {("hot", True, ""), ("hot", False, "/a"), ("hot", True, "/a")})
+    body = {}
+    for h, allow, path in rules:
+        body.setdefault(h, ["User-agent: *"]).append(f"{'Allow' if allow else 'Disallow'}: {path}")
+    urls = [(i, r.choice(["hot", "hot", "h1", "h2", "none"]), "/" + part() + part()) for i in range(500)] + [(900, "hot", None), (901, None, "/a"), (902, "hot", "/a"), (903, "hot", "/a")]
+
+    def verdict(host, path):
+        best = (-1, True)
+        for h, allow, rule in rules:
+            if h == host and path is not None:
+                pattern = re.escape(rule.removesuffix("$")).replace(r"\*", ".*") + (r"\Z" if rule.endswith("$") else "")
+                if re.match(pattern, path):
+                    best = max(best, (len(rule.removesuffix("$")), allow))
+        return best[1]
+
+    files = spark.createDataFrame([(h, "\n".join(b)) for h, b in body.items()], "host string, body string")
+    df = spark.createDataFrame(urls, "url_id int, host string, path string")
+    got = {x["url_id"]: x["allowed"] for x in PG.allowed(df, PG.robots_rules(files), "Iemand").collect()}
+    assert got == {i: verdict(h, p) for i, h, p in urls} and 50 < sum(not v for v in got.values())
