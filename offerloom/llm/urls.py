@@ -1,8 +1,8 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
 A rule is a host and a path; it fits its host and all subdomains of it, for URLs whose path starts
-with the rule's path. Each URL is therefore looked up under several keys: the last n labels of its
-host with the first m characters of its path, for each shape (n, m) that the list has. Few of those
+with the rule's path. Each URL is therefore looked up under several keys: each end of its host that is
+listed, with the beginnings of its path of the lengths that are listed there. Few of those
 keys are listed, so they first pass a blocked Bloom filter: a key picks one block of eight 32-bit
 words and one bit in each word, and all bits must be set. What passes goes to an exact hash join with
 the list, which removes the false positives; the longest rule wins.
@@ -55,6 +55,16 @@ def bloom_table(rules: DataFrame, blocks: int) -> DataFrame:
     return keyed.groupBy("_block").agg(*[F.bit_or(b).alias(f"_w{i}") for i, b in enumerate(bits)])
 
 
+def _listed_ends(hosts: DataFrame, lengths: DataFrame, most: int) -> DataFrame:
+    """host, _ends: the ends of a host (itself, and what is left without its first labels) that the list has, each with the lengths of its paths there.
+
+    Each distinct host is cut once, so neither the number of labels nor that of lengths in the list makes the plan larger. most: the labels of the list's longest host.
+    """
+    labels = F.least(F.size(F.split("host", r"\.")), F.lit(most))
+    ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), labels), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))).alias("rule_host"))
+    return ends.join(broadcast_if(lengths, LIST_BROADCAST), "rule_host").groupBy("host").agg(F.collect_list(F.struct("rule_host", "_lengths")).alias("_ends"))
+
+
 def match_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow") -> DataFrame:
     """All columns of pages as a struct ``row``, with host, path, rule and verdict.
 
@@ -65,19 +75,16 @@ def match_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", defa
     """
     host, path = host_path(pages[url_col])
     urls = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
-    shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("n"), F.length("rule_path").alias("m")).distinct()
-    # at most 127 labels times 2,000 or so path lengths exist, whatever the list's size
-    shapes = [(r["n"], r["m"]) for r in shapes.collect()]
-    if not shapes:
+    listed, most = rules.agg(F.count(F.lit(1)), F.max(F.size(F.split("rule_host", r"\.")))).first()
+    if not listed:
         return urls.select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
-    keys = [
-        F.when((dots >= n - 1) & (F.length("path") >= m), F.struct(F.substring_index("host", ".", -n).alias("rule_host"), F.substring("path", 1, m).alias("rule_path")))
-        for n, m in shapes
-    ]
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("_lengths"))
     distinct = urls.select("host", "path").distinct()
-    looked = distinct.select("host", "path", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("host", "path", "k.*")
-    blocks = max(1, -(-rules.count() // KEYS_PER_BLOCK))
+    ends = _listed_ends(distinct.select("host").distinct(), lengths, most)
+    probes = distinct.join(broadcast_if(ends, LIST_BROADCAST), "host").select("host", "path", F.explode("_ends").alias("_e"))
+    probes = probes.select("host", "path", F.col("_e.rule_host").alias("rule_host"), F.explode(F.filter("_e._lengths", lambda m: m <= F.length("path"))).alias("_m"))
+    looked = probes.select("host", "path", "rule_host", F.substring(F.col("path"), F.lit(1), F.col("_m")).alias("rule_path"))
+    blocks = max(1, -(-listed // KEYS_PER_BLOCK))
     bloom = bloom_table(rules, blocks)
     block, (high, *bits) = _block_and_bits(F.col("rule_host"), F.col("rule_path"), blocks)
     looked = looked.withColumn("_block", block).withColumn("_high", high)
