@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, gathered, gram_hashes, small_batches, table, trimmed, words_of
+from .common import Scratch, fresh, gathered, gram_hashes, small_batches, table, trimmed, words_of
 
 #: Defaults of the training sample's bounds (documents of each class, and characters in all) and of the model's. They fit a task of 500 MB.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 900, 1500, 8_000_000
@@ -314,11 +314,15 @@ def train(
 
 
 def score_texts(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The columns, score, predicted and spans of every row. Null texts count as empty; equal texts have equal scores."""
+    """The columns, score, predicted and spans of every row. Null texts count as empty; equal texts have equal scores.
+
+    Where one of the columns has the name of a result already, in whatever case, the result's name gets an underscore behind it.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(*columns, F.col(text_col).alias("_scored"))
-    types = T.StructType([*docs.select(*columns).schema.fields, *T.StructType.fromDDL(SCORE).fields])
+    out = docs.select(*columns, docs[text_col].alias(fresh(columns, "_scored")))
+    results = [T.StructField(fresh(columns, f.name), f.dataType) for f in T.StructType.fromDDL(SCORE).fields]
+    types = T.StructType([*docs.select(*columns).schema.fields, *results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Potentials(shared.value)
