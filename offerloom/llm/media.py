@@ -189,7 +189,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lists, media, chunks): the ordered chunk list of every row, each distinct medium once, each shared chunk once.
 
-    Null texts are empty payloads; rows may repeat ids, texts or both. An empty table gives empty tables.
+    Null texts are empty payloads; ids are whole numbers or cast to them (what can't be is an error), and rows may repeat ids, texts or both. An empty table gives empty tables.
     """
     data = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.md5(data).alias("key"), data.alias("data"))

@@ -171,7 +171,7 @@ def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     Null payloads are empty; a null url becomes ``urn:page:ID``. Of records with equal payloads of at
     least min_revisit_bytes the one with the smallest id is the response, the others revisit it; a
-    null id counts as larger than all, and rows that repeat both id and payload are all responses
+    null id (its URL then ``urn:page:None``) counts as larger than all; ids are whole numbers or cast to them, what can't be is an error. Rows that repeat both id and payload are all responses
     or all revisits. Payloads of any length are one record in one frame. An empty table gives no bundle.
     """
     payload = F.coalesce(pages[html_col].cast("binary"), F.lit(b""))

@@ -147,6 +147,26 @@ def test_urls(spark):
     assert urls.match_urls(pages.where("false"), rules).count() == 0
 
 
+def test_long_lists_of_urls(spark):
+    """Two thousand rules of many lengths and depths of host: the longest that fits, as by trying all."""
+    r = random.Random(8)
+    host = lambda: ".".join(r.choices(["a", "b", "cc", "d"], k=r.randint(1, 4)))
+    path = lambda n: "/" + "".join(r.choices("xy/", k=r.randint(0, n)))
+    rules = {(host(), path(40)): r.choice(["allow", "block"]) for _ in range(1500)} | {(host(), path(3)): r.choice(["allow", "block"]) for _ in range(500)}
+    pages = [(i, f"http://{h}{p}") for i, (h, p) in enumerate([(host(), path(50)) for _ in range(400)] + [(f"z.{h}", p + "y") for h, p in r.sample(sorted(rules), 300)])]
+    listed = spark.createDataFrame([(*k, v) for k, v in rules.items()], "rule_host string, rule_path string, verdict string")
+    got = urls.match_urls(spark.createDataFrame(pages, "page_id int, url string"), listed)
+
+    def longest(url):
+        h, _, p = url.removeprefix("http://").partition("/")
+        fits = [(len(a + b), v, a + b) for (a, b), v in rules.items() if (h == a or h.endswith("." + a)) and f"/{p}".startswith(b)]
+        return max(fits, default=(0, "allow", None))[1:]
+
+    for row in got.collect():
+        want = longest(row["row"]["url"])
+        assert (row["verdict"], len(row["rule"] or "")) == (want[0], len(want[1] or ""))
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     listed = spark.range(5000).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("rule_host"), F.lit("/p").alias("rule_path"), F.lit("block").alias("verdict"))
     pages = spark.range(20000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".org/p/x")).alias("url"))
@@ -266,6 +286,14 @@ def test_toxicity_learns_and_marks(spark, empty):
     assert len(few.weights) <= 4
 
 
+def test_scores_beside_columns_of_their_names(spark):
+    model = toxicity.fit(["you awful thing", "a fine day"] * 4, [1, 0] * 4, 0.5)
+    df = spark.createDataFrame([(1, "you awful thing", 7.0, "s"), (2, None, 8.0, "t")], "doc_id long, text string, Score double, _scored string")
+    out = toxicity.score_texts(df, model, ["doc_id", "Score", "_scored"])
+    assert out.columns == ["doc_id", "Score", "_scored", "score_", "predicted", "spans"]
+    assert [(r["Score"], r["_scored"], 0 <= r["score_"] <= 1) for r in out.orderBy("doc_id").collect()] == [(7.0, "s", True), (8.0, "t", True)]
+
+
 def test_document_scores_against_enumeration():
     """The score is the logistic line over the log of the expected number of toxic tokens, here by all labellings of a text."""
     import itertools
