@@ -168,18 +168,19 @@ def a4_round_stats(spark, sf):
 
 @query(
     sql(CATALOG, OFFERS, ONE, VERIFIED, SUMMARY, then="""
-SELECT product, c.name, best_price, offers, gtin, pos, o.shop, o.price FROM summ JOIN catalog c USING (product)
-JOIN (SELECT product, shop, price, row_number() OVER (PARTITION BY product ORDER BY coalesce(NOT in_stock, false), unit_price, price, shop) - 1 AS pos FROM kept) o USING (product)""")
+SELECT product, c.name, c.brand, c.category, c.size, best_price, best_unit_price, summ.unit_label, offers, verified_offers, gtin, gtin_source, pos, o.shop, o.price, o.unit_price, o.amount, o.in_stock, o.source, o.shown, o.sku, o.verification FROM summ JOIN catalog c USING (product)
+JOIN (SELECT product, shop, price, unit_price, amount, in_stock, source, gtin_text AS shown, sku, verification, row_number() OVER (PARTITION BY product ORDER BY coalesce(NOT in_stock, false), unit_price, price, shop) - 1 AS pos FROM kept) o USING (product)""")
 )
 def s7_published_payload(spark, sf):
-    """Written as JSON, read back from the published folder, and flattened."""
+    """All that the payload says of products and offers: written as JSON, read back from the published folder, and flattened."""
     path = scratch(spark, "payload")
     offers = kept_offers(spark, sf)
     out = P.payload(D.catalog(spark, sf), offers, P.product_summary(offers))
     P.publish(out, path)
     back = P.read_published(spark, path, out.schema)
-    flat = back.select("product", "name", "best_price", "offers", "gtin", F.posexplode("offer_list").alias("pos", "o"))
-    return flat.select("product", "name", "best_price", "offers", "gtin", F.col("pos").cast("long").alias("pos"), "o.shop", "o.price")
+    top = ["product", "name", "brand", "category", "size", "best_price", "best_unit_price", "unit_label", "offers", "verified_offers", "gtin", "gtin_source"]
+    flat = back.select(*top, F.posexplode("offer_list").alias("pos", "o"))
+    return flat.select(*top, F.col("pos").cast("long").alias("pos"), *[f"o.{c}" for c in ("shop", "price", "unit_price", "amount", "in_stock", "source")], F.col("o.gtin").alias("shown"), "o.sku", "o.verification")
 
 
 # --- history and identity ---

@@ -6,6 +6,7 @@ titles look up the required strings by a piece of three letters, walk a prefix t
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -140,8 +141,14 @@ class Rules(NamedTuple):
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Worked out once for the joins that read it: on the storage that the session shares, or where it has none, with the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Worked out once for the joins that read it: a table on the storage that the session shares, or where it has none, kept with the executors."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df.persist()
+    path = f"{folder}/rules-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 ROOT = 0
