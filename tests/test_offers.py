@@ -13,7 +13,7 @@ from offerloom.operators import offers as O
 from offerloom.operators import publish as P
 from offerloom.operators import verify as V
 
-P1, A1 = "8006540090992", "4015400636632"
+P1, A1 = "2000000000039", "2000000000015"
 
 
 def offers(spark, *rows):
@@ -84,14 +84,14 @@ def test_result_does_not_depend_on_partitions(spark):
 
 
 def test_comparison(spark):
-    products = spark.createDataFrame([("a", "A", "Pampers", "luiers", "4"), ("b", "B", "Kruidvat", "luiers", "4"), ("c", "C", "Merkloos", "luiers", "10")], "product string, name string, brand string, category string, size string")
-    rows = [("a", "k", 40.0, 0.25, True, "exact"), ("a", "bol", 32.0, 0.2, False, "variant"), ("b", "k", 9.0, 0.18, None, "exact"), ("c", "k", 5.0, None, True, "exact")]
+    products = spark.createDataFrame([("a", "A", "Larix", "thee", "4"), ("b", "B", "Den", "thee", "4"), ("c", "C", "Iep", "thee", "10")], "product string, name string, brand string, category string, size string")
+    rows = [("a", "k", 60.0, 0.3, True, "exact"), ("a", "zuid", 48.0, 0.24, False, "variant"), ("b", "k", 11.0, 0.22, None, "exact"), ("c", "k", 5.0, None, True, "exact")]
     o = spark.createDataFrame(rows, "product string, shop string, price double, unit_price double, in_stock boolean, verification string")
     r = C.comparison_rows(products, o)
-    assert [(x["brand"], x["shop"], x["rank"]) for x in C.comparison_rank(r).orderBy("rank").collect()] == [("Kruidvat", "k", 1), ("Pampers", "bol", 2), ("Pampers", "k", 3)]
-    assert {x["brand"]: x["unit_price"] for x in C.cheapest_per_brand(r).collect()} == {"Kruidvat": 0.18, "Pampers": 0.2}
+    assert [(x["brand"], x["shop"], x["rank"]) for x in C.comparison_rank(r).orderBy("rank").collect()] == [("Den", "k", 1), ("Larix", "zuid", 2), ("Larix", "k", 3)]
+    assert {x["brand"]: x["unit_price"] for x in C.cheapest_per_brand(r).collect()} == {"Den": 0.22, "Larix": 0.24}
     s = C.comparison_summary(r).first()
-    assert (s["monthly_difference"], s["brands"], s["shops"]) == (10.5, 2, 2)
+    assert (s["monthly_difference"], s["brands"], s["shops"]) == (12.0, 2, 2)
     assert C.default_size(products, o).first()["size"] == "4"
     assert [x["value"] for x in C.facets(products, o).where("kind = 'size'").orderBy("position").collect()] == ["4", "10"]
     assert C.visible(o).count() == 3 and C.savings(C.visible(o)).where("saving > 0").count() == 0

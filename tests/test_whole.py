@@ -18,16 +18,16 @@ with_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 CATALOG = "product long, name string, brand string, size string, query string, must array<string>, none array<string>, match_pack double, gtins array<string>"
 PRODUCTS = [
-    (1, "Dry", "Pampers", "4", None, ["dry"], ["pants"], None, []),
-    (2, "Dry", "Pampers", "5", None, ["dry"], ["pants"], None, []),
-    (3, "Dry", "Pampers", None, None, ["dry"], ["pants"], 44.0, []),
-    (4, "Dry", "Pampers", "4", None, ["dry"], ["pants"], 20.0, []),
-    (5, "Pants", "Pampers", "4", None, ["pants", "night"], [], None, []),
-    (6, "Zalf", "Bepanthen", None, None, ["zalf"], [], None, []),
-    (7, "Listed", "Pampers", "4", None, ["dry"], [], None, ["4015400636632"]),
-    (4, "Night", "Pampers", "4", None, ["night"], [], None, []),
+    (1, "Dry", "Larix", "4", None, ["dry"], ["pants"], None, []),
+    (2, "Dry", "Larix", "5", None, ["dry"], ["pants"], None, []),
+    (3, "Dry", "Larix", None, None, ["dry"], ["pants"], 44.0, []),
+    (4, "Dry", "Larix", "4", None, ["dry"], ["pants"], 20.0, []),
+    (5, "Pants", "Larix", "4", None, ["pants", "night"], [], None, []),
+    (6, "Zalf", "Spar", None, None, ["zalf"], [], None, []),
+    (7, "Listed", "Larix", "4", None, ["dry"], [], None, ["2000000000015"]),
+    (4, "Night", "Larix", "4", None, ["night"], [], None, []),
 ]
-TITLES = ["Pampers Dry maat 4 - 44 stuks"] * 3 + ["pampers dry MAAT 4, 20 stuks", "Pampers dry pants maat 5", "Pampers Bepanthen zalf", "Huggies dry maat 4", "Pampers night pants s4", "", None]
+TITLES = ["Larix Dry maat 4 - 44 stuks"] * 3 + ["larix dry MAAT 4, 20 stuks", "Larix dry pants maat 5", "Larix Spar zalf", "Huggies dry maat 4", "Larix night pants s4", "", None]
 
 
 def test_diagnosis_against_brute_force(spark):
