@@ -10,28 +10,31 @@ the first such shingle stands bounds their overlap.
    as long as it is one: the hot list only makes it better, so its size can be bounded.
 2. The tree's first level is spread over the cluster: prefix shingles are gathered by hash range, packed, and those of one set
    only are dropped. A shingle that a task has seen in many sets goes around the range's task, which gets one of its rows.
-3. First round: every member of a shingle's group is compared with one hub only, the member of whose prefix the most
-   is shared. Links are verified and merged into components, so most of a large group of near copies needs one comparison each.
-4. Second round: what is left are pairs that share a prefix shingle and are in different components. Groups of up to PAIRS members
-   list their pairs. In larger groups the sets outside the group's largest component meet all its members in cells of CELL x CELL sets, in which an
-   exact bound from parity bitmaps leaves few pairs; no other pair is ever a row.
-5. Verification: the sets to be compared with one set are put in a prefix tree in the global order. Walking it level by level counts an overlap once
-   for all sets below a node, and drops a subtree where the overlap so far and the lengths that remain can't reach the threshold.
+3. The prefix tree: a root is a shingle and a class of sizes, below it are the heads (prefixes) of the sets that have it, in the global order, so
+   that what they share is stored once. A shard of roots is one tree. All its probes are walked through it at once: an overlap is counted
+   once a run of the tree, for all sets below it, and a subtree is left where the lengths that remain, of the probe and of the sets below, can't reach the threshold any more.
+4. First round: every member of a shingle's group is compared with one hub only, the member of whose prefix the most
+   is shared, in a tree of the hub. Links are merged into components, so most of a large group of near copies needs one comparison each.
+5. Second round: trees of the groups that still have sets of several components. The sets outside the group's largest component are walked through it; subtrees of
+   their own component are left. A large group is dealt into cells of CELL sets and CELL probes by the same rule.
+6. What a tree of heads lets through is walked through a tree of whole sets in the same way, which gives exact overlaps.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_GROUP, Scratch, broadcast_if, by_bytes, distinct, gram_hashes, mix64, parallelism, sliced, table, trimmed, words_of
+from .common import ROW_GROUP, Scratch, broadcast_if, by_bytes, distinct, gram_hashes, mix64, parallelism, table, trimmed, words_of
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -43,16 +46,16 @@ RANGE_BITS, RANGE_ROWS = 16, 100_000
 #: Bits of a key that hold the hash; those above say how common the shingle is.
 KEY_BITS = 61
 FLUSH, BUCKET_ROWS, LOCAL_HOT = 300_000, 500_000, 8
-#: Candidates of one set in a tree, and shingles that a verifying task gets at a time.
-VERIFY_GROUP, VERIFY_SHINGLES = 1000, 1_000_000
-#: Members up to which a group's pairs are listed, sets on each side of a cell, and places of a bitmap at least.
-PAIRS, CELL, BITMAP_BITS = 200, 1000, 2048
-IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST = 3_000_000, 1_000_000, 2_000_000
+#: Sets or probes of one cell, shingles of either (before they are cut to heads), and shingles that a shard gets.
+CELL, CELL_SHINGLES, TREE_SHINGLES = 1000, 4_000_000, 1_000_000
+#: Elements that are looked up in one step of a walk.
+STEP = 1_000_000
+IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST, JOBS_BROADCAST = 3_000_000, 1_000_000, 2_000_000, 200_000
 
 SETS = "kind string, doc_id long, n_shingles long, set_id binary, range int, low binary"
 SETS_ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("range", pa.int32()), ("low", pa.binary())])
 MEMBERS = "shingle long, doc_id long, n int, pos int"
-PAIR, PAIR_ARROW = "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIR = "a long, b long, n int, m int"
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int):
@@ -74,35 +77,6 @@ def shingle_sets(texts: pa.Array, k: int, keys: Callable[[np.ndarray], np.ndarra
             yield whole if keys is None else keys(whole)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit for each place: the parity of the number of shingles there; as words. At least twice as many places as shingles, a power of two."""
-    places = max(BITMAP_BITS, 1 << (2 * len(s) - 1).bit_length())
-    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(bool)).view(np.uint64)
-
-
-def folded(maps: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps with fewer places: the upper half is laid on the lower one as often as needed."""
-    while maps.shape[-1] > words:
-        half = maps.shape[-1] // 2
-        maps = maps[..., :half] ^ maps[..., half:]
-    return maps
-
-
-def overlap_bounds(n: np.ndarray, m: np.ndarray, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """No two sets of these sizes and bitmaps share more: shingles that only one of them has leave odd places."""
-    words = np.minimum([len(a) for a in x], [len(b) for b in y])
-    odd = np.zeros(len(words), np.int64)
-    for w in np.unique(words).tolist():
-        at = np.flatnonzero(words == w).tolist()
-        odd[at] = np.bitwise_count(np.stack([folded(x[i], w) for i in at]) ^ np.stack([folded(y[i], w) for i in at])).sum(1, dtype=np.int64)
-    return (n + m - odd) // 2
-
-
-def _bitmaps(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
-
-
 def _sets(k: int):
     """Two kinds of rows: every document's set in short, and the counted hashes packed by range (the 32 bits below the range's)."""
 
@@ -257,14 +231,17 @@ def _groups(part: pa.Table) -> pa.Table:
     return pa.table({"shingle": pa.array(shingle.view(np.int64)), "doc_id": pa.array(doc), "n": pa.array(n), "pos": pa.array(pos)})
 
 
-# --- candidates and verification ---
+# --- trees ---
+
 
+def _heads(k: int, percent: int, order):
+    """Every text's prefix; of a key the 32 high bits, which keep the order. Two shingles that become alike can only raise a bound."""
 
-def _maps(k: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             sets = list(shingle_sets(batch.column(1), k, order.value.keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "map"])
+            heads = [(s[: len(s) - -(-percent * len(s) // 100) + 1] >> np.uint64(32)).astype("<u4").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.binary())], ["doc_id", "n", "keys"])
 
     return run
 
@@ -272,182 +249,206 @@ def _maps(k: int, order):
 def _whole_sets(k: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            keys = [s.tobytes() for s in shingle_sets(batch.column(1), k, order.value.keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["b", "keys"])
+            sets = list(shingle_sets(batch.column(1), k, order.value.keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "keys"])
 
     return run
 
 
-def _possible(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1000):
-            n, m = (batch.column(c).to_numpy() for c in (2, 3))
-            keep = overlap_bounds(n, m, _bitmaps(batch.column(4)), _bitmaps(batch.column(5))) >= needed(n, m, percent)
-            yield batch.select([0, 1, 3]).filter(pa.array(keep))
+class Sets(NamedTuple):
+    """Sets below their roots. keys: those known (sorted whole numbers under 2**32), from the root's shingle on; rest: how many there are from there on,
+    known or not; n: the whole set's size. Sets with equal labels aren't compared."""
 
-    return run
+    root: np.ndarray
+    keys: list[np.ndarray]
+    n: np.ndarray
+    rest: np.ndarray
+    label: np.ndarray
 
+    def take(self, rows: np.ndarray) -> Sets:
+        return Sets(self.root[rows], [self.keys[i] for i in rows.tolist()], self.n[rows], self.rest[rows], self.label[rows])
 
-def _cells(percent: int):
-    """Pairs of one cell that may be linked: in different components, allowed by sizes and places, and by the bitmaps."""
 
-    def run(part: pa.Table) -> pa.Table:
-        probe = part.column("probe").to_numpy()
-        ids, labels, n, pos = (part.column(c).to_numpy() for c in ("doc_id", "label", "n", "pos"))
-        maps = _bitmaps(part.column("map"))
-        words = np.array([len(x) for x in maps])
-        same = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}  # maps of one length side by side
-        side = {w: np.stack([maps[i] for i in at]) for w, at in same.items()}
-        place = np.empty(len(maps), np.int64)
-        for at in same.values():
-            place[at] = np.arange(len(at))
-        members, a, b = np.flatnonzero(~probe), [], []
-        for i in np.flatnonzero(probe).tolist():
-            m = n[members]
-            least = needed(n[i], m, percent)
-            near = members[(labels[members] != labels[i]) & (np.minimum(n[i], m) >= least) & (np.minimum(n[i] - pos[i], m - pos[members]) >= least)]
-            for w in np.unique(words[near]).tolist():
-                some = near[words[near] == w]
-                least = min(w, len(maps[i]))
-                odd = np.bitwise_count(folded(side[w][place[some]], least) ^ folded(maps[i], least)).sum(1, dtype=np.int64)
-                near = near[~np.isin(near, some[(n[i] + n[some] - odd) // 2 < needed(n[i], n[some], percent)])]
-            a.append(np.minimum(ids[i], ids[near]))
-            b.append(np.maximum(ids[i], ids[near]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or empty)), "b": pa.array(np.concatenate(b or empty))})
-
-    return run
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... counts[i] numbers, for every i."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
 class PrefixTree:
-    """Sets in the global order as a prefix tree with compressed edges.
+    """Sets in the global order as a prefix tree with compressed edges, for several roots.
 
     Sets are sorted, and each set adds one run: what lies below the prefix that it shares with the set before it. A run
     hangs on the run that holds the last shingle of that prefix, at that depth. So a shingle shared by many sets from the start is there once.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())  # big-endian bytes sort like numbers
-        rows = [sets[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in rows], np.int64)
-        self.depth = np.zeros(len(rows), np.int64)  # where each run starts
-        self.parent = np.full(len(rows), -1, np.int64)
-        level = np.zeros(len(rows), np.int64)
+    def __init__(self, sets: Sets):
+        root = sets.root.tolist()
+        self.order = np.array(sorted(range(len(root)), key=lambda i: (root[i], sets.keys[i].astype(">u4").tobytes())), np.int64)
+        self.sets = sets = sets.take(self.order)
+        size = len(root)
+        self.length = np.array([len(s) for s in sets.keys], np.int64)
+        self.depth = np.zeros(size, np.int64)  # where each run starts
+        self.parent = np.full(size, -1, np.int64)
+        same = np.append(False, sets.root[1:] == sets.root[:-1]) if size else np.empty(0, bool)
         path: list[int] = []
-        for r, s in enumerate(rows):
-            if r:
-                before = rows[r - 1]
+        for r in range(size):
+            if same[r]:
+                before, s = sets.keys[r - 1], sets.keys[r]
                 shared = min(len(before), len(s))
-                differ = np.flatnonzero(before[:shared] != s[:shared])
-                self.depth[r] = differ[0] if len(differ) else shared
-            while path and self.depth[path[-1]] >= self.depth[r]:
-                path.pop()
+                differ = before[:shared] != s[:shared]
+                at = int(differ.argmax()) if shared else 0
+                self.depth[r] = at if shared and differ[at] else shared
+                while path and self.depth[path[-1]] >= self.depth[r]:
+                    path.pop()
+            else:
+                path = []
             if path:
-                self.parent[r], level[r] = path[-1], level[path[-1]] + 1
+                self.parent[r] = path[-1]
             path.append(r)
-        # sizes of all sets below a run: children stand behind their parents
-        self.least, self.most = self.sizes.copy(), self.sizes.copy()
-        for r in range(len(rows) - 1, -1, -1):
-            p = self.parent[r]
-            if p >= 0:
-                self.least[p], self.most[p] = min(self.least[p], self.least[r]), max(self.most[p], self.most[r])
-        self.levels = [np.flatnonzero(level == v) for v in range(int(level.max(initial=-1)) + 1)]
-        self.start = np.concatenate([[0], np.cumsum(self.sizes - self.depth)])
-        self.elements = np.concatenate([s[d:] for s, d in zip(rows, self.depth.tolist(), strict=True)]) if rows else np.empty(0, np.uint64)
-
-    def linked(self, probe: np.ndarray, percent: int) -> list[int]:
-        """Numbers of the sets linked to the probe. A level of the tree at a time; subtrees that can't reach the threshold are left."""
-        n, out = len(probe), []
-        place = np.full(len(self.order), -1, np.int64)
-        runs = self.levels[0] if self.levels else np.empty(0, np.int64)
-        overlap, passed = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
-        for depth, _ in enumerate(self.levels):
-            rest = np.minimum(self.most[runs] - self.depth[runs], n - passed)
-            open_ = overlap + rest >= needed(n, self.least[runs], percent)
-            runs, overlap = runs[open_], overlap[open_]
-            if not len(runs):
+        # of all sets below a run: children stand behind their parents
+        self.least, self.most, self.low, self.high = sets.n.copy(), sets.rest.copy(), sets.label.copy(), sets.label.copy()
+        for r in range(size - 1, -1, -1):
+            up = self.parent[r]
+            if up >= 0:
+                for held, best in ((self.least, min), (self.most, max), (self.low, min), (self.high, max)):
+                    held[up] = best(held[up], held[r])
+        self.children = np.argsort(self.parent, kind="stable")
+        self.first = np.searchsorted(self.parent[self.children], np.arange(-1, size + 1))  # first[r + 1]: of the run r; the roots' runs come first
+        self.start = np.concatenate([[0], np.cumsum(self.length - self.depth)])
+        self.elements = np.concatenate([s[d:] for s, d in zip(sets.keys, self.depth.tolist(), strict=True)] or [np.empty(0)]).astype(np.int64)
+
+    def linked(self, probes: Sets, overlap: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (number of a probe, number of a set) below the same root that may be linked; where all keys are known, those that are.
+        overlap: what a probe and a set share at the root."""
+        tops = self.children[: self.first[1]]
+        lo, hi = (np.searchsorted(self.sets.root[tops], probes.root, side) for side in ("left", "right"))
+        ends = np.searchsorted(self.sets.root, probes.root, "right")
+        cost = np.cumsum(self.start[ends] - self.start[np.searchsorted(self.sets.root, probes.root, "left")] + 1)
+        found, at = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+        while at < len(cost):
+            stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + STEP, "right")))
+            rows = np.arange(at, stop)
+            counts = hi[rows] - lo[rows]
+            p, r = self._walk(probes.take(rows), np.repeat(np.arange(len(rows)), counts), tops[_spread(lo[rows], counts)], overlap, percent)
+            found.append((p + at, self.order[r]))
+            at = stop
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _walk(self, probes: Sets, p: np.ndarray, r: np.ndarray, overlap: int, percent: int):
+        """Probes p at the start of runs r, all at once, a level of the tree at a time."""
+        sizes = np.array([len(x) for x in probes.keys], np.int64)
+        first = np.cumsum(sizes) - sizes
+        keys = (np.repeat(np.arange(len(sizes)), sizes) << 32) | np.concatenate(probes.keys).astype(np.int64)
+        last = np.array([x[-1] if len(x) else -1 for x in probes.keys], np.int64)
+        # shared so far; keys of the set behind the probe's last known one, which it may have or not; keys of the probe left behind
+        shared, open_, passed = np.full(len(p), overlap, np.int64), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        while len(p):
+            bound = shared + np.minimum(open_ + self.most[r] - self.depth[r], probes.rest[p] - passed)
+            go = (bound >= needed(probes.n[p], self.least[r], percent)) & ((self.low[r] != probes.label[p]) | (self.high[r] != probes.label[p]))
+            p, r, shared, open_, passed = p[go], r[go], shared[go], open_[go], passed[go]
+            if not len(p):
                 break
-            lengths = self.start[runs + 1] - self.start[runs]
+            lengths = self.start[r + 1] - self.start[r]
             base = np.cumsum(lengths) - lengths
-            elements = self.elements[np.repeat(self.start[runs] - base, lengths) + np.arange(int(lengths.sum()))]
-            at = np.searchsorted(probe, elements)
-            hit = probe[np.minimum(at, n - 1)] == elements
-            total = np.concatenate([[0], np.cumsum(hit)])
-            whole = overlap + total[base + lengths] - total[base]
-            found = whole >= needed(n, self.sizes[runs], percent)
-            out += [self.order[r] for r in runs[found].tolist()]
-            if depth + 1 == len(self.levels):
-                break
-            place[runs] = np.arange(len(runs))
-            below = self.levels[depth + 1]
-            below = below[place[self.parent[below]] >= 0]
-            up = place[self.parent[below]]
-            end = base[up] + self.depth[below] - self.depth[self.parent[below]]
-            overlap, passed = overlap[up] + total[end] - total[base[up]], at[end - 1] + hit[end - 1]
-            place[runs] = -1
-            runs = below
-        return out
-
-
-def _verify(percent: int):
-    """Rows (a, b, keys): the set of a where b = a, else one to be compared with it."""
+            elements, of = self.elements[_spread(self.start[r], lengths)], np.repeat(p, lengths)
+            wanted = (of << 32) | elements
+            at = np.searchsorted(keys, wanted)
+            hits = np.concatenate([[0], np.cumsum(keys[np.minimum(at, len(keys) - 1)] == wanted if len(keys) else np.zeros(len(at), bool))])
+            beyond = np.concatenate([[0], np.cumsum(elements > last[of])])
+            left = np.append(at - first[of], 0)
+            end = base + lengths
+            ending = np.where(lengths > 0, left[end - 1], passed)
+            unknown = np.minimum(open_ + beyond[end] - beyond[base] + self.sets.rest[r] - self.length[r], probes.rest[p] - ending)
+            yes = (shared + hits[end] - hits[base] + unknown >= needed(probes.n[p], self.sets.n[r], percent)) & (self.sets.label[r] != probes.label[p])
+            out.append((p[yes], r[yes]))
+            counts = self.first[r + 2] - self.first[r + 1]
+            up, below = np.repeat(np.arange(len(r)), counts), self.children[_spread(self.first[r + 1], counts)]
+            end = base[up] + self.depth[below] - self.depth[r[up]]
+            p, r, passed = p[up], below, left[end - 1]
+            shared, open_ = shared[up] + hits[end] - hits[base[up]], open_[up] + beyond[end] - beyond[base[up]]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _in_trees(percent: int, overlap: int, whole: bool):
+    """One shard: its rows as a tree, and its probes walked through it."""
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("a")
-        a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-        keys = part.column("keys").combine_chunks()
-        starts, out = np.flatnonzero(np.append(True, a[1:] != a[:-1])), set()
-        for first, stop in pairwise([*starts.tolist(), len(a)]):
-            sets = [np.frombuffer(x, np.uint64) for x in keys.slice(first, stop - first).to_pylist()]
-            own = int(a[first])
-            others = [i for i in range(stop - first) if b[first + i] != own]
-            tree = PrefixTree([sets[i] for i in others])
-            for i in range(stop - first):
-                if b[first + i] == own:
-                    out |= {(own, int(b[first + others[k]])) for k in tree.linked(sets[i], percent)}
-        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=PAIR_ARROW)
+        cell, ids, n, skip, label = (part.column(c).to_numpy() for c in ("cell", "doc_id", "n", "skip", "label"))
+        keys = [np.frombuffer(x, "<u8" if whole else "<u4") for x in part.column("keys").to_pylist()]
+        if whole:  # places in the order of all keys here are smaller than keys
+            ranks = np.unique(np.concatenate(keys), return_inverse=True)[1].astype(np.uint32)
+            ends = np.cumsum([len(x) for x in keys])
+            keys = [ranks[b - len(x) : b] for x, b in zip(keys, ends.tolist(), strict=True)]
+        sets = Sets(cell, keys, n.astype(np.int64), n.astype(np.int64) - skip, label)
+        member, probe = (np.flatnonzero(part.column(c).to_numpy(zero_copy_only=False)) for c in ("member", "probe"))
+        p, q = PrefixTree(sets.take(member)).linked(sets.take(probe), overlap, percent)
+        p, q = probe[p], member[q]
+        return pa.table({"a": pa.array(ids[p]), "b": pa.array(ids[q]), "n": pa.array(n[p], pa.int32()), "m": pa.array(n[q], pa.int32())})
 
     return run
 
 
 class _Join:
-    """docs: doc_id, text. members: doc_id, n, map of every set that shares a prefix shingle with another one."""
+    """docs: doc_id, text. members: doc_id, n, keys (its head) of every set that shares a prefix shingle with another one.
+
+    Rows of trees: the cell (a root, or a part of one), the set, its size, how many of its keys the root stands for, its label, and whether it is
+    a member of the tree, a probe, or both.
+    """
 
     def __init__(self, docs: DataFrame, members: DataFrame, scratch: Scratch, k: int, percent: int, order):
         self.docs, self.members, self.scratch, self.k, self.percent, self.order = docs, members, scratch, k, percent, order
 
-    def in_cells(self, groups: DataFrame) -> DataFrame:
-        """Candidates of large groups. groups: shingle, doc_id, n, pos, label, members."""
-        by_label = groups.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members"))
-        cells = by_label.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("most"), F.first("members").alias("members"))
-        trees, batches = (F.ceil(x / CELL).cast("long") for x in (F.col("members"), F.col("members") - F.col("most.c")))
-        cells = cells.select("shingle", F.col("most.label").alias("largest"), trees.alias("trees"), batches.alias("batches"))
-        m = groups.drop("members").join(cells, "shingle").join(self.members.select("doc_id", "map"), "doc_id")
-        tree, batch, zero = F.pmod(F.xxhash64("doc_id"), F.col("trees")), F.pmod(F.xxhash64("doc_id"), F.col("batches")), F.lit(0).cast("long")
-        row = ["shingle", "doc_id", "n", "pos", "label", "map"]
-        all_ = m.select(*row, F.lit(False).alias("probe"), tree.alias("tree"), F.explode(F.sequence(zero, F.col("batches") - 1)).alias("batch"))
-        probes = m.where("label <> largest").select(*row, F.lit(True).alias("probe"), F.explode(F.sequence(zero, F.col("trees") - 1)).alias("tree"), batch.alias("batch"))
-        return all_.unionByName(probes).groupBy("shingle", "tree", "batch").applyInArrow(trimmed(_cells(self.percent)), PAIR)
-
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, m) that the bitmaps let through; m is the size of b's set."""
-        left = self.members.select(F.col("doc_id").alias("a"), "n", F.col("map").alias("x"))
-        right = self.members.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("map").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(trimmed(_possible(self.percent)), "a long, b long, m int")
-
-    def links(self, likely: DataFrame, label: str) -> DataFrame:
-        """The linked ones of the pairs (a, b, m). A set with very many candidates is compared in several trees."""
-        likely = self.scratch.save(likely, f"{label}-likely")
-        heads = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("shingles"))
-        buckets = max(parallelism(likely.sparkSession), int((likely.agg(F.sum("m")).first()[0] or 0) // VERIFY_SHINGLES) + 1)
-        parts = heads.select("a", F.greatest(F.ceil(F.col("c") / VERIFY_GROUP), F.ceil(F.col("shingles") / VERIFY_SHINGLES)).cast("int").alias("parts"))
-        jobs = likely.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-        jobs = jobs.unionByName(parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part")))
-        ids = self.scratch.save(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{label}-ids")
-        sets = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_whole_sets(self.k, self.order)), "b long, keys binary")
-        jobs = self.scratch.save(jobs.select("a", "b", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket")), f"{label}-jobs")
-        jobs = sets.join(broadcast_if(jobs, IDS_BROADCAST), "b").select("bucket", "a", "b", "keys")
-        return self.scratch.save(jobs.groupBy("bucket").applyInArrow(trimmed(_verify(self.percent)), PAIR), f"{label}-links")
+    def group_jobs(self, groups: DataFrame) -> DataFrame:
+        """Rows of the trees of groups: shingle, doc_id, n, pos, label. Linked sets lie in one class of sizes, or in two neighbours: a set is in the trees of its class and
+        of the next one. In that it need only be a probe, or a member if it is of the group's largest component, whose sets don't probe."""
+        scale = math.log(100 / self.percent) * (1 + 1e-9) + 1e-9
+        size, zero = F.floor(F.log("n") / F.lit(scale)), F.lit(0).cast("long")
+        rows = groups.select("shingle", "doc_id", "n", (F.col("pos") + 1).alias("skip"), "label", F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own")))).alias("c"))
+        rows = rows.select("shingle", "c.size", "c.own", "doc_id", "n", "skip", "label")
+        root = ["shingle", "size"]
+        one = F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count(F.when(F.col("own"), 1)).alias("own")
+        labels = rows.groupBy(*root, "label").agg(*one)
+        roots = labels.groupBy(*root).agg(F.max(F.struct("c", "label", "s")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("own").alias("own"), F.count(F.lit(1)).alias("labels"))
+        parts = (F.greatest(F.lit(1), F.ceil(x / CELL), F.ceil(y / CELL_SHINGLES)).cast("long") for x, y in ((F.col("c"), F.col("s")), (F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s"))))
+        roots = roots.where("labels > 1 AND own > 0").select(*root, F.col("most.label").alias("largest"), *(x.alias(name) for x, name in zip(parts, ("trees", "batches"), strict=True)))
+        m = rows.join(broadcast_if(self.scratch.save(roots, "roots"), CLASSES_BROADCAST), root)
+        m = m.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees"))).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("batches")))
+        asks = F.col("label") != F.col("largest")
+        lies = F.transform(F.sequence(zero, F.col("batches") - 1), lambda b: F.struct(F.col("tree").alias("tree"), b.alias("batch"), F.lit(True).alias("member"), (asks & (b == F.col("batch"))).alias("probe")))
+        asked = F.transform(F.sequence(zero, F.col("trees") - 1), lambda t: F.struct(t.alias("tree"), F.col("batch").alias("batch"), F.lit(False).alias("member"), F.lit(True).alias("probe")))
+        asked = F.when(asks, F.filter(asked, lambda x: ~F.col("own") | (x["tree"] != F.col("tree"))))
+        none = F.filter(lies, lambda x: F.lit(False))
+        m = m.withColumn("x", F.explode(F.concat(F.when(F.col("own") | ~asks, lies).otherwise(none), F.coalesce(asked, none))))
+        return m.select(F.xxhash64(*root, "x.tree", "x.batch").alias("cell"), "doc_id", "n", "skip", "label", "x.member", "x.probe")
+
+    def star_jobs(self, pairs: DataFrame) -> DataFrame:
+        """Rows of trees of the b of each a, which the set of a is walked through. pairs: a, b, n, m. Many b, or long ones, make several trees."""
+        heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("s"), F.max("n").alias("n"))
+        parts = heads.select("a", "n", F.greatest(F.ceil(F.col("c") / CELL), F.ceil(F.col("s") / CELL_SHINGLES)).cast("long").alias("parts"))
+        parts = self.scratch.save(parts, f"parts-{uuid.uuid4().hex[:8]}")
+        own, zero = F.lit(0).alias("skip"), F.lit(0).cast("long")
+        sets = pairs.select("a", "b", "m").join(broadcast_if(parts.drop("n"), CLASSES_BROADCAST), "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("cell"), F.col("b").alias("doc_id"), F.col("m").alias("n"), own, F.col("b").alias("label"), F.lit(True).alias("member"), F.lit(False).alias("probe"))
+        asks = parts.select("a", "n", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
+        return sets.unionByName(asks.select(F.xxhash64("a", "part").alias("cell"), F.col("a").alias("doc_id"), "n", own, F.col("a").alias("label"), F.lit(False).alias("member"), F.lit(True).alias("probe")))
+
+    def walked(self, jobs: DataFrame, label: str, overlap: int = 0, whole: bool = False) -> DataFrame:
+        """a, b, n, m: a probe and a set of its tree that may be linked, and their sizes; whole: that are linked."""
+        jobs = self.scratch.save(jobs, f"{label}-rows")
+        share = 1 if whole else (100 - self.percent) / 100
+        shards = max(parallelism(jobs.sparkSession), int((jobs.agg(F.sum("n")).first()[0] or 0) * share // TREE_SHINGLES) + 1)
+        jobs = jobs.withColumn("shard", F.pmod("cell", F.lit(shards)))
+        if whole:
+            ids = self.scratch.save(jobs.select("doc_id").distinct(), f"{label}-ids")
+            sets = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_whole_sets(self.k, self.order)), "doc_id long, n int, keys binary")
+        else:
+            sets = self.members
+        keys = F.expr(f"substring(keys, {8 if whole else 4} * skip + 1)").alias("keys")
+        rows = sets.join(broadcast_if(jobs.drop("n"), JOBS_BROADCAST), "doc_id").select("shard", "cell", "doc_id", "n", "skip", "label", "member", "probe", keys)
+        return self.scratch.save(rows.groupBy("shard").applyInArrow(trimmed(_in_trees(self.percent, overlap, whole)), PAIR).distinct(), label)
+
+    def links(self, pairs: DataFrame, label: str) -> DataFrame:
+        return self.walked(self.star_jobs(pairs), label, whole=True).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -493,7 +494,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scratch.drop("all")
     ids = scratch.save(groups.select("doc_id").distinct(), "ids")
     members = known.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text")
-    members = scratch.save(members.mapInArrow(trimmed(_maps(shingle, order)), "doc_id long, n int, map binary"), "members")
+    members = scratch.save(members.mapInArrow(trimmed(_heads(shingle, percent, order)), "doc_id long, n int, keys binary"), "members")
     join = _Join(known, members, scratch, shingle, percent, order)
 
     def fits(n, m, i, j):
@@ -507,25 +508,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("doc_id").alias("hub"), F.col("n").alias("m"), F.col("pos").alias("j")))
     heads = scratch.save(hubs.groupBy("shingle").agg(best.alias("h")).select("shingle", "h.hub", "h.m", "h.j"), "heads")
     stars = groups.join(broadcast_if(heads, CLASSES_BROADCAST), "shingle").where((F.col("hub") != F.col("doc_id")) & fits("n", "m", "pos", "j"))
-    stars = scratch.save(stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = join.links(join.possible(stars), "first").unionByName(tied)
+    stars = scratch.save(stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("m").alias("n"), F.col("n").alias("m")).distinct(), "stars")
+    links = join.links(join.walked(join.star_jobs(stars), "first-likely"), "first-links").unionByName(tied)
     merged = components(links, scratch, "merged")
 
     labelled = groups.join(broadcast_if(merged.withColumnRenamed("node", "doc_id"), COPIES_BROADCAST), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component", "stands_for")
     labelled = scratch.save(labelled, "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("members")).where("p < q").select("shingle", "members")
+    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("shingle")
     open_ = scratch.save(labelled.join(broadcast_if(scratch.save(mixed, "mixed"), CLASSES_BROADCAST), "shingle"), "open")
-    few = open_.where(F.col("members") <= PAIRS)
-    other = few.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("label").alias("other"))
-    pairs = few.join(other, "shingle").where((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("other")) & fits("n", "m", "pos", "j"))
-    pairs = pairs.select(F.col("doc_id").alias("a"), "b")
-    many = open_.where(F.col("members") > PAIRS)
-    if not many.isEmpty():
-        pairs = pairs.unionByName(scratch.save(join.in_cells(many), "cells"))
+    likely = join.walked(join.group_jobs(open_), "second-likely", overlap=1)
+    swap = F.col("a") > F.col("b")
+    likely = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("m")).distinct()
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.save(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.save(likely.join(seen, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        merged = components(reduce(DataFrame.unionByName, [links, join.links(join.possible(pairs), "second")]), scratch, "all")
+        merged = components(links.unionByName(join.links(pairs, "second-links")), scratch, "all-links")
     out = sets.select("doc_id", "n_shingles").join(broadcast_if(equal.withColumnRenamed("b", "doc_id"), COPIES_BROADCAST), "doc_id", "left").withColumn("node", F.coalesce("a", "doc_id")).drop("a")
     return out.join(broadcast_if(merged, COPIES_BROADCAST), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 

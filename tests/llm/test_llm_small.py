@@ -558,7 +558,7 @@ def test_jaccard_with_tiny_limits(spark, monkeypatch):
         for _ in range(r.randint(0, 6)):
             w[r.randrange(len(w))] = r.choice(vocab)
         rows.append((i, " ".join(w), "en", "s", 0))
-    for name, value in (("PAIRS", 2), ("CELL", 9), ("VERIFY_GROUP", 4), ("VERIFY_SHINGLES", 500), ("HOT", 3), ("LOCAL_HOT", 2), ("FLUSH", 400)):
+    for name, value in (("CELL", 9), ("CELL_SHINGLES", 900), ("TREE_SHINGLES", 500), ("STEP", 40), ("HOT", 3), ("LOCAL_HOT", 2), ("FLUSH", 400)):
         monkeypatch.setattr(jaccard, name, value)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == linked(rows, 75)
@@ -571,22 +571,54 @@ def test_jaccard_ids(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-def test_prefix_tree_against_brute_force():
+def share(a, b, percent):
+    return 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+
+
+def rooted(sets, known, roots, labels):
+    n = np.array([len(s) for s in sets], np.int64)
+    return jaccard.Sets(roots, [s[:k] for s, k in zip(sets, known, strict=True)], n, n.copy(), labels)
+
+
+@pytest.mark.parametrize("step", [1, 1_000_000])
+def test_prefix_tree_against_brute_force(monkeypatch, step):
+    """Whole sets: the linked pairs of equal roots and other labels, no more. Probes of any number at once."""
+    monkeypatch.setattr(jaccard, "STEP", step)
     r = np.random.default_rng(7)
-    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in r.integers(1, 50, 200)]
-    tree = jaccard.PrefixTree(sets)
-    for probe in sets[:60]:
-        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 60 * len(np.union1d(s, probe))]
-        assert sorted(tree.linked(probe, 60)) == want
-
-
-def test_overlap_bound_holds():
-    r = np.random.default_rng(9)
-    for _ in range(100):
-        texts = [" ".join(map(str, r.integers(0, 9, n))) for n in r.integers(2, 3000, 2)]
-        a, b = jaccard.shingle_sets(pa.array(texts), 4)
-        bound = jaccard.overlap_bounds(np.array([len(a)]), np.array([len(b)]), [jaccard.bitmap(a)], [jaccard.bitmap(b)])
-        assert bound[0] >= len(np.intersect1d(a, b))
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint32)) for n in r.integers(1, 50, 200)]
+    sets += [sets[3], sets[3][:-1], sets[4][1:]]
+    roots, labels = r.integers(0, 3, len(sets)) * 7, r.integers(0, 60, len(sets))
+    all_ = rooted(sets, [len(s) for s in sets], roots, labels)
+    p, q = jaccard.PrefixTree(all_).linked(all_, 0, 60)
+    want = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if roots[i] == roots[j] and labels[i] != labels[j] and share(a, b, 60)]
+    assert want and sorted(zip(p.tolist(), q.tolist(), strict=True)) == want
+
+
+def test_prefix_tree_of_heads_loses_no_link():
+    """Heads and keys that became alike: every linked pair is let through, and none of sets that have little in common."""
+    r = np.random.default_rng(5)
+    base = [np.sort(r.choice(5000, 60, replace=False)) for _ in range(12)]
+    sets = []
+    for i in range(150):
+        s = base[i % 12].copy()
+        s[r.integers(0, 60, i % 25)] = r.integers(0, 5000, i % 25)
+        sets.append(np.unique(s).astype(np.uint32))
+    known, one, ids = [len(s) - -(-75 * len(s) // 100) + 1 for s in sets], np.zeros(len(sets), np.int64), np.arange(len(sets))
+    want = {(i, j) for i in ids for j in ids if i != j and share(sets[i], sets[j], 75)}
+    for shift in (0, 3):
+        all_ = rooted([s >> np.uint32(shift) for s in sets], known, one, ids)
+        got = set(zip(*(x.tolist() for x in jaccard.PrefixTree(all_).linked(all_, 0, 75)), strict=True))
+        assert want <= got and (shift or all(i % 12 == j % 12 for i, j in got))
+
+
+def test_prefix_tree_shares_what_near_copies_share():
+    """A planted group: one tree, in which the common beginning of the sets is there once."""
+    r = np.random.default_rng(4)
+    base = np.sort(r.choice(1 << 30, 400, replace=False)).astype(np.uint32)
+    sets = [np.sort(np.append(np.delete(base, r.integers(0, 400)), np.uint32(r.integers(0, 1 << 30)))) for _ in range(60)]
+    all_ = rooted(sets, [len(s) for s in sets], np.zeros(60, np.int64), np.arange(60))
+    tree = jaccard.PrefixTree(all_)
+    assert len(tree.elements) < 0.8 * sum(map(len, sets)) and len(tree.linked(all_, 0, 75)[0]) == 60 * 59
 
 
 def test_order_puts_common_shingles_last():
