@@ -212,6 +212,12 @@ def w4_rolling_low(spark, sf):
     return H.rolling_low(history(spark, sf))
 
 
+@query(sql(OFFERS, HISTORY, then="""
+SELECT t.d, count(DISTINCT h.product) AS products, count(DISTINCT h.shop) AS shops FROM (SELECT DISTINCT d FROM hist) t JOIN hist h ON h.d BETWEEN t.d - INTERVAL 30 DAYS AND t.d GROUP BY t.d"""))
+def a4_present_in_period(spark, sf):
+    return H.present_in_period(H.presence(history(spark, sf)))
+
+
 @query(sql(OFFERS, HISTORY, LOW, then="SELECT product, lowest30 AS lowest FROM low"))
 def a6_lowest_in_period(spark, sf):
     return H.lowest_in_period(history(spark, sf), today())

@@ -139,3 +139,19 @@ def test_rank_of_a_hot_group(spark):
     dealt, _ = C.deal_ranges(df, ["category", "size"], ["unit_price", "price", "product", "shop"], 100)
     sizes = [x["count"] for x in dealt.where("category = 'hot'").groupBy("_range").count().collect()]
     assert len(sizes) == 54 and max(sizes) < 3 * 100 and dealt.where("category <> 'hot' AND size IS NOT NULL").select("_range").distinct().count() <= 3
+
+
+def test_ids_present_in_a_period_against_brute_force(spark):
+    r = random.Random(6)
+    first = dt.date(2024, 2, 20)
+    rows = [(r.choice([0, 5, 40_000, 70_001, 9_000_000_000, None]), r.choice([1, 2, -3]), first + dt.timedelta(r.choice([0, 1, 2, 9, 40, 41, 75])), 1.0, None) for _ in range(40)]
+    h = spark.createDataFrame(rows, "product long, shop long, d date, p double, u double")
+    seen = H.presence(h)
+    for days in (0, 1, 6, 30):
+        got = {x["d"]: (x["products"], x["shops"]) for x in H.present_in_period(seen, days).collect()}
+        want = {}
+        for d in {x[2] for x in rows}:
+            near = [x for x in rows if d - dt.timedelta(days) <= x[2] <= d]
+            want[d] = (len({x[0] for x in near} - {None}), len({x[1] for x in near}))
+        assert got == want
+    assert H.present_in_period(H.presence(h.where("false"))).count() == 0
