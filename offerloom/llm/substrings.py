@@ -6,11 +6,11 @@
    candidate windows. The candidate windows of one anchor in one document form a segment. Equal
    segments of several documents are merged first and keep their smallest document, so large groups
    of copies shrink to one segment before anything is gathered.
-3. A shard's distinct segments are indexed: a run-length FM-index, which is a wavelet matrix over the heads of the
+3. Of each of a shard's anchors the segment of the smallest document is indexed: a run-length FM-index, which is a wavelet matrix over the heads of the
    Burrows-Wheeler transform's runs, a bit vector of where runs start, and summed run lengths. Neither texts nor suffixes are kept. The
-   segments are then streamed against it: backward search extends every match by a word to the left, and shortens it from the right as far as
+   other segments are then streamed against it: backward search extends every match by a word to the left, and shortens it from the right as far as
    needed where that word doesn't fit, which gives matching statistics. Where they reach ``min_words``, the window
-   is reported with the smallest document of its block of rows.
+   is reported with the smallest document of its block of rows. Segments with windows that no index has yet go on, GROWTH times as many an index.
 4. An anchor with more than SHARD_SEGMENTS distinct segments (a passage that very many documents quote between texts of their own) would
    make a shard too large. Of its windows those that two documents have are found by an aggregation over their 128-bit hashes, which merges map-side; each
    of them becomes a segment of its own, dealt by its hash, and goes through the index like the others.
@@ -34,6 +34,8 @@ from .common import ROW_GROUP, SPACES, Scratch, broadcast_if, by_bytes, gram_has
 
 GRAM, MIN_WORDS = 20, 50
 SHARD_SEGMENTS = 3000
+#: An index after the first takes so many times as many segments of an anchor as the one before it.
+GROWTH = 8
 #: Repeated windows of hot anchors are broadcast up to so many rows of 30 bytes.
 WINDOWS_BROADCAST = 1_000_000
 PLACE_BITS = 30
@@ -319,16 +321,44 @@ def _as_runs(docs: np.ndarray) -> list[dict]:
     return [{"start": s, "end": e, "doc_id": int(docs[s])} for s, e in zip([0, *ends], ends, strict=False)]
 
 
-def _search_shard(min_words: int):
+def least_documents(texts: list[np.ndarray], docs: np.ndarray, anchors: np.ndarray, sigma: int, min_words: int, growth: int | None = GROWTH) -> list[np.ndarray]:
+    """For each window of each text the smallest document that has it.
+
+    Of each anchor, the text of the smallest document is indexed and all others are streamed against the index. What is found whole there is done, and isn't indexed
+    itself; of the others the next ``growth`` texts are indexed, and so on. As documents come in ascending order, the first index that has a window has its smallest one.
+    growth None: all texts are indexed at once.
+    """
+    least = [np.full(len(t) - min_words + 1, d, np.int64) for t, d in zip(texts, docs.tolist(), strict=True)]
+    pending, take = np.lexsort((docs, anchors)), 1
+    while len(pending):
+        first = np.flatnonzero(np.append(True, np.diff(anchors[pending]) != 0))
+        turn = np.arange(len(pending)) - np.repeat(first, np.diff(np.append(first, len(pending))))
+        chosen, others = (pending, pending[:0]) if growth is None else (pending[turn < take], pending[turn >= take])
+        asked = others if take == 1 and growth else pending  # one text of an anchor has no window in common with the others indexed
+        indexed = [texts[i] for i in chosen.tolist()]
+        index = FMIndex(indexed, sigma, min_words, docs[chosen])
+        known = np.zeros(sigma, bool)
+        known[np.concatenate(indexed)] = True
+        sizes, found = index.matching_statistics([np.where(known[texts[i]], texts[i], -1) for i in asked.tolist()])
+        open_ = []
+        for i, size, doc in zip(asked.tolist(), sizes, found, strict=True):
+            whole = size[: len(least[i])] == min_words
+            least[i][whole] = np.minimum(least[i][whole], doc[: len(whole)][whole])
+            if not whole.all():
+                open_.append(i)
+        pending = others[np.isin(others, open_)]
+        take *= growth or 1
+    return least
+
+
+def _search_shard(min_words: int, growth: int | None = GROWTH):
     def run(part: pa.Table) -> pa.Table:
         ids, docs, words = (part.column(c).to_pylist() for c in ("id", "doc_id", "words"))
         known: dict[bytes, int] = {}
         texts = word_ids(words, known)
         del words
-        index = FMIndex(texts, len(known) + 1, min_words, np.array(docs, np.int64))
-        _, least = index.matching_statistics(texts)
-        runs = [_as_runs(x[: len(x) - min_words + 1]) for x in least]
-        return pa.Table.from_arrays([part.column("anchor").combine_chunks(), pa.array(ids, pa.binary()), pa.array(runs, RUNS)], schema=REPORTS_ARROW)
+        least = least_documents(texts, np.array(docs, np.int64), part.column("anchor").to_numpy(), len(known) + 1, min_words, growth)
+        return pa.Table.from_arrays([part.column("anchor").combine_chunks(), pa.array(ids, pa.binary()), pa.array([_as_runs(x) for x in least], RUNS)], schema=REPORTS_ARROW)
 
     return run
 
@@ -436,7 +466,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         # a window that two documents have is a segment of its own from here on; its words come from the first piece that has it
         single = again.join(whole.select("anchor", "id", "words"), ["anchor", "id"]).select("anchor", F.col("window").alias("id"), "doc_id", "words", "at").mapInArrow(_single(min_words), "anchor long, id binary, doc_id long, words binary")
         shards = max(parallelism(spark), -(-again.count() // shard_segments))
-        least = single.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInArrow(search, REPORTS)
+        least = single.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInArrow(trimmed(_search_shard(min_words, None)), REPORTS)
         least = scratch.save(least.select(F.col("id").alias("window"), F.get("runs", F.lit(0))["doc_id"].alias("least")), "least")
         found = windows.select("anchor", "id", "at", "window").join(broadcast_if(least, WINDOWS_BROADCAST), "window").groupBy("anchor", "id")
         found = found.agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"), F.col("least").alias("doc_id"))).alias("runs"))

@@ -121,6 +121,29 @@ def test_matching_statistics_of_foreign_texts(depth):
             assert docs_[i] == (min(d for p, d in places if p == list(f[i : i + depth])) if want == depth else -1)
 
 
+@pytest.mark.parametrize("growth", [1, 2, 8, None])
+def test_least_documents_against_brute_force(growth):
+    """Three anchors with texts of their own: near copies, several of one document, long and short ones; most are streamed and never indexed."""
+    r = np.random.default_rng(12)
+    texts, docs, anchors = [], [], []
+    for anchor in range(3):
+        base = r.integers(1, 9, 60) + 10 * anchor
+        for _ in range(30):
+            t = base.copy()
+            t[r.integers(0, 60, r.integers(0, 4))] = 10 * anchor + 9
+            at = r.integers(0, 40)
+            texts.append(t[at : at + r.integers(8, 60)] if r.random() < 0.7 else base[:30])
+            texts[-1] = texts[-1] if len(texts[-1]) >= 8 else base[:8]
+            docs.append(r.integers(-5, 40))
+            anchors.append(anchor)
+    got = substrings.least_documents(texts, np.array(docs), np.array(anchors), 40, 8, growth)
+    first = {}
+    for t, d in zip(texts, docs, strict=True):
+        for k in range(len(t) - 7):
+            first[tuple(t[k : k + 8])] = min(d, first.get(tuple(t[k : k + 8]), d))
+    assert [x.tolist() for x in got] == [[first[tuple(t[k : k + 8])] for k in range(len(t) - 7)] for t in texts]
+
+
 # --- urls ---
 
 
