@@ -181,6 +181,8 @@ def own_rules(rules: DataFrame, agent: str) -> DataFrame:
 
 #: Rules of the hosts may be broadcast up to so many rows (a host and a path each).
 RULES_BROADCAST = 100_000
+#: Beyond that, a host of over so many paths meets its rules in SALTS tasks; hot hosts may be broadcast up to so many.
+HOT_PATHS, SALTS, HOSTS_BROADCAST = 200_000, 64, 100_000
 
 
 def allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
@@ -188,17 +190,28 @@ def allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
 
     Rules without ``*`` and ``$`` are found by hash: a path's beginnings of the lengths that its host's rules have are looked up, so the
     work of a URL is the number of lengths, and rows meet on host and beginning. Only the others are tried as patterns. Equal paths of a host are judged once.
+    Where the rules are too many to be broadcast, those of a hot host are repeated for each of its SALTS shares of the paths, so that no task gets all of them.
     """
     mine = own_rules(rules, agent).where("path IS NOT NULL").select(F.col("host").alias("h"), "allow", F.col("path").alias("rule"))
     literal = ~F.col("rule").rlike("[*$]")
-    plain = mine.where(literal).groupBy("h", "rule").agg(F.max("allow").alias("allow"))
     few = mine.limit(RULES_BROADCAST + 1).count() <= RULES_BROADCAST
+    paths = urls.select("host", "path").distinct().withColumn("share", F.lit(0))
+    if few:
+        mine = mine.withColumn("salt", F.lit(0))
+    else:
+        hot = paths.groupBy(F.col("host").alias("hot")).count().where(F.col("count") > HOT_PATHS).select("hot")
+        hot = F.broadcast(hot) if hot.limit(HOSTS_BROADCAST + 1).count() <= HOSTS_BROADCAST else hot
+        share = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
+        paths = paths.join(hot, F.col("host") == F.col("hot"), "left").select("host", "path", F.when(F.col("hot").isNotNull(), share).otherwise(0).alias("share"))
+        shares = F.sequence(F.lit(0), F.when(F.col("hot").isNotNull(), SALTS - 1).otherwise(0))
+        mine = mine.join(hot, F.col("h") == F.col("hot"), "left").select("h", "allow", "rule", F.explode(shares).alias("salt"))
     small = lambda df: F.broadcast(df) if few else df
-    lengths = plain.groupBy("h").agg(F.collect_set(F.length("rule")).alias("lengths"))
-    paths = urls.select("host", "path").distinct()
-    probes = paths.join(small(lengths), F.col("host") == F.col("h")).select("host", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
-    found = probes.withColumn("begin", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(small(plain), (F.col("host") == F.col("h")) & (F.col("begin") == F.col("rule")))
-    tried = paths.join(small(mine.where(~literal)), F.col("host") == F.col("h")).where(rule_matches(F.col("rule"), F.col("path")))
+    same_host = (F.col("host") == F.col("h")) & (F.col("share") == F.col("salt"))
+    plain = mine.where(literal).groupBy("h", "salt", "rule").agg(F.max("allow").alias("allow"))
+    lengths = plain.groupBy("h", "salt").agg(F.collect_set(F.length("rule")).alias("lengths"))
+    probes = paths.join(small(lengths), same_host).select("host", "path", "share", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    found = probes.withColumn("begin", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(small(plain), same_host & (F.col("begin") == F.col("rule")))
+    tried = paths.join(small(mine.where(~literal)), same_host).where(rule_matches(F.col("rule"), F.col("path")))
     hits = found.select("host", "path", "n", "allow").unionByName(tried.select("host", "path", rule_length(F.col("rule")).alias("n"), "allow"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct("n", "allow"))["allow"].alias("allowed"))
     best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "allowed")

@@ -169,3 +169,21 @@ def test_robots_against_every_rule(spark):
     df = spark.createDataFrame(urls, "url_id int, host string, path string")
     got = {x["url_id"]: x["allowed"] for x in PG.allowed(df, PG.robots_rules(files), "Iemand").collect()}
     assert got == {i: verdict(h, p) for i, h, p in urls} and 50 < sum(not v for v in got.values())
+
+
+@pytest.mark.parametrize("rules_broadcast", [100_000, 3])
+def test_rules_of_a_hot_host(spark, monkeypatch, rules_broadcast):
+    """Rules by broadcast, and by shuffle with the hot host's repeated: the longest that fits, as by trying all."""
+    import random
+
+    r = random.Random(3)
+    monkeypatch.setattr(PG, "RULES_BROADCAST", rules_broadcast)
+    monkeypatch.setattr(PG, "HOT_PATHS", 50)
+    monkeypatch.setattr(PG, "SALTS", 5)
+    word = lambda n: "".join(r.choices("ab/", k=r.randint(0, n)))
+    rules = sorted({(h, f"/{word(4)}", r.random() < 0.5) for h in ("big.example", "few.example") for _ in range(15)})
+    urls = [(i, r.choice(["big.example"] * 6 + ["few.example", "none.example"]), f"/{word(7)}") for i in range(400)]
+    listed = spark.createDataFrame([(h, "*", 1, p, a, None) for h, p, a in rules], "host string, agent string, group_no int, path string, allow boolean, crawl_delay double")
+    got = {x["url_id"]: x["allowed"] for x in PG.allowed(spark.createDataFrame(urls, "url_id int, host string, path string"), listed, "bot").collect()}
+    want = {i: max(((len(p), a) for g, p, a in rules if g == h and path.startswith(p)), default=(0, True))[1] for i, h, path in urls}
+    assert got == want and len({v for v in want.values()}) == 2
