@@ -17,7 +17,7 @@ the first such shingle stands bounds their overlap.
    is shared, in a tree of the hub. Links are merged into components, so most of a large group of near copies needs one comparison each.
 5. Second round: trees of the groups that still have sets of several components. The sets outside the group's largest component are walked through it; subtrees of
    their own component are left. A large group is dealt into cells of CELL sets and CELL probes by the same rule.
-6. What a tree of heads lets through is walked through a tree of whole sets in the same way, which gives exact overlaps.
+6. What a tree of heads lets through, and then a bound from parity bitmaps of the sets, is walked through a tree of whole sets in the same way, which gives exact overlaps.
 """
 
 from __future__ import annotations
@@ -48,8 +48,10 @@ KEY_BITS = 61
 FLUSH, BUCKET_ROWS, LOCAL_HOT = 300_000, 500_000, 8
 #: Sets or probes of one cell, shingles of either (before they are cut to heads), and shingles that a shard gets.
 CELL, CELL_SHINGLES, TREE_SHINGLES = 1000, 4_000_000, 1_000_000
-#: Elements that are looked up in one step of a walk.
-STEP = 1_000_000
+#: Elements that are looked up in one step of a walk, and bytes of bitmaps that are compared at once.
+STEP, MAP_BYTES = 1_000_000, 4 << 20
+#: Keys of a head that a tree gets at most (what isn't known counts as shared if it may be), and places of a bitmap at least.
+HEAD_KEYS, BITMAP_BITS = 64, 2048
 IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST, JOBS_BROADCAST = 3_000_000, 1_000_000, 2_000_000, 200_000
 
 SETS = "kind string, doc_id long, n_shingles long, set_id binary, range int, low binary"
@@ -77,6 +79,41 @@ def shingle_sets(texts: pa.Array, k: int, keys: Callable[[np.ndarray], np.ndarra
             yield whole if keys is None else keys(whole)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit for each place: the parity of the number of shingles there; as words. At least twice as many places as shingles, a power of two."""
+    places = max(BITMAP_BITS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps with fewer places: the upper half is laid on the lower one as often as needed."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
+def overlap_bounds(n: np.ndarray, maps: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """No sets p[i] and q[i] of these sizes and bitmaps share more: shingles that only one of them has leave odd places."""
+    width = np.array([len(x) for x in maps], np.int64)
+    place, side = np.zeros(len(maps), np.int64), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        place[at], side[w] = np.arange(len(at)), np.stack([maps[i] for i in at.tolist()])
+    odd = np.zeros(len(p), np.int64)
+    both = width[p] * (int(width.max(initial=0)) + 1) + width[q]
+    for name in np.unique(both).tolist():
+        pairs = np.flatnonzero(both == name)
+        x, y = int(width[p[pairs[0]]]), int(width[q[pairs[0]]])
+        step = max(1, MAP_BYTES // (8 * max(x, y)))
+        for k in range(0, len(pairs), step):
+            some = pairs[k : k + step]
+            differ = folded(side[x][place[p[some]]], min(x, y)) ^ folded(side[y][place[q[some]]], min(x, y))
+            odd[some] = np.bitwise_count(differ).sum(1, dtype=np.int64)
+    return (n[p] + n[q] - odd) // 2
+
+
 def _sets(k: int):
     """Two kinds of rows: every document's set in short, and the counted hashes packed by range (the 32 bits below the range's)."""
 
@@ -235,13 +272,14 @@ def _groups(part: pa.Table) -> pa.Table:
 
 
 def _heads(k: int, percent: int, order):
-    """Every text's prefix; of a key the 32 high bits, which keep the order. Two shingles that become alike can only raise a bound."""
+    """Every text's prefix, and the bitmap of the whole set. Of a key the 32 high bits, which keep the order; two shingles that become alike can only raise a bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             sets = list(shingle_sets(batch.column(1), k, order.value.keys))
             heads = [(s[: len(s) - -(-percent * len(s) // 100) + 1] >> np.uint64(32)).astype("<u4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.binary())], ["doc_id", "n", "keys"])
+            maps = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.binary()), maps], ["doc_id", "n", "keys", "map"])
 
     return run
 
@@ -384,13 +422,17 @@ def _in_trees(percent: int, overlap: int, whole: bool):
         member, probe = (np.flatnonzero(part.column(c).to_numpy(zero_copy_only=False)) for c in ("member", "probe"))
         p, q = PrefixTree(sets.take(member)).linked(sets.take(probe), overlap, percent)
         p, q = probe[p], member[q]
+        if not whole:  # the last check of what the tree lets through
+            maps = [np.frombuffer(x, "<u8") for x in part.column("map").to_pylist()]
+            close = overlap_bounds(sets.n, maps, p, q) >= needed(sets.n[p], sets.n[q], percent)
+            p, q = p[close], q[close]
         return pa.table({"a": pa.array(ids[p]), "b": pa.array(ids[q]), "n": pa.array(n[p], pa.int32()), "m": pa.array(n[q], pa.int32())})
 
     return run
 
 
 class _Join:
-    """docs: doc_id, text. members: doc_id, n, keys (its head) of every set that shares a prefix shingle with another one.
+    """docs: doc_id, text. members: doc_id, n, keys (its head), map (its bitmap) of every set that shares a prefix shingle with another one.
 
     Rows of trees: the cell (a root, or a part of one), the set, its size, how many of its keys the root stands for, its label, and whether it is
     a member of the tree, a probe, or both.
@@ -443,8 +485,8 @@ class _Join:
             sets = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_whole_sets(self.k, self.order)), "doc_id long, n int, keys binary")
         else:
             sets = self.members
-        keys = F.expr(f"substring(keys, {8 if whole else 4} * skip + 1)").alias("keys")
-        rows = sets.join(broadcast_if(jobs.drop("n"), JOBS_BROADCAST), "doc_id").select("shard", "cell", "doc_id", "n", "skip", "label", "member", "probe", keys)
+        keys = ["keys"] if whole else [F.expr(f"substring(keys, 4 * skip + 1, {4 * HEAD_KEYS})").alias("keys"), "map"]
+        rows = sets.join(broadcast_if(jobs.drop("n"), JOBS_BROADCAST), "doc_id").select("shard", "cell", "doc_id", "n", "skip", "label", "member", "probe", *keys)
         return self.scratch.save(rows.groupBy("shard").applyInArrow(trimmed(_in_trees(self.percent, overlap, whole)), PAIR).distinct(), label)
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
@@ -494,7 +536,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scratch.drop("all")
     ids = scratch.save(groups.select("doc_id").distinct(), "ids")
     members = known.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text")
-    members = scratch.save(members.mapInArrow(trimmed(_heads(shingle, percent, order)), "doc_id long, n int, keys binary"), "members")
+    members = scratch.save(members.mapInArrow(trimmed(_heads(shingle, percent, order)), "doc_id long, n int, keys binary, map binary"), "members")
     join = _Join(known, members, scratch, shingle, percent, order)
 
     def fits(n, m, i, j):

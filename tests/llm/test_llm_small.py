@@ -581,7 +581,7 @@ def test_jaccard_with_tiny_limits(spark, monkeypatch):
         for _ in range(r.randint(0, 6)):
             w[r.randrange(len(w))] = r.choice(vocab)
         rows.append((i, " ".join(w), "en", "s", 0))
-    for name, value in (("CELL", 9), ("CELL_SHINGLES", 900), ("TREE_SHINGLES", 500), ("STEP", 40), ("HOT", 3), ("LOCAL_HOT", 2), ("FLUSH", 400)):
+    for name, value in (("CELL", 9), ("CELL_SHINGLES", 900), ("TREE_SHINGLES", 500), ("STEP", 40), ("HEAD_KEYS", 3), ("HOT", 3), ("LOCAL_HOT", 2), ("FLUSH", 400)):
         monkeypatch.setattr(jaccard, name, value)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == linked(rows, 75)
@@ -644,6 +644,15 @@ def test_prefix_tree_shares_what_near_copies_share():
     assert len(tree.elements) < 0.8 * sum(map(len, sets)) and len(tree.linked(all_, 0, 75)[0]) == 60 * 59
 
 
+def test_overlap_bound_holds(monkeypatch):
+    monkeypatch.setattr(jaccard, "MAP_BYTES", 2000)
+    r = np.random.default_rng(9)
+    sets = list(jaccard.shingle_sets(pa.array([" ".join(map(str, r.integers(0, 9, n))) for n in r.integers(2, 4000, 40)]), 4))
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    bounds = jaccard.overlap_bounds(np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets], p, q)
+    assert all(b >= len(np.intersect1d(sets[i], sets[j])) for b, i, j in zip(bounds, p, q, strict=True))
+
+
 def test_order_puts_common_shingles_last():
     r = np.random.default_rng(2)
     hashes = r.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)
