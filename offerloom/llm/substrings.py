@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,9 +266,10 @@ class FMIndex:
         edges = self._edges[words]
         return edges[np.searchsorted(edges, lo, "right") - 1], edges[np.searchsorted(edges, hi, "left")]
 
-    def matching_statistics(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def matching_statistics(self, texts: list[np.ndarray], full_only: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each place of each text (a -1 is a word that the index lacks): the length of the longest match that starts there, up to
-        depth, and where it is depth the smallest number of the texts that have it, else -1. All texts go right to left side by side."""
+        depth, and where it is depth the smallest number of the texts that have it, else -1. All texts go right to left side by side.
+        full_only: other lengths aren't wanted, so a text is left as soon as no match of full length fits in what remains of it; its other places have 0."""
         lengths = np.array([len(t) for t in texts], np.int64)
         lanes = np.argsort(-lengths, kind="stable")
         n = lengths[lanes]
@@ -276,16 +278,21 @@ class FMIndex:
         last = ends[lanes] - 1
         lo, hi, size = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.rows, np.int64), np.zeros(len(lanes), np.int64)
         found, match = np.full(len(flat), -1, np.int64), np.zeros(len(flat), np.int64)
+        symbols, live = np.zeros(len(lanes), np.int64), np.arange(len(lanes))
         for step in range(int(n[0]) if len(n) else 0):
-            k = int(np.searchsorted(-n, -step, "left"))  # lanes longer than step
-            places = last[:k] - step
-            symbols = flat[places]
-            full = np.flatnonzero(size[:k] == self.depth)  # a match of full length gives up its last word
+            live = live[: int(np.searchsorted(-n[live], -step, "left"))]  # lanes longer than step
+            if full_only:  # where the match at hand ends, no later one ends farther right
+                live = live[n[live] - step + size[live] >= self.depth]
+            if not len(live):
+                break
+            places = last[live] - step
+            symbols[live] = flat[places]
+            full = live[size[live] == self.depth]  # a match of full length gives up its last word
             if len(full):
                 lo[full], hi[full] = self.widen(lo[full], hi[full], self.depth - 1)
                 size[full] = self.depth - 1
-            todo = np.arange(k)
-            missing = symbols < 0
+            todo = live
+            missing = symbols[todo] < 0
             if missing.any():
                 gone = todo[missing]
                 lo[gone], hi[gone], size[gone] = 0, self.rows, 0
@@ -300,20 +307,27 @@ class FMIndex:
                 todo = todo[size[todo] > 0]  # a word alone that doesn't fit starts anew with the next one
                 if len(todo):
                     shorter = np.maximum(self.common[lo[todo]], self.common[hi[todo]]).astype(np.int64)
+                    if full_only:
+                        useful = n[todo] - step + shorter >= self.depth
+                        size[todo[~useful]] = 0
+                        todo, shorter = todo[useful], shorter[useful]
                     for words in np.unique(shorter).tolist():
                         part = todo[shorter == words]
                         lo[part], hi[part] = self.widen(lo[part], hi[part], words)
                         size[part] = words
-            match[places] = size[:k]
-            whole = np.flatnonzero(size[:k] == self.depth)
-            found[places[whole]] = self.least[self.blocks.rank(lo[whole] + 1) - 1]
+            match[places] = size[live]
+            whole = size[live] == self.depth
+            found[places[whole]] = self.least[self.blocks.rank(lo[live[whole]] + 1) - 1]
         cuts = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
         return [match[a:b] for a, b in cuts], [found[a:b] for a, b in cuts]
 
 
-def word_ids(texts: list[bytes], known: dict[bytes, int]) -> list[np.ndarray]:
-    """Texts of words with one space between them as arrays of ids; new words get the next ids."""
-    return [np.array([known.setdefault(w, len(known) + 1) for w in t.split(b" ")], np.int64) for t in texts]
+def word_ids(texts: pa.Array) -> tuple[list[np.ndarray], int]:
+    """Texts of words with one space between them as arrays of ids from 1 on, and one more than the largest id."""
+    split = pc.split_pattern(texts.cast(pa.large_binary()), pattern=b" ")
+    words = split.flatten().dictionary_encode()
+    ids, ends = words.indices.to_numpy().astype(np.int64) + 1, np.cumsum(split.value_lengths().to_numpy())
+    return np.split(ids, ends[:-1]), len(words.dictionary) + 1
 
 
 def _as_runs(docs: np.ndarray) -> list[dict]:
@@ -321,11 +335,17 @@ def _as_runs(docs: np.ndarray) -> list[dict]:
     return [{"start": s, "end": e, "doc_id": int(docs[s])} for s, e in zip([0, *ends], ends, strict=False)]
 
 
+def repeated(values: np.ndarray) -> np.ndarray:
+    """Those that are there more than once, each once."""
+    each, counts = np.unique(values, return_counts=True)
+    return each[counts > 1]
+
+
 def least_documents(texts: list[np.ndarray], docs: np.ndarray, anchors: np.ndarray, sigma: int, min_words: int, growth: int | None = GROWTH) -> list[np.ndarray]:
     """For each window of each text the smallest document that has it.
 
     Of each anchor, the text of the smallest document is indexed and all others are streamed against the index. What is found whole there is done, and isn't indexed
-    itself; of the others the next ``growth`` texts are indexed, and so on. As documents come in ascending order, the first index that has a window has its smallest one.
+    itself; of the others the next ``growth`` texts are indexed, and so on. The last text of an anchor has no other to meet, and the first one none with a smaller document. As documents come in ascending order, the first index that has a window has its smallest one.
     growth None: all texts are indexed at once.
     """
     least = [np.full(len(t) - min_words + 1, d, np.int64) for t, d in zip(texts, docs.tolist(), strict=True)]
@@ -334,12 +354,12 @@ def least_documents(texts: list[np.ndarray], docs: np.ndarray, anchors: np.ndarr
         first = np.flatnonzero(np.append(True, np.diff(anchors[pending]) != 0))
         turn = np.arange(len(pending)) - np.repeat(first, np.diff(np.append(first, len(pending))))
         chosen, others = (pending, pending[:0]) if growth is None else (pending[turn < take], pending[turn >= take])
-        asked = others if take == 1 and growth else pending  # one text of an anchor has no window in common with the others indexed
+        asked = pending if growth is None else pending[turn > 0]
         indexed = [texts[i] for i in chosen.tolist()]
         index = FMIndex(indexed, sigma, min_words, docs[chosen])
         known = np.zeros(sigma, bool)
         known[np.concatenate(indexed)] = True
-        sizes, found = index.matching_statistics([np.where(known[texts[i]], texts[i], -1) for i in asked.tolist()])
+        sizes, found = index.matching_statistics([np.where(known[texts[i]], texts[i], -1) for i in asked.tolist()], full_only=True)
         open_ = []
         for i, size, doc in zip(asked.tolist(), sizes, found, strict=True):
             whole = size[: len(least[i])] == min_words
@@ -347,18 +367,16 @@ def least_documents(texts: list[np.ndarray], docs: np.ndarray, anchors: np.ndarr
             if not whole.all():
                 open_.append(i)
         pending = others[np.isin(others, open_)]
+        pending = pending[np.isin(anchors[pending], repeated(anchors[pending]))]
         take *= growth or 1
     return least
 
 
 def _search_shard(min_words: int, growth: int | None = GROWTH):
     def run(part: pa.Table) -> pa.Table:
-        ids, docs, words = (part.column(c).to_pylist() for c in ("id", "doc_id", "words"))
-        known: dict[bytes, int] = {}
-        texts = word_ids(words, known)
-        del words
-        least = least_documents(texts, np.array(docs, np.int64), part.column("anchor").to_numpy(), len(known) + 1, min_words, growth)
-        return pa.Table.from_arrays([part.column("anchor").combine_chunks(), pa.array(ids, pa.binary()), pa.array([_as_runs(x) for x in least], RUNS)], schema=REPORTS_ARROW)
+        texts, sigma = word_ids(part.column("words").combine_chunks())
+        least = least_documents(texts, part.column("doc_id").to_numpy(), part.column("anchor").to_numpy(), sigma, min_words, growth)
+        return pa.Table.from_arrays([part.column("anchor").combine_chunks(), part.column("id").combine_chunks(), pa.array([_as_runs(x) for x in least], RUNS)], schema=REPORTS_ARROW)
 
     return run
 

@@ -144,6 +144,37 @@ def test_least_documents_against_brute_force(growth):
     assert [x.tolist() for x in got] == [[first[tuple(t[k : k + 8])] for k in range(len(t) - 7)] for t in texts]
 
 
+def test_matches_of_full_length_only():
+    """The same full matches; a text is left where none fits into the rest of it."""
+    r = np.random.default_rng(21)
+    texts = [r.integers(1, 4, n) for n in (80, 33, 60)]
+    index = substrings.FMIndex(texts, 5, 6, np.array([4, 1, 9]))
+    foreign = [np.where(r.random(n) < 0.2, -1, r.integers(1, 5, n)) for n in (70, 5, 6, 41)] + [texts[1], np.array([3, -1, 1, 2, 1])]
+    (lengths, least), (some, same) = index.matching_statistics(foreign), index.matching_statistics(foreign, full_only=True)
+    assert [x.tolist() for x in same] == [x.tolist() for x in least]
+    assert all(((a == 6) == (b == 6)).all() and (a >= b).all() for a, b in zip(lengths, some, strict=True)) and some[5].max() == 0
+
+
+def test_texts_that_meet_no_other_are_not_searched(monkeypatch):
+    """Of two texts of an anchor the first is indexed and the second streamed, once; what is left of the second has nothing more to meet."""
+    indexed, asked = [], []
+
+    class Counted(substrings.FMIndex):
+        def __init__(self, texts, *args):
+            indexed.append(len(texts))
+            super().__init__(texts, *args)
+
+        def matching_statistics(self, texts, **args):
+            asked.append(len(texts))
+            return super().matching_statistics(texts, **args)
+
+    monkeypatch.setattr(substrings, "FMIndex", Counted)
+    texts = [np.array(x) for x in ([1, 2, 3, 4], [1, 2, 3, 5], [6, 7, 8], [9, 10, 11, 1], [9, 10, 11, 2], [9, 10, 11, 2, 3])]
+    got = substrings.least_documents(texts, np.array([5, 6, 1, 2, 3, 4]), np.array([0, 0, 1, 2, 2, 2]), 12, 3)
+    assert [x.tolist() for x in got] == [[5, 5], [5, 6], [1], [2, 2], [2, 3], [2, 3, 4]]
+    assert indexed == [3, 2] and asked == [3, 1]
+
+
 # --- urls ---
 
 
