@@ -9,7 +9,8 @@ the first such shingle stands bounds their overlap.
 1. Frequencies are counted over all sets, for the part of the hash range that prefixes come from. The order may be any,
    as long as it is one: the hot list only makes it better, so its size can be bounded.
 2. The tree's first level is spread over the cluster: prefix shingles are gathered by hash range, packed, and those of one set
-   only are dropped. A shingle that a task has seen in many sets goes around the range's task, which gets one of its rows.
+   only are dropped, and rows that no link can have as its first shared shingle: of two sets the smaller one has that in its first seventh or so (at 75 %), and the
+   other's place bounds the smaller one's size. A shingle that a task has seen in many sets goes around the range's task, which gets one of its rows.
 3. The prefix tree: a root is a shingle and a class of sizes, below it are the heads (prefixes) of the sets that have it, in the global order, so
    that what they share is stored once. A shard of roots is one tree. All its probes are walked through it at once: an overlap is counted
    once a run of the tree, for all sets below it, and a subtree is left where the lengths that remain, of the probe and of the sets below, can't reach the threshold any more.
@@ -52,6 +53,8 @@ CELL, CELL_SHINGLES, TREE_SHINGLES = 1000, 4_000_000, 1_000_000
 STEP, MAP_BYTES = 1_000_000, 4 << 20
 #: Keys of a head that a tree gets at most (what isn't known counts as shared if it may be), and places of a bitmap at least.
 HEAD_KEYS, BITMAP_BITS = 64, 2048
+#: Roots with the same smallest document, at so many neighbouring places of it, go to one shard: groups of near copies have the same sets again and again.
+NEAR = 128
 IDS_BROADCAST, COPIES_BROADCAST, CLASSES_BROADCAST, JOBS_BROADCAST = 3_000_000, 1_000_000, 2_000_000, 200_000
 
 SETS = "kind string, doc_id long, n_shingles long, set_id binary, range int, low binary"
@@ -255,17 +258,40 @@ def _prefixes(k: int, percent: int, order, buckets: int):
     return run
 
 
-def _groups(part: pa.Table) -> pa.Table:
-    """The rows of shingles that several sets have."""
-    shingle, doc, n, pos = _unpacked(part.column("rows").to_pylist())
-    if part.column("bucket")[0].as_py() >= 0:
-        by = np.argsort(shingle)
-        s = shingle[by]
-        twice = np.append(s[1:] == s[:-1], False)
-        twice[1:] |= twice[:-1].copy()
-        by = by[twice & (n[by] > 0)]
-        shingle, doc, n, pos = shingle[by], doc[by], n[by], pos[by]
-    return pa.table({"shingle": pa.array(shingle.view(np.int64)), "doc_id": pa.array(doc), "n": pa.array(n), "pos": pa.array(pos)})
+def linkable(shingle: np.ndarray, n: np.ndarray, pos: np.ndarray, whole: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of shingles (sorted; sizes, places) may have a link whose first shared shingle is this one. Neither set shares what it has before that, so
+    at most n - pos: this bounds the other's size, and the smaller set's own place. whole: all of the shingle's rows are here; the others are kept."""
+    first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+    counts = np.diff(np.append(first, len(shingle)))
+    n, rest = n.astype(np.int64), n.astype(np.int64) - pos
+    largest = (100 + percent) * rest // percent - n  # the other set's size at most
+    smaller = np.minimum.reduceat(np.where(largest >= n, n, np.iinfo(np.int64).max), first)  # the least size that the smaller set of a link can have
+    keep = largest >= np.repeat(smaller, counts)
+    a = first[counts == 2]  # most groups: the two are compared
+    b = a + 1
+    fit = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (np.minimum(rest[a], rest[b]) >= needed(n[a], n[b], percent))
+    keep[a] = keep[b] = fit
+    keep &= np.repeat(np.add.reduceat(keep, first, dtype=np.int64), counts) > 1
+    return keep | ~np.repeat(np.logical_and.reduceat(whole, first), counts)
+
+
+def _groups(percent: int):
+    """The rows of shingles that several sets have, without those that can't be the first shared one of any link."""
+
+    def run(part: pa.Table) -> pa.Table:
+        shingle, doc, n, pos = _unpacked(part.column("rows").to_pylist())
+        if part.column("bucket")[0].as_py() >= 0:
+            by = np.argsort(shingle)
+            s = shingle[by]
+            twice = np.append(s[1:] == s[:-1], False)
+            twice[1:] |= twice[:-1].copy()
+            by = by[twice]
+            if len(by):
+                by = by[linkable(shingle[by], n[by], pos[by], n[by] > 0, percent) & (n[by] > 0)]
+            shingle, doc, n, pos = shingle[by], doc[by], n[by], pos[by]
+        return pa.table({"shingle": pa.array(shingle.view(np.int64)), "doc_id": pa.array(doc), "n": pa.array(n), "pos": pa.array(pos)})
+
+    return run
 
 
 # --- trees ---
@@ -412,19 +438,24 @@ def _in_trees(percent: int, overlap: int, whole: bool):
     """One shard: its rows as a tree, and its probes walked through it."""
 
     def run(part: pa.Table) -> pa.Table:
-        cell, ids, n, skip, label = (part.column(c).to_numpy() for c in ("cell", "doc_id", "n", "skip", "label"))
+        lists = part.column("cells").combine_chunks()
+        of = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))  # the set of each cell's row
+        ids, n = (part.column(c).to_numpy()[of] for c in ("doc_id", "n"))
+        cell, skip, label, member, probe = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
         keys = [np.frombuffer(x, "<u8" if whole else "<u4") for x in part.column("keys").to_pylist()]
         if whole:  # places in the order of all keys here are smaller than keys
             ranks = np.unique(np.concatenate(keys), return_inverse=True)[1].astype(np.uint32)
             ends = np.cumsum([len(x) for x in keys])
             keys = [ranks[b - len(x) : b] for x, b in zip(keys, ends.tolist(), strict=True)]
+        known = None if whole else HEAD_KEYS
+        keys = [keys[i][at:][:known] for i, at in zip(of.tolist(), (skip - part.column("least").to_numpy()[of]).tolist(), strict=True)]
         sets = Sets(cell, keys, n.astype(np.int64), n.astype(np.int64) - skip, label)
-        member, probe = (np.flatnonzero(part.column(c).to_numpy(zero_copy_only=False)) for c in ("member", "probe"))
+        member, probe = np.flatnonzero(member), np.flatnonzero(probe)
         p, q = PrefixTree(sets.take(member)).linked(sets.take(probe), overlap, percent)
         p, q = probe[p], member[q]
         if not whole:  # the last check of what the tree lets through
             maps = [np.frombuffer(x, "<u8") for x in part.column("map").to_pylist()]
-            close = overlap_bounds(sets.n, maps, p, q) >= needed(sets.n[p], sets.n[q], percent)
+            close = overlap_bounds(part.column("n").to_numpy().astype(np.int64), maps, of[p], of[q]) >= needed(sets.n[p], sets.n[q], percent)
             p, q = p[close], q[close]
         return pa.table({"a": pa.array(ids[p]), "b": pa.array(ids[q]), "n": pa.array(n[p], pa.int32()), "m": pa.array(n[q], pa.int32())})
 
@@ -435,7 +466,7 @@ class _Join:
     """docs: doc_id, text. members: doc_id, n, keys (its head), map (its bitmap) of every set that shares a prefix shingle with another one.
 
     Rows of trees: the cell (a root, or a part of one), the set, its size, how many of its keys the root stands for, its label, and whether it is
-    a member of the tree, a probe, or both.
+    a member of the tree, a probe, or both. near: what its shard is chosen by; a set is sent once to a shard, for all its cells there.
     """
 
     def __init__(self, docs: DataFrame, members: DataFrame, scratch: Scratch, k: int, percent: int, order):
@@ -449,11 +480,11 @@ class _Join:
         rows = groups.select("shingle", "doc_id", "n", (F.col("pos") + 1).alias("skip"), "label", F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own")))).alias("c"))
         rows = rows.select("shingle", "c.size", "c.own", "doc_id", "n", "skip", "label")
         root = ["shingle", "size"]
-        one = F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count(F.when(F.col("own"), 1)).alias("own")
+        one = F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count(F.when(F.col("own"), 1)).alias("own"), F.min(F.struct("doc_id", F.floor(F.col("skip") / NEAR).alias("part"))).alias("near")
         labels = rows.groupBy(*root, "label").agg(*one)
-        roots = labels.groupBy(*root).agg(F.max(F.struct("c", "label", "s")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("own").alias("own"), F.count(F.lit(1)).alias("labels"))
+        roots = labels.groupBy(*root).agg(F.max(F.struct("c", "label", "s")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("own").alias("own"), F.min("near").alias("near"), F.count(F.lit(1)).alias("labels"))
         parts = (F.greatest(F.lit(1), F.ceil(x / CELL), F.ceil(y / CELL_SHINGLES)).cast("long") for x, y in ((F.col("c"), F.col("s")), (F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s"))))
-        roots = roots.where("labels > 1 AND own > 0").select(*root, F.col("most.label").alias("largest"), *(x.alias(name) for x, name in zip(parts, ("trees", "batches"), strict=True)))
+        roots = roots.where("labels > 1 AND own > 0").select(*root, F.xxhash64("near").alias("near"), F.col("most.label").alias("largest"), *(x.alias(name) for x, name in zip(parts, ("trees", "batches"), strict=True)))
         m = rows.join(broadcast_if(self.scratch.save(roots, "roots"), CLASSES_BROADCAST), root)
         m = m.withColumn("tree", F.pmod(F.xxhash64("doc_id"), F.col("trees"))).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("batches")))
         asks = F.col("label") != F.col("largest")
@@ -462,7 +493,7 @@ class _Join:
         asked = F.when(asks, F.filter(asked, lambda x: ~F.col("own") | (x["tree"] != F.col("tree"))))
         none = F.filter(lies, lambda x: F.lit(False))
         m = m.withColumn("x", F.explode(F.concat(F.when(F.col("own") | ~asks, lies).otherwise(none), F.coalesce(asked, none))))
-        return m.select(F.xxhash64(*root, "x.tree", "x.batch").alias("cell"), "doc_id", "n", "skip", "label", "x.member", "x.probe")
+        return m.select(F.xxhash64(*root, "x.tree", "x.batch").alias("cell"), F.xxhash64("near", "x.tree", "x.batch").alias("near"), "doc_id", "n", "skip", "label", "x.member", "x.probe")
 
     def star_jobs(self, pairs: DataFrame) -> DataFrame:
         """Rows of trees of the b of each a, which the set of a is walked through. pairs: a, b, n, m. Many b, or long ones, make several trees."""
@@ -472,21 +503,24 @@ class _Join:
         own, zero = F.lit(0).alias("skip"), F.lit(0).cast("long")
         sets = pairs.select("a", "b", "m").join(broadcast_if(parts.drop("n"), CLASSES_BROADCAST), "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("cell"), F.col("b").alias("doc_id"), F.col("m").alias("n"), own, F.col("b").alias("label"), F.lit(True).alias("member"), F.lit(False).alias("probe"))
         asks = parts.select("a", "n", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
-        return sets.unionByName(asks.select(F.xxhash64("a", "part").alias("cell"), F.col("a").alias("doc_id"), "n", own, F.col("a").alias("label"), F.lit(False).alias("member"), F.lit(True).alias("probe")))
+        rows = sets.unionByName(asks.select(F.xxhash64("a", "part").alias("cell"), F.col("a").alias("doc_id"), "n", own, F.col("a").alias("label"), F.lit(False).alias("member"), F.lit(True).alias("probe")))
+        return rows.withColumn("near", F.col("cell"))
 
     def walked(self, jobs: DataFrame, label: str, overlap: int = 0, whole: bool = False) -> DataFrame:
         """a, b, n, m: a probe and a set of its tree that may be linked, and their sizes; whole: that are linked."""
         jobs = self.scratch.save(jobs, f"{label}-rows")
         share = 1 if whole else (100 - self.percent) / 100
         shards = max(parallelism(jobs.sparkSession), int((jobs.agg(F.sum("n")).first()[0] or 0) * share // TREE_SHINGLES) + 1)
-        jobs = jobs.withColumn("shard", F.pmod("cell", F.lit(shards)))
+        cells = jobs.repartition("doc_id").groupBy("doc_id", F.pmod("near", F.lit(shards)).alias("shard"))
+        cells = cells.agg(F.collect_list(F.struct("cell", "skip", "label", "member", "probe")).alias("cells"), F.min("skip").alias("least"), F.max("skip").alias("most"))
+        cells = self.scratch.save(cells, f"{label}-cells")
         if whole:
             ids = self.scratch.save(jobs.select("doc_id").distinct(), f"{label}-ids")
             sets = self.docs.join(broadcast_if(ids, IDS_BROADCAST), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_whole_sets(self.k, self.order)), "doc_id long, n int, keys binary")
         else:
             sets = self.members
-        keys = ["keys"] if whole else [F.expr(f"substring(keys, 4 * skip + 1, {4 * HEAD_KEYS})").alias("keys"), "map"]
-        rows = sets.join(broadcast_if(jobs.drop("n"), JOBS_BROADCAST), "doc_id").select("shard", "cell", "doc_id", "n", "skip", "label", "member", "probe", *keys)
+        keys = ["keys"] if whole else [F.expr(f"substring(keys, 4 * least + 1, 4 * (most - least + {HEAD_KEYS}))").alias("keys"), "map"]
+        rows = sets.join(broadcast_if(cells, JOBS_BROADCAST), "doc_id").select("shard", "doc_id", "n", "cells", "least", *keys)
         return self.scratch.save(rows.groupBy("shard").applyInArrow(trimmed(_in_trees(self.percent, overlap, whole)), PAIR).distinct(), label)
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
@@ -525,7 +559,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     order = spark.sparkContext.broadcast(Order(hot["name"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
 
     buckets = max(parallelism(spark), int(total * (100 - percent) / 100 // BUCKET_ROWS) + 1)
-    groups = known.mapInArrow(trimmed(_prefixes(shingle, percent, order, buckets)), "bucket long, rows binary").groupBy("bucket").applyInArrow(trimmed(_groups), MEMBERS)
+    groups = known.mapInArrow(trimmed(_prefixes(shingle, percent, order, buckets)), "bucket long, rows binary").groupBy("bucket").applyInArrow(trimmed(_groups(percent)), MEMBERS)
     groups = scratch.save(groups.join(broadcast_if(equal.select(F.col("b").alias("doc_id")), COPIES_BROADCAST), "doc_id", "left_anti"), "all")
     # shingles with the same members say the same; the first of them in the order stands for all (it has the smallest positions)
     h, g = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -602,6 +603,36 @@ def test_jaccard(docs, percent):
     assert got == linked(corpus(), percent)
 
 
+@pytest.mark.parametrize("percent", [75, 50, 90])
+def test_rows_of_groups_that_may_link(percent):
+    """No link's first shared shingle is lost; rows too deep in their sets, or of sizes too far apart, go."""
+    r, sets = np.random.default_rng(percent), []
+    for _ in range(40):
+        base = np.sort(r.choice(3000, r.integers(5, 60), replace=False))
+        sets += [np.unique(np.append(base[r.random(len(base)) < 0.98], r.integers(0, 3000, r.integers(0, 3)))) for _ in range(4)]
+    rows = sorted((int(x), len(s), i, d) for d, s in enumerate(sets) for i, x in enumerate(s[: len(s) - -(-percent * len(s) // 100) + 1]))
+    shingle, n, pos, doc = (np.array(x) for x in zip(*rows, strict=True))
+    size = np.bincount(shingle)[shingle]
+    shingle, n, pos, doc = (x[size > 1] for x in (shingle, n, pos, doc))
+    keep = jaccard.linkable(shingle, n, pos, np.ones(len(n), bool), percent)
+    kept = set(zip(shingle[keep].tolist(), doc[keep].tolist(), strict=True))
+    found = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if share(sets[a], sets[b], percent):
+            first = int(np.intersect1d(sets[a], sets[b])[0])
+            assert {(first, a), (first, b)} <= kept
+            found += 1
+    assert found > 5 and 0 < keep.sum() < 0.9 * len(keep)
+    assert jaccard.linkable(shingle, n, pos, np.zeros(len(n), bool), percent).all()
+
+
+def test_groups_without_rows_that_cannot_link():
+    """Two sets of 100 that share a shingle no sooner than at place 20: at most 80 shingles, where 86 are needed."""
+    arrays = [np.array(x, t) for x, t in zip(([5, 5, 6, 6, 7, 7], [1, 2, 1, 2, 1, 3], [100, 100, 100, 100, 100, 60], [20, 22, 3, 9, 1, 1]), jaccard.FIELDS, strict=True)]
+    got = jaccard._groups(75)(pa.table({"bucket": [0], "rows": [jaccard._packed(tuple(arrays), 0, None)]}))
+    assert got.column("shingle").to_pylist() == [6, 6] and sorted(got.column("doc_id").to_pylist()) == [1, 2]
+
+
 def test_jaccard_with_tiny_limits(spark, monkeypatch):
     """Cells, trees, batches and groups of a few sets each, most shingles hot: the same components."""
     r = random.Random(8)
