@@ -131,6 +131,28 @@ def test_records_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_records_where_few_files_span_splits(spark, tmp_path):
+    """Splits as large as all files' bytes allow: files without quotes, one with them and a broken one don't move the others' ends of splits."""
+    r = random.Random(4)
+    (tmp_path / "few").mkdir()
+    want = []
+    for n in range(5):
+        rows = [(f"{n}-{i}", f'"{"x" * r.randint(1, 30)}\n\n{i}"' if n == 2 else "y" * r.randint(1, 20)) for i in range(400)]
+        (tmp_path / "few" / f"{n}.csv").write_text("k;w\n" + "".join(f"{k};{w}\n" for k, w in rows))
+        want += [(k, w.strip('"')) for k, w in rows]
+    broken = write(tmp_path / "open.csv", "k;w\n" + "z;z\n" * 9000 + '1;"x\n')
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert sorted(map(tuple, FE.read_delimited(spark, str(tmp_path / "few"), ";").collect())) == sorted(want)
+        feeds = [{"id": "few", "shop": "x", "path": str(tmp_path / "few"), "keep": ["k", "w"]}, {"id": "open", "shop": "x", "path": broken}]
+        rows, problems = FE.read_feeds(spark, feeds, ["x"])
+        assert [p["feed"] for p in problems] == ["open"]
+        assert sorted(map(tuple, rows.select("k", "w").collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_headers_of_all_kinds(spark, tmp_path):
     """Equal names in any case or with blanks: the last counts; a name with a dot or none at all loses nothing else; short and long rows."""
     path = write(tmp_path / "h.csv", '\ufeff id ;price;g.tin;; Price ;"na\nme"\n1;5,00;x;y;6,50;n\n2;1,00\n;;;;;\n3;1;2;3;4;5;6;7\n')
