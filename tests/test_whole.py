@@ -60,6 +60,16 @@ def test_coverage_counts_the_pairs_of_the_work_list(spark, monkeypatch):
     assert sorted(map(str, O.work_list(products, shops).collect())) == pairs
 
 
+@with_data
+def test_catalog_violations_of_large_ids(spark, tmp_path):
+    """Ids of seven digits and one more may make a valid number of eight: a wrong number has to be wrong for every id."""
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    part.withColumn("p_partkey", F.col("p_partkey") + 1_000_000).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{SF}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = J.QUERIES["d4_catalog_violations"](spark, str(tmp_path)).where("rule = 'invalid article number'")
+    assert sorted(int(r["subject"]) for r in got.collect()) == sorted(r[0] + 1_000_000 for r in part.where("p_partkey % 50 = 7").select("p_partkey").collect())
+
+
 @with_data
 def test_work_list_takes_every_product(spark):
     work = J.QUERIES["j3_work_list_all"](spark, SF)
