@@ -155,3 +155,22 @@ def test_ids_present_in_a_period_against_brute_force(spark):
             want[d] = (len({x[0] for x in near} - {None}), len({x[1] for x in near}))
         assert got == want
     assert H.present_in_period(H.presence(h.where("false"))).count() == 0
+
+
+def test_distinct_ids_of_a_period_against_brute_force(spark):
+    """Repeated rows, days of a null id only, periods that touch and overlap; one sort by id, and then a row a day."""
+    r = random.Random(8)
+    first = dt.date(2024, 2, 20)
+    rows = [(r.choice([0, 5, 40_000, 9_000_000_000, None]), r.choice([1, 2, -3, None]), first + dt.timedelta(r.choice([0, 1, 2, 9, 31, 40, 41, 75]))) for _ in range(60)]
+    rows += [(None, None, first + dt.timedelta(5)), (None, 1, first + dt.timedelta(60)), (1, 1, None), *rows[:9]]
+    h = spark.createDataFrame(rows, "product long, shop long, d date")
+    for days in (0, 1, 6, 30):
+        got = {x["d"]: (x["products"], x["shops"]) for x in H.distinct_in_period(h, days).collect()}
+        want = {}
+        for d in {x[2] for x in rows if x[2] and x[:2] != (None, None)}:
+            near = [x for x in rows if x[2] and d - dt.timedelta(days) <= x[2] <= d]
+            want[d] = tuple(len({x[i] for x in near} - {None}) for i in (0, 1))
+        assert got == want
+    assert H.distinct_in_period(h.where("false")).count() == 0
+    plan = H.distinct_in_period(h)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1 and "bitmap" not in plan
