@@ -257,6 +257,24 @@ def test_title_matches_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
 
 
+def test_best_matches_are_found_once_a_group(spark, numbers):
+    """Products with equal rules share their best rows: those of all matches, also where a product is listed twice; rows aren't shuffled for each product."""
+    r = random.Random(9)
+    kinds = [("Orlo", "4", ["ketel"], [], []), ("Orlo", "4", ["ketel"], ["mini"], []), ("Orlo", None, ["ketel"], [], []), ("", "4", [], [], []), ("Bo", "4", ["lijm"], [], [numbers[2]]), ("Bo", "4", ["lijm"], [], ["no number"])]
+    products = [(i, "n", *r.choice(kinds)) for i in range(40)]
+    columns = "product long, name string, brand string, size string, must array<string>, none array<string>, gtins array<string>"
+    more = {"query": F.lit("orlo ketel"), "match_pack": F.lit(None).cast("double")}
+    rows = spark.createDataFrame([(r.choice("ab"), i, r.choice(["0" + numbers[2], None, "0" + numbers[0]]), " ".join(r.choices(["Orlo", "ketel", "maat 4", "mini", "Bo lijm"], k=4)), float(r.randint(1, 3))) for i in range(80)], "shop string, n int, gtin string, title string, price double")
+    for twice in ([], [products[0][:2] + kinds[2], products[1][:2] + kinds[4]]):
+        c = spark.createDataFrame([*products, *twice], columns).withColumns(more)
+        got = MA.best_matches(rows, c, F.col("n"))
+        want = MA.best_rows(MA.match_rows(rows, c), ["shop", "product"], F.col("n"))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 20
+    rules = MA.title_rules(spark.createDataFrame(products, columns).withColumns(more))
+    grouped = MA.best_rows(MA.match_groups(rows, rules), ["shop", "group"], F.col("n"))
+    assert 0 < grouped.count() < MA.with_products(grouped, rules).count()
+
+
 def test_many_feeds_and_their_problems(spark, tmp_path, numbers):
     good = write(tmp_path / "f.csv", feed_text(*numbers))
     feeds = [{"id": "a", "shop": "x", "path": good}, {"id": "b", "shop": "nobody", "path": good}, {"id": "c", "shop": "x", "path": str(tmp_path / "absent.csv")}, {"id": "d", "shop": "x", "path": None}]
