@@ -70,6 +70,19 @@ def test_catalog_violations_of_large_ids(spark, tmp_path):
     assert sorted(int(r["subject"]) for r in got.collect()) == sorted(r[0] + 1_000_000 for r in part.where("p_partkey % 50 = 7").select("p_partkey").collect())
 
 
+def test_work_that_no_feed_covers(spark, monkeypatch):
+    """The pairs of the anti join, without a shuffle of pairs: lists, links, disabled shops, null keys, shops too many to be broadcast."""
+    products = spark.createDataFrame([(1, None, None), (2, None, {"9": "l", "1": "m"}), (3, [1, 9, 77], None), (4, [9, 9], {"9": "l"}), (5, [], None), (None, None, None), (6, None, {})], "product long, shops array<long>, links map<string,string>")
+    shops = spark.createDataFrame([(1, True), (2, None), (9, False), (8, False)], "shop long, enabled boolean")
+    offers = spark.createDataFrame([(1, 1), (1, 1), (2, 9), (4, 9), (6, 1), (None, 1), (3, None)], "product long, shop long")
+    want = sorted(map(str, O.not_covered(O.work_list(products, shops), offers).collect()))
+    got = O.work_not_covered(products, shops, offers)
+    assert sorted(map(str, got.collect())) == want and len(want) == 7
+    assert "hashpartitioning(product" in got._jdf.queryExecution().executedPlan().toString() and "shop#" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(product" in x)
+    monkeypatch.setattr(O, "SHOPS_BROADCAST", 2)
+    assert sorted(map(str, O.work_not_covered(products, shops, offers).collect())) == want
+
+
 @with_data
 def test_work_list_takes_every_product(spark):
     work = J.QUERIES["j3_work_list_all"](spark, SF)
