@@ -132,6 +132,15 @@ def test_the_whole_history_is_written(spark, monkeypatch):
     assert first[0] == J.history(spark, SF).agg(F.min("d")).first()[0]
 
 
+@with_data
+def test_payload_is_packed_and_offers_travel_slim(spark, tmp_path):
+    """What follows from an offer's own columns isn't shuffled with it, and the published JSON is packed."""
+    exchanges = [x for x in J.one_offers(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert exchanges and not any("unit_label" in x or "gtin_text" in x for x in exchanges)
+    P.publish(spark.range(3), f"file://{tmp_path}/p")
+    assert list(tmp_path.glob("p/v=*/*.json.gz")) and not list(tmp_path.glob("p/v=*/*.json"))
+
+
 @with_data
 def test_candidates_have_titles(spark):
     assert J.QUERIES["u4_candidates"](spark, SF).where("title IS NULL").isEmpty()
